@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from viaduct.llm.common import bounded_batches
+from viaduct.llm.common import bounded_batches, cut_lineage
 
 # Unicode White_Space, which differs from Python's \s by the separators 1C to 1F.
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -300,18 +300,20 @@ class Transducer:
 
     @classmethod
     def mapped(cls, image: bytes) -> Transducer:
-        """Writes the image to this machine's own temp folder, once, and memory-maps it."""
-        path = os.path.join(tempfile.gettempdir(), f"lexicon-{hashlib.sha256(image).hexdigest()[:24]}.bin")
-        if not os.path.exists(path) or os.path.getsize(path) != len(image):
-            with tempfile.NamedTemporaryFile(dir=tempfile.gettempdir(), delete=False) as f:
-                f.write(image)
-            os.replace(f.name, path)
+        """Memory-maps the image from a file of this machine's own, which has no name once it is mapped."""
+        with tempfile.NamedTemporaryFile() as f:
+            f.write(image)
+            f.flush()
+            return cls(*cls._arrays(image, f.name))
+
+    @staticmethod
+    def _arrays(image: bytes, path: str) -> list[np.ndarray]:
         at = image.index(b"\n") + 1
         arrays = []
         for kind, n in json.loads(image[:at]):
             arrays.append(np.memmap(path, kind, "r", at, (n,)).view(np.ndarray) if n else np.zeros(0, kind))
             at += arrays[-1].nbytes + -arrays[-1].nbytes % 8
-        return cls(*arrays)
+        return arrays
 
     def walk(self, flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The number of each word flat[first : first + size], or -1; words advance together by bytes."""
@@ -369,12 +371,19 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def build_lexicon(docs: DataFrame, spec: bytes, text_col: str = "text", words: int = LEXICON_WORDS) -> bytes:
-    """The transducer of the ``words`` most frequent words (ties: smaller word) of all documents.
+    """The transducer of the most frequent words of all documents: as many whole steps of frequency as
+    ``words`` has room for.
 
-    What reaches the driver is bounded by ``words``; the counts cover the whole corpus.
+    Words that occur once are left out.  The driver gets a sum for each step and at most ``words`` words.
     """
-    top = word_counts(docs, text_col).where((F.col("n") > 1) & (F.length("word") <= 64)).orderBy(F.desc("n"), "word").limit(words)
-    frequent = [r.word for r in top.select("word").collect()]
+    step = F.floor(F.log2("n") * 16).cast("int")
+    counted = cut_lineage(word_counts(docs, text_col).where((F.col("n") > 1) & (F.length("word") <= 64)).withColumn("step", step))
+    least, room = None, words
+    for held, n in sorted(counted.groupBy("step").count().collect(), reverse=True):
+        if n > room:
+            break
+        least, room = held, room - n
+    frequent = [] if least is None else [r.word for r in counted.where(F.col("step") >= least).select("word").collect()]
     enc = Encoder(spec)
     return Transducer.build((w.encode(), enc.merge(w).tobytes()) for w in frequent)
 
