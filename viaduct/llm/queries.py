@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viaduct.llm import bpe, embed_dedup, packing, simhash, topk, url_filter, warc
+from viaduct.llm import bpe, embed_dedup, html_extract, langid, packing, simhash, topk, toxicity, url_filter, warc
 from viaduct.llm.common import read_table
 
 
@@ -46,6 +46,27 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, url_filter.rules_table(spark, URL_RULES)).drop("url")
 
 
+def remainder(divisor: int) -> Column:
+    """crc32 of the id's text, modulo ``divisor``; rows without an id count as held out."""
+    return F.crc32(F.col("doc_id").cast("string")) % divisor
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels").where(remainder(5) != 0))
+    return toxicity.score(docs, model).select("doc_id", F.coalesce(remainder(5) == 0, F.lit(True)).alias("held_out"), "score", "predicted")
+
+
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read_table(spark, sf_dir, "pages"))
+
+
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(remainder(4) != 2))
+    return langid.identify(docs, model).select("doc_id", F.coalesce(remainder(4) == 2, F.lit(True)).alias("held_out"), "lang_pred", "score")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(read_table(spark, sf_dir, "pages")).drop("capture")
 
@@ -115,7 +136,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_embed_dedup": op3_embed_dedup,
     "op4_bpe": op4_bpe,
     "op5_url_filter": op5_url_filter,
+    "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,
+    "op8_html": op8_html,
+    "op9_langid": op9_langid,
     "op10_warc": op10_warc,
 }
 
