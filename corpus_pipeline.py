@@ -6,19 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from viaduct.llm import packing
+from viaduct.llm import langid, packing, simhash, toxicity
 from viaduct.llm.common import read_table
-from viaduct.llm.queries import tokenizer_path
+from viaduct.llm.queries import remainder, tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose language is determined: not ``und`` and not ambiguous."""
+    model = langid.fit(docs.where(remainder(4) != 2))
+    return langid.identify(docs, model, keep=True).where("lang_pred <> 'und' AND NOT ambiguous").select(*docs.columns)
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that are not predicted toxic."""
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels").where(remainder(5) != 0))
+    return toxicity.score(docs, model, keep=True).where("predicted = 0").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of near duplicates."""
+    return simhash.keep_first(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of at most 1024 tokens."""
     return packing.pack(docs, tokenizer_path())
 
 
-STAGES: list[tuple[str, Stage]] = [("packing", pack)]
+STAGES: list[tuple[str, Stage]] = [("language_id", language), ("toxicity", toxic), ("simhash_dedup", near_dedup), ("packing", pack)]
 
 #: SQL can express neither the learned stages nor the tokenizer.
 ORACLE_SQL = None
