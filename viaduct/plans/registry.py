@@ -7,9 +7,9 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from viaduct.plans import quality, segments
+from viaduct.plans import quality, schedule, segments
 
-MODULES = (segments, quality)
+MODULES = (segments, quality, schedule)
 
 
 def _in_utc(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
