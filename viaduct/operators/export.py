@@ -30,12 +30,20 @@ def export_rows(scored: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
-def write_export(rows: DataFrame, folder: str, per_file: int = 100_000) -> None:
-    """Hive layout by day and line, files of at most ``per_file`` rows."""
-    rows.repartition("service_date", "line").write.mode("overwrite").partitionBy("service_date", "line").option("maxRecordsPerFile", per_file).option("compression", "gzip").parquet(folder)
+def write_export(rows: DataFrame, folder: str, per_file: int = 100_000, by_line: bool = False) -> None:
+    """Hive layout by day, and by line within it on request; files of at most ``per_file`` rows.
+
+    Days are brought together in one shuffle, so a day is one file until it passes ``per_file``.
+    """
+    layout = ["service_date", *(["line"] if by_line else [])]
+    rows.repartition("service_date").write.mode("overwrite").partitionBy(*layout).option("maxRecordsPerFile", per_file).option("compression", "gzip").parquet(folder)
 
 
 def differences(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows that either side has more often than the other: none after a true round trip."""
-    b = b.select(*a.columns)
-    return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
+    """Rows that either side has more often than the other, and by how many: none after a true round trip.
+
+    One shuffle of both sides together, with partial counts before it.
+    """
+    both = a.withColumn("more", F.lit(1)).unionByName(b.select(*a.columns).withColumn("more", F.lit(-1)))
+    counted = both.groupBy(*a.columns).agg(F.sum("more").alias("more")).where("more <> 0")
+    return counted.withColumn("side", F.when(F.col("more") > 0, "left").otherwise("right")).withColumn("more", F.abs("more"))
