@@ -7,9 +7,9 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from viaduct.plans import quality, schedule, segments
+from viaduct.plans import joins, quality, schedule, segments
 
-MODULES = (segments, quality, schedule)
+MODULES = (segments, quality, schedule, joins)
 
 
 def _in_utc(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
