@@ -223,9 +223,11 @@ SELECT m.id, CAST(t.delay_seconds AS INT) AS other_delay, t.id AS other_id FROM
 LAST = "last AS (SELECT run_id, source, max(ts * 1000000 + id) AS k FROM obs {where} GROUP BY ALL), lat AS (SELECT o.* FROM obs o JOIN last l ON o.run_id = l.run_id AND o.source = l.source AND o.ts * 1000000 + o.id = l.k)"
 MOVES = "mv AS (SELECT lag(location_id) OVER (PARTITION BY run_id, source ORDER BY ts, id) AS from_id, location_id AS to_id FROM obs WHERE location_id IS NOT NULL), ed AS (SELECT from_id, to_id, count(*) AS n FROM mv WHERE from_id <> to_id GROUP BY ALL)"
 
+CONNECTIONS = "SELECT a.stop_id, a.run_id AS a_run, b.run_id AS b_run, CAST((b.sched_dep_epoch - a.sched_arr_epoch) // 1000 AS BIGINT) AS slack_sec, a.actual_arr_epoch <= b.actual_dep_epoch - 120000 AS made FROM se a JOIN se b ON a.stop_id = b.stop_id AND a.run_id <> b.run_id AND b.sched_dep_epoch - a.sched_arr_epoch BETWEEN 300000 AND 1800000"
+
 ORACLE_SQL = {
     "j06_scored_runs": oracle("se ends runs pred scored", "SELECT route_id, model_version, count(*) AS n, round(avg(abs(our_error_sec)), 4) AS mae FROM scored JOIN runs USING (run_id) GROUP BY ALL"),
-    "j09_connection_pairs": oracle("se", "SELECT a.stop_id, a.run_id AS a_run, b.run_id AS b_run, CAST((b.sched_dep_epoch - a.sched_arr_epoch) // 1000 AS BIGINT) AS slack_sec, a.actual_arr_epoch <= b.actual_dep_epoch - 120000 AS made FROM se a JOIN se b ON a.stop_id = b.stop_id AND a.run_id <> b.run_id AND b.sched_dep_epoch - a.sched_arr_epoch BETWEEN 300000 AND 1800000"),
+    "j09_connection_pairs": oracle("se", CONNECTIONS),
     "j10_asof_tolerance": oracle("obs", f"WITH {MINE}, {ASOF.format(within='AND x.ts - x.at <= 3600000')}"),
     "j11_asof_latest": oracle("obs", f"WITH {MINE}, {ASOF.format(within='')}"),
     "j12_train_history": oracle("se ends runs", """WITH l AS (SELECT r.run_id, r.train_number, r.sched_arr_epoch, arg_max_null(e.arr_delay_sec, e.stop_sequence) AS delay FROM se e JOIN runs r ON e.run_id = r.run_id AND e.stop_id = r.destination_stop_id GROUP BY ALL HAVING delay IS NOT NULL),

@@ -9,7 +9,7 @@ from viaduct.operators import segments as sg
 from viaduct.sources import bindings as b
 from viaduct.sources.bindings import oracle
 
-#: An instant within the data, in place of the reference's wall clock.
+#: An instant within the data, in place of a wall clock.
 AS_OF = 820_454_400_000  # 1996-01-01
 
 
