@@ -7,9 +7,9 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from viaduct.plans import joins, quality, schedule, segments, serving
+from viaduct.plans import joins, models, quality, schedule, segments, serving
 
-MODULES = (segments, quality, schedule, joins, serving)
+MODULES = (segments, quality, schedule, joins, serving, models)
 
 
 def _in_utc(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
