@@ -161,7 +161,7 @@ SELECT run_id, segments, round(cov, 6) AS coverage, weight, CAST(floor(p50 - CAS
     "m09_residual": oracle("se ends pred scored", f"""WITH {FEATS}, c AS (SELECT prediction_id, our_p50, our_p50 + (20 + 30 * CAST("ourDelay" AS DOUBLE) - 10 * CAST("operatorDelay" AS DOUBLE)) * 1000 AS m, 1000 * CASE WHEN sched_arr_epoch - generated_at <= 300000 THEN 30 WHEN sched_arr_epoch - generated_at <= 1800000 THEN 120 ELSE 240 END AS o FROM ft)
 SELECT prediction_id, CAST(floor(m - o + 0.5) AS BIGINT) AS p10, CAST(floor(m + 0.5) AS BIGINT) AS p50, CAST(floor(m + o + 0.5) AS BIGINT) AS p90, CAST(floor((m - our_p50) / 1000 + 0.5) AS BIGINT) AS correction_sec FROM c"""),
     "m10_connection_gate": oracle("se", f"""WITH r AS (SELECT slack_sec AS s, CAST(made AS INT) AS y FROM ({CONNECTIONS}) WHERE made IS NOT NULL), k AS (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS rk FROM r),
-n AS (SELECT round((sum(rk) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0) / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0)), 6) AS auc, count(*) FILTER (y = 1) AS positives, count(*) FILTER (y = 0) AS negatives FROM k) SELECT *, coalesce(auc >= 0.8, false) AS deploy FROM n"""),
+n AS (SELECT round((sum(rk) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0) / nullif(count(*) FILTER (y = 1) * count(*) FILTER (y = 0), 0), 6) AS auc, count(*) FILTER (y = 1) AS positives, count(*) FILTER (y = 0) AS negatives FROM k) SELECT *, coalesce(auc >= 0.8, false) AS deploy FROM n"""),
     "m11_platform_gate": oracle("se ends runs", """WITH e AS (SELECT se.run_id, stop_id, route_id, platform_actual FROM se JOIN runs USING (run_id)), n AS (SELECT stop_id, route_id, platform_actual, count(*) AS n FROM e WHERE run_id % 2 = 0 GROUP BY ALL),
 u AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY stop_id, route_id ORDER BY n DESC, platform_actual) = 1), g AS (SELECT count(*) AS n, round(avg(CASE WHEN u.platform_actual = e.platform_actual THEN 1 ELSE 0 END), 6) AS top1 FROM e JOIN u USING (stop_id, route_id) WHERE run_id % 2 = 1) SELECT *, coalesce(top1 >= 0.85, false) AS deploy FROM g"""),
     "src06_mia": oracle("se ends runs", """WITH w AS (SELECT se.run_id, stop_sequence, stop_id, arr_delay_sec, se.sched_arr_epoch AS ref, epoch_us(timezone('Europe/Rome', CAST(service_date AS TIMESTAMP) + to_seconds(hour(timezone('Europe/Rome', make_timestamptz(se.sched_arr_epoch * 1000))) * 3600 + minute(timezone('Europe/Rome', make_timestamptz(se.sched_arr_epoch * 1000))) * 60))) // 1000 AS t FROM se JOIN runs USING (run_id))
