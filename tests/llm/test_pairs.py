@@ -78,6 +78,24 @@ def test_small_blocks_keep_recall_and_dense_groups(spark):
     assert sum(got.values()) >= 0.95 * want.sum()
 
 
+def test_recall_holds_within_a_hot_topic(spark):
+    rng = np.random.default_rng(11)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    spread, topic = unit(rng.standard_normal((4000, 64))), unit(rng.standard_normal(64))
+    own = unit(rng.standard_normal((2000, 64)))
+    far = unit(rng.standard_normal((1000, 64)))
+    mate = rng.uniform(0.52, 0.64, (1000, 1))  # cosine of a pair's own parts: 0.90 to 0.93 with the topic
+    own[1000:] = mate * own[:1000] + np.sqrt(1 - mate**2) * unit(far - (far * own[:1000]).sum(1, keepdims=True) * own[:1000])
+    x = np.concatenate([spread, unit(np.sqrt(0.8) * topic + np.sqrt(0.2) * own)])
+    hit = x @ x.T >= 0.9
+    np.fill_diagonal(hit, False)
+    df = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embed_dedup.near_duplicates(df, block=64).collect()}
+    want = hit.sum(1)
+    assert all(got[k] <= want[k] for k in got)
+    assert sum(got.values()) >= 0.99 * want.sum() > 0
+
+
 def _roots(links):
     root = {}
     for k in sorted(links):

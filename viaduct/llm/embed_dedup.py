@@ -24,13 +24,18 @@ def usable(vector: Column) -> Column:
     return F.coalesce((F.size(vector) > 0) & ~bad & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def bits_for(rows: int, block: int) -> int:
+    """Leading bits after which evenly spread keys leave at most a block of vectors together."""
+    return min(KEY_BITS, max(0, math.ceil(math.log2(max(rows, 1) / block))))
+
+
 def passes_for(rows: int, block: int, least: float, recall: float = 0.995) -> int:
     """Passes that find a pair at cosine ``least`` with the wanted probability.
 
-    A pass finds a pair if its keys agree on the leading bits that tell blocks apart; a random
-    hyperplane puts both on one side with probability 1 - angle / pi.
+    A pass compares all vectors that agree on the leading :func:`bits_for` bits, however many they
+    are; a random hyperplane puts a pair on one side with probability 1 - angle / pi.
     """
-    bits = max(0.0, math.log2(max(rows, 1) / block))
+    bits = bits_for(rows, block)
     hit = (1 - math.acos(max(-1.0, min(1.0, least))) / math.pi) ** bits
     return 1 if hit >= recall else math.ceil(math.log(1 - recall) / math.log(1 - hit))
 
@@ -67,11 +72,11 @@ def _keys(vectors: DataFrame, passes: int, seed: int) -> DataFrame:
     return vectors.select("id", "v").mapInArrow(run, "pass long, dim long, key long, id long")
 
 
-def _ranked(keys: DataFrame, block: int) -> DataFrame:
-    """(pass, id, block): blocks of ``block`` neighbours in the order of (pass, dim, key, id)."""
+def _ranked(keys: DataFrame, block: int, bits: int) -> DataFrame:
+    """(pass, id, dim, prefix, block, slot): blocks of ``block`` neighbours in the order of (pass, dim, key, id); prefix is the key's leading bits."""
     n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ("pass", "dim", "key", "id")
-    placed = cut_lineage(keys.repartitionByRange(n, *order).sortWithinPartitions(*order).select("pass", "id"))
+    placed = cut_lineage(keys.repartitionByRange(n, *order).sortWithinPartitions(*order).select("pass", "id", "dim", F.shiftright("key", KEY_BITS - bits).alias("prefix")))
     sizes = dict(placed.groupBy(F.spark_partition_id().alias("p")).count().collect())  # a number for each partition
     before, total = {}, 0
     for p in sorted(sizes):
@@ -82,9 +87,15 @@ def _ranked(keys: DataFrame, block: int) -> DataFrame:
         for batch in batches:
             rank = np.arange(at, at + batch.num_rows)
             at += batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rank // block), pa.array(rank % block)], ["pass", "id", "block", "slot"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rank // block), pa.array(rank % block)], ["pass", "id", "dim", "prefix", "block", "slot"])
+
+    return placed.mapInArrow(run, "pass long, id long, dim long, prefix long, block long, slot long")
 
-    return placed.mapInArrow(run, "pass long, id long, block long, slot long")
+
+def _spans(ranked: DataFrame) -> DataFrame:
+    """(block, first, last) of runs of blocks that vectors of one prefix cross."""
+    runs = ranked.groupBy("pass", "dim", "prefix").agg(F.min("block").alias("first"), F.max("block").alias("last")).where("last > first")
+    return runs.select("first", "last", F.explode(F.sequence("first", "last")).alias("block"))
 
 
 def _chains(ranked: DataFrame, vectors: DataFrame, block: int, least: float) -> DataFrame:
@@ -113,7 +124,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """Links of cosine at least ``least`` found in any pass: id_col, n_links, component_id, kept.
 
     In each pass vectors are ordered by concatenated random sign hashes and compared with all of
-    their own and the next block of neighbours, further where a dense group runs on.  A pair counts
+    their own and the next block of neighbours, further where a dense group or the vectors that agree
+    on the leading bits run on.  A pair counts
     in the first pass that compares it, so passes need no list of pairs.  Equal vectors are compared
     as one and counted as many.
 
@@ -126,8 +138,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     classes = cut_lineage(rows.where("v is not null").groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("m")))
     n = classes.count()
     passes = passes or passes_for(n, block, least)
-    ranked = cut_lineage(_ranked(_keys(classes, passes, seed), block))
-    chains = cut_lineage(_chains(ranked, classes, block, least))
+    ranked = cut_lineage(_ranked(_keys(classes, passes, seed), block, bits_for(n, block)))
+    chains = _chains(ranked, classes, block, least).select("block", "first", "last").unionByName(_spans(ranked))
+    chains = cut_lineage(chains.groupBy("block").agg(F.min("first").alias("first"), F.max("last").alias("last")))
     reach = ranked.select("pass", "id", "block").join(chains, "block", "left")
     reach = reach.select("id", F.struct("pass", "block", F.coalesce(F.least("first", F.col("block") - 1), F.col("block") - 1).alias("lo"), F.coalesce(F.greatest("last", F.col("block") + 1), F.col("block") + 1).alias("hi")).alias("at"))
     placed = reach.groupBy("id").agg(F.array_sort(F.collect_list("at")).alias("at"))  # as many as there are passes
