@@ -78,6 +78,13 @@ def test_small_blocks_keep_recall_and_dense_groups(spark):
     assert sum(got.values()) >= 0.95 * want.sum()
 
 
+def test_different_vectors_under_one_id_share_its_links(spark):
+    held = [(1, [1.0, 0.0, 0.0]), (2, [1.0, 0.0, 0.0]), (5, [1.0, 0.1, 0.0]), (5, [0.0, 0.1, 1.0]), (7, [0.0, 0.0, 1.0]), (8, [0.0, 1.0, 0.0])]
+    df = spark.createDataFrame(held, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in embed_dedup.near_duplicates(df, passes=3).collect())
+    assert got == [(1, 2, 1, True), (2, 2, 1, False), (5, 3, 1, False), (5, 3, 1, False), (7, 1, 1, False), (8, 0, 8, True)]
+
+
 def test_recall_holds_within_a_hot_topic(spark):
     rng = np.random.default_rng(11)
     unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)

@@ -132,10 +132,14 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing;
     vectors of different lengths do not link; a row with a null id links with nothing and has a null
     component; repeated rows are vectors of their own (equal, so linked), and different vectors under one id share
-    its links; an empty table gives no rows; other columns are ignored.
+    its links: their numbers are added and their components joined; an empty table gives no rows; other columns are ignored.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(F.col(id_col).isNotNull() & usable(F.col(vector_col)), F.col(vector_col)).alias("v"))
-    classes = cut_lineage(rows.where("v is not null").groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("m")))
+    # From here to the end a distinct vector goes by a number of its own, as several may have one id.
+    classes = rows.where("v is not null").groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("m"))
+    classes = cut_lineage(classes.withColumn("id", F.monotonically_increasing_id()))
+    named = rows.where("v is not null").withColumnRenamed("id", "name").join(classes.select("v", "id"), "v")
+    named = cut_lineage(named.groupBy("name", "id").agg(F.count("*").alias("copies")))
     n = classes.count()
     passes = passes or passes_for(n, block, least)
     ranked = cut_lineage(_ranked(_keys(classes, passes, seed), block, bits_for(n, block)))
@@ -157,10 +161,14 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     found = cut_lineage(dealt.groupBy("left", "right").applyInArrow(run, "id long, links long, root long"))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    roots = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    shared = named.groupBy("name").agg(F.min("id").alias("b"), F.max("id").alias("last")).where("b < last").drop("last").join(named, "name")
+    edges = found.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(shared.select(F.col("id").alias("a"), "b"))
+    roots = connected_components(edges)
     facts = classes.join(links, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
-    facts = facts.select("v", F.col("id").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
-    out = rows.where("v is not null").join(facts, "v").select("id", "n_links", "component_id")
+    facts = cut_lineage(facts.select("id", "least", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("root", "id").alias("root")))
+    smallest = facts.groupBy("root").agg(F.min("least").alias("component_id"))
+    by_name = named.join(facts.join(smallest, "root").select("id", "n_links", "component_id"), "id").groupBy("name").agg(F.sum("n_links").alias("n_links"), F.min("component_id").alias("component_id"), F.sum("copies").alias("copies"))
+    out = by_name.select(F.col("name").alias("id"), "n_links", "component_id", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("col")
     out = out.unionByName(rows.where("v is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
