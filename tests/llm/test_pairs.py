@@ -146,6 +146,16 @@ def test_simhash_equals_brute_force(spark):
     assert simhash.near_duplicates(df.limit(0)).isEmpty()
 
 
+def test_keep_first_leaves_one_of_each_component_with_null_and_repeated_ids(spark):
+    rng = random.Random(4)
+    text = [" ".join(str(rng.randrange(1000)) for _ in range(40)) for _ in range(6)]
+    held = [(None, text[0]), (None, text[0]), (None, text[1]), (None, text[2]), (3, text[2]), (4, text[3]), (4, text[4]), (4, text[4]), (9, text[4]), (1, text[5]), (2, text[5]), (None, None), (None, "")]
+    for kind in ("long", "string"):
+        df = spark.createDataFrame([(None if k is None else str(k) if kind == "string" else k, t) for k, t in held], f"doc_id {kind}, text string")
+        got = sorted((str(r.doc_id), r.text or "") for r in simhash.keep_first(df).collect())
+        assert got == sorted([("None", text[0]), ("None", text[1]), ("3", text[2]), ("4", text[3]), ("4", text[4]), ("1", text[5]), ("None", "")])
+
+
 @pytest.mark.parametrize("blocks", [4, 6])
 def test_bit_slices_lose_no_pair_and_split_hot_keys(spark, monkeypatch, blocks):
     rng = np.random.default_rng(3)

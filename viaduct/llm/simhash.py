@@ -247,12 +247,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(labels, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one document of each near-duplicate component: that with the smallest id.
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one document of each near-duplicate component: that with the smallest id, nulls last.
 
-    Of repeated rows with that id one stays, whichever comes first.  Rows with a null id stay only
-    where their component has no id, one for each fingerprint text.
+    A document is an id and a text, so null and repeated ids lose none: of several texts under the
+    smallest id one of that component stays, and of rows equal in both whichever comes first.
     """
-    found = near_duplicates(docs, id_col, **options)
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates([id_col])
+    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)  # null and empty have one fingerprint
+    keyed = docs.select(F.struct(F.col(id_col).isNull().alias("missing"), F.col(id_col).alias("id"), digest.alias("digest")).alias("doc"), F.col(text_col).alias("text"))
+    found = near_duplicates(keyed, "doc", "text", **options)
+    kept = found.where(F.col("doc") == F.col("component_id")).select(F.col("doc.id").alias("kept_id"), F.col("doc.digest").alias("kept_digest")).distinct()
+    name = "digest"
+    while name in map(str.lower, docs.columns):
+        name += "_"
+    marked = docs.withColumn(name, digest)
+    own = marked[id_col].eqNullSafe(kept["kept_id"]) & (marked[name] == kept["kept_digest"])
+    return marked.join(kept, own, "left_semi").dropDuplicates([id_col, name]).drop(name)
