@@ -1,9 +1,12 @@
 """Learned models against numpy, file sources against small files."""
 
+import inspect
+
 import numpy as np
 import pytest
 
 from viaduct.operators import models as md
+from viaduct.plans.models import QUERIES
 from viaduct.sources import providers as pv
 
 
@@ -70,3 +73,9 @@ def test_payload_edges(spark):
     assert [tuple(r) for r in pv.vt_stops(raw).collect()] == [("9", 0, "S1", 1_500_000_000_000, None, None)]
     lines = spark.createDataFrame([("A|12-S1-1500000000000",), ("no bar",), ("B|1-2",), (None,)], "line string")
     assert [tuple(r) for r in pv.autocomplete(lines).collect()] == [("A", "12", "S1", 1_500_000_000_000)]
+
+
+def test_registered_fits_run_to_their_end():
+    of = lambda f, name: inspect.signature(f).parameters[name].default
+    assert of(QUERIES["m05_pinball"], "epochs") == of(md.pinball, "epochs") == 500
+    assert of(QUERIES["m06_boosted_gate"], "trees") == of(md.boosted, "trees") == 150

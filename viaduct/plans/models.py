@@ -52,7 +52,7 @@ def ridge(s, d):
     return s.createDataFrame([(c, round(v, 4)) for c, v in weights.items()], "feature string, weight double")
 
 
-def pinball(s, d, epochs=25):
+def pinball(s, d, epochs=500):
     rows = training(s, d).select("residual", *USED[:4]).persist()
     weights = md.pinball(rows, USED[:4], "residual", 0.9, epochs)
     rows.unpersist()
@@ -69,7 +69,7 @@ def ridge_gate(s, d):
     return md.gate(judged, "residual", "left", F.abs("left") <= F.greatest(F.col("band"), F.lit(30.0)))
 
 
-def boosted_gate(s, d, trees=20):
+def boosted_gate(s, d, trees=150):
     learn, judge = split(training(s, d))
     judged = md.boosted(learn, USED[1:], "residual", trees)(judge).withColumn("left", F.col("residual") - F.col("predicted"))
     return md.gate(judged, "residual", "left", F.abs("left") <= 300)
