@@ -23,3 +23,7 @@ def test_entry(spark):
 
 def test_round_trip_differs_nowhere(spark):
     assert QUERIES["snk07_round_trip"](spark, SMALL).isEmpty()
+
+
+def test_whole_second_sides(spark):
+    assert QUERIES["s03_union_networks_whole"](spark, SMALL).where("network = 'metro'").count() == spark.read.parquet(f"{SMALL}/customer.parquet").count()

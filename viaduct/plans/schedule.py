@@ -80,6 +80,7 @@ QUERIES = {
     "src18_holidays": lambda s, d: sc.holidays(s.range(1990, 2060).select(F.col("id").alias("year"))).select(F.date_format("date", "yyyy-MM-dd").alias("date"), "name"),
     "p05_stop_search": lambda s, d: b.stops(s, d).where(F.col("stop_name").ilike("%r#0000000%1%")).orderBy("stop_name").limit(20).select("stop_id", "stop_name"),
     "p06_null_safe_match": lambda s, d: b.runs(s, d).alias("a").join(b.runs(s, d).where("run_id % 3 = 0").alias("x"), F.expr("a.gtfs_trip_id <=> x.gtfs_trip_id AND a.run_id = x.run_id")).select("a.run_id", "a.gtfs_trip_id"),
+    "p06_null_safe_match_whole": lambda s, d: b.runs(s, d).alias("a").join(b.runs(s, d).select("run_id", F.when(F.col("run_id") % 4 != 0, F.col("gtfs_trip_id")).alias("gtfs_trip_id")).alias("x"), F.expr("a.gtfs_trip_id <=> x.gtfs_trip_id AND a.run_id = x.run_id")).select("a.run_id", "a.gtfs_trip_id"),
     "p08_platform_sanity": lambda s, d: b.stop_events(s, d).select("run_id", "stop_sequence", F.concat("platform_actual", F.when(F.col("run_id") % 3 == 0, "bis").otherwise("")).alias("p")).select("run_id", "stop_sequence", F.when(F.col("p").try_cast("int").between(1, 30), F.col("p")).alias("platform")),
     "p09_bare_train_number": lambda s, d: b.gtfs_trips(s, d).select("trip_id", sem.bare_train_number(F.col("trip_short_name")).alias("train_number")),
     "p16_poll_interval": lambda s, d: b.runs(s, d).select("run_id", F.when(F.col("sched_arr_epoch") < AS_OF - 900000, None).when(F.col("sched_dep_epoch") > AS_OF + 3_600_000, 300).when(F.col("sched_dep_epoch") > AS_OF, 120).when(F.col("sched_arr_epoch") - AS_OF < 600000, 25).otherwise(60).cast("int").alias("interval_sec")),
@@ -104,7 +105,9 @@ QUERIES = {
     "p01_features": features,
     "w21_newest_n": lambda s, d: up.last_version(b.observations(s, d), ["source", "location_id"], F.desc("ts"), F.desc("id")).orderBy(F.desc("ts"), F.desc("id")).limit(20).select("id", "ts"),
     "s01_union_keys": lambda s, d: b.stop_events(s, d).where("run_id % 5 = 0").select("stop_id").union(b.stops(s, d).select("stop_id")).distinct(),
+    "s01_union_keys_whole": lambda s, d: b.stop_events(s, d).select("stop_id").union(b.stops(s, d).select("stop_id")).distinct(),
     "s03_union_networks": lambda s, d: b.stops(s, d).select("stop_id", "stop_name", F.lit("rail").alias("network")).unionByName(b.table(s, d, "customer").where("c_custkey <= 50").select(F.concat(F.lit("A"), F.col("c_custkey").cast("string")).alias("stop_id"), F.col("c_name").alias("stop_name"), F.lit("metro").alias("network"))),
+    "s03_union_networks_whole": lambda s, d: b.stops(s, d).select("stop_id", "stop_name", F.lit("rail").alias("network")).unionByName(b.table(s, d, "customer").select(F.concat(F.lit("A"), F.col("c_custkey").cast("string")).alias("stop_id"), F.col("c_name").alias("stop_name"), F.lit("metro").alias("network"))),
     "s05_unmapped_stops": lambda s, d: b.stop_events(s, d).join(b.stops(s, d), "stop_id", "left_anti").select("stop_id").distinct(),
     "s06_distinct_pairs": lambda s, d: b.stop_events(s, d).select("stop_id", "platform_actual").dropDuplicates(),
     "fn_rome_time": lambda s, d: instants(s, d).select("k", sem.rome_ymd(F.col("epoch_ms")).alias("ymd"), sem.rome_hms(F.col("epoch_ms")).alias("hms"), sem.is_peak(sem.rome_hour(F.col("epoch_ms"))).alias("peak")),
@@ -146,6 +149,7 @@ ORACLE_SQL = {
       UNION ALL SELECT strftime(d, '%Y-%m-%d'), 'Pasqua' FROM e UNION ALL SELECT strftime(d + 1, '%Y-%m-%d'), 'Pasquetta' FROM e""",
     "p05_stop_search": oracle("stops", "SELECT stop_id, stop_name FROM stops WHERE stop_name ILIKE '%r#0000000%1%' ORDER BY stop_name LIMIT 20"),
     "p06_null_safe_match": oracle("se ends runs", "SELECT run_id, gtfs_trip_id FROM runs WHERE run_id % 3 = 0"),
+    "p06_null_safe_match_whole": oracle("se ends runs", "SELECT a.run_id, a.gtfs_trip_id FROM runs a JOIN runs x ON a.run_id = x.run_id AND a.gtfs_trip_id IS NOT DISTINCT FROM CASE WHEN x.run_id % 4 <> 0 THEN x.gtfs_trip_id END"),
     "p08_platform_sanity": oracle("se", "WITH p AS (SELECT run_id, stop_sequence, platform_actual || CASE WHEN run_id % 3 = 0 THEN 'bis' ELSE '' END AS p FROM se) SELECT run_id, stop_sequence, CASE WHEN TRY_CAST(p AS INT) BETWEEN 1 AND 30 THEN p END AS platform FROM p"),
     "p09_bare_train_number": oracle("trips", f"SELECT trip_id, {NUM} AS train_number FROM trips"),
     "p16_poll_interval": oracle("se ends runs", f"SELECT run_id, CAST(CASE WHEN sched_arr_epoch < {AS_OF - 900000} THEN NULL WHEN sched_dep_epoch > {AS_OF + 3600000} THEN 300 WHEN sched_dep_epoch > {AS_OF} THEN 120 WHEN sched_arr_epoch - {AS_OF} < 600000 THEN 25 ELSE 60 END AS INT) AS interval_sec FROM runs"),
@@ -169,7 +173,9 @@ ORACLE_SQL = {
     "p01_features": "SELECT event_id, CAST(floor(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) + 0.5) AS BIGINT) AS k, CAST(0.0 AS DOUBLE) AS nope FROM events",
     "w21_newest_n": oracle("obs", "WITH k AS (SELECT id, ts FROM obs QUALIFY row_number() OVER (PARTITION BY source, location_id ORDER BY ts DESC, id DESC) = 1) SELECT id, ts FROM k ORDER BY ts DESC, id DESC LIMIT 20"),
     "s01_union_keys": oracle("se stops", "SELECT stop_id FROM se WHERE run_id % 5 = 0 UNION SELECT stop_id FROM stops"),
+    "s01_union_keys_whole": oracle("se stops", "SELECT stop_id FROM se UNION SELECT stop_id FROM stops"),
     "s03_union_networks": oracle("stops", "SELECT stop_id, stop_name, 'rail' AS network FROM stops UNION ALL SELECT 'A' || c_custkey, c_name, 'metro' FROM customer WHERE c_custkey <= 50"),
+    "s03_union_networks_whole": oracle("stops", "SELECT stop_id, stop_name, 'rail' AS network FROM stops UNION ALL SELECT 'A' || c_custkey, c_name, 'metro' FROM customer"),
     "s05_unmapped_stops": oracle("se stops", "SELECT DISTINCT stop_id FROM se WHERE stop_id NOT IN (SELECT stop_id FROM stops)"),
     "s06_distinct_pairs": oracle("se", "SELECT DISTINCT stop_id, platform_actual FROM se"),
     "fn_rome_time": """WITH i AS (SELECT epoch_us(o_orderdate) // 1000 + (o_orderkey % 1440) * 60000 AS e, o_orderkey AS k FROM orders UNION ALL SELECT 1711843200000 + i * 900000, -i - 1 FROM range(96) t(i) UNION ALL SELECT 1729980000000 + i * 900000, -i - 1001 FROM range(96) t(i)),
