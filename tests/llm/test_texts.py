@@ -204,3 +204,9 @@ def test_empty_corpus(spark, tmp_path):
     for t in ("documents", "labels"):
         spark.read.parquet(f"{MEDIUM}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).isEmpty()
+
+
+def test_toxicity_sample_ignores_columns_named_like_its_own(spark):
+    docs = spark.createDataFrame([(1, "one bad text", 7, 8, 9), (2, "two fine texts", 7, 8, 9)], "doc_id long, text string, y int, picked int, doc int")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    assert sorted((r.text, r.y) for r in toxicity.sample_rows(docs, labels).collect()) == [("one bad text", 1), ("two fine texts", 0)]

@@ -118,7 +118,8 @@ def sample_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     order = F.xxhash64(F.col(id_col))
     picked = one.where("y = 1").orderBy(order, id_col).limit(toxic_rows).unionByName(one.where("y = 0").orderBy(order, id_col).limit(clean_rows))
     picked = F.broadcast(picked.select(F.col(id_col).alias("picked"), "y"))  # at most toxic_rows + clean_rows rows
-    rows = docs.join(picked, docs[id_col] == F.col("picked")).select(F.coalesce(docs[text_col], F.lit("")).alias("text"), "y")
+    texts = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))  # other columns may be named like ours
+    rows = texts.join(picked, F.col("doc") == F.col("picked")).select("text", "y")
     return rows.mapInArrow(_marked, "key long, text string, y int").groupBy("key").agg(F.max_by("text", F.struct("y", "text")).alias("text"), F.max("y").alias("y"))
 
 
