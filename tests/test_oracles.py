@@ -27,3 +27,9 @@ def test_round_trip_differs_nowhere(spark):
 
 def test_whole_second_sides(spark):
     assert QUERIES["s03_union_networks_whole"](spark, SMALL).where("network = 'metro'").count() == spark.read.parquet(f"{SMALL}/customer.parquet").count()
+
+
+def test_no_name_is_registered_twice():
+    from viaduct.plans.registry import MODULES
+
+    assert len(QUERIES) == sum(len(m.QUERIES) for m in MODULES) and len(ORACLE_SQL) == sum(len(m.ORACLE_SQL) for m in MODULES)

@@ -54,7 +54,7 @@ QUERIES = {
     "a25_conflict_stats": lambda s, d: q.conflict_stats(candidates(s, d), emitted(s, d)),
     "t08_representative_conflicts": representative,
     "j11_asof_delay": asof,
-    "j10_asof_tolerance": lambda s, d: asof_join(b.observations(s, d).where("source = 'gtfsrt'").select("id", "run_id", "ts"), b.observations(s, d).where("source = 'mia' AND delay_seconds IS NOT NULL"), ["run_id"], "ts", "ts", F.col("delay_seconds"), "mia_delay", 86_400_000),
+    "j10_asof_quality": lambda s, d: asof_join(b.observations(s, d).where("source = 'gtfsrt'").select("id", "run_id", "ts"), b.observations(s, d).where("source = 'mia' AND delay_seconds IS NOT NULL"), ["run_id"], "ts", "ts", F.col("delay_seconds"), "mia_delay", 86_400_000),
 }
 
 OTHERS = " OR ".join(f"(source <> '{s}' AND ts - t{k} <= 90000 AND abs(delay_seconds - d{k}) > 300)" for k, s in enumerate(SOURCES))
@@ -102,5 +102,5 @@ ORACLE_SQL = {
     "a25_conflict_stats": recursive(oracle("obs", f"WITH {CAND}, {EMIT} SELECT count(*) AS candidates, count(DISTINCT run_id) AS runs, {fi('spread_sec', 0.5)} AS p50_spread, {fi('spread_sec', 0.9)} AS p90_spread, (SELECT count(*) FROM emit) AS emitted FROM cand")),
     "t08_representative_conflicts": oracle("obs", f"WITH {CAND} (SELECT 'typical' AS kind, run_id, ts, spread_sec FROM cand ORDER BY abs(spread_sec - (SELECT quantile_cont(spread_sec, 0.5) FROM cand)), ts, id LIMIT 1) UNION ALL (SELECT 'worst', run_id, ts, spread_sec FROM cand ORDER BY spread_sec DESC, ts, id LIMIT 1)"),
     "j11_asof_delay": oracle("obs", "WITH m AS (SELECT * FROM obs WHERE source = 'mia' AND delay_seconds IS NOT NULL), g AS (SELECT * FROM obs WHERE source = 'gtfsrt') SELECT g.id, g.run_id, g.ts, m.delay_seconds AS mia_delay FROM g ASOF LEFT JOIN m ON g.run_id = m.run_id AND g.ts >= m.ts"),
-    "j10_asof_tolerance": oracle("obs", "WITH m AS (SELECT * FROM obs WHERE source = 'mia' AND delay_seconds IS NOT NULL), g AS (SELECT * FROM obs WHERE source = 'gtfsrt') SELECT g.id, g.run_id, g.ts, CASE WHEN m.ts >= g.ts - 86400000 THEN m.delay_seconds END AS mia_delay FROM g ASOF LEFT JOIN m ON g.run_id = m.run_id AND g.ts >= m.ts"),
+    "j10_asof_quality": oracle("obs", "WITH m AS (SELECT * FROM obs WHERE source = 'mia' AND delay_seconds IS NOT NULL), g AS (SELECT * FROM obs WHERE source = 'gtfsrt') SELECT g.id, g.run_id, g.ts, CASE WHEN m.ts >= g.ts - 86400000 THEN m.delay_seconds END AS mia_delay FROM g ASOF LEFT JOIN m ON g.run_id = m.run_id AND g.ts >= m.ts"),
 }
