@@ -210,3 +210,11 @@ def test_toxicity_sample_ignores_columns_named_like_its_own(spark):
     docs = spark.createDataFrame([(1, "one bad text", 7, 8, 9), (2, "two fine texts", 7, 8, 9)], "doc_id long, text string, y int, picked int, doc int")
     labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
     assert sorted((r.text, r.y) for r in toxicity.sample_rows(docs, labels).collect()) == [("one bad text", 1), ("two fine texts", 0)]
+
+
+def test_sequences_closed_by_segments_need_no_padding(spark):
+    tiny = spark.createDataFrame([(k, "a b c d") for k in range(2000)], "doc_id long, text string").coalesce(1)
+    lengths = {}
+    for r in packing.pack(tiny, queries.tokenizer_path()).collect():
+        lengths[r.sequence_id] = lengths.get(r.sequence_id, 0) + r.length
+    assert all(n & (n - 1) == 0 and n <= 1024 for n in lengths.values())

@@ -115,7 +115,7 @@ def pack(
     or absent: none), ``max_loss_tokens`` limits the others in a sequence (default: max_tokens).
 
     Every task packs its own partition as it streams through, so there is no shuffle and memory holds
-    one Arrow batch.  What a partition's end leaves below max_tokens is cut into sequences whose
+    one Arrow batch.  What a partition's end or another limit leaves below max_tokens is cut into sequences whose
     lengths are powers of two, which need no padding.  A sequence id is the partition's number
     times 2**33 plus a counter, so a task that runs again gives the same rows.
 
@@ -156,7 +156,8 @@ def pack(
             for key, packed, p in zip(ids, enc.encode(batch.column(1).to_pylist()), prompts, strict=True):
                 packed += END
                 waiting.append((key, packed, 0, max(p or 0, 0), len(packed) // 4))
-            yield from emit(packer.fill(*_shape(waiting), False), waiting)
+            filled = packer.fill(*_shape(waiting), False)
+            yield from emit((piece for sequence in filled for piece in _powers(sequence, limits[0])), waiting)
             waiting = _rest(waiting, packer.left)
         sequences = []
         if waiting:
