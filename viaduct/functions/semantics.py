@@ -42,6 +42,50 @@ def quantile_list(xs: Column, q: float) -> Column:
     return F.when(F.size(s) > 0, F.element_at(s, F.least(F.size(s) - 1, F.floor(F.size(s) * F.lit(q)).cast("int")) + 1))
 
 
+def running_counts(rows: DataFrame, keys: Sequence[str], value: Column, buckets: int = 256) -> DataFrame:
+    """(keys, v, n, below, total): for each distinct value how many rows have it, a smaller one, any.
+
+    Equal values are summed first; running sums go over the values of one of ``buckets`` ranges and
+    then over the ranges, so no task holds a group's rows, however few groups there are.
+    """
+    tied = rows.select(*keys, value.alias("v")).where("v IS NOT NULL").groupBy(*keys, "v").agg(F.count("*").alias("n"))
+    edges = tied.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    placed = tied.join(edges, same).drop(*[f"_{k}" for k in keys])
+    spread = F.col("hi").cast("double") - F.col("lo").cast("double")
+    at = F.when(spread > 0, F.floor((F.col("v").cast("double") - F.col("lo").cast("double")) / spread * buckets)).otherwise(0)
+    placed = placed.withColumn("_b", F.least(F.lit(buckets - 1), at))
+    inside = Window.partitionBy(*keys, "_b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = placed.groupBy(*keys, "_b").agg(F.sum("n").alias("_m"))
+    over = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # at most ``buckets`` rows of a group
+    ranges = ranges.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_b").alias("__b"), F.coalesce(F.sum("_m").over(over), F.lit(0)).alias("_before"))
+    joined = placed.withColumn("_within", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(ranges, same & (F.col("_b") == F.col("__b")))
+    return joined.select(*keys, "v", "n", (F.col("_before") + F.col("_within")).alias("below"), "total")
+
+
+def floor_indices(rows: DataFrame, keys: Sequence[str], value: Column, shares: dict[str, float]) -> DataFrame:
+    """(keys, a column for each share): :func:`floor_index` of few and large groups."""
+    counts = running_counts(rows, keys, value)
+    at = lambda q: F.least(F.col("total") - 1, F.floor(F.col("total") * F.lit(q)))
+    hit = lambda q: (F.col("below") <= at(q)) & (at(q) < F.col("below") + F.col("n"))
+    return counts.groupBy(*keys).agg(*[F.max(F.when(hit(q), F.col("v"))).alias(name) for name, q in shares.items()])
+
+
+def quantiles_of(rows: DataFrame, keys: Sequence[str], value: Column, shares: dict[str, float]) -> DataFrame:
+    """(keys, a column for each share): :func:`type7` of few and large groups."""
+    counts = running_counts(rows, keys, value.cast("double"))
+
+    def one(q: float) -> Column:
+        h = (F.col("total") - 1) * F.lit(q)
+        at = lambda k: F.max(F.when((F.col("below") <= k) & (k < F.col("below") + F.col("n")), F.col("v")))
+        low, high, part = at(F.floor(h)), at(F.ceil(h)), F.max(h - F.floor(h))
+        return low + part * (high - low)
+
+    return counts.groupBy(*keys).agg(*[one(q).alias(name) for name, q in shares.items()])
+
+
 # ---------------------------------------------------------------- time
 
 
@@ -86,7 +130,13 @@ def hms_to_seconds(text: Column) -> Column:
 
 
 def is_peak(hour: Column) -> Column:
-    return hour.between(7, 9) | hour.between(16, 19)
+    """Whole hours from 7 to before 9 and from 16 to before 19."""
+    return hour.isin(7, 8, 16, 17, 18)
+
+
+def is_rush(hour: Column) -> Column:
+    """Whole hours from 7 to before 9 and from 17 to before 19; an unknown or zero hour counts as noon."""
+    return F.coalesce(hour.isin(7, 8, 17, 18), F.lit(False))
 
 
 # ---------------------------------------------------------------- text

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from viaduct.functions.semantics import floor_index, js_round
+from viaduct.functions.semantics import floor_indices, js_round, running_counts
 from viaduct.operators.segments import error_metrics
 
 
@@ -33,8 +33,7 @@ def benchmark(scored: DataFrame) -> DataFrame:
     inside = ((F.col("actual_arr_epoch") >= F.col("our_p10")) & (F.col("actual_arr_epoch") <= F.col("our_p90"))).cast("int")
     contender = F.explode(F.array(*[F.struct(m.alias("model"), F.col(e).alias("error"), c.alias("inside")) for m, e, c in ((F.lit("schedule"), "schedule_error_sec", F.lit(None).cast("int")), (F.lit("operator"), "operator_error_sec", F.lit(None).cast("int")), (F.col("model_version"), "our_error_sec", inside))]))
     rows = scored.withColumn("horizon", h).where("horizon IS NOT NULL").select("horizon", contender.alias("x")).select("horizon", "x.*")
-    band = rows.groupBy("horizon", "model").agg(F.round(F.avg("inside"), 4).alias("coverage"))
-    return error_metrics(rows, ["horizon", "model"], "error").join(band, ["horizon", "model"])
+    return error_metrics(rows, ["horizon", "model"], "error", F.round(F.avg("inside"), 4).alias("coverage"))
 
 
 def verdict(table: DataFrame, least: int = 30) -> DataFrame:
@@ -46,8 +45,8 @@ def verdict(table: DataFrame, least: int = 30) -> DataFrame:
 def conformal(scored: DataFrame, q: float = 0.9, least: int = 60) -> DataFrame:
     """Half width of the band for each horizon bucket."""
     rows = scored.withColumn("bucket", backtest_horizon((F.col("sched_arr_epoch") - F.col("generated_at")) / 1000))
-    width = floor_index(F.abs("our_error_sec"), q)
-    return rows.groupBy("bucket").agg(F.greatest(F.lit(least).cast("long"), width).alias("offset_sec"), F.count("*").alias("n"))
+    width = floor_indices(rows, ["bucket"], F.abs("our_error_sec"), {"width": q})
+    return rows.groupBy("bucket").agg(F.count("*").alias("n")).join(width, "bucket", "left").select("bucket", F.greatest(F.lit(least).cast("long"), "width").alias("offset_sec"), "n")
 
 
 def target_encoding(rows: DataFrame, key: str, target: str, shrink: int = 20) -> DataFrame:
@@ -74,10 +73,20 @@ def auc(rows: DataFrame, score: str, label: str, buckets: int = 256) -> DataFram
 
 
 def time_split(rows: DataFrame, order: list[str], share: float = 0.8) -> DataFrame:
-    """Marks the earliest ``share`` of the rows as training rows, by the quantile of their instant."""
-    at = F.col(order[0])
-    edge = rows.agg(F.percentile(at.cast("double"), F.lit(share)).alias("edge"))
-    return rows.crossJoin(F.broadcast(edge)).withColumn("is_train", at <= F.col("edge")).drop("edge")
+    """Marks the earliest ``share`` of the rows, counted in the total order of ``order``, as training rows.
+
+    Rows of the instant at which the share is reached are told apart by the other columns of the order;
+    that instant alone is sorted in one task.
+    """
+    at, rest = order[0], order[1:]
+    counts = running_counts(rows, [], F.col(at))
+    edge = F.floor(F.col("total") * F.lit(share))
+    cut = counts.where((F.col("below") < edge) & (edge <= F.col("below") + F.col("n"))).agg(F.max("v").alias("_edge"), F.max(edge - F.col("below")).alias("_take"))
+    marked = rows.crossJoin(F.broadcast(cut))  # one row
+    k = F.row_number().over(Window.partitionBy(at).orderBy(*rest)) if rest else F.lit(1)
+    on = marked.where(F.col(at) == F.col("_edge")).withColumn("is_train", k <= F.col("_take"))
+    off = marked.where(F.coalesce(F.col(at) != F.col("_edge"), F.lit(True))).withColumn("is_train", F.coalesce(F.col(at) < F.col("_edge"), F.lit(False)))
+    return off.unionByName(on).drop("_edge", "_take")
 
 
 def prior_check(t: DataFrame, prior: DataFrame) -> DataFrame:

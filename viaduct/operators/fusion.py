@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -27,6 +27,65 @@ def fuse(obs: DataFrame, as_of: int) -> DataFrame:
     return state.select("run_id", "sources", F.col("n.source").alias("source"), F.col("n.delay_seconds").alias("delay_seconds"), F.col("n.location_id").alias("location_id"), "spread_sec", age.alias("age_sec"), confidence(F.col("sources"), age, F.col("spread_sec")).alias("confidence"))
 
 
-def status(cancelled: Column, arrived: Column, departed: Column, sched_dep: Column, sched_arr: Column, as_of: int) -> Column:
-    """CANCELLED, ARRIVED and RUNNING by what was seen, else by the clock."""
-    return F.when(cancelled, "CANCELLED").when(arrived, "ARRIVED").when(departed, "RUNNING").when(sched_dep > as_of, "SCHEDULED").when(sched_arr < as_of, "ARRIVED").otherwise("RUNNING")
+def status(any_cancelled: Column, all_arrived: Column, any_passed: Column, code: Column, sched_dep: Column, as_of: int) -> Column:
+    """State of a run by its stops and the freshest source's own code, then by the clock.
+
+    Cancelled if any stop or the code says so, arrived if all stops are arrived or cancelled, running
+    if any was passed, scheduled by the code; the clock only tells scheduled from running.
+    """
+    is_ = lambda *codes: F.coalesce(code.isin(*codes), F.lit(False))
+    out = F.when(any_cancelled | is_("C", "ST"), "cancelled").when(all_arrived | is_("A"), "arrived").when(any_passed | is_("V"), "running").when(is_("N", "PG"), "scheduled")
+    return out.when(sched_dep > as_of, "scheduled").when(sched_dep.isNotNull(), "running").otherwise("unknown")
+
+
+def stop_facts(events: DataFrame) -> DataFrame:
+    """What a run's stops say: (run_id, any_cancelled, all_arrived, any_passed, previous_stop, next_stop, destination_eta, stops).
+
+    The previous stop is the last one with an actual time; the next is the first one without an
+    actual arrival that is not cancelled and not planned before the previous stop's arrival.
+    """
+    at = F.struct(F.coalesce("stop_sequence", F.lit(-1)).alias("seq"), F.coalesce("sched_arr_epoch", F.lit(-1)).alias("arr"), "stop_id")
+    passed = F.col("actual_arr_epoch").isNotNull() | F.col("actual_dep_epoch").isNotNull()
+    gone = F.coalesce(F.col("cancelled") == 1, F.lit(False))
+    w = Window.partitionBy("run_id")
+    rows = events.withColumn("_at", at).withColumn("_prev", F.max_by("actual_arr_epoch", F.when(passed, F.col("_at"))).over(w))
+    coming = F.col("actual_arr_epoch").isNull() & ~gone & (F.col("sched_arr_epoch").isNull() | (F.col("sched_arr_epoch") >= F.coalesce("_prev", F.lit(0))))
+    return rows.groupBy("run_id").agg(
+        F.bool_or(gone).alias("any_cancelled"), F.bool_and(F.col("actual_arr_epoch").isNotNull() | gone).alias("all_arrived"), F.bool_or(passed).alias("any_passed"),
+        F.max_by("stop_id", F.when(passed, F.col("_at"))).alias("previous_stop"), F.min_by("stop_id", F.when(coming, F.col("_at"))).alias("next_stop"),
+        F.max_by("op_pred_arr_epoch", "_at").alias("destination_eta"), F.max_by("sched_arr_epoch", "_at").alias("last_sched_arr"),
+        F.count_if(passed).alias("passed_stops"), F.count_if(coming).alias("upcoming_stops"), F.transform(F.array_sort(F.collect_list(F.struct("_at", F.struct("stop_id", "stop_sequence", "sched_arr_epoch", "actual_arr_epoch", "arr_delay_sec", "platform_actual", "cancelled").alias("s")))), lambda x: x["s"]).alias("stops"),
+    )
+
+
+def fuse_runs(runs: DataFrame, events: DataFrame, obs: DataFrame, health: DataFrame, as_of: int, agreement_sec: int = 60) -> DataFrame:
+    """One nested state for each run at ``as_of``: status, delay and position with where they come from, stops.
+
+    ``obs`` has run_id, source, ts, id, observed_at, delay_seconds, location_id and status; ``health``
+    has source and level (trust, larger is better).  The delay follows the trust order (level, then
+    freshness; a fresher runner-up within ``agreement_sec`` wins), the position level and freshness.
+    """
+    newest = F.max_by(F.struct("id", "ts", "observed_at", "delay_seconds", "location_id", "status"), F.struct("ts", "id"))
+    latest = obs.where(F.col("ts") <= as_of).groupBy("run_id", "source").agg(newest.alias("o")).select("run_id", "source", "o.*").join(F.broadcast(health), "source", "left")  # a row for each source
+    latest = latest.withColumn("level", F.coalesce("level", F.lit(0))).withColumn("seen", F.coalesce("observed_at", "ts"))
+    told = F.struct("source", "seen", "ts", "delay_seconds", "status", F.floor((F.lit(as_of) - F.col("seen")) / 1000 + 0.5).cast("long").alias("age_sec"))
+    g = latest.groupBy("run_id").agg(
+        F.array_sort(F.collect_list(told)).alias("sources"), F.max_by(F.struct("seen", "status"), F.struct("seen", "source")).alias("fresh"), (F.max("delay_seconds") - F.min("delay_seconds")).alias("range"), F.count("delay_seconds").alias("delays"),
+        F.max_by(F.struct("source", "location_id", "seen"), F.struct("level", "seen", "source")).alias("position"),
+        F.array_sort(F.filter(F.collect_list(F.when(F.col("delay_seconds").isNotNull(), F.struct((-F.col("level")).alias("l"), (-F.col("seen")).alias("t"), "source", F.col("delay_seconds").alias("value")))), lambda x: x.isNotNull())).alias("c"),
+    )
+    first, second = F.get("c", F.lit(0)), F.get("c", F.lit(1))
+    apart = F.abs(first["value"] - second["value"])
+    pick = F.when(F.coalesce((apart <= agreement_sec) & (second["t"] < first["t"]), F.lit(False)), second).otherwise(first)
+    spread = F.when(F.col("delays") >= 2, F.col("range"))
+    j = runs.select("run_id", "train_number", "service_date", "sched_dep_epoch", F.col("sched_arr_epoch").alias("_arr")).join(stop_facts(events), "run_id", "left").join(g, "run_id", "left")
+    age = F.floor((F.lit(as_of) - F.col("fresh.seen")) / 1000 + 0.5).cast("long")
+    no = F.lit(False)
+    quality = F.array_compact(F.array(F.when(spread > 300, "SOURCE_CONFLICT"), F.when(age > 600, "STALE_SOURCE")))
+    sure = confidence(F.coalesce(F.size("sources"), F.lit(0)), F.coalesce(age, F.lit(1 << 40)), spread)
+    return j.select(
+        "run_id", F.concat("train_number", F.lit("@"), "service_date").alias("run_code"), F.coalesce("_arr", "last_sched_arr").alias("sched_arr_epoch"),
+        status(F.coalesce("any_cancelled", no), F.coalesce("all_arrived", no), F.coalesce("any_passed", no), F.col("fresh.status"), F.col("sched_dep_epoch"), as_of).alias("status"),
+        pick["value"].alias("delay_sec"), pick["source"].alias("delay_source"), apart.alias("disagreement_sec"), F.col("position.location_id").alias("location_id"), F.col("position.source").alias("position_source"),
+        spread.alias("spread_sec"), sure.alias("confidence"), F.array_join(quality, ",").alias("quality"), "previous_stop", "next_stop", "destination_eta", "passed_stops", "upcoming_stops", "sources", "stops",
+    )

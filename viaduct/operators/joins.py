@@ -30,15 +30,20 @@ def range_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time
 
     Time is cut into bins as wide as the range, so a left row meets at most three bins and a key
     with many rows is spread over as many tasks as it has bins.  ``how`` is inner or left_semi.
-    Column names other than the keys must differ.
+    Column names other than the keys must differ; repeated rows stay repeated.
     """
     width = max(high - low, 1)
+    if how == "left_semi":  # right rows are dealt out, so a left row is met once however often it occurs
+        l = left.withColumn("_bin", F.floor(F.col(left_time) / width))
+        reach = F.sequence(F.floor((F.col(right_time) - high) / width), F.floor((F.col(right_time) - low) / width))
+        r = right.where(F.col(right_time).isNotNull()).withColumn("_rbin", F.explode(reach)).withColumnsRenamed({k: f"_r_{k}" for k in keys})
+        on = [F.col(k) == F.col(f"_r_{k}") for k in keys] + [F.col("_bin") == F.col("_rbin"), (F.col(right_time) - F.col(left_time)).between(low, high)]
+        return l.join(r, on, how).drop("_bin")
     bins = F.sequence(F.floor((F.col(left_time) + low) / width), F.floor((F.col(left_time) + high) / width))
     l = left.withColumn("_bin", F.explode(bins))
     r = right.withColumn("_rbin", F.floor(F.col(right_time) / width)).withColumnsRenamed({k: f"_r_{k}" for k in keys})
     on = [F.col(k) == F.col(f"_r_{k}") for k in keys] + [F.col("_bin") == F.col("_rbin"), (F.col(right_time) - F.col(left_time)).between(low, high)]
-    out = l.join(r, on, how).drop("_bin", "_rbin", *[f"_r_{k}" for k in keys])
-    return out.distinct() if how == "left_semi" else out
+    return l.join(r, on, how).drop("_bin", "_rbin", *[f"_r_{k}" for k in keys])
 
 
 def nearest_by_name(places: DataFrame, stops: DataFrame, name: str, limit_km: float) -> DataFrame:

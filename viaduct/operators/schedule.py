@@ -87,6 +87,13 @@ def discover(runs: DataFrame, now: int, ahead: int = 5_400_000, grace: int = 900
     return rows.orderBy(F.abs(F.col("sched_dep_epoch") - now), "run_id").limit(cap).select("run_id", "train_number", "sched_dep_epoch", "sched_arr_epoch")
 
 
+def poll_interval(watched: Column, status: Column, dep: Column, arr: Column, now: Column, grace_ms: int = 900_000) -> Column:
+    """Seconds between polls of a run: the nearer its departure the fewer; null once it is over."""
+    over = (now > arr + grace_ms) | F.coalesce(status.isin("arrived", "cancelled"), F.lit(False))
+    ahead = (dep - now) / 60_000
+    return F.when(watched, 25).when(over, None).when(ahead > 60, 300).when(ahead > 30, 120).when(ahead > 10, 60).otherwise(30).cast("int")
+
+
 def holidays(years: DataFrame) -> DataFrame:
     """Public holidays of each ``year``: fixed ones, Easter and the Monday after it."""
     y = F.col("year")
@@ -100,7 +107,8 @@ def holidays(years: DataFrame) -> DataFrame:
     m = idiv(a + 11 * h + 19 * el, 433)
     month = idiv(h + el - 7 * m + 90, 25)
     easter = F.make_date(y.cast("int"), month.cast("int"), ((h + el - 7 * m + 33 * month + 19) % 32).cast("int"))
-    fixed = [(1, 1, "Capodanno"), (1, 6, "Epifania"), (4, 25, "Liberazione"), (5, 1, "Lavoro"), (6, 2, "Repubblica"), (8, 15, "Ferragosto"), (11, 1, "Ognissanti"), (12, 8, "Immacolata"), (12, 25, "Natale"), (12, 26, "Santo Stefano")]
+    # The days and their names.
+    fixed = [(1, 1, "New Year"), (1, 6, "Epiphany"), (4, 25, "Liberation Day"), (5, 1, "Labour Day"), (6, 2, "Republic Day"), (8, 15, "Ferragosto"), (11, 1, "All Saints"), (12, 8, "Immaculate Conception"), (12, 25, "Christmas"), (12, 26, "St Stephen")]
     days = [F.struct(F.make_date(y.cast("int"), F.lit(mm), F.lit(dd)).alias("date"), F.lit(name).alias("name")) for mm, dd, name in fixed]
-    days += [F.struct(easter.alias("date"), F.lit("Pasqua").alias("name")), F.struct(F.date_add(easter, 1).alias("date"), F.lit("Pasquetta").alias("name"))]
+    days += [F.struct(easter.alias("date"), F.lit("Easter").alias("name")), F.struct(F.date_add(easter, 1).alias("date"), F.lit("Easter Monday").alias("name"))]
     return years.select(F.explode(F.array(*days)).alias("d")).select("d.date", "d.name")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from viaduct.functions.semantics import floor_index, is_peak, latest_per, rome_hour, type7, upper_median
+from viaduct.functions.semantics import floor_indices, is_peak, latest_per, rome_hour, type7, upper_median
 
 
 def traversals(events: DataFrame) -> DataFrame:
@@ -35,6 +35,11 @@ def bucketed(t: DataFrame, at: str = "entered_at") -> DataFrame:
     return t.withColumn("bucket", F.explode(F.array(F.lit("all"), own)))
 
 
+def look_back(t: DataFrame, as_of: int, days: int = 90, at: str = "entered_at") -> DataFrame:
+    """Traversals of the last ``days`` up to an instant, which statistics are refreshed from."""
+    return t.where((F.col(at) >= as_of - days * 86_400_000) & (F.col(at) <= as_of))
+
+
 def segment_stats(t: DataFrame, least: int = 5) -> DataFrame:
     """Exact quantiles of runtime and delay change for each segment and bucket."""
     q = lambda c, p: F.round(type7(F.col(c), p), 6)
@@ -45,9 +50,32 @@ def segment_stats(t: DataFrame, least: int = 5) -> DataFrame:
     return stats.where(F.col("n") >= least)
 
 
-def segment_priors(t: DataFrame, scheduled: int = 600) -> DataFrame:
-    """As :func:`segment_stats` with the median excess over the timetable, for imported history."""
-    return bucketed(t).groupBy("segment_id", "bucket").agg(F.count("*").alias("n"), F.round(type7(F.col("runtime_sec"), 0.5), 6).alias("p50_runtime"), F.round(type7(F.col("runtime_sec"), 0.9), 6).alias("p90_runtime"), F.round(type7(F.col("runtime_sec") - scheduled, 0.5), 6).alias("p50_excess"))
+def historical_pairs(events: DataFrame, dwells: DataFrame) -> DataFrame:
+    """Pairs of consecutive stops of imported runs, arrival to arrival.
+
+    Stops without a planned and an actual time are passed over.  A pair counts if the timetable gives
+    it up to an hour, it took up to two and at least a quarter of the plan (30 s at least), and the
+    delays at both ends lie between -15 minutes and four hours.  The scheduled dwell at the first stop
+    is taken off the runtime.
+    """
+    known = events.where("stop_id IS NOT NULL AND sched_arr_epoch > 0 AND actual_arr_epoch > 0")
+    w = Window.partitionBy("run_id").orderBy("stop_sequence", "sched_arr_epoch", "stop_id")
+    nxt = lambda c: F.lead(c).over(w).alias(f"to_{c}")
+    sec = lambda a, b: F.floor((F.col(b) - F.col(a)) / 1000 + 0.5).cast("long")
+    pairs = known.select("run_id", "stop_id", "sched_arr_epoch", "actual_arr_epoch", *map(nxt, ("stop_id", "sched_arr_epoch", "actual_arr_epoch"))).where("to_stop_id IS NOT NULL")
+    pairs = pairs.select(
+        "run_id", "stop_id", F.concat_ws(">", "stop_id", "to_stop_id").alias("segment_id"), F.col("actual_arr_epoch").alias("entered_at"), sec("actual_arr_epoch", "to_actual_arr_epoch").alias("took"),
+        sec("sched_arr_epoch", "to_sched_arr_epoch").alias("planned"), sec("sched_arr_epoch", "actual_arr_epoch").alias("delay"), sec("to_sched_arr_epoch", "to_actual_arr_epoch").alias("to_delay"),
+    )
+    good = pairs.where("planned > 0 AND planned <= 3600 AND took <= 7200 AND took >= greatest(30, planned * 0.25) AND delay BETWEEN -900 AND 14400 AND to_delay BETWEEN -900 AND 14400")
+    runtime = F.greatest(F.lit(30), F.col("took") - F.coalesce("dwell_sec", F.lit(0)))
+    return good.join(dwells, "stop_id", "left").select("segment_id", "run_id", "entered_at", runtime.alias("runtime_sec"), (F.col("to_delay") - F.col("delay")).alias("delay_delta_sec"), (F.col("took") - F.col("planned")).alias("excess_sec"))
+
+
+def segment_priors(pairs: DataFrame, least: int = 5) -> DataFrame:
+    """As :func:`segment_stats`, with the median excess over the timetable, of :func:`historical_pairs`."""
+    excess = bucketed(pairs).groupBy("segment_id", "bucket").agg(F.round(type7(F.col("excess_sec"), 0.5), 6).alias("p50_excess"))
+    return segment_stats(pairs, least).join(excess, ["segment_id", "bucket"])
 
 
 def pick_stats(wanted: DataFrame, live: DataFrame, prior: DataFrame, widen: float = 1.3) -> DataFrame:
@@ -63,10 +91,10 @@ def pick_stats(wanted: DataFrame, live: DataFrame, prior: DataFrame, widen: floa
     return rows.select("segment_id", "bucket", source.alias("source"), chosen["n"].alias("n"), chosen["p50_runtime"].alias("p50_runtime"), chosen["p90_runtime"].alias("p90_runtime"))
 
 
-def dwell(events: DataFrame, cap: int = 180) -> DataFrame:
-    """Upper median of the scheduled dwell at a stop, at most ``cap`` seconds."""
-    d = F.floor((F.col("sched_dep_epoch") - F.col("sched_arr_epoch")) / 1000).cast("long") + F.col("stop_sequence") * 13 % 200
-    return events.select("stop_id", d.alias("d")).groupBy("stop_id").agg(F.least(upper_median(F.col("d")), F.lit(cap).cast("long")).alias("dwell_sec"))
+def dwell(stop_times: DataFrame, cap: int = 180) -> DataFrame:
+    """Upper median of the scheduled dwell at a stop, at most ``cap`` seconds; no dwell and half an hour or more do not count."""
+    d = (F.col("departure_sec") - F.col("arrival_sec")).cast("long")
+    return stop_times.select("stop_id", d.alias("d")).where("d > 0 AND d < 1800").groupBy("stop_id").agg(F.least(upper_median(F.col("d")), F.lit(cap).cast("long")).alias("dwell_sec"))
 
 
 def corridor_health(t: DataFrame, as_of: int, window_ms: int = 3_600_000) -> DataFrame:
@@ -86,10 +114,12 @@ def top_segments(stats: DataFrame, limit: int = 50) -> DataFrame:
     return stats.orderBy(F.desc("n"), "segment_id", "bucket").limit(limit)
 
 
-def error_metrics(rows: DataFrame, keys: list[str], error: str) -> DataFrame:
-    """n, MAE, median, root mean square, 90th and 95th percentile of the absolute error, and bias."""
+def error_metrics(rows: DataFrame, keys: list[str], error: str, *more: Column) -> DataFrame:
+    """n, MAE, median, root mean square, 90th and 95th percentile of the absolute error, bias, and ``more`` aggregates.
+
+    The quantiles come from counts of equal errors, as groups are few and large.
+    """
+    rows = rows.where(F.col(error).isNotNull())
     e, a = F.col(error), F.abs(F.col(error))
-    return rows.where(e.isNotNull()).groupBy(*keys).agg(
-        F.count("*").alias("n"), F.round(F.avg(a), 4).alias("mae"), floor_index(a, 0.5).alias("median_ae"), F.round(F.sqrt(F.avg((e * e).cast("double"))), 4).alias("rmse"),
-        floor_index(a, 0.9).alias("p90_ae"), floor_index(a, 0.95).alias("p95_ae"), F.round(F.avg(e), 4).alias("bias"),
-    )
+    plain = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.avg(a), 4).alias("mae"), F.round(F.sqrt(F.avg((e * e).cast("double"))), 4).alias("rmse"), F.round(F.avg(e), 4).alias("bias"), *more)
+    return plain.join(floor_indices(rows, keys, a, {"median_ae": 0.5, "p90_ae": 0.9, "p95_ae": 0.95}), keys)

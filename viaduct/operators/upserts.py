@@ -45,14 +45,25 @@ def provider_health(fetches: DataFrame) -> DataFrame:
     return g.withColumn("state", F.when(F.col("fetches") == 1, "UNKNOWN").when(c >= 5, "PAUSED").when(c >= 1, "DEGRADED").otherwise("HEALTHY"))
 
 
+def classify_location(name: Column) -> Column:
+    n = F.lower(name)
+    return F.when(n.contains("bivio"), "BIVIO").when(n.contains("diramazione") | n.contains("giunzione"), "JUNCTION").otherwise("UNKNOWN_REPORTING_POINT")
+
+
 def rail_locations(sightings: DataFrame) -> DataFrame:
-    """Registry by slug: widened time span, summed count, first known coordinates, strongest type."""
-    rank = F.when(F.col("type") == "BIVIO", 2).when(F.col("type") == "PASSENGER_STATION", 1).otherwise(0)
-    g = sightings.groupBy(slug(F.col("name")).alias("key")).agg(
+    """Registry by slug: widened time span, summed count, newest known coordinates, last type.
+
+    A sighting without a type has that of its name; an unknown point never replaces a station.
+    """
+    at = F.struct("seen_at", "id")
+    rows = sightings.withColumn("type", F.coalesce("type", classify_location(F.col("name"))))
+    known = F.col("type") != "UNKNOWN_REPORTING_POINT"
+    g = rows.groupBy(slug(F.col("name")).alias("key")).agg(
         F.min("seen_at").alias("first_seen_at"), F.max("seen_at").alias("last_seen_at"), F.count("*").alias("observation_count"),
-        first_known("lat", F.struct("seen_at", "id")).alias("lat"), first_known("lon", F.struct("seen_at", "id")).alias("lon"), F.max(rank).alias("r"),
+        last_known("lat", at).alias("lat"), last_known("lon", at).alias("lon"), F.max_by("type", at).alias("last"), F.max_by("type", F.when(known, at)).alias("told"),
     )
-    return g.withColumn("type", F.when(F.col("r") == 2, "BIVIO").when(F.col("r") == 1, "PASSENGER_STATION").otherwise("UNKNOWN")).drop("r")
+    station = (F.col("last") == "UNKNOWN_REPORTING_POINT") & (F.col("told") == "PASSENGER_STATION")
+    return g.withColumn("type", F.when(station, F.col("told")).otherwise(F.col("last"))).drop("last", "told")
 
 
 def last_version(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -60,8 +71,8 @@ def last_version(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 
 
 def distinct_alerts(alerts: DataFrame, parts: list[str], order: str) -> DataFrame:
-    """The first alert of each content hash."""
-    return alerts.groupBy(F.sha2(F.concat_ws("|", *parts), 256).alias("payload_hash")).agg(F.min(order).alias(order), F.count("*").alias("copies"))
+    """The first alert of each content hash; a part that is null differs from any text."""
+    return alerts.groupBy(F.sha2(F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), p), F.lit("-")) for p in parts]), 256).alias("payload_hash")).agg(F.min(order).alias(order), F.count("*").alias("copies"))
 
 
 def changed_snapshots(fetches: DataFrame) -> DataFrame:
@@ -71,8 +82,8 @@ def changed_snapshots(fetches: DataFrame) -> DataFrame:
 
 
 def fill_nulls(target: DataFrame, patch: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """Takes a column from the patch where the target has none."""
-    return target.join(patch.select(*keys, F.col(column).alias("_new")), keys, "left").withColumn(column, F.coalesce(column, "_new")).drop("_new")
+    """Takes a column from the patch where the target has none; of several patches of a key the smallest."""
+    return target.join(patch.groupBy(*keys).agg(F.min(column).alias("_new")), keys, "left").withColumn(column, F.coalesce(column, "_new")).drop("_new")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -116,7 +116,7 @@ def vt_payloads(s, d):
 def lookup_lines(s, d):
     r = b.runs(s, d)
     tail = F.when(F.col("run_id") % 7 == 0, "x").otherwise((F.col("sched_dep_epoch") + LATER).cast("string"))
-    return r.select(F.concat(F.lit("Treno "), "train_number", F.lit("|"), F.col("run_id").cast("string"), F.lit("-"), "origin_stop_id", F.lit("-"), tail).alias("line"))
+    return r.select(F.concat(F.lit("Regionale "), "train_number", F.lit("|"), F.col("run_id").cast("string"), F.lit("-"), "origin_stop_id", F.lit("-"), tail).alias("line"))
 
 
 QUERIES = {
@@ -168,5 +168,5 @@ u AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY stop_id, route_id
 SELECT CAST(run_id AS VARCHAR) AS train, CAST(stop_sequence - 1 AS INT) AS pos, stop_id, CASE WHEN t < ref - 43200000 THEN t + 86400000 WHEN t > ref + 43200000 THEN t - 86400000 ELSE t END AS arr_epoch, CAST(arr_delay_sec AS BIGINT) AS delay_sec FROM w"""),
     "src07_vt": oracle("se", f"""SELECT CAST(run_id AS VARCHAR) AS train, CAST(stop_sequence - 1 AS INT) AS pos, stop_id, CASE WHEN run_id % 2 = 0 THEN sched_arr_epoch + {LATER} ELSE (sched_arr_epoch + {LATER}) // 1000 * 1000 END AS sched_epoch,
   CASE WHEN run_id % 3 <> 0 AND actual_arr_epoch IS NOT NULL THEN actual_arr_epoch + {LATER} ELSE sched_arr_epoch + {LATER} + CAST(arr_delay_sec AS BIGINT) * 1000 END AS eta_epoch, CASE WHEN run_id % 5 <> 0 THEN platform_actual END AS platform FROM se"""),
-    "src08_autocomplete": oracle("se ends runs", f"SELECT 'Treno ' || train_number AS label, CAST(run_id AS VARCHAR) AS train_number, origin_stop_id AS origin, sched_dep_epoch + {LATER} AS departure FROM runs WHERE run_id % 7 <> 0"),
+    "src08_autocomplete": oracle("se ends runs", f"SELECT 'Regionale ' || train_number AS label, CAST(run_id AS VARCHAR) AS train_number, origin_stop_id AS origin, sched_dep_epoch + {LATER} AS departure FROM runs WHERE run_id % 7 <> 0"),
 }

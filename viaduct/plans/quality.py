@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from viaduct.functions.semantics import asof_join, greedy_gap
+from viaduct.functions.semantics import asof_join, greedy_gap, quantiles_of
 from viaduct.operators import quality as q
 from viaduct.plans.segments import fi
 from viaduct.sources import bindings as b
@@ -30,9 +30,16 @@ def emitted(s, d):
     return greedy_gap(candidates(s, d), ["run_id"], "ts", 300_000)
 
 
+def estimates(s, d):
+    """An estimate and an operator's time with each observation, either of which may be unknown."""
+    o = b.observations(s, d)
+    eta = F.when(F.col("id") % 17 != 0, F.floor(F.col("ts") / 60000) * 60000 + (F.col("id") % 3) * 20000)
+    return o.select("run_id", "ts", "id", (F.col("ts") + F.col("delay_seconds") * 1000).alias("p50"), eta.cast("long").alias("operator_eta"))
+
+
 def representative(s, d):
     c = candidates(s, d)
-    mid = c.agg(F.percentile("spread_sec", F.lit(0.5)).alias("m"))
+    mid = quantiles_of(c, [], F.col("spread_sec"), {"m": 0.5})
     near = c.crossJoin(F.broadcast(mid)).orderBy(F.abs(F.col("spread_sec") - F.col("m")), "ts", "id").limit(1).select(F.lit("typical").alias("kind"), "run_id", "ts", "spread_sec")
     return near.unionByName(c.orderBy(F.desc("spread_sec"), "ts", "id").limit(1).select(F.lit("worst").alias("kind"), "run_id", "ts", "spread_sec"))
 
@@ -50,7 +57,7 @@ QUERIES = {
     "w07_impossible_runtimes": lambda s, d: q.impossible_runtimes(b.stop_events(s, d), b.stops(s, d)),
     "j10_conflict_candidates": candidates,
     "w12_conflict_dedup": emitted,
-    "w13_throttle": lambda s, d: q.throttled(b.observations(s, d)),
+    "w13_throttle": lambda s, d: q.throttled(estimates(s, d)),
     "a25_conflict_stats": lambda s, d: q.conflict_stats(candidates(s, d), emitted(s, d)),
     "t08_representative_conflicts": representative,
     "j11_asof_delay": asof,
@@ -61,7 +68,7 @@ OTHERS = " OR ".join(f"(source <> '{s}' AND ts - t{k} <= 90000 AND abs(delay_sec
 LASTS = ", ".join(f"last_value(CASE WHEN source = '{s}' AND delay_seconds IS NOT NULL THEN {{'ts': ts, 'id': id, 'src': source, 'delay': delay_seconds}} END IGNORE NULLS) OVER r AS o{k}" for k, s in enumerate(SOURCES))
 WINDOWS = "WINDOW p AS (PARTITION BY run_id, source ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), r AS (PARTITION BY run_id ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 FLAGGED = f"""f0 AS (
-  SELECT *, last_value(observed_at IGNORE NULLS) OVER p AS seen, last_value(delay_seconds IGNORE NULLS) OVER p AS prev, max(CAST(substr(location_id, 2) AS INT) % 20) OVER p AS far, {LASTS} FROM obs {WINDOWS}
+  SELECT *, last_value(observed_at IGNORE NULLS) OVER p AS seen, last_value(delay_seconds IGNORE NULLS) OVER p AS prev, max(CAST(substr(location_id, 2) AS INT) % 20) OVER r AS far, {LASTS} FROM obs {WINDOWS}
 ), f1 AS (SELECT *, {", ".join(f"o{k}.ts AS t{k}, o{k}.delay AS d{k}" for k in range(3))} FROM f0),
 f AS (SELECT f1.id, list_filter([
     CASE WHEN seen - observed_at >= 1000 THEN 'OUT_OF_ORDER' END, CASE WHEN abs(delay_seconds - prev) > 3600 THEN 'DELAY_JUMP' END, CASE WHEN {OTHERS} THEN 'SOURCE_CONFLICT' END,
@@ -94,10 +101,10 @@ ORACLE_SQL = {
       SELECT run_id, stop_sequence, stop_id, round(km, 6) AS km, round(sec, 3) AS sec FROM k WHERE km > 0.05 AND (sec <= 0 OR km * 3600 > sec * 300)"""),
     "j10_conflict_candidates": oracle("obs", f"WITH {CAND} SELECT * FROM cand"),
     "w12_conflict_dedup": recursive(oracle("obs", f"WITH {CAND}, {EMIT} SELECT * FROM emit")),
-    "w13_throttle": recursive(oracle("obs", """WITH o AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts, id) AS k FROM obs WHERE delay_seconds IS NOT NULL),
-      t AS (SELECT run_id, k, id, true AS keep, ts AS at, delay_seconds AS v FROM o WHERE k = 1
-        UNION ALL SELECT o.run_id, o.k, o.id, abs(o.delay_seconds - t.v) > 30 OR o.ts - t.at > 120000, CASE WHEN abs(o.delay_seconds - t.v) > 30 OR o.ts - t.at > 120000 THEN o.ts ELSE t.at END,
-          CASE WHEN abs(o.delay_seconds - t.v) > 30 OR o.ts - t.at > 120000 THEN o.delay_seconds ELSE t.v END FROM t JOIN o ON o.run_id = t.run_id AND o.k = t.k + 1)
+    "w13_throttle": recursive(oracle("obs", f"""WITH o AS (SELECT run_id, id, ts, ts + delay_seconds * 1000 AS p, CASE WHEN id % 17 <> 0 THEN ts // 60000 * 60000 + (id % 3) * 20000 END AS e, row_number() OVER (PARTITION BY run_id ORDER BY ts, id) AS k FROM obs),
+      t AS (SELECT run_id, k, id, true AS keep, ts AS since, p, e FROM o WHERE k = 1
+        UNION ALL SELECT run_id, k, id, due, CASE WHEN due THEN ts ELSE since END, CASE WHEN due THEN np ELSE p END, CASE WHEN due THEN ne ELSE e END
+          FROM (SELECT o.run_id, o.k, o.id, o.ts, o.p AS np, o.e AS ne, t.since, t.p, t.e, coalesce(abs(o.p - t.p) > 30000, true) OR coalesce(abs(o.e - t.e) > 30000, true) OR o.ts - t.since > 120000 AS due FROM t JOIN o ON o.run_id = t.run_id AND o.k = t.k + 1))
       SELECT run_id, id FROM t WHERE keep""")),
     "a25_conflict_stats": recursive(oracle("obs", f"WITH {CAND}, {EMIT} SELECT count(*) AS candidates, count(DISTINCT run_id) AS runs, {fi('spread_sec', 0.5)} AS p50_spread, {fi('spread_sec', 0.9)} AS p90_spread, (SELECT count(*) FROM emit) AS emitted FROM cand")),
     "t08_representative_conflicts": oracle("obs", f"WITH {CAND} (SELECT 'typical' AS kind, run_id, ts, spread_sec FROM cand ORDER BY abs(spread_sec - (SELECT quantile_cont(spread_sec, 0.5) FROM cand)), ts, id LIMIT 1) UNION ALL (SELECT 'worst', run_id, ts, spread_sec FROM cand ORDER BY spread_sec DESC, ts, id LIMIT 1)"),

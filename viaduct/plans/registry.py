@@ -7,21 +7,35 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from viaduct.plans import joins, models, quality, schedule, segments, serving
+from viaduct.plans import joins, models, quality, risk, schedule, segments, serving
 
-MODULES = (segments, quality, schedule, joins, serving, models)
+MODULES = (segments, quality, schedule, joins, serving, models, risk)
 
 
 def _in_utc(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """Instants are epoch numbers; the few steps through timestamps need a fixed session zone."""
+    """Instants are epoch numbers; the few steps through timestamps are resolved in UTC when a query is
+    built.  The session's own zone is back when it returns."""
 
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        zone = spark.conf.get("spark.sql.session.timeZone")
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-        return query(spark, sf_dir)
+        try:
+            return query(spark, sf_dir)
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", zone)
 
     return run
 
 
-QUERIES = {name: _in_utc(query) for m in MODULES for name, query in m.QUERIES.items()}
-ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
+def _united(parts: list[dict]) -> dict:
+    out: dict = {}
+    for part in parts:
+        if twice := out.keys() & part.keys():
+            raise ValueError(f"registered twice: {sorted(twice)}")
+        out |= part
+    return out
+
+
+QUERIES = {name: _in_utc(query) for name, query in _united([m.QUERIES for m in MODULES]).items()}
+ORACLE_SQL = _united([m.ORACLE_SQL for m in MODULES])

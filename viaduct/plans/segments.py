@@ -11,6 +11,8 @@ from viaduct.sources.bindings import oracle
 
 #: An instant within the data, in place of a wall clock.
 AS_OF = 820_454_400_000  # 1996-01-01
+#: Imported history ends and live traversals begin.
+HISTORY_END = 899_251_200_000  # 1998-07-01
 
 
 def traversals(spark, d):
@@ -29,7 +31,7 @@ SEG = """seg0 AS (
   WHERE left_at > entered_at AND runtime_sec >= greatest(30, sched_sec * 0.25) QUALIFY row_number() OVER (PARTITION BY run_id, segment_id ORDER BY pos) = 1
 )"""
 HOUR = "hour(timezone('Europe/Rome', make_timestamptz({0} * 1000)))"
-PEAK = "({0} BETWEEN 7 AND 9 OR {0} BETWEEN 16 AND 19)"
+PEAK = "({0} IN (7, 8) OR {0} BETWEEN 16 AND 18)"
 BUCKET = f"""bk AS (
   SELECT seg.*, unnest(['all', CASE WHEN {PEAK.format(HOUR.format("entered_at"))} THEN 'peak' ELSE 'off' END]) AS bucket FROM seg
 )"""
@@ -37,10 +39,25 @@ STATS = """stats AS (
   SELECT segment_id, bucket, count(*) AS n, round(quantile_cont(runtime_sec, 0.1), 6) AS p10_runtime, round(quantile_cont(runtime_sec, 0.5), 6) AS p50_runtime, round(quantile_cont(runtime_sec, 0.9), 6) AS p90_runtime,
     round(quantile_cont(delay_delta_sec, 0.5), 6) AS p50_delta, round(quantile_cont(delay_delta_sec, 0.9), 6) AS p90_delta FROM bk GROUP BY ALL HAVING count(*) >= 5
 )"""
-PRIOR = """prior AS (
-  SELECT segment_id, bucket, count(*) AS n, round(quantile_cont(runtime_sec, 0.5), 6) AS p50_runtime, round(quantile_cont(runtime_sec, 0.9), 6) AS p90_runtime, round(quantile_cont(runtime_sec - 600, 0.5), 6) AS p50_excess
-  FROM bk WHERE run_id % 2 = 0 GROUP BY ALL
+DWELL = """dw AS (
+  SELECT stop_id, least(list_sort(list(d))[count(*) // 2 + 1], 180) AS dwell_sec FROM (SELECT stop_id, (arrival_sec * 7 + stop_sequence * 13) % 2400 - 100 AS d FROM times) WHERE d > 0 AND d < 1800 GROUP BY stop_id
 )"""
+PAIRS = DWELL + """, hp0 AS (
+  SELECT run_id, stop_id, sched_arr_epoch AS s, actual_arr_epoch AS a, lead(stop_id) OVER w AS to_stop_id, lead(sched_arr_epoch) OVER w AS ts, lead(actual_arr_epoch) OVER w AS ta
+  FROM se WHERE actual_arr_epoch IS NOT NULL WINDOW w AS (PARTITION BY run_id ORDER BY stop_sequence)
+), hp1 AS (
+  SELECT *, CAST(floor((ta - a) / 1000.0 + 0.5) AS BIGINT) AS took, CAST(floor((ts - s) / 1000.0 + 0.5) AS BIGINT) AS planned, CAST(floor((a - s) / 1000.0 + 0.5) AS BIGINT) AS da, CAST(floor((ta - ts) / 1000.0 + 0.5) AS BIGINT) AS db FROM hp0 WHERE to_stop_id IS NOT NULL
+), hp AS (
+  SELECT stop_id || '>' || to_stop_id AS segment_id, run_id, a AS entered_at, greatest(30, took - coalesce(dwell_sec, 0)) AS runtime_sec, db - da AS delay_delta_sec, took - planned AS excess_sec FROM hp1 LEFT JOIN dw USING (stop_id)
+  WHERE planned > 0 AND planned <= 3600 AND took <= 7200 AND took >= 30 AND took >= planned * 0.25 AND da BETWEEN -900 AND 14400 AND db BETWEEN -900 AND 14400
+)"""
+PRIOR = PAIRS + f""", pbk AS (
+  SELECT hp.*, unnest(['all', CASE WHEN {PEAK.format(HOUR.format("entered_at"))} THEN 'peak' ELSE 'off' END]) AS bucket FROM hp WHERE {{history}}
+), prior AS (
+  SELECT segment_id, bucket, count(*) AS n, round(quantile_cont(runtime_sec, 0.1), 6) AS p10_runtime, round(quantile_cont(runtime_sec, 0.5), 6) AS p50_runtime, round(quantile_cont(runtime_sec, 0.9), 6) AS p90_runtime,
+    round(quantile_cont(delay_delta_sec, 0.5), 6) AS p50_delta, round(quantile_cont(delay_delta_sec, 0.9), 6) AS p90_delta, round(quantile_cont(excess_sec, 0.5), 6) AS p50_excess FROM pbk GROUP BY ALL HAVING count(*) >= 5
+)"""
+ALL_PRIOR, OLD_PRIOR = PRIOR.replace("{history}", "true"), PRIOR.replace("{history}", f"entered_at < {HISTORY_END}")
 FLOOR = "list_sort(list({x}))[CAST(least(count({x}) - 1, floor(count({x}) * {q})) AS INT) + 1]"
 
 
@@ -56,9 +73,33 @@ def _wanted(t):
     return sg.bucketed(t).where("bucket <> 'all'").select("segment_id", "bucket").distinct()
 
 
+def stop_dwells(spark, d):
+    times = b.gtfs_stop_times(spark, d)
+    return sg.dwell(times.withColumn("departure_sec", F.col("arrival_sec") + (F.col("arrival_sec") * 7 + F.col("stop_sequence") * 13) % 2400 - 100))
+
+
+def historical(spark, d):
+    return sg.historical_pairs(b.stop_events(spark, d), stop_dwells(spark, d))
+
+
+def old_priors(spark, d):
+    return sg.segment_priors(historical(spark, d).where(F.col("entered_at") < HISTORY_END))
+
+
+def live(t):
+    return t.where(F.col("entered_at") >= HISTORY_END)
+
+
 def _m02(spark, d):
     t = traversals(spark, d)
-    return sg.pick_stats(_wanted(t), sg.segment_stats(t.where("run_id % 2 = 1")), sg.segment_priors(t.where("run_id % 2 = 0")))
+    return sg.pick_stats(_wanted(t), sg.segment_stats(live(t)), old_priors(spark, d))
+
+
+def _j16(spark, d):
+    """Segments of the priors that live statistics lack, the best known first."""
+    stats = sg.segment_stats(live(traversals(spark, d)))
+    missing = old_priors(spark, d).where("bucket = 'all'").join(stats.select("segment_id").distinct(), "segment_id", "left_anti")
+    return missing.orderBy(F.desc("n"), "segment_id").limit(100).select("segment_id", "n", "p50_runtime", "p10_runtime", "p90_runtime")
 
 
 def _labelled(spark, d):
@@ -70,8 +111,11 @@ def _labelled(spark, d):
 QUERIES = {
     "w01_segment_observations": lambda s, d: traversals(s, d),
     "a02_segment_stats": lambda s, d: sg.segment_stats(traversals(s, d)),
-    "a03_segment_priors": lambda s, d: sg.segment_priors(traversals(s, d).where("run_id % 2 = 0")),
-    "a04_dwell": lambda s, d: sg.dwell(b.stop_events(s, d)),
+    "a03_segment_priors": lambda s, d: sg.segment_priors(historical(s, d)),
+    "p12_historical_pairs": historical,
+    "a02_segment_stats_recent": lambda s, d: sg.segment_stats(sg.look_back(traversals(s, d), AS_OF, 1200), 2),
+    "j16_prior_only": _j16,
+    "a04_dwell": stop_dwells,
     "a05_corridor_health": lambda s, d: sg.corridor_health(traversals(s, d), AS_OF, 30 * 86_400_000),
     "a06_corridor_delta": lambda s, d: sg.corridor_delta(traversals(s, d)),
     "m02_stats_for_segment": _m02,
@@ -86,7 +130,7 @@ QUERIES = {
     "a23_target_encoding": lambda s, d: ev.target_encoding(b.scored(s, d).join(b.runs(s, d).select("run_id", "route_id"), "run_id"), "route_id", "our_error_sec"),
     "a27_conformal": lambda s, d: ev.conformal(b.scored(s, d)),
     "a28_auc": lambda s, d: ev.auc(_labelled(s, d), "score", "label"),
-    "a32_prior_check": lambda s, d: ev.prior_check(traversals(s, d).where("run_id % 2 = 1"), sg.segment_priors(traversals(s, d).where("run_id % 2 = 0"))),
+    "a32_prior_check": lambda s, d: ev.prior_check(live(traversals(s, d)), old_priors(s, d)),
     "w22_time_split": lambda s, d: ev.time_split(b.scored(s, d).select("prediction_id", "generated_at"), ["generated_at", "prediction_id"]),
 }
 
@@ -101,12 +145,15 @@ TABLE = f"""bench0 AS (
 ORACLE_SQL = {
     "w01_segment_observations": oracle("se", f"WITH {SEG} SELECT * FROM seg"),
     "a02_segment_stats": oracle("se", f"WITH {SEG}, {BUCKET}, {STATS} SELECT * FROM stats"),
-    "a03_segment_priors": oracle("se", f"WITH {SEG}, {BUCKET}, {PRIOR} SELECT * FROM prior"),
-    "a04_dwell": oracle("se", f"WITH dw AS (SELECT stop_id, (sched_dep_epoch - sched_arr_epoch) // 1000 + stop_sequence * 13 % 200 AS d FROM se) SELECT stop_id, least({fi('d', 0.5)}, 180) AS dwell_sec FROM dw GROUP BY stop_id"),
+    "a03_segment_priors": oracle("se times", f"WITH {ALL_PRIOR} SELECT * FROM prior"),
+    "p12_historical_pairs": oracle("se times", f"WITH {PAIRS} SELECT * FROM hp"),
+    "a02_segment_stats_recent": oracle("se", f"WITH {SEG}, {BUCKET}, {STATS.replace('FROM bk', f'FROM bk WHERE entered_at BETWEEN {AS_OF - 1200 * 86400000} AND {AS_OF}').replace('>= 5', '>= 2')} SELECT * FROM stats"),
+    "j16_prior_only": oracle("se times", f"WITH {SEG}, {BUCKET}, {OLD_PRIOR}, lv AS (SELECT segment_id FROM bk WHERE entered_at >= {HISTORY_END} GROUP BY segment_id, bucket HAVING count(*) >= 5) SELECT segment_id, n, p50_runtime, p10_runtime, p90_runtime FROM prior WHERE bucket = 'all' AND segment_id NOT IN (SELECT segment_id FROM lv) ORDER BY n DESC, segment_id LIMIT 100"),
+    "a04_dwell": oracle("se times", f"WITH {DWELL} SELECT * FROM dw"),
     "a05_corridor_health": oracle("se", f"WITH {SEG}, g AS (SELECT segment_id, count(*) AS n, {fi('delay_delta_sec', 0.5)} AS median_delta, max(delay_delta_sec) AS worst_delta FROM seg WHERE entered_at > {AS_OF - 30 * 86400000} AND entered_at <= {AS_OF} GROUP BY segment_id) SELECT * FROM g WHERE abs(median_delta) >= 60 OR worst_delta >= 180"),
     "a06_corridor_delta": oracle("se", f"WITH {SEG}, k AS (SELECT * FROM seg QUALIFY row_number() OVER (PARTITION BY segment_id ORDER BY entered_at DESC, run_id DESC) <= 3) SELECT segment_id, {fi('delay_delta_sec', 0.5)} AS corridor_delta, count(*) AS n FROM k GROUP BY segment_id"),
-    "m02_stats_for_segment": oracle("se", f"""WITH {SEG}, {BUCKET}, {PRIOR}, live AS (
-  SELECT segment_id, bucket, count(*) AS n, round(quantile_cont(runtime_sec, 0.5), 6) AS p50_runtime, round(quantile_cont(runtime_sec, 0.9), 6) AS p90_runtime FROM bk WHERE run_id % 2 = 1 GROUP BY ALL HAVING count(*) >= 5
+    "m02_stats_for_segment": oracle("se times", f"""WITH {SEG}, {BUCKET}, {OLD_PRIOR}, live AS (
+  SELECT segment_id, bucket, count(*) AS n, round(quantile_cont(runtime_sec, 0.5), 6) AS p50_runtime, round(quantile_cont(runtime_sec, 0.9), 6) AS p90_runtime FROM bk WHERE entered_at >= {HISTORY_END} GROUP BY ALL HAVING count(*) >= 5
 ), c AS (
   SELECT segment_id, bucket, 1 AS rank, 'live' AS source, n, p50_runtime, p90_runtime FROM live UNION ALL
   SELECT segment_id, bucket, 2, 'prior', n, p50_runtime, round(p50_runtime + 1.3 * (p90_runtime - p50_runtime), 6) FROM prior
@@ -126,6 +173,6 @@ QUALIFY row_number() OVER (PARTITION BY w.segment_id, w.bucket ORDER BY c.rank N
     "a28_auc": oracle("se ends pred scored", """WITH r AS (SELECT (our_p50 - sched_arr_epoch) // 1000 AS s, CASE WHEN actual_arr_epoch - sched_arr_epoch > 120000 THEN 1 ELSE 0 END AS y FROM scored),
 k AS (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS rk FROM r)
 SELECT round((sum(rk) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0) / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0)), 6) AS auc, count(*) FILTER (y = 1) AS positives, count(*) FILTER (y = 0) AS negatives FROM k"""),
-    "a32_prior_check": oracle("se", f"WITH {SEG}, {BUCKET}, {PRIOR} SELECT CASE WHEN n <= 5 THEN 'n<=5' WHEN n <= 20 THEN 'n6-20' ELSE 'n>20' END AS size, count(*) AS n, round(avg(abs(runtime_sec - p50_runtime)), 4) AS mae, round(avg(CASE WHEN runtime_sec <= p90_runtime THEN 1 ELSE 0 END), 4) AS below_p90 FROM seg JOIN prior USING (segment_id) WHERE run_id % 2 = 1 AND bucket = 'all' GROUP BY 1"),
-    "w22_time_split": oracle("se ends pred scored", "SELECT prediction_id, generated_at, generated_at <= (SELECT quantile_cont(CAST(generated_at AS DOUBLE), 0.8) FROM scored) AS is_train FROM scored"),
+    "a32_prior_check": oracle("se times", f"WITH {SEG}, {OLD_PRIOR} SELECT CASE WHEN n <= 5 THEN 'n<=5' WHEN n <= 20 THEN 'n6-20' ELSE 'n>20' END AS size, count(*) AS n, round(avg(abs(runtime_sec - p50_runtime)), 4) AS mae, round(avg(CASE WHEN runtime_sec <= p90_runtime THEN 1 ELSE 0 END), 4) AS below_p90 FROM seg JOIN prior USING (segment_id) WHERE seg.entered_at >= {HISTORY_END} AND bucket = 'all' GROUP BY 1"),
+    "w22_time_split": oracle("se ends pred scored", "SELECT prediction_id, generated_at, row_number() OVER (ORDER BY generated_at, prediction_id) <= floor(0.8 * count(*) OVER ()) AS is_train FROM scored"),
 }
