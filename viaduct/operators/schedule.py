@@ -21,6 +21,11 @@ def validity(text: Column) -> tuple[Column, Column]:
     return tuple(F.nullif(F.regexp_extract(text, pattern, k), F.lit("")) for k in (1, 2))
 
 
+def running(trips: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Trips with each day on which the calendar adds their service; other exceptions do not run."""
+    return trips.join(calendar.where("exception_type = 1").select("service_id", "date"), "service_id")
+
+
 def active_trips(summaries: DataFrame, trips: DataFrame, date: str) -> DataFrame:
     """Rail trips of a day, one version for each train number: those whose validity covers the day
     first, then the latest validity, then the smallest trip id."""

@@ -65,6 +65,37 @@ def rank_journeys(options: DataFrame, keys: Sequence[str]) -> DataFrame:
     return ranked.withColumn("recommended", F.coalesce(F.col("rank") == F.min(F.when(F.col("boardable"), F.col("rank"))).over(w), F.lit(False)))
 
 
+def boardable(status: Column, actual_dep: Column, dep: Column, delay_sec: Column, now: Column) -> Column:
+    """Not cancelled, arrived or gone, and leaving, with its delay, no more than half a minute ago."""
+    over = F.coalesce(status.isin("cancelled", "arrived"), F.lit(False))
+    return ~over & actual_dep.isNull() & (dep + F.coalesce(delay_sec, F.lit(0)) * 1000 >= now - 30_000)
+
+
+def top_platforms(scores: DataFrame, keys: Sequence[str], score: str, label: str, least: float = 0.1, most: int = 3) -> DataFrame:
+    """Adds ``platforms``: of each key's classes the likeliest by softmax, those of at least ``least``, to three decimals."""
+    rows = scores.groupBy(*keys).agg(F.collect_list(F.struct(F.exp(score).alias("e"), F.col(label).alias("n"))).alias("c"), F.sum(F.exp(score)).alias("total"))
+    p = F.transform("c", lambda x: F.struct((-F.floor(x["e"] / F.col("total") * 1000 + 0.5) / 1000).alias("p"), x["n"].alias("n")))
+    best = F.slice(F.filter(F.array_sort(p), lambda x: -x["p"] >= least), 1, most)
+    return rows.where("total > 0").select(*keys, F.transform(best, lambda x: F.struct(x["n"].alias("platform"), (-x["p"]).alias("p"))).alias("platforms"))
+
+
+def likely_area(states: DataFrame, events: DataFrame, stops: DataFrame, as_of: int) -> DataFrame:
+    """Between which stops a running train is: from where it was seen, else the stop before, to the next one
+    without actual times.  ``states`` has run_id, status, location_id and seen_at; runs without both ends are left out."""
+    order = Window.partitionBy("run_id").orderBy(F.coalesce("stop_sequence", F.lit(-1)), F.coalesce("sched_arr_epoch", F.lit(-1)), "stop_id")
+    e = events.withColumn("before", F.lag("stop_id").over(order)).withColumn("pos", F.row_number().over(order))
+    e = e.where("actual_arr_epoch IS NULL AND actual_dep_epoch IS NULL AND coalesce(cancelled, 0) <> 1")
+    nxt = e.groupBy("run_id").agg(F.min_by(F.struct("stop_id", "before"), "pos").alias("n")).select("run_id", F.col("n.stop_id").alias("to_stop_id"), "n.before")
+    spot = lambda name: stops.select(F.col("stop_id").alias(f"{name}_stop_id"), F.col("stop_lat").alias(f"{name}_lat"), F.col("stop_lon").alias(f"{name}_lon"))
+    rows = states.where("status = 'running' AND seen_at IS NOT NULL").join(nxt, "run_id")
+    rows = rows.join(spot("seen"), rows["location_id"] == F.col("seen_stop_id"), "left").join(spot("before"), rows["before"] == F.col("before_stop_id"), "left").join(spot("to").withColumnRenamed("to_stop_id", "_to"), rows["to_stop_id"] == F.col("_to"), "left")
+    seen = F.when(F.col("seen_stop_id") != F.col("to_stop_id"), F.struct(F.col("seen_stop_id").alias("id"), F.col("seen_lat").alias("lat"), F.col("seen_lon").alias("lon")))
+    prior = F.when(F.col("before_stop_id").isNotNull(), F.struct(F.col("before_stop_id").alias("id"), F.col("before_lat").alias("lat"), F.col("before_lon").alias("lon")))
+    rows = rows.withColumn("f", F.coalesce(seen, prior)).where(F.col("f.id") != F.col("to_stop_id"))
+    age = F.greatest(F.lit(0), F.floor((F.lit(as_of) - F.col("seen_at")) / 1000 + 0.5)).cast("long")
+    return rows.select("run_id", F.col("f.id").alias("from_stop_id"), F.col("f.lat").alias("from_lat"), F.col("f.lon").alias("from_lon"), "to_stop_id", "to_lat", "to_lon", age.alias("age_sec"))
+
+
 def made_probability(slack_sec: Column, transfer_sec: int, sigma_sec: int) -> Column:
     """Probability that a change is made, between .001 and .999."""
     return F.greatest(F.lit(0.001), F.least(F.lit(0.999), normal_cdf((slack_sec - transfer_sec) / F.lit(float(sigma_sec)))))

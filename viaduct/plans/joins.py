@@ -55,13 +55,6 @@ def cancelled_nearby(s, d):
     return jn.range_join(mine, gone, ["stop_id"], "sched_arr_epoch", "c_arr", -45 * MINUTE, 0).where("c_run <> run_id").groupBy("run_id", "stop_sequence").agg(F.count("*").alias("n"))
 
 
-def linked_passages(s, d):
-    """Passages followed by another run at the same stop within 20 minutes."""
-    e = b.stop_events(s, d).where("actual_arr_epoch IS NOT NULL")
-    later = e.select("stop_id", F.col("actual_arr_epoch").alias("n_arr"))
-    return jn.range_join(e.select("stop_id", "run_id", "stop_sequence", "actual_arr_epoch"), later, ["stop_id"], "actual_arr_epoch", "n_arr", 1, 20 * MINUTE, "left_semi").select("run_id", "stop_sequence")
-
-
 def unscored(s, d):
     p = b.predictions(s, d)
     return p.join(b.outcomes(p), "prediction_id", "left_anti").groupBy("model_version").agg(F.count("*").alias("n"))
@@ -157,14 +150,6 @@ def scope(s, d):
     return j.withColumn("next", nxt).where(F.col("stop_sequence").between(F.col("next") - 1, F.col("next") + 2)).select("run_id", "stop_sequence", F.col("next").alias("next_sequence"))
 
 
-def statuses(s, d):
-    e = b.stop_events(s, d)
-    now = 820_454_400_000
-    r = e.groupBy("run_id").agg(F.coalesce(F.bool_and(F.coalesce(F.col("cancelled") == 1, F.lit(False))), F.lit(False)).alias("c"), F.max_by("actual_arr_epoch", "stop_sequence").alias("arr"), F.min_by("actual_dep_epoch", "stop_sequence").alias("dep"), F.min("sched_dep_epoch").alias("sd"), F.max("sched_arr_epoch").alias("sa"))
-    known = lambda c: F.coalesce(F.col(c) <= now, F.lit(False))
-    return r.select("run_id", fu.status(F.col("c"), known("arr"), known("dep"), F.col("sd"), F.col("sa"), now).alias("status"))
-
-
 def expected_arrivals(s, d):
     """Actual, operator's, own or scheduled arrival, and the risk that the spread stands for."""
     p = b.predictions(s, d)
@@ -172,18 +157,6 @@ def expected_arrivals(s, d):
     return p.select("prediction_id", F.coalesce("dest_actual", "operator_eta_epoch", "our_p50", "sched_arr_epoch").alias("expected"), risk.cast("long").alias("risk_sec"))
 
 
-def sweep(s, d):
-    """Precision and recall of a grid of warning rules, each row scored once for all rules by a small join."""
-    e = b.scored(s, d).select((F.col("our_p50") - F.col("sched_arr_epoch")).alias("said"), (F.col("our_p90") - F.col("our_p10")).alias("spread"), (F.col("schedule_error_sec") >= 120).alias("late"))
-    rules = s.createDataFrame([(m, w) for m in (60, 120, 240) for w in (300, 480, 600)], "least_sec int, most_spread int")
-    fired = (F.col("said") >= F.col("least_sec") * 1000) & (F.col("spread") <= F.col("most_spread") * 1000)
-    g = e.groupBy("said", "spread", "late").agg(F.count("*").alias("m")).join(F.broadcast(rules), fired, "inner")  # nine rules
-    total = e.agg(F.sum(F.col("late").cast("long")).alias("all_late"))
-    hits = F.sum(F.when(F.col("late"), F.col("m")).otherwise(0))
-    counts = g.groupBy("least_sec", "most_spread").agg(F.sum("m").alias("fired"), hits.alias("caught"))
-    return counts.join(F.broadcast(total), F.lit(True)).select("least_sec", "most_spread", "fired", "caught", F.round(F.col("caught") / F.col("fired"), 6).alias("precision"), F.round(F.col("caught") / F.col("all_late"), 6).alias("recall"))  # one row
-
-
 QUERIES = {
     "j06_scored_runs": lambda s, d: b.scored(s, d).join(b.runs(s, d).select("run_id", "train_number", "route_id"), "run_id").groupBy("route_id", "model_version").agg(F.count("*").alias("n"), F.round(F.avg(F.abs("our_error_sec")), 4).alias("mae")),
     "j09_connection_pairs": connection_pairs,
@@ -196,14 +169,12 @@ QUERIES = {
     "j17_run_states": run_states,
     "j22_named_nearest": named_nearest,
     "j26_cancelled_nearby": cancelled_nearby,
-    "j27_linked_passages": linked_passages,
     "j29_newest_delay": newest_connecting_delay,
     "j31_coverage": coverage_by_kind,
     "j32_resolve_run": resolved,
     "a07_reliability": reliability,
     "a09_source_coverage": lambda s, d: live.coverage(b.observations(s, d)),
     "a12_network_delay": network_delay,
-    "a19_rule_sweep": sweep,
     "a22_rail_graph": lambda s, d: gr.edges(gr.transitions(b.observations(s, d))),
     "a24_platform_modes": platform_modes,
     "t05_successors": lambda s, d: gr.successors(gr.edges(gr.transitions(b.observations(s, d))), 3),
@@ -213,7 +184,6 @@ QUERIES = {
     "w19_previous_platform": platform_changes,
     "w20_scope": scope,
     "f02_fused_state": lambda s, d: fu.fuse(b.observations(s, d), NOW),
-    "f03_status": statuses,
     "f08_expected_arrival": expected_arrivals,
 }
 
@@ -241,7 +211,6 @@ SELECT run_id, CASE WHEN len(ds) >= 3 THEN list_sort(ds)[len(ds) // 2 + 1] END A
 j AS (SELECT place_id, stop_id, 2 * 6371.0088 * asin(sqrt(pow(sin(radians(stop_lat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(stop_lat)) * pow(sin(radians(stop_lon - lon) / 2), 2))) AS km FROM p JOIN stops ON CAST(substr(stop_id, 2) AS INT) % 20 = k)
 SELECT place_id, arg_min(stop_id, (km, stop_id)) AS stop_id, round(min(km), 4) AS km FROM j WHERE km <= 30 GROUP BY place_id"""),
     "j26_cancelled_nearby": oracle("se", "SELECT a.run_id, a.stop_sequence, count(*) AS n FROM se a JOIN se c ON c.stop_id = a.stop_id AND c.cancelled = 1 AND c.run_id <> a.run_id AND c.sched_arr_epoch - a.sched_arr_epoch BETWEEN -2700000 AND 0 GROUP BY ALL"),
-    "j27_linked_passages": oracle("se", "SELECT run_id, stop_sequence FROM se a WHERE EXISTS (SELECT 1 FROM se n WHERE n.stop_id = a.stop_id AND n.actual_arr_epoch - a.actual_arr_epoch BETWEEN 1 AND 1200000)"),
     "j29_newest_delay": oracle("se ends runs obs", "WITH o AS (SELECT run_id, arg_max(delay_seconds, ts * 1000000 + id) AS delay_seconds FROM obs WHERE delay_seconds IS NOT NULL GROUP BY ALL) SELECT r.run_id, delay_seconds FROM runs r LEFT JOIN o ON o.run_id = r.run_id"),
     "j31_coverage": oracle("obs", "SELECT ts // 900000 * 900000 AS bucket, count(*) AS n_all, count(observed_at) AS n_observed, count(*) FILTER (delay_seconds >= 300) AS n_late FROM obs GROUP BY ALL"),
     "j32_resolve_run": oracle("se ends runs", """WITH w AS (SELECT run_id AS want_id, service_date, train_number, sched_dep_epoch + (run_id % 3) * 300000 AS want_dep FROM runs),
@@ -250,9 +219,6 @@ SELECT w.want_id, f.run_id FROM w LEFT JOIN f ON f.want_id = w.want_id"""),
     "a07_reliability": oracle("se ends runs", "WITH r AS (SELECT train_number, (dest_actual - sched_arr_epoch) // 1000 AS delay FROM runs WHERE dest_actual IS NOT NULL) SELECT train_number, count(*) AS n, " + ", ".join(f"CASE WHEN count(*) >= 20 THEN floor(avg(CAST(delay {c} AS INT)) * 1000 + 0.5) / 10 END AS {n}" for c, n in (("< 180", "on_time_pct"), (">= 300", "late5_pct"), (">= 600", "late10_pct"))) + ", quantile_cont(delay, 0.5) AS median_delay FROM r GROUP BY train_number"),
     "a09_source_coverage": oracle("obs", "SELECT ts // 900000 * 900000 AS bucket, source, count(*) AS n FROM obs GROUP BY ALL"),
     "a12_network_delay": oracle("obs", "SELECT id, round(avg(delay_seconds) OVER (ORDER BY ts RANGE BETWEEN 600000 PRECEDING AND CURRENT ROW), 4) AS mean_delay FROM obs"),
-    "a19_rule_sweep": oracle("se ends pred scored", """WITH g AS (SELECT * FROM (VALUES (60), (120), (240)) a(least_sec), (VALUES (300), (480), (600)) c(most_spread))
-SELECT least_sec, most_spread, count(*) AS fired, CAST(count(*) FILTER (schedule_error_sec >= 120) AS BIGINT) AS caught, round(count(*) FILTER (schedule_error_sec >= 120) / count(*), 6) AS precision, round(count(*) FILTER (schedule_error_sec >= 120) / (SELECT count(*) FROM scored WHERE schedule_error_sec >= 120), 6) AS recall
-FROM scored JOIN g ON our_p50 - sched_arr_epoch >= least_sec * 1000 AND our_p90 - our_p10 <= most_spread * 1000 GROUP BY ALL"""),
     "a22_rail_graph": oracle("obs", f"WITH {MOVES} SELECT from_id, to_id, n, round(n / sum(n) OVER (PARTITION BY from_id), 6) AS p FROM ed"),
     "a24_platform_modes": oracle("se ends runs", "WITH n AS (SELECT stop_id, route_id, platform_actual, count(*) AS n FROM se JOIN runs USING (run_id) GROUP BY ALL) SELECT stop_id, route_id, platform_actual AS platform, round(n / sum(n) OVER (PARTITION BY stop_id, route_id), 6) AS share FROM n QUALIFY row_number() OVER (PARTITION BY stop_id, route_id ORDER BY n DESC, platform_actual) = 1"),
     "t05_successors": oracle("obs", f"WITH {MOVES}, top AS (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY n DESC, to_id) AS rank FROM ed QUALIFY rank <= 3) SELECT from_id, to_id, n, CAST(rank AS INT) AS rank, round(n / sum(n) OVER (PARTITION BY from_id), 6) AS share FROM top"),
@@ -264,7 +230,5 @@ FROM scored JOIN g ON our_p50 - sched_arr_epoch >= least_sec * 1000 AND our_p90
     "f02_fused_state": oracle("obs", f"""WITH {LAST.format(where=f'WHERE ts <= {NOW}')}, st AS (SELECT run_id, count(*) AS sources, max(ts) AS ts, max(delay_seconds) - min(delay_seconds) AS spread_sec, arg_max_null(source, ts * 1000000 + id) AS source, arg_max_null(delay_seconds, ts * 1000000 + id) AS delay_seconds, arg_max_null(location_id, ts * 1000000 + id) AS location_id FROM lat GROUP BY run_id),
 a AS (SELECT *, ({NOW} - ts) // 1000 AS age_sec, coalesce(spread_sec, 0) AS sp FROM st)
 SELECT run_id, sources, source, delay_seconds, location_id, spread_sec, age_sec, CASE WHEN sources >= 2 AND age_sec < 120 AND sp <= 120 THEN 'HIGH' WHEN age_sec < 600 AND sp <= 600 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM a"""),
-    "f03_status": oracle("se", """WITH r AS (SELECT run_id, bool_and(coalesce(cancelled = 1, false)) AS c, arg_max_null(actual_arr_epoch, stop_sequence) AS arr, arg_min_null(actual_dep_epoch, stop_sequence) AS dep, min(sched_dep_epoch) AS sd, max(sched_arr_epoch) AS sa FROM se GROUP BY run_id)
-SELECT run_id, CASE WHEN c THEN 'CANCELLED' WHEN arr <= 820454400000 THEN 'ARRIVED' WHEN dep <= 820454400000 THEN 'RUNNING' WHEN sd > 820454400000 THEN 'SCHEDULED' WHEN sa < 820454400000 THEN 'ARRIVED' ELSE 'RUNNING' END AS status FROM r"""),
     "f08_expected_arrival": oracle("se ends pred", "SELECT prediction_id, coalesce(dest_actual, operator_eta_epoch, our_p50, sched_arr_epoch) AS expected, CAST(least(300, floor(CAST(0.2 AS DOUBLE) * (our_p90 - our_p50) / 1000 + 0.5)) AS BIGINT) AS risk_sec FROM pred"),
 }

@@ -27,6 +27,18 @@ def calendar(s, d):
     return cal, exc.select("service_id", "x.date", F.col("x.t").alias("exception_type"))
 
 
+def calendar_dates(s):
+    """A week of service days: each of the bound services runs on two of three."""
+    k, n = F.col("id"), F.explode(F.sequence(F.lit(0), F.lit(6))).alias("n")
+    rows = s.range(50).select(k, n).withColumn("date", F.date_format(F.date_add(F.to_date(F.lit(DAY), "yyyyMMdd"), F.col("n")), "yyyyMMdd"))
+    return rows.select(F.concat(F.lit("V"), k.cast("string")).alias("service_id"), "date", F.when((k + F.col("n")) % 3 != 0, 1).otherwise(2).alias("exception_type"))
+
+
+def on_calendar(s, d):
+    """Trips with the days on which the calendar has them run."""
+    return sc.running(b.gtfs_trips(s, d).drop("date"), calendar_dates(s))
+
+
 def null_safe_match(s, d):
     """Runs of one train and day that agree on a trip which either side may lack."""
     trip = F.when(F.col("run_id") % 2 == 0, F.col("gtfs_trip_id"))
@@ -85,11 +97,12 @@ def numbers(s, d):
 
 QUERIES = {
     "a01_trip_summaries": lambda s, d: sc.trip_summaries(b.gtfs_stop_times(s, d)),
-    "j01_active_trips": lambda s, d: sc.active_trips(sc.trip_summaries(b.gtfs_stop_times(s, d)), b.gtfs_trips(s, d).withColumn("date", F.lit(DAY)), DAY),
-    "j02_stop_departures": lambda s, d: sc.stop_departures(b.gtfs_stop_times(s, d), b.gtfs_trips(s, d).withColumn("date", F.lit(DAY)), sc.trip_summaries(b.gtfs_stop_times(s, d)), b.stops(s, d), DAY, 30000, 36000, 20),
-    "j03_legs": lambda s, d: sc.legs(b.gtfs_stop_times(s, d), b.gtfs_trips(s, d).withColumn("date", F.lit(DAY)), ["S00001", "S00002", "S00003"], DAY),
+    "j01_active_trips": lambda s, d: sc.active_trips(sc.trip_summaries(b.gtfs_stop_times(s, d)), on_calendar(s, d), DAY),
+    "j02_stop_departures": lambda s, d: sc.stop_departures(b.gtfs_stop_times(s, d), on_calendar(s, d), sc.trip_summaries(b.gtfs_stop_times(s, d)), b.stops(s, d), DAY, 30000, 36000, 20),
+    "j03_legs": lambda s, d: sc.legs(b.gtfs_stop_times(s, d), on_calendar(s, d), ["S00001", "S00002", "S00003"], DAY),
     "j04_terminus_board": lambda s, d: sc.terminus_board(b.gtfs_stop_times(s, d), b.stops(s, d), 30000, 33000),
     "j05_station_volume": lambda s, d: sc.station_volume(b.gtfs_stop_times(s, d), b.gtfs_trips(s, d), b.stops(s, d), DAY_FROM, DAY_TO),
+    "p07_service_day": lambda s, d: on_calendar(s, d).where(F.col("date") == DAY).select("trip_id", "service_id"),
     "src03_validity": lambda s, d: b.gtfs_trips(s, d).select("trip_id", *[c.alias(n) for c, n in zip(sc.validity(F.col("validity")), ("valid_from", "valid_to"), strict=True)]),
     "src04_calendar": lambda s, d: sc.expand_calendar(*calendar(s, d)).select("service_id", F.date_format("date", "yyyyMMdd").alias("date")),
     "src18_holidays": lambda s, d: sc.holidays(s.range(1990, 2060).select(F.col("id").alias("year"))).select(F.date_format("date", "yyyy-MM-dd").alias("date"), "name"),
@@ -145,11 +158,15 @@ SIGHT = """si AS (SELECT p_partkey AS id, ' Bivio/PC ' || (p_partkey % 300) || C
 SLUG = "CASE WHEN {s} = '' THEN 'unnamed' ELSE {s} END".format(s="regexp_replace(regexp_replace(lower(trim(name)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')")
 SECS = "(sched_arr_epoch - generated_at) // 1000"
 
+ON_DAY = f"""cal AS (SELECT 'V' || k AS service_id, strftime(strptime('{DAY}', '%Y%m%d') + to_days(CAST(n AS INT)), '%Y%m%d') AS date, CASE WHEN (k + n) % 3 <> 0 THEN 1 ELSE 2 END AS exception_type FROM range(50) a(k), range(7) c(n)),
+ontrips AS (SELECT t.* FROM trips t JOIN cal c ON c.service_id = t.service_id AND c.date = '{DAY}' AND c.exception_type = 1)"""
+
 ORACLE_SQL = {
+    "p07_service_day": oracle("trips", f"WITH {ON_DAY} SELECT trip_id, service_id FROM ontrips"),
     "a01_trip_summaries": oracle("se times", f"WITH {SUM} SELECT * FROM summ"),
-    "j01_active_trips": oracle("se trips times", f"WITH {SUM}, a AS (SELECT {NUM} AS train_number, trip_id, route_id, regexp_extract(validity, '(\\d{{4}}-\\d{{2}}-\\d{{2}})-(\\d{{4}}-\\d{{2}}-\\d{{2}})$', 1) AS f, regexp_extract(validity, '(\\d{{4}}-\\d{{2}}-\\d{{2}})-(\\d{{4}}-\\d{{2}}-\\d{{2}})$', 2) AS t FROM trips WHERE route_type = 2) SELECT train_number, trip_id, route_id, first_stop_id, last_stop_id, stop_count, dep_sec, arr_sec FROM a JOIN summ USING (trip_id) QUALIFY row_number() OVER (PARTITION BY train_number ORDER BY (f <= '1996-01-01' AND '1996-01-01' <= t) DESC, f DESC, trip_id) = 1"),
-    "j02_stop_departures": oracle("se trips times stops", f"WITH {SUM}, a AS (SELECT t.stop_id, {NUM} AS train_number, trip_id, route_id, departure_sec, stop_name AS headsign, row_number() OVER (PARTITION BY t.stop_id ORDER BY departure_sec, trip_id) AS k FROM times t JOIN trips USING (trip_id) JOIN summ USING (trip_id) LEFT JOIN stops s ON s.stop_id = last_stop_id WHERE route_type = 2 AND departure_sec BETWEEN 30000 AND 36000 AND stop_sequence < stop_count) SELECT stop_id, train_number, trip_id, route_id, departure_sec, headsign FROM a WHERE k <= 20 QUALIFY row_number() OVER (PARTITION BY stop_id, train_number ORDER BY k) = 1"),
-    "j03_legs": oracle("se trips times", "SELECT a.trip_id, a.stop_id AS from_stop_id, x.stop_id AS to_stop_id, a.stop_sequence AS from_seq, x.stop_sequence AS to_seq, a.departure_sec, x.arrival_sec FROM times a JOIN trips USING (trip_id) JOIN times x ON x.trip_id = a.trip_id AND x.stop_sequence > a.stop_sequence WHERE a.stop_id IN ('S00001', 'S00002', 'S00003')"),
+    "j01_active_trips": oracle("se trips times", f"WITH {ON_DAY}, {SUM}, a AS (SELECT {NUM} AS train_number, trip_id, route_id, regexp_extract(validity, '(\\d{{4}}-\\d{{2}}-\\d{{2}})-(\\d{{4}}-\\d{{2}}-\\d{{2}})$', 1) AS f, regexp_extract(validity, '(\\d{{4}}-\\d{{2}}-\\d{{2}})-(\\d{{4}}-\\d{{2}}-\\d{{2}})$', 2) AS t FROM ontrips WHERE route_type = 2) SELECT train_number, trip_id, route_id, first_stop_id, last_stop_id, stop_count, dep_sec, arr_sec FROM a JOIN summ USING (trip_id) QUALIFY row_number() OVER (PARTITION BY train_number ORDER BY (f <= '1996-01-01' AND '1996-01-01' <= t) DESC, f DESC, trip_id) = 1"),
+    "j02_stop_departures": oracle("se trips times stops", f"WITH {ON_DAY}, {SUM}, a AS (SELECT t.stop_id, {NUM} AS train_number, trip_id, route_id, departure_sec, stop_name AS headsign, row_number() OVER (PARTITION BY t.stop_id ORDER BY departure_sec, trip_id) AS k FROM times t JOIN ontrips USING (trip_id) JOIN summ USING (trip_id) LEFT JOIN stops s ON s.stop_id = last_stop_id WHERE route_type = 2 AND departure_sec BETWEEN 30000 AND 36000 AND stop_sequence < stop_count) SELECT stop_id, train_number, trip_id, route_id, departure_sec, headsign FROM a WHERE k <= 20 QUALIFY row_number() OVER (PARTITION BY stop_id, train_number ORDER BY k) = 1"),
+    "j03_legs": oracle("se trips times", f"WITH {ON_DAY} SELECT a.trip_id, a.stop_id AS from_stop_id, x.stop_id AS to_stop_id, a.stop_sequence AS from_seq, x.stop_sequence AS to_seq, a.departure_sec, x.arrival_sec FROM times a JOIN ontrips USING (trip_id) JOIN times x ON x.trip_id = a.trip_id AND x.stop_sequence > a.stop_sequence WHERE a.stop_id IN ('S00001', 'S00002', 'S00003')"),
     "j04_terminus_board": oracle("se times stops", f"WITH {SUM} SELECT t.stop_id, trip_id, stop_sequence, departure_sec, stop_name AS headsign FROM times t JOIN summ USING (trip_id) LEFT JOIN stops s ON s.stop_id = last_stop_id WHERE departure_sec BETWEEN 30000 AND 33000"),
     "j05_station_volume": oracle("se trips times stops", f"SELECT stop_id, stop_name, count(DISTINCT trip_id) AS departures FROM times JOIN trips USING (trip_id) JOIN stops USING (stop_id) WHERE route_type = 2 AND date BETWEEN '{DAY_FROM}' AND '{DAY_TO}' GROUP BY 1, 2"),
     "src03_validity": oracle("trips", "SELECT trip_id, substr(validity, 3, 10) AS valid_from, substr(validity, 14, 10) AS valid_to FROM trips"),
@@ -205,3 +222,4 @@ ORACLE_SQL = {
     "fn_normal_cdf": "WITH x AS (SELECT DISTINCT (l_quantity - 25) / 8 AS x FROM lineitem), t AS (SELECT x, abs(x) / sqrt(2.0) AS z, 1 / (1 + 0.3275911 * abs(x) / sqrt(2.0)) AS t FROM x) SELECT x, round(0.5 * (1 + sign(x) * (1 - (0.254829592 * t - 0.284496736 * t * t + 1.421413741 * t * t * t - 1.453152027 * t * t * t * t + 1.061405429 * t * t * t * t * t) * exp(-z * z))), 6) AS p FROM t",
     "fn_quantile_cdf": oracle("se ends pred scored", "SELECT prediction_id, round(greatest(0.02, least(0.98, CASE WHEN actual_arr_epoch <= our_p50 THEN 0.1 + 0.4 * (actual_arr_epoch - our_p10) / greatest(1, our_p50 - our_p10) ELSE 0.5 + 0.4 * (actual_arr_epoch - our_p50) / greatest(1, our_p90 - our_p50) END)), 6) AS p FROM scored"),
 }
+ORACLE_SQL["snk07_round_trip"] = f"SELECT *, CAST(1 AS BIGINT) AS more, 'left' AS side FROM ({ORACLE_SQL['snk05_export']}) WHERE false"

@@ -132,22 +132,18 @@ def source_histogram(s, d):
     return b.observations(s, d).rollup("source").agg(F.count("*").alias("n"), F.grouping("source").alias("g")).select(F.when(F.col("g") == 1, "total").otherwise(F.col("source")).alias("source"), "n")
 
 
-def latent_study(s, d):
-    """Shares of a stop's passages that are followed by one and by two others within 20 minutes, or collide, and a verdict."""
-    e = b.stop_events(s, d).where("actual_arr_epoch IS NOT NULL")
-    w = Window.partitionBy("stop_id").orderBy("actual_arr_epoch", "run_id", "stop_sequence")
-    within = lambda k, limit: F.coalesce(F.lead("actual_arr_epoch", k).over(w) - F.col("actual_arr_epoch") < limit, F.lit(False)).cast("double")
-    e = e.select("stop_id", within(1, 20 * MINUTE).alias("l2"), within(2, 20 * MINUTE).alias("l3"), within(1, 90_000).alias("hit"))
-    pct = lambda c: F.round(F.avg(c) * 100, 4)
-    g = e.groupBy("stop_id").agg(F.count("*").alias("passages"), pct("l2").alias("link2_pct"), pct("l3").alias("link3_pct"), pct("hit").alias("collision_pct"))
-    return g.withColumn("go", (F.col("link2_pct") >= 60) & (F.col("collision_pct") <= 10))
+def boardable_run():
+    """Whether a run can be boarded at noon of its day: its state, departure and delay follow from its number."""
+    status = F.get(F.array(*map(F.lit, ("running", "arrived", "cancelled", "scheduled"))), (F.col("run_id") % 4).cast("int"))
+    noon = F.floor(F.col("sched_arr_epoch") / DAY) * DAY + DAY // 2
+    return sv.boardable(status, F.when(F.col("run_id") % 5 == 0, F.col("generated_at")), F.col("generated_at"), F.col("run_id") % 7 * 60, noon)
 
 
 def ranked_journeys(s, d):
     """Trains to a destination on a day, ranked."""
     p = b.predictions(s, d).where("model_version = 'heuristic-v1'")
     risk = F.least(F.lit(300), F.floor(0.2 * (F.col("our_p90") - F.col("our_p50")) / 1000 + 0.5)).cast("long")
-    options = p.select("stop_id", F.floor(F.col("sched_arr_epoch") / DAY).alias("day"), "run_id", F.coalesce("operator_eta_epoch", "our_p50").alias("expected"), risk.alias("risk_sec"), F.col("generated_at").alias("dep"), (F.col("run_id") % 3 != 0).alias("boardable"))
+    options = p.select("stop_id", F.floor(F.col("sched_arr_epoch") / DAY).alias("day"), "run_id", F.coalesce("operator_eta_epoch", "our_p50").alias("expected"), risk.alias("risk_sec"), F.col("generated_at").alias("dep"), boardable_run().alias("boardable"))
     return sv.rank_journeys(options, ["stop_id", "day"]).select("stop_id", "day", "run_id", "rank", "recommended")
 
 
@@ -219,7 +215,6 @@ QUERIES = {
     "a18_evidence": lambda s, d: sv.evidence(traversals(s, d), "from_stop_id"),
     "a21_change_rate": change_rate,
     "a26_source_histogram": source_histogram,
-    "a31_latent_study": latent_study,
     "t04_journey_ranking": ranked_journeys,
     "f01_trust": trust,
     "f05_inferred_location": inferred_location,
@@ -274,11 +269,8 @@ SELECT service_date, se.run_id, train_number, stop_id, stop_sequence, se.sched_d
 g AS (SELECT from_stop_id, count(DISTINCT run_id) AS trains, count(*) FILTER (delay_delta_sec >= 600) AS severe, round(quantile_cont(delay_delta_sec, 0.5), 6) AS median_delta, max(delay_delta_sec) AS max_delta FROM seg GROUP BY 1) SELECT * FROM g LEFT JOIN w USING (from_stop_id)"""),
     "a21_change_rate": oracle("obs", f"SELECT source, count(*) AS n, count(delay_seconds) AS delays FROM obs WHERE ts > {NOW - 3600000} AND ts <= {NOW} GROUP BY 1"),
     "a26_source_histogram": oracle("obs", "SELECT coalesce(source, 'total') AS source, count(*) AS n FROM obs GROUP BY ROLLUP (source)"),
-    "a31_latent_study": oracle("se", """WITH l AS (SELECT stop_id, lead(actual_arr_epoch) OVER w - actual_arr_epoch AS g2, lead(actual_arr_epoch, 2) OVER w - actual_arr_epoch AS g3 FROM se WHERE actual_arr_epoch IS NOT NULL WINDOW w AS (PARTITION BY stop_id ORDER BY actual_arr_epoch, run_id, stop_sequence)),
-g AS (SELECT stop_id, count(*) AS passages, round(count(*) FILTER (g2 < 1200000) / count(*) * 100, 4) AS link2_pct, round(count(*) FILTER (g3 < 1200000) / count(*) * 100, 4) AS link3_pct, round(count(*) FILTER (g2 < 90000) / count(*) * 100, 4) AS collision_pct FROM l GROUP BY 1)
-SELECT *, link2_pct >= 60 AND collision_pct <= 10 AS go FROM g"""),
-    "t04_journey_ranking": oracle("se ends pred", f"""WITH o AS (SELECT stop_id, sched_arr_epoch // {DAY} AS day, run_id, row_number() OVER (PARTITION BY stop_id, sched_arr_epoch // {DAY} ORDER BY coalesce(operator_eta_epoch, our_p50) + {RISK} * 1000, generated_at, run_id) AS rank FROM pred WHERE model_version = 'heuristic-v1')
-SELECT stop_id, day, run_id, CAST(rank AS INT) AS rank, coalesce(rank = min(rank) FILTER (run_id % 3 <> 0) OVER (PARTITION BY stop_id, day), false) AS recommended FROM o"""),
+    "t04_journey_ranking": oracle("se ends pred", f"""WITH o AS (SELECT stop_id, sched_arr_epoch // {DAY} AS day, run_id, generated_at, row_number() OVER (PARTITION BY stop_id, sched_arr_epoch // {DAY} ORDER BY coalesce(operator_eta_epoch, our_p50) + {RISK} * 1000, generated_at, run_id) AS rank FROM pred WHERE model_version = 'heuristic-v1')
+SELECT stop_id, day, run_id, CAST(rank AS INT) AS rank, coalesce(rank = min(rank) FILTER (run_id % 4 IN (0, 3) AND run_id % 5 <> 0 AND generated_at + (run_id % 7) * 60000 >= day * 86400000 + 43170000) OVER (PARTITION BY stop_id, day), false) AS recommended FROM o"""),
     "f01_trust": oracle("obs", f"""WITH {LAST.format(where='')}, c AS (SELECT *, CASE source WHEN 'mia' THEN CASE WHEN run_id % 5 = 0 THEN 2 ELSE 3 END WHEN 'viaggiatreno' THEN 2 ELSE 1 END AS level FROM lat WHERE delay_seconds IS NOT NULL),
 k AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY level DESC, ts DESC, source) AS k FROM c), p AS (SELECT a.run_id, a.source AS s1, a.delay_seconds AS v1, a.ts AS t1, z.source AS s2, z.delay_seconds AS v2, z.ts AS t2 FROM k a LEFT JOIN k z ON z.run_id = a.run_id AND z.k = 2 WHERE a.k = 1)
 SELECT run_id, CASE WHEN abs(v1 - v2) <= 60 AND t2 > t1 THEN s2 ELSE s1 END AS source, CASE WHEN abs(v1 - v2) <= 60 AND t2 > t1 THEN v2 ELSE v1 END AS value, abs(v1 - v2) AS disagreement FROM p"""),
