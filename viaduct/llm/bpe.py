@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from viaduct.llm.common import bounded_batches, cut_lineage
+from viaduct.llm.common import bounded, cut_lineage
 
 # Unicode White_Space, which differs from Python's \s by the separators 1C to 1F.
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -353,11 +353,10 @@ class Transducer:
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, n): occurrences of every word over all documents.  Null texts have no words."""
-    bounded_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
-        for batch in batches:
+        for batch in bounded(batches):
             for text in batch.column(0).to_pylist():
                 for part in slices(text or ""):
                     seen.update(_WORD.findall(part))
@@ -391,8 +390,10 @@ def build_lexicon(docs: DataFrame, spec: bytes, text_col: str = "text", words: i
 def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", words: int = LEXICON_WORDS) -> DataFrame:
     """Encodes each whole text and decodes its ids again.
 
-    Returns id_col, ``ids`` (binary, little-endian uint32) and ``decoded`` (string), one row per input row.  Null text: empty; null ids and repeated rows pass
-    through; empty table: no rows.  Extra columns of the input are ignored.
+    Returns id_col, ``ids`` (binary, little-endian uint32) and ``decoded`` (string), one row per input
+    row.  Null text: empty; null ids and repeated rows pass through; a very long text is encoded whole,
+    in slices cut where encoding cannot notice; an empty table gives no rows; extra columns of the
+    input are ignored.
     """
     return _with_ids(docs, tokenizer_path, id_col, text_col, words, digests=False)
 
@@ -407,11 +408,10 @@ def _with_ids(docs: DataFrame, path: str, id_col: str, text_col: str, words: int
     with open(path, "rb") as f:
         spec = f.read()
     held = spark.sparkContext.broadcast((spec, build_lexicon(docs, spec, text_col, words)))  # a vocabulary file and at most `words` entries
-    bounded_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(*held.value)
-        for batch in batches:
+        for batch in bounded(batches):
             packed = enc.encode(batch.column(1).to_pylist())
             decoded = map(enc.decode, packed)
             if digests:

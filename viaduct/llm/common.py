@@ -3,29 +3,53 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_ROWS = 1024
 BATCH_BYTES = 16 << 20
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Keep an Arrow batch of whole texts to about 16 MB, unless the session has its own setting."""
-    for key, default, value in (
-        ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", BATCH_ROWS),
-        ("spark.sql.execution.arrow.maxBytesPerBatch", None, BATCH_BYTES),
-    ):
-        if spark.conf.get(key, default) in (default, None):
-            spark.conf.set(key, str(value))
+def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, about BATCH_ROWS rows or BATCH_BYTES each.
+
+    Spark bounds a batch by its own settings (64 MB by default, or one row); what Python holds of it
+    at a time is bounded here, so no setting of the session has to change.
+    """
+    for batch in batches:
+        parts = max(1, -(-batch.num_rows // BATCH_ROWS), -(-batch.nbytes // BATCH_BYTES))
+        step = max(1, -(-batch.num_rows // parts))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
+def fresh(name: str, *taken: DataFrame) -> str:
+    """``name``, lengthened until no column of ``taken`` has it (in any case)."""
+    names = {c.lower() for df in taken for c in df.columns}
+    while name.lower() in names:
+        name += "_"
+    return name
+
+
+def every_column(df: DataFrame) -> list[Column]:
+    """All columns by name, whatever signs the names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and read it from there."""
+    """Write ``df`` once to the checkpoint folder that the cluster shares, and read it from there.
+
+    Without spark.checkpoint.dir a local session takes a temporary folder; a cluster is an error.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("-ckpt"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the cluster shares")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp("-ckpt"))
     return df.checkpoint()
 
 
@@ -38,9 +62,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     ``edges`` has long columns ``a`` and ``b``.  Returns one row (``node``, ``root``) for each node
     that has an edge to another node; root is the smallest node of its component.  Alternates the
-    large-star and small-star steps (both are grouped minima, so a hub of any degree is aggregated
-    map-side first) until the edge set no longer changes.  Self loops are ignored, null ends are
-    dropped.  Every round is cut with a reliable checkpoint.
+    large-star and small-star steps until the edge set no longer changes.  The minima of a hub are
+    aggregated map-side; its edges meet their minimum in a join whose hot keys the adaptive skew join
+    splits.  Self loops are ignored, null ends are dropped.  Every round is cut with a reliable
+    checkpoint.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     pairs = cut_lineage(pairs)

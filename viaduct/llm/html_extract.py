@@ -12,10 +12,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from viaduct.llm.common import bounded_batches
+from viaduct.llm.common import bounded
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+# Comments, declarations and tags as the HTML standard reads them: a quote opens a value only where a
+# value begins, so a stray one ends with its word.  Possessive, so no input makes it backtrack.
+_VALUE = r"""(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+)"""
+_MARKUP = re.compile(
+    rf"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|=?[^\s/>=]*+(?:\s*+=\s*+{_VALUE})?+(?<![\s/])|=)*+)(?:>|\Z)""", re.S
+)
+_ATTRIBUTE = re.compile(r"""([^\s/>=]++)(?:\s*+=\s*+(?:"([^"]*+)"?|'([^']*+)'?|([^\s>"'][^\s>]*+)))?+""")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 _BLOCK = frozenset(
@@ -34,7 +39,14 @@ _UNLIKELY = re.compile(
     r"|comments?|comment-?list|disqus|replies|respond|responses|discussion|share|sharing|social\w*|related|recommend\w*|read-?more|more-?stories|trending|popular|pagination|pager|widget\w*|skip-?link|toolbar|tags|byline-?share|search\w*|feedback|form)(?:$|[\s_-])",
     re.I,
 )
+# Words for what readers add, which may be longer than the article itself.
+_READERS = re.compile(r"(?:^|[\s_-])(?:comments?|comment-?list|disqus|replies|respond|responses|discussion)(?:$|[\s_-])", re.I)
+# Beginnings of names that tell a state of the page, such as has-sidebar.
+_STATES = ("has-", "with-", "no-", "without-", "is-", "hide-", "show-", "has_", "with_", "no_", "without_", "is_")
+_HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+_BESIDE = frozenset("ul ol dl table blockquote pre figure".split())
+_OWN_TEXT = frozenset("p pre h1 h2 h3 h4 h5 h6 li td dd dt blockquote figcaption".split())
 _START = {"article": 10, "main": 8, "section": 3, "div": 5, "blockquote": 3, "td": 3, "pre": 3, "body": 0, "ul": -3, "ol": -3, "dl": -3, "address": -3, "th": -5}
 _LEVELS = 5
 
@@ -45,6 +57,7 @@ class _Node:
     parent: int
     article: int  # nearest enclosing article or main, itself included, else -1
     dropped: bool
+    doubt: str = ""  # named like something beside the article: "named", or "readers" for comments
     score: float = 0.0
     size: int = 0
     linked: int = 0
@@ -57,21 +70,29 @@ class _Page:
     blocks: list[tuple[int, str]] = field(default_factory=list)  # (node, text) in page order
 
 
-def _unlikely(tag: str, attributes: str) -> bool:
-    """Whether an element is hidden or named like something beside the article."""
+def _standing(tag: str, attributes: str) -> str:
+    """``hidden``, ``readers`` or ``named`` for an element that its attributes put beside the article."""
+    out = ""
     if not attributes or attributes.isspace():
-        return False
+        return out
     for m in _ATTRIBUTE.finditer(attributes):
-        name, value = m.group(1).lower(), html.unescape(m.group(2) or m.group(3) or m.group(4) or "")
+        name = m.group(1).lower()
+        if name not in ("class", "id", "role", "hidden", "aria-hidden", "style"):
+            continue
+        value = html.unescape(m.group(2) or m.group(3) or m.group(4) or "")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return "hidden"
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return "hidden"
         if name == "role" and value.strip().lower() in _ROLES:
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", "main") and _UNLIKELY.search(value):
-            return True
-    return False
+            out = out or "named"
+        if name in ("class", "id") and tag not in ("html", "body", "main"):
+            words = " ".join(_HUMP.sub("-", w) for w in value.split() if not w.lower().startswith(_STATES))
+            if _READERS.search(words):
+                out = "readers"
+            elif _UNLIKELY.search(words):
+                out = out or "named"
+    return out
 
 
 def _parse(source: str) -> _Page:
@@ -80,6 +101,7 @@ def _parse(source: str) -> _Page:
     nodes, stack, opened = page.nodes, [0], Counter()
     words: list[str] = []
     links = anchors = 0
+    muted, muted_at, nested = "", 0, 0  # an inline element whose text does not count, and the depth it is at
     at, n = 0, len(source)
 
     def flush() -> None:
@@ -98,6 +120,12 @@ def _parse(source: str) -> _Page:
             node = stack.pop()
             nodes[node].end = len(nodes)
             opened[nodes[node].tag] -= 1
+        if muted and k < muted_at:
+            unmute()
+
+    def unmute() -> None:
+        nonlocal muted
+        muted = ""
 
     def find(tags: set[str], stop: set[str] = frozenset()) -> int:
         for k in range(len(stack) - 1, 0, -1):
@@ -110,7 +138,7 @@ def _parse(source: str) -> _Page:
 
     def text(raw: str) -> None:
         nonlocal links
-        if raw:
+        if raw and not muted:
             raw = html.unescape(raw) if "&" in raw else raw
             words.append(raw)
             if anchors:
@@ -124,8 +152,6 @@ def _parse(source: str) -> _Page:
         text(source[at : m.start()])
         at = m.end()
         if not m.group(2):
-            if m.group().startswith("<![CDATA["):
-                text(m.group()[9:].removesuffix("]]>"))
             continue
         tag, closing = m.group(2).lower(), bool(m.group(1))
         if tag == "a":
@@ -138,7 +164,13 @@ def _parse(source: str) -> _Page:
             words.append("\n")
             continue
         if tag not in _BLOCK and tag not in _DROPPED:
-            continue  # inline elements are transparent
+            if muted and tag == muted:
+                nested += -1 if closing else 1
+                if not nested:
+                    muted = ""
+            elif not muted and not closing and tag not in _VOID and _standing(tag, m.group(3)):
+                muted, muted_at, nested = tag, len(stack), 1
+            continue  # other inline elements are transparent
         if tag in _VOID:
             continue
         if closing:
@@ -155,10 +187,11 @@ def _parse(source: str) -> _Page:
         if tag in _CLOSES and (k := find(_CLOSES[tag], _SCOPE.get(tag, set()))):
             close(k)
         parent = nodes[stack[-1]]
-        dropped = parent.dropped or tag in _DROPPED or tag == "header" and parent.article < 0 or _unlikely(tag, m.group(3))
+        standing = _standing(tag, m.group(3))
+        dropped = parent.dropped or tag in _DROPPED or tag == "header" and parent.article < 0 or standing == "hidden" or bool(muted)
         me = len(nodes)
         article = me if tag in ("article", "main") and not dropped and (parent.article < 0 or nodes[parent.article].tag == "main") else parent.article
-        nodes.append(_Node(tag, stack[-1], article, dropped, float(_START.get(tag, 0))))
+        nodes.append(_Node(tag, stack[-1], article, dropped, standing, float(_START.get(tag, 0))))
         stack.append(me)
         opened[tag] += 1
         if m.group().endswith("/>") and tag in ("svg", "math", "canvas", "object"):
@@ -168,6 +201,37 @@ def _parse(source: str) -> _Page:
     return page
 
 
+def _judge_names(page: _Page, points: list[float]) -> _Page:
+    """The page without what is named like something beside the article.
+
+    An element by such a name stays if it holds an article or main element or over half of the page's
+    points (what readers add: only the former), and all names are forgiven if they leave no text.
+    """
+    nodes = page.nodes
+    weight, holds = [0.0] * len(nodes), [not x.dropped and x.tag in ("article", "main") for x in nodes]
+    for (node, _), p in zip(page.blocks, points, strict=True):
+        weight[node] += p
+    for k in range(len(nodes) - 1, 0, -1):
+        weight[nodes[k].parent] += weight[k]
+        holds[nodes[k].parent] |= holds[k]
+    gone, k = [False] * len(nodes), 1
+    while k < len(nodes):
+        node = nodes[k]
+        inside = node.doubt and holds[k]
+        if node.doubt and not inside and (node.doubt == "readers" or 2 * weight[k] <= weight[0]):
+            gone[k : node.end] = [True] * (node.end - k)
+            k = node.end
+        else:
+            k += 1
+    blocks = [x for x in page.blocks if not gone[x[0]]]
+    if not blocks:
+        return page
+    for k, node in enumerate(nodes):
+        if gone[k]:
+            node.dropped, node.size, node.linked, node.score = True, 0, 0, 0.0
+    return _Page(nodes, blocks)
+
+
 def main_text(source: str | None) -> str:
     """The blocks of the best container and its fitting siblings, joined by empty lines.
 
@@ -179,9 +243,11 @@ def main_text(source: str | None) -> str:
         return ""
     page = _parse(source)
     nodes = page.nodes
+    worth_of = lambda node, text: (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - nodes[node].linked / max(nodes[node].size, 1))
+    page = _judge_names(page, [worth_of(*x) for x in page.blocks])
     for node, text in page.blocks:
-        points = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - nodes[node].linked / max(nodes[node].size, 1))
-        at = node if nodes[node].tag not in ("p", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "dd", "dt", "blockquote", "figcaption") else nodes[node].parent
+        points = worth_of(node, text)
+        at = nodes[node].parent if nodes[node].tag in _OWN_TEXT else node
         for _ in range(_LEVELS):
             if at < 0:
                 break
@@ -198,41 +264,39 @@ def main_text(source: str | None) -> str:
     live |= {nodes[b].parent for b in live if nodes[b].parent >= 0}
     worth = {k: nodes[k].score * (1 - linked[k] / max(size[k], 1)) for k in live}
     best = max(worth, key=lambda k: (worth[k], -k))
-    if nodes[best].article >= 0:
-        kept = [nodes[best].article]
-        top = kept[0]
-    else:
-        top, kept = best, [best]
-    above = nodes[top].parent
+    top = nodes[best].article if nodes[best].article >= 0 else best
+    kept, above = [top], nodes[top].parent
     if above >= 0:
         least = max(10.0, 0.2 * worth.get(best, 0.0))
         k = above + 1
         while k < nodes[above].end:
             node = nodes[k]
-            if k != top and not node.dropped:
-                density = linked[k] / max(size[k], 1)
+            if k != top and not node.dropped and size[k]:
+                density = linked[k] / size[k]
                 sibling = node.score * (1 - density) >= least and node.tag in ("article", "section", "div", "main")
-                paragraph = node.tag == "p" and nodes[top].tag != "article" and size[k] and density < 0.25 and (size[k] > 80 or density == 0)
-                heading = node.tag in ("h1", "h2", "h3") and nodes[top].tag != "article" and size[k] and density < 0.25
-                if sibling or paragraph or heading:
+                loose = nodes[top].tag != "article" and density < 0.25
+                paragraph = loose and node.tag == "p" and (size[k] > 80 or density == 0)
+                if sibling or paragraph or loose and (node.tag in ("h1", "h2", "h3") or node.tag in _BESIDE):
                     kept.append(k)
             k = max(node.end, k + 1)
-    spans = sorted((k, max(nodes[k].end, k + 1)) for k in kept)
+    chosen = bytearray(len(nodes))
+    for k in kept:
+        end = max(nodes[k].end, k + 1)
+        chosen[k:end] = b"\1" * (end - k)
     loose = above if above >= 0 and nodes[top].tag not in ("article", "main") else -2
-    chosen = [text for node, text in page.blocks if any(a <= node < b for a, b in spans) or node == loose and len(text) > 80]
-    return "\n\n".join(chosen)
+    return "\n\n".join(text for node, text in page.blocks if chosen[node] or node == loose and len(text) > 80)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id_col, url_col, text, n_chars) of every page.
 
     Null and blank html and pages without text give an empty text; null ids and urls pass through;
-    repeated rows each get a row; an empty table gives no rows; other columns are ignored.
+    repeated rows each get a row; a very long page is parsed whole; an empty table gives no rows; other
+    columns are ignored.
     """
-    bounded_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             texts = [main_text(x) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["id", "url", "text", "n_chars"])
 

@@ -11,8 +11,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from viaduct.llm.common import bounded_batches
+from viaduct.llm.common import bounded, every_column, fresh
 
 BUCKET_BITS = 16
 SAMPLE_ROWS = 3000
@@ -39,8 +40,8 @@ def codewords(classes: int, seed: int = 5) -> np.ndarray:
 
 def grams(raw: bytes) -> Iterator[np.ndarray]:
     """Buckets of all byte trigrams of a text with A-Z lower-cased and a space at either end."""
-    for at in range(0, len(raw) + 1, SLICE_BYTES):
-        part = (b" " if not at else raw[at - 2 : at]) + raw[at : at + SLICE_BYTES] + (b" " if at + SLICE_BYTES >= len(raw) else b"")
+    for at in range(0, max(len(raw), 1), SLICE_BYTES):
+        part = b" " * (at < 2) + raw[max(at - 2, 0) : at] + raw[at : at + SLICE_BYTES] + (b" " if at + SLICE_BYTES >= len(raw) else b"")
         x = _LOWER[np.frombuffer(part, np.uint8)].astype(np.uint32)
         if len(x) > 2:
             yield ((x[:-2] << np.uint32(16) | x[1:-1] << np.uint32(8) | x[2:]) * np.uint32(2654435761) >> np.uint32(32 - BUCKET_BITS)).astype(np.int64)
@@ -85,7 +86,6 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
     languages on a side weigh the same; a second pass over the sample finds each bit's scale and how
     far it can be trusted.  What reaches the driver are sums for each language and bucket.
     """
-    bounded_batches(docs.sparkSession)
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(counts)
@@ -99,7 +99,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((len(languages), 1 << BUCKET_BITS), np.int64)
         place = {k: n for n, k in enumerate(languages)}
-        for batch in batches:
+        for batch in bounded(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for idx in grams((text or "").encode()):
                     seen[place[lang]] += np.bincount(idx, minlength=1 << BUCKET_BITS)
@@ -115,7 +115,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {k: n for n, k in enumerate(languages)}
-        for batch in batches:
+        for batch in bounded(batches):
             side = [(code[place[lang]], model.margins(text.encode())) for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if text]
             if side:
                 toward = np.array([c * m for c, m in side])
@@ -129,25 +129,27 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
     return model
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """(id_col, lang_pred, score, ambiguous) for every row, or all columns of ``docs`` with these if ``keep``.
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", into: str | None = None) -> DataFrame:
+    """(id_col, lang_pred, score, ambiguous) for every row, or all columns of ``docs`` and these three
+    as one struct named ``into``.
 
     Null texts and texts without a letter are ``und`` with score 0, as is every text if no language
     was learned.  Ambiguous: no language has half of the weight.  Null ids and repeated rows pass
-    through; an empty table gives no rows.
+    through; an empty table gives no rows; a very long text is read whole, a slice at a time, and
+    gets what it would get in one piece.
     """
-    bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # languages times buckets
+    shape = "lang_pred string, score double, ambiguous boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [held.value.predict(t) for t in batch.column("viaduct_text").to_pylist()]
-            lang, score, ambiguous = zip(*got, strict=True) if got else ((), (), ())
-            kept = [c for c in batch.schema.names if c != "viaduct_text"]
-            columns = [*(batch.column(c) for c in kept), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(ambiguous, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, [*kept, "lang_pred", "score", "ambiguous"])
-
-    made = ("lang_pred", "score", "ambiguous")
-    kept = docs.select(*[c for c in docs.columns if c not in made]) if keep else docs.select(id_col)
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return docs.select(*kept.columns, F.col(text_col).alias("viaduct_text")).mapInArrow(run, f"{shape}, lang_pred string, score double, ambiguous boolean")
+        kinds = (pa.string(), pa.float64(), pa.bool_())
+        for batch in bounded(batches):
+            got = [held.value.predict(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            made = pa.StructArray.from_arrays([pa.array([g[k] for g in got], kind) for k, kind in enumerate(kinds)], ["lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], [*batch.schema.names[:-1], verdict])
+
+    kept = docs.select(*every_column(docs)) if into else docs.select(id_col)
+    verdict, text = into or fresh("verdict", kept), fresh("text", kept)
+    schema = T.StructType([*kept.schema.fields, T.StructField(verdict, T.StructType.fromDDL(shape))])
+    out = docs.select(*every_column(kept), F.col(text_col).alias(text)).mapInArrow(run, schema)
+    return out if into else out.select(id_col, f"{verdict}.*")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from viaduct.llm.bpe import encoder
-from viaduct.llm.common import bounded_batches
+from viaduct.llm.common import bounded
 
 END = b"\0\0\0\0"  # id 0 closes every document
 
@@ -105,14 +105,15 @@ def pack(
     text_col: str = "text",
     prompt_tokens_col: str | None = None,
     max_tokens: int = 1024,
-    max_segments: int = 64,
+    max_segments: int = 1024,
     max_loss_tokens: int | None = None,
 ) -> DataFrame:
     """Packs all documents into sequences; returns a row for each piece of a document.
 
     Columns: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset.  A document is its
     ids and a closing id 0.  ``prompt_tokens_col`` names how many leading tokens bear no loss (null
-    or absent: none), ``max_loss_tokens`` limits the others in a sequence (default: max_tokens).
+    or absent: none), ``max_loss_tokens`` limits the others in a sequence (default: max_tokens) and
+    ``max_segments`` the pieces; at its default it binds only where every piece is one token.
 
     Every task packs its own partition as it streams through, so there is no shuffle and memory holds
     one Arrow batch.  What a partition's end or another limit leaves below max_tokens is cut into sequences whose
@@ -120,10 +121,10 @@ def pack(
     times 2**33 plus a counter, so a task that runs again gives the same rows.
 
     Null text: empty, one piece of the closing id.  Null ids pass through; repeated rows are packed
-    as rows of their own; an empty table gives no rows; other columns are ignored.
+    as rows of their own; a very long text is encoded whole and fills sequences of its own before its
+    rest joins the others; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     with open(tokenizer_path, "rb") as f:
         held = spark.sparkContext.broadcast(f.read())  # a vocabulary file
     limits = (max_tokens, max_segments, max_loss_tokens or max_tokens)
@@ -149,7 +150,7 @@ def pack(
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], kind), *(pa.array(c, pa.int64()) for c in columns[1:])], names)
 
-        for batch in batches:
+        for batch in bounded(batches):
             kind = batch.schema.field(0).type
             ids = batch.column(0).to_pylist()
             prompts = batch.column(2).to_pylist()

@@ -64,11 +64,11 @@ def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(remainder(4) != 2))
-    return langid.identify(docs, model).select("doc_id", F.coalesce(remainder(4) == 2, F.lit(True)).alias("held_out"), "lang_pred", "score")
+    return langid.identify(docs, model).select("doc_id", F.coalesce(remainder(4) == 2, F.lit(True)).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive_round_trip(read_table(spark, sf_dir, "pages")).drop("capture")
+    return warc.archive_round_trip(read_table(spark, sf_dir, "pages"), payloads=False).drop("intact")
 
 
 OP1_SQL = """
