@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -13,49 +14,56 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from viaduct.llm.common import bounded_batches, cut_lineage
+from viaduct.llm.common import bounded, cut_lineage, every_column, fresh
 
 TOXIC_ROWS = 4000
 CLEAN_ROWS = 12_000
 LEAST_SUPPORT = 6
 LEAST_WEIGHT = 3.0
-MOST_CANDIDATES = 20_000
-MOST_ENTRIES = 2000
-MOST_EXCEPTIONS = 1000
-PREFIX = (4, 12)
-SLICE_CHARS = 1 << 20
+BEGINNING = (3, 12)
+BREAK = "|"
 
 # Letters that look like Latin ones, and signs that stand for letters inside words.
 _LOOK_ALIKE = str.maketrans("абвеікмнорстухѕјһԁԛԝαβεικνορτυχωı", "abbeikmhopctyxsjhdqwabeikvoptuxwi")
+_LIKE = re.compile(f"[{''.join(map(chr, _LOOK_ALIKE))}]")
 _STAND_IN = str.maketrans("013457@$", "oieasta" + "s")
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
-_MIXED = re.compile(r"(?=[\w@$]*[^\W\d_])[\w@$]*[013457@$][\w@$]*")
-_WORD = re.compile(r"[^\W\d_]+")
+_HAS_STAND_IN = re.compile("[013457@$]")
+_MIXED = re.compile(r"(?<![\w@$])[^\W013457]*+[013457@$][\w@$]*+")
+_ASCII = str.maketrans({chr(k): chr(k).lower() if chr(k).isalpha() else BREAK if chr(k).isdigit() or chr(k) in "_\n" else " " for k in range(128)})
+_STOPS = re.compile(r"[\d_\n]+")
+_GAPS = re.compile(rf"[^\w{BREAK}]+")
 
 
 def fold(text: str) -> str:
-    """Lower case, compatibility forms, look-alike letters, and digits that stand for letters in words."""
-    text = unicodedata.normalize("NFKC", text).lower()
-    if not text.isascii():
-        text = _INVISIBLE.sub("", text).translate(_LOOK_ALIKE)
-    return _MIXED.sub(lambda m: m.group().translate(_STAND_IN), text)
-
+    """The words of a text in lower case, each between two spaces.
 
-def _pieces(text: str) -> Iterator[str]:
-    """A long text in pieces that end at white space."""
-    at = 0
-    while at < len(text):
-        end = at + SLICE_CHARS
-        while end < len(text) and not text[end].isspace():
-            end += 1
-        yield text[at:end]
-        at = end
+    Compatibility forms and look-alike letters become Latin ones, and digits and signs that stand for
+    letters inside words become those.  Digits by themselves and line ends become BREAK, which no
+    phrase crosses; other signs between words are one space.
+    """
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text).lower()
+        text = _INVISIBLE.sub("", text)
+        if _LIKE.search(text):
+            text = text.translate(_LOOK_ALIKE)
+    if _HAS_STAND_IN.search(text):
+        text = _MIXED.sub(lambda m: m.group().translate(_STAND_IN) if m.group().strip("0123456789_@$") else m.group(), text)
+    if text.isascii():
+        text = text.translate(_ASCII)
+    else:
+        text = _GAPS.sub(" ", _STOPS.sub(BREAK, text.replace(BREAK, " ")))
+    return f" {' '.join(text.replace(BREAK, f' {BREAK} ').split())} "
 
 
 @dataclass
 class Model:
-    """Word beginnings with weights, phrases that excuse the words in them, and a logistic curve."""
+    """Word beginnings with weights, phrases that excuse the words in them, and a logistic curve.
+
+    An entry of fewer than BEGINNING[0] letters stands for a whole word.
+    """
 
     weights: dict[str, float]
     exceptions: list[str] = field(default_factory=list)
@@ -75,31 +83,37 @@ class Model:
         if self._machine is None:
             machine = ahocorasick.Automaton()
             for p, w in self.weights.items():
-                machine.add_word(p, (len(p), w))
+                whole = len(p) < BEGINNING[0]
+                machine.add_word(f" {p} " if whole else f" {p}", (len(p), int(whole), w))
             for p in self.exceptions:
-                machine.add_word(p, (len(p), None))
+                machine.add_word(f" {p} ", (len(p), 1, None))
             machine.make_automaton()
             self._machine = machine
         if not len(self._machine):
             return []
         found: dict[int, tuple[int, float]] = {}
         excused: list[tuple[int, int]] = []
-        for last, (size, weight) in self._machine.iter(folded):
-            start = last + 1 - size
-            if start and folded[start - 1].isalpha():
-                continue
+        for last, (size, after, weight) in self._machine.iter(folded):
+            end = last + 1 - after
             if weight is None:
-                if last + 1 == len(folded) or not folded[last + 1].isalpha():
-                    excused.append((start, last + 1))
+                excused.append((end - size, end))
             else:
-                found[start] = (last + 1, weight)  # matches at one start come by length
+                found[end - size] = (end, weight)  # matches at one start come by length
         if excused:
-            found = {s: x for s, x in found.items() if not any(a <= s and x[0] <= b for a, b in excused)}
+            last = Counter()  # the furthest end of the phrases that begin at a place
+            for a, b in excused:
+                last[a] = max(last[a], b)
+            starts, reach = sorted(last), 0
+            ends = []
+            for a in starts:
+                reach = max(reach, last[a])
+                ends.append(reach)
+            found = {s: x for s, x in found.items() if not ((k := bisect_right(starts, s)) and x[0] <= ends[k - 1])}
         return [(s, e, w) for s, (e, w) in found.items()]
 
     def density(self, text: str | None) -> float:
         """Matched weight of a whole text against the logarithm of its length."""
-        total = sum(w for part in _pieces(text or "") for _, _, w in self.matches(fold(part)))
+        total = sum(w for _, _, w in self.matches(fold(text or "")))
         return total / (1 + math.log1p(len(text or "") / 1000))
 
     def score(self, text: str | None) -> float:
@@ -107,9 +121,9 @@ class Model:
 
 
 def _beginnings(text: str) -> set[str]:
-    low, high = PREFIX
-    words = {w for part in _pieces(text) for w in _WORD.findall(fold(part))}
-    return {w[:k] for w in words for k in range(low, min(len(w), high) + 1)} | {w for w in words if len(w) >= low}
+    low, high = BEGINNING
+    words = set(fold(text).split()) - {BREAK}
+    return {w[:k] for w in words for k in range(low, min(len(w), high) + 1)} | words
 
 
 def sample_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> DataFrame:
@@ -127,7 +141,7 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the smallest hash of a text's four-word shingles: near copies mostly share it."""
     from xxhash import xxh64_intdigest
 
-    for batch in batches:
+    for batch in bounded(batches):
         keys = []
         for text in batch.column(0).to_pylist():
             words = text.encode().split()
@@ -138,12 +152,14 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **bounds: int) -> Model:
     """Learns weights, exceptions and the curve from a bounded sample of labelled rows.
 
-    Entries are word beginnings with LEAST_SUPPORT toxic documents and log-odds of at least
-    LEAST_WEIGHT, the shortest that have both.  Near copies count as one document, so that words do
-    not seem toxic because one toxic text is repeated.  A phrase of a matched
-    word and a neighbour seen in three clean documents and no toxic one becomes an exception.
+    ``bounds`` are sample_rows' toxic_rows and clean_rows, which bound all that is learned.  Entries
+    are words, and word beginnings of BEGINNING[0] to BEGINNING[1] letters, with LEAST_SUPPORT toxic
+    documents and log-odds of at least LEAST_WEIGHT: the shortest that have both.  A run of letters
+    counts as a word, so scripts without spaces match by the beginnings of their runs.  Near copies
+    count as one document, so that words do not seem toxic because one toxic text is repeated.  A
+    phrase of a matched word and a neighbour seen in three clean documents and no toxic one becomes
+    an exception.
     """
-    bounded_batches(docs.sparkSession)
     sample = cut_lineage(sample_rows(docs, labels, id_col, text_col, label_col, **bounds))
     totals = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     pos, neg = totals.get(1, 0), totals.get(0, 0)
@@ -160,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 c.clear()
             return pa.RecordBatch.from_arrays(out, ["entry", "clean", "toxic"])
 
-        for batch in batches:
+        for batch in bounded(batches):
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen[y].update(_beginnings(text))
                 if len(seen[0]) + len(seen[1]) > 300_000:
@@ -171,8 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     counted = sample.select("text", "y").mapInArrow(count, "entry string, clean long, toxic long").groupBy("entry").agg(toxic.alias("toxic"), clean.alias("clean"))
     weight = F.log((F.col("toxic") + 0.5) / (pos + 1)) - F.log((F.col("clean") + 0.5) / (neg + 1))
     good = counted.withColumn("weight", weight).where((F.col("toxic") >= LEAST_SUPPORT) & (F.col("weight") >= LEAST_WEIGHT))
-    top = good.orderBy(F.desc("toxic"), F.desc("weight"), "entry").limit(MOST_CANDIDATES).collect()
-    model = Model(_roots({r.entry: r.weight for r in top}))
+    model = Model(_roots({r.entry: r.weight for r in good.collect()}))  # of at most toxic_rows documents
     model.exceptions = _exceptions(sample, model)
     return _curve(sample, model)
 
@@ -181,32 +196,31 @@ def _roots(weights: dict[str, float]) -> dict[str, float]:
     """Leaves out entries that start with another one, unless they weigh clearly more."""
     chosen: dict[str, float] = {}
     for e in sorted(weights, key=lambda e: (len(e), e)):
-        if all(weights[e] > chosen[e[:k]] + 1 for k in range(PREFIX[0], len(e)) if e[:k] in chosen):
+        if all(weights[e] > chosen[e[:k]] + 1 for k in range(BEGINNING[0], len(e)) if e[:k] in chosen):
             chosen[e] = weights[e]
-    return dict(sorted(chosen.items(), key=lambda x: -x[1])[:MOST_ENTRIES])
+    return chosen
 
 
 def _exceptions(sample: DataFrame, model: Model) -> list[str]:
     held = sample.sparkSession.sparkContext.broadcast(model)
 
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             out: list[tuple[str, int]] = []
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen = set()
-                for part in _pieces(text):
-                    folded = fold(part)
-                    for start, _, _ in held.value.matches(folded):
-                        word = _WORD.match(folded, start)
-                        after = re.compile(r"[^\w\n]{1,3}([^\W\d_]+)").match(folded, word.end())
-                        before = re.search(r"([^\W\d_]+)[^\w\n]{1,3}$", folded[max(0, start - 40) : start])
-                        seen |= {folded[start : after.end()]} if after else set()
-                        seen |= {before.group() + word.group()} if before else set()
+                seen, folded = set(), fold(text)
+                for start, _, _ in held.value.matches(folded):
+                    end = folded.index(" ", start)
+                    after = folded[end + 1 : max(folded.find(" ", end + 1), 0)]
+                    before = folded[folded.rfind(" ", 0, max(start - 1, 0)) + 1 : start - 1]
+                    word = folded[start:end]
+                    seen |= {f"{word} {after}"} if after and after != BREAK else set()
+                    seen |= {f"{before} {word}"} if before and before != BREAK else set()
                 out += [(p, y) for p in seen]
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.string()), pa.array([y for _, y in out], pa.int64())], ["phrase", "y"])
 
     found = sample.select("text", "y").mapInArrow(phrases, "phrase string, y long").groupBy("phrase").agg(F.count("*").alias("n"), F.sum("y").alias("toxic"))
-    return [r.phrase for r in found.where("toxic = 0 and n >= 3").orderBy(F.desc("n"), "phrase").limit(MOST_EXCEPTIONS).collect()]
+    return sorted(r.phrase for r in found.where("toxic = 0 and n >= 3").collect())  # of at most clean_rows documents
 
 
 def _curve(sample: DataFrame, model: Model) -> Model:
@@ -214,11 +228,11 @@ def _curve(sample: DataFrame, model: Model) -> Model:
     held = sample.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             yield pa.RecordBatch.from_arrays([pa.array([held.value.density(t) for t in batch.column(0).to_pylist()], pa.float64()), batch.column(1).cast(pa.int64())], ["x", "y"])
 
     got = sample.select("text", "y").mapInArrow(measure, "x double, y long").toPandas()  # at most the sample's rows
-    x, y = np.minimum(got["x"].to_numpy(), 10), got["y"].to_numpy()
+    x, y = got["x"].to_numpy(), got["y"].to_numpy()
     design, beta = np.column_stack([x, np.ones(len(x))]), np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
@@ -230,22 +244,24 @@ def _curve(sample: DataFrame, model: Model) -> Model:
     return model
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """(id_col, score, predicted) for every row, or all columns of ``docs`` with these if ``keep``.
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", into: str | None = None) -> DataFrame:
+    """(id_col, score, predicted) for every row, or all columns of ``docs`` and these two as one struct
+    named ``into``.
 
     Null and empty texts match nothing and get the score of a text without matches.  Null ids and
-    repeated rows pass through; an empty table gives no rows.
+    repeated rows pass through; an empty table gives no rows; a very long text is matched in one
+    piece, whatever its length.
     """
-    bounded_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_ENTRIES and MOST_EXCEPTIONS
+    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample it was learned from
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [held.value.score(t) for t in batch.column("viaduct_text").to_pylist()]
-            kept = [c for c in batch.schema.names if c != "viaduct_text"]
-            columns = [*(batch.column(c) for c in kept), pa.array(got, pa.float64()), pa.array([int(s >= 0.5) for s in got], pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, [*kept, "score", "predicted"])
-
-    kept = docs.select(*[c for c in docs.columns if c not in ("score", "predicted")]) if keep else docs.select(id_col)
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return docs.select(*kept.columns, F.col(text_col).alias("viaduct_text")).mapInArrow(run, f"{shape}, score double, predicted int")
+        for batch in bounded(batches):
+            got = [held.value.score(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            made = pa.StructArray.from_arrays([pa.array(got, pa.float64()), pa.array([int(s >= 0.5) for s in got], pa.int32())], ["score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], [*batch.schema.names[:-1], verdict])
+
+    kept = docs.select(*every_column(docs)) if into else docs.select(id_col)
+    verdict, text = into or fresh("verdict", kept), fresh("text", kept)
+    schema = T.StructType([*kept.schema.fields, T.StructField(verdict, T.StructType.fromDDL("score double, predicted int"))])
+    out = docs.select(*every_column(kept), F.col(text_col).alias(text)).mapInArrow(run, schema)
+    return out if into else out.select(id_col, f"{verdict}.*")
