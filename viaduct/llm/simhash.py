@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from viaduct.llm.common import bounded_batches, connected_components, cut_lineage
+from viaduct.llm.common import bounded, connected_components, cut_lineage, every_column, fresh
 
 SEED = 42
 SLICE_BYTES = 1 << 20
@@ -45,10 +45,9 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(id_col, fp long) of every row."""
-    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             fps = [fingerprint(t, shingle) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
 
@@ -208,7 +207,7 @@ def near_components(fps: DataFrame, radius: int = 3, blocks: int | None = None)
 
         def edges(rows: np.ndarray) -> pa.RecordBatch:
             new = np.append(True, (rows[1:, :3] != rows[:-1, :3]).any(1)) if len(rows) else np.zeros(0, bool)
-            root = linked_sets(rows[:, 3].view(np.uint64) if rows.flags.c_contiguous and rows.shape[1] == 1 else rows[:, 3].copy().view(np.uint64), np.cumsum(new), radius)
+            root = linked_sets(rows[:, 3].copy().view(np.uint64), np.cumsum(new), radius)
             moved = np.flatnonzero(root != np.arange(len(root)))
             return pa.RecordBatch.from_arrays([pa.array(rows[moved, 3]), pa.array(rows[root[moved], 3])], ["a", "b"])
 
@@ -253,13 +252,13 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A document is an id and a text, so null and repeated ids lose none: of several texts under the
     smallest id one of that component stays, and of rows equal in both whichever comes first.
     """
-    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)  # null and empty have one fingerprint
-    keyed = docs.select(F.struct(F.col(id_col).isNull().alias("missing"), F.col(id_col).alias("id"), digest.alias("digest")).alias("doc"), F.col(text_col).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))  # null and empty have one fingerprint
+    own = F.col(id_col).cast("string")
+    key = F.sha2(F.concat(F.length(own).cast("string"), F.lit(":"), own, F.lit("/"), text), 256)
+    key = F.coalesce(key, F.sha2(F.concat(F.lit("/"), text), 256))  # of an id and a text, or of a text without an id
+    keyed = docs.select(F.struct(F.col(id_col).isNull().alias("missing"), F.col(id_col).alias("id"), key.alias("key")).alias("doc"), F.col(text_col).alias("text"))
     found = near_duplicates(keyed, "doc", "text", **options)
-    kept = found.where(F.col("doc") == F.col("component_id")).select(F.col("doc.id").alias("kept_id"), F.col("doc.digest").alias("kept_digest")).distinct()
-    name = "digest"
-    while name in map(str.lower, docs.columns):
-        name += "_"
-    marked = docs.withColumn(name, digest)
-    own = marked[id_col].eqNullSafe(kept["kept_id"]) & (marked[name] == kept["kept_digest"])
-    return marked.join(kept, own, "left_semi").dropDuplicates([id_col, name]).drop(name)
+    name = fresh("doc_key", docs)
+    kept = found.where(F.col("doc") == F.col("component_id")).select(F.col("doc.key").alias(name)).distinct()
+    # Both steps go by the one key, so the texts are shuffled once.
+    return docs.withColumn(name, key).join(kept, name, "left_semi").dropDuplicates([name]).select(*every_column(docs))
