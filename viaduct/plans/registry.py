@@ -7,9 +7,9 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from viaduct.plans import joins, live, models, quality, risk, schedule, segments, serving
+from viaduct.plans import joins, live, models, payloads, quality, risk, schedule, segments, serving
 
-MODULES = (segments, quality, schedule, joins, serving, models, risk, live)
+MODULES = (segments, quality, schedule, joins, serving, models, risk, live, payloads)
 
 
 def _in_utc(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
