@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import namedtuple
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -215,11 +218,39 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, s
     return found.select("_row.*", hit.alias(name))
 
 
-def greedy_gap(df: DataFrame, keys: Sequence[str], ts: str, gap: int) -> DataFrame:
+Step = Callable[[tuple | None, Any], tuple[tuple | None, tuple | None]]
+
+
+def fold_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step, out: str) -> DataFrame:
+    """Folds each key's rows in their order; ``step`` takes the state (None at first) and a row and gives the new
+    state and what to emit, or None.
+
+    Rows are sorted by key and order within partitions and stream through, so neither a key with many
+    rows nor many keys with few are held or called for one by one.  ``out`` has long and string columns.
+    """
+    shape = [part.split() for part in out.split(", ")]
+    kinds = {"long": pa.int64(), "string": pa.string()}
+    columns = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, at, state = namedtuple("Row", columns), None, None
+        for batch in batches:
+            told = []
+            for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != values[: len(keys)]:
+                    at, state = values[: len(keys)], None
+                state, said = step(state, row(*values))
+                if said is not None:
+                    told.append(said)
+            yield pa.RecordBatch.from_arrays([pa.array([t[k] for t in told], kinds[kind]) for k, (_, kind) in enumerate(shape)], [n for n, _ in shape])
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, out)
+
+
+def greedy_gap(df: DataFrame, key: str, ts: str, gap: int) -> DataFrame:
     """Instants kept by a fold: the first of each key, then each at least ``gap`` after the last kept."""
-    folded = F.aggregate(
-        F.array_sort(F.collect_list(ts)),
-        F.array().cast("array<bigint>"),
-        lambda kept, t: F.when((F.size(kept) == 0) | (t - F.element_at(F.concat(F.array(F.lit(-(1 << 60))), kept), -1) >= gap), F.concat(kept, F.array(t.cast("long")))).otherwise(kept),
-    )
-    return df.groupBy(*keys).agg(folded.alias("_kept")).select(*keys, F.explode("_kept").alias(ts))
+
+    def step(last: tuple | None, r: Any) -> tuple[tuple | None, tuple | None]:
+        return (last, None) if last is not None and r[1] - last[0] < gap else ((r[1],), (r[0], r[1]))
+
+    return fold_sorted(df.where(F.col(ts).isNotNull()).select(key, F.col(ts).cast("long").alias(ts)), [key], [ts], step, f"{key} long, {ts} long")

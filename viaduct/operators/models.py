@@ -98,18 +98,27 @@ def linear(weights: dict[str, float]) -> Column:
     return sum((F.col(c) * F.lit(v) for c, v in weights.items()), F.lit(0.0))
 
 
-def pinball(rows: DataFrame, features: Sequence[str], target: str, quantile: float, epochs: int = 500, rate: float = 0.05) -> dict[str, float]:
-    """Linear quantile regression by full-batch sub-gradients, one aggregate over all rows per epoch.
+def pinball(rows: DataFrame, features: Sequence[str], target: str, quantile: float, epochs: int = 500, rate: float = 0.05, sample_rows: int = 100_000) -> dict[str, float]:
+    """Linear quantile regression by full-batch sub-gradients.
 
-    The first feature must be the constant; it starts at the empirical quantile.  ``rows`` should be persisted.
+    The first feature must be the constant; it starts at the empirical quantile.  All epochs run in one
+    task over at most ``sample_rows`` rows, those with the smallest hashes; fewer rows are all used.
+    Rows with a null are left out.
     """
-    start = rows.agg(F.percentile(target, F.lit(quantile))).first()[0]
-    weights = dict.fromkeys(features, 0.0) | {features[0]: float(start or 0.0)}
-    for _ in range(epochs):
-        slope = F.when(F.col(target) > linear(weights), quantile).otherwise(quantile - 1.0)
-        step = rows.agg(*[F.avg(slope * F.col(c)).alias(c) for c in features]).first().asDict()
-        weights = {c: v + rate * (step[c] or 0.0) for c, v in weights.items()}
-    return weights
+    names = [*features, target]
+    wanted = rows.select(*[F.col(c).cast("double").alias(c) for c in names]).dropna()
+    sample = wanted.orderBy(F.xxhash64(*names), *names).limit(sample_rows)
+
+    def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        x, y = frame[list(features)].to_numpy(), frame[target].to_numpy()
+        weights = np.zeros(len(features))
+        weights[0] = np.quantile(y, quantile)
+        for _ in range(epochs):
+            weights += rate * (np.where(y > x @ weights, quantile, quantile - 1.0) @ x) / len(y)
+        return pd.DataFrame({"weights": [weights.tolist()]})
+
+    found = sample.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(fit, "weights array<double>").first()
+    return dict(zip(features, found[0] if found else [0.0] * len(features), strict=True))
 
 
 def boosted(rows: DataFrame, features: Sequence[str], target: str, trees: int = 150):

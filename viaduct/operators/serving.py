@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from viaduct.functions.semantics import haversine_km, normal_cdf, type7
+from viaduct.functions.semantics import fold_sorted, haversine_km, normal_cdf, type7
 
 
 def trusted(candidates: DataFrame, agreement_sec: int) -> DataFrame:
@@ -103,13 +103,15 @@ def made_probability(slack_sec: Column, transfer_sec: int, sigma_sec: int) -> Co
 
 def notices(changes: DataFrame, moved_ms: int, gap_ms: int) -> DataFrame:
     """Estimates of a run that are told to a traveller: the first, then each that moved by more than ``moved_ms``
-    from the one told last, at least ``gap_ms`` after it.  A service day bounds the rows of a run."""
-    told = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("generated_at", "prediction_id", "our_p50"))),
-        F.array().cast("array<struct<generated_at:bigint,prediction_id:bigint,our_p50:bigint>>"),
-        lambda kept, x: F.when((F.size(kept) == 0) | ((F.abs(x["our_p50"] - F.get(kept, F.size(kept) - 1)["our_p50"]) > moved_ms) & (x["generated_at"] - F.get(kept, F.size(kept) - 1)["generated_at"] >= gap_ms)), F.concat(kept, F.array(x))).otherwise(kept),
-    )
-    return changes.groupBy("run_id").agg(told.alias("t")).select("run_id", F.inline("t")).select("run_id", "prediction_id", "generated_at")
+    from the one told last, at least ``gap_ms`` after it.  A run's rows are sorted and folded together."""
+
+    def step(told: tuple | None, r) -> tuple[tuple | None, tuple | None]:
+        if told is not None and (abs(r.our_p50 - told[0]) <= moved_ms or r.generated_at - told[1] < gap_ms):
+            return told, None
+        return (r.our_p50, r.generated_at), (r.run_id, r.prediction_id, r.generated_at)
+
+    rows = changes.where("our_p50 IS NOT NULL").select("run_id", "generated_at", "prediction_id", "our_p50")
+    return fold_sorted(rows, ["run_id"], ["generated_at", "prediction_id"], step, "run_id long, prediction_id long, generated_at long")
 
 
 def search_score(name: Column, query: str) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from viaduct.operators import fusion as fu
 from viaduct.operators import graph as gr
 from viaduct.operators import joins as jn
+from viaduct.operators import metro as me
 from viaduct.sources import bindings as b
 from viaduct.sources.bindings import oracle
 from viaduct.streaming import live
@@ -111,10 +112,10 @@ def reliability(s, d):
 
 
 def bunching(s, d):
-    e = b.stop_events(s, d).where("actual_arr_epoch IS NOT NULL")
-    w = Window.partitionBy("stop_id").orderBy("actual_arr_epoch", "run_id", "stop_sequence")
-    gap = (F.col("actual_arr_epoch") - F.lag("actual_arr_epoch").over(w)) / 1000
-    return e.withColumn("gap", gap).where("gap < 90").groupBy("stop_id").agg(F.count("*").alias("n"))
+    """Runs of a line that come to a stop less than 90 seconds after the one before."""
+    line = b.runs(s, d).select("run_id", F.col("route_id").alias("line"))
+    e = b.stop_events(s, d).where("actual_arr_epoch IS NOT NULL").join(line, "run_id").select("stop_id", "line", F.col("actual_arr_epoch").alias("passed_at"))
+    return me.collisions(e).groupBy("stop_id", "line").agg(F.count("*").alias("n"))
 
 
 def eta_velocity(s, d):
@@ -223,7 +224,7 @@ SELECT w.want_id, f.run_id FROM w LEFT JOIN f ON f.want_id = w.want_id"""),
     "a24_platform_modes": oracle("se ends runs", "WITH n AS (SELECT stop_id, route_id, platform_actual, count(*) AS n FROM se JOIN runs USING (run_id) GROUP BY ALL) SELECT stop_id, route_id, platform_actual AS platform, round(n / sum(n) OVER (PARTITION BY stop_id, route_id), 6) AS share FROM n QUALIFY row_number() OVER (PARTITION BY stop_id, route_id ORDER BY n DESC, platform_actual) = 1"),
     "t05_successors": oracle("obs", f"WITH {MOVES}, top AS (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY n DESC, to_id) AS rank FROM ed QUALIFY rank <= 3) SELECT from_id, to_id, n, CAST(rank AS INT) AS rank, round(n / sum(n) OVER (PARTITION BY from_id), 6) AS share FROM top"),
     "w09_latest_by_source": oracle("obs", f"WITH {LAST.format(where='')} SELECT run_id, source, id, ts, delay_seconds, location_id FROM lat"),
-    "w14_bunching": oracle("se", "WITH g AS (SELECT stop_id, actual_arr_epoch - lag(actual_arr_epoch) OVER (PARTITION BY stop_id ORDER BY actual_arr_epoch, run_id, stop_sequence) AS gap FROM se WHERE actual_arr_epoch IS NOT NULL) SELECT stop_id, count(*) AS n FROM g WHERE gap < 90000 GROUP BY ALL"),
+    "w14_bunching": oracle("se ends runs", "WITH g AS (SELECT stop_id, route_id AS line, actual_arr_epoch - lag(actual_arr_epoch) OVER (PARTITION BY stop_id, route_id ORDER BY actual_arr_epoch) AS gap FROM se JOIN runs USING (run_id) WHERE actual_arr_epoch IS NOT NULL) SELECT stop_id, line, count(*) AS n FROM g WHERE gap < 90000 GROUP BY ALL"),
     "w16_eta_velocity": oracle("se ends pred", "WITH v AS (SELECT *, (generated_at - lag(generated_at) OVER w) / 1000 AS gap, (our_p50 - lag(our_p50) OVER w) / 1000 AS moved FROM pred WINDOW w AS (PARTITION BY run_id ORDER BY generated_at, prediction_id)), x AS (SELECT *, CASE WHEN gap >= 30 THEN moved / gap * 300 END AS vel FROM v) SELECT prediction_id, round(vel, 4) AS velocity, round(vel - lag(vel) OVER (PARTITION BY run_id ORDER BY generated_at, prediction_id), 4) AS acceleration FROM x"),
     "w19_previous_platform": oracle("se", "SELECT run_id, stop_sequence, last_value(CASE WHEN cancelled IS NULL THEN platform_actual END IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY stop_sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous_platform FROM se"),
     "w20_scope": oracle("se", "WITH m AS (SELECT run_id, (min(sched_arr_epoch) + max(sched_arr_epoch)) // 2 AS t FROM se GROUP BY ALL), x AS (SELECT run_id, stop_sequence, min(CASE WHEN coalesce(actual_arr_epoch, sched_arr_epoch) > t THEN stop_sequence END) OVER (PARTITION BY run_id) AS next_sequence FROM se JOIN m USING (run_id)) SELECT * FROM x WHERE stop_sequence BETWEEN next_sequence - 1 AND next_sequence + 2"),

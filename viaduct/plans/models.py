@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from viaduct.functions.semantics import rome_hms
+from viaduct.functions.semantics import quantiles_of, rome_hms
 from viaduct.operators import evaluate as ev
 from viaduct.operators import models as md
 from viaduct.operators import segments as sg
@@ -42,9 +42,8 @@ def training(s, d):
 
 def split(rows):
     """The earliest 80 % of predictions for learning, the rest for judging."""
-    cut = rows.agg(F.percentile("generated_at", F.lit(0.8)).alias("cut"))
-    marked = rows.crossJoin(F.broadcast(cut))  # one row
-    return marked.where("generated_at <= cut"), marked.where("generated_at > cut")
+    marked = ev.time_split(rows, ["generated_at", "prediction_id"])
+    return marked.where("is_train"), marked.where("NOT is_train")
 
 
 def ridge(s, d):
@@ -53,9 +52,7 @@ def ridge(s, d):
 
 
 def pinball(s, d, epochs=500):
-    rows = training(s, d).select("residual", *USED[:4]).persist()
-    weights = md.pinball(rows, USED[:4], "residual", 0.9, epochs)
-    rows.unpersist()
+    weights = md.pinball(training(s, d), USED, "residual", 0.9, epochs)
     return s.createDataFrame([(c, round(v, 4)) for c, v in weights.items()], "feature string, weight double")
 
 
@@ -64,13 +61,14 @@ def ridge_gate(s, d):
     learn, judge = split(training(s, d))
     weights = md.ridge(learn, USED, "residual")
     left = F.col("residual") - md.linear(weights)
-    band = learn.agg(F.percentile(F.abs(left), F.lit(0.8)).alias("band"))
+    band = quantiles_of(learn, [], F.abs(left), {"band": 0.8})
     judged = judge.withColumn("left", left).crossJoin(F.broadcast(band))  # one row
     return md.gate(judged, "residual", "left", F.abs("left") <= F.greatest(F.col("band"), F.lit(30.0)))
 
 
 def boosted_gate(s, d, trees=150):
     learn, judge = split(training(s, d))
+    learn = learn.persist()  # read once for each tree
     judged = md.boosted(learn, USED[1:], "residual", trees)(judge).withColumn("left", F.col("residual") - F.col("predicted"))
     return md.gate(judged, "residual", "left", F.abs("left") <= 300)
 

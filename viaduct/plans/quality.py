@@ -27,7 +27,7 @@ def candidates(s, d):
 
 
 def emitted(s, d):
-    return greedy_gap(candidates(s, d), ["run_id"], "ts", 300_000)
+    return greedy_gap(candidates(s, d), "run_id", "ts", 300_000)
 
 
 def estimates(s, d):

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from viaduct.functions.semantics import Step, fold_sorted
+
 
 def coverage(obs: DataFrame, late: str = "1 hour", width: str = "15 minutes") -> DataFrame:
     """Observations of each source in tumbling windows; ``obs`` has ts (epoch ms) and source."""
@@ -61,9 +63,6 @@ def _none(value) -> int | None:
     return None if value is None or pd.isna(value) else int(value)
 
 
-Step = Callable[[tuple | None, object], tuple[tuple | None, tuple | None]]
-
-
 def folded(rows: DataFrame, key: str, step: Step, out: str, state: str, forget_ms: int = 86_400_000) -> DataFrame:
     """Folds each key's rows in the order of (ts, id); ``step`` takes the state and a row and gives the new
     state and what to emit, or None.
@@ -82,7 +81,7 @@ def folded(rows: DataFrame, key: str, step: Step, out: str, state: str, forget_m
 
     names = [part.split()[0] for part in out.split(", ")]
     if not rows.isStreaming:
-        return rows.groupBy(key).applyInPandas(lambda frame: pd.DataFrame(fold(frame, None)[1], columns=names), out)
+        return fold_sorted(rows.select(key, *[c for c in rows.columns if c != key]), [key], ["ts", "id"], step, out)
 
     def run(key_: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         if held.hasTimedOut:
