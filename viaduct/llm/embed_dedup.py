@@ -161,8 +161,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows = vectors.select(F.col(id_col).cast("long").alias("name"), F.when(F.col(id_col).isNotNull() & usable(F.col(vector_col)), F.col(vector_col)).alias("v"))
     rows = rows.withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(1), "v"))  # 128 bits stand for a vector
     # From here to the end a distinct vector goes by a number of its own, as several may have one id.
-    named = rows.where("v is not null").groupBy("h1", "h2", "name").agg(F.count("*").alias("copies"), F.first("v").alias("v"))
-    classes = named.groupBy("h1", "h2").agg(F.min("name").alias("least"), F.sum("copies").alias("m"), F.first("v").alias("v"))
+    usable_rows = rows.where("v is not null")
+    named = usable_rows.groupBy("h1", "h2", "name").agg(F.count("*").alias("copies"))
+    classes = usable_rows.groupBy("h1", "h2").agg(F.min("name").alias("least"), F.count("*").alias("m"), F.first("v").alias("v"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches):
@@ -225,7 +226,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         full = dealt.join(open_, [*group, "id"]).join(classes.select("id", "v"), "id")
         found = found.unionByName(cut_lineage(full.groupBy(*group).applyInArrow(compare, shape)).select("id", "links", "root"))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    by_class = cut_lineage(named.drop("v").join(classes.select("h1", "h2", "id"), ["h1", "h2"]).select("name", "id", "copies"))
+    by_class = cut_lineage(named.join(classes.select("h1", "h2", "id"), ["h1", "h2"]).select("name", "id", "copies"))
     shared = by_class.groupBy("name").agg(F.min("id").alias("b"), F.max("id").alias("last")).where("b < last").drop("last").join(by_class, "name")
     edges = found.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(shared.select(F.col("id").alias("a"), "b"))
     roots = connected_components(edges)
