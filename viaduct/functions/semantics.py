@@ -69,8 +69,15 @@ def running_counts(rows: DataFrame, keys: Sequence[str], value: Column, buckets:
 
 
 def floor_indices(rows: DataFrame, keys: Sequence[str], value: Column, shares: dict[str, float]) -> DataFrame:
-    """(keys, a column for each share): :func:`floor_index` of few and large groups."""
-    counts = running_counts(rows, keys, value)
+    """(keys, a column for each share): :func:`floor_index` of few and large groups of whole seconds.
+
+    Equal values are counted first, so what a task sorts is a group's distinct values, as rows, in one
+    pass over the input; for values that hardly repeat see :func:`running_counts`.
+    """
+    tied = rows.select(*keys, value.alias("v")).where("v IS NOT NULL").groupBy(*keys, "v").agg(F.count("*").alias("n"))
+    group = Window.partitionBy(*keys)
+    before = F.sum("n").over(group.orderBy("v").rowsBetween(Window.unboundedPreceding, -1))
+    counts = tied.select(*keys, "v", "n", F.coalesce(before, F.lit(0)).alias("below"), F.sum("n").over(group).alias("total"))
     at = lambda q: F.least(F.col("total") - 1, F.floor(F.col("total") * F.lit(q)))
     hit = lambda q: (F.col("below") <= at(q)) & (at(q) < F.col("below") + F.col("n"))
     return counts.groupBy(*keys).agg(*[F.max(F.when(hit(q), F.col("v"))).alias(name) for name, q in shares.items()])
