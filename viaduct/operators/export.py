@@ -9,24 +9,51 @@ from viaduct.functions.semantics import js_round
 from viaduct.operators.evaluate import export_horizon
 
 
+# The features in a prediction's JSON, their columns and types, and the value of a missing one.
+FEATURES = (
+    ("anchorKind", "f_anchor_kind", "string", None), ("anchorEpoch", "f_anchor_epoch", "long", None), ("remainingSegments", "f_remaining_segments", "int", 0), ("statsCoverage", "f_stats_coverage", "double", 0),
+    ("corridorAdjustSec", "f_corridor_adjust_sec", "int", 0), ("operatorWeight", "f_operator_weight", "double", 0), ("independentP50", "f_independent_p50", "long", None), ("originDepDelaySec", "f_origin_dep_delay_sec", "int", None),
+    ("trainHistoryDelaySec", "f_train_history_delay_sec", "int", None), ("networkDelaySec", "f_network_delay_sec", "int", None), ("operatorEtaDriftSec", "f_operator_eta_drift_sec", "int", None), ("alertsRun24h", "f_alerts_run_24h", "int", None),
+    ("alertsRoute24h", "f_alerts_route_24h", "int", None), ("precipMm", "f_precip_mm", "double", None), ("strikeActive", "f_strike_active", "int", None), ("eventHoursToStart", "f_event_hours_to_start", "double", None), ("holiday", "f_holiday", "int", None),
+    ("upstreamStopMaxDelaySec", "f_upstream_stop_max_delay_sec", "int", None), ("upstreamStopDelayedCount", "f_upstream_stop_delayed_count", "int", None), ("routeEncSec", "f_route_enc_sec", "double", None), ("etaAccelSec", "f_eta_accel_sec", "double", None),
+)
+
+
 def feature_number(json: Column, name: str, default: float | None = None) -> Column:
-    """A number of a features object; text, booleans and missing keys are null or the default."""
-    raw = F.get_json_object(json, f"$.{name}")
-    value = F.when(raw.rlike(r"^-?\d+(\.\d+)?([eE][-+]?\d+)?$"), raw.try_cast("double"))
-    return value if default is None else F.coalesce(value, F.lit(default))
+    """A number of a features object; text, booleans, missing keys and broken JSON are null or the default."""
+    return _number(F.from_json(json, f"`{name}` DOUBLE")[name], default)
 
 
 def feature_int(json: Column, name: str) -> Column:
     return js_round(feature_number(json, name)).cast("long")
 
 
+def _number(value: Column, default: float | None) -> Column:
+    value = F.when(F.abs(value) < float("inf"), value)  # neither infinite nor NaN
+    return value if default is None else F.coalesce(value, F.lit(float(default)))
+
+
+def _text(value: Column) -> Column:
+    """The text of a JSON value; numbers, empty text and the like are null."""
+    text = F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+    return F.when(text != "", text)
+
+
+def features(json: Column) -> list[Column]:
+    """The columns of ``FEATURES``, from one parse; a missing or wrongly typed feature is its default, broken JSON lacks all."""
+    parsed = F.from_json(json, ", ".join(f"{key} {'VARIANT' if kind == 'string' else 'DOUBLE'}" for key, _, kind, _ in FEATURES), {"mode": "PERMISSIVE"})  # with an option, the fields are not parsed one by one
+    cell = {"string": lambda x, _: _text(x), "double": _number}
+    return [cell.get(kind, lambda x, y, kind=kind: js_round(_number(x, y)).cast(kind))(parsed[key], default).alias(column) for key, column, kind, default in FEATURES]
+
+
 def export_rows(scored: DataFrame, runs: DataFrame) -> DataFrame:
-    """One typed row for each scored prediction, with its day and route to partition by."""
-    seconds = F.floor((F.col("sched_arr_epoch") - F.col("generated_at")) / 1000).cast("long")
+    """One typed row for each scored prediction with features and a timetable, with its day and route to partition by."""
+    scored = scored.where("features_json IS NOT NULL AND sched_arr_epoch IS NOT NULL")
     joined = scored.join(runs.select("run_id", "service_date", "train_number", "route_id", "operator"), "run_id")
+    seconds = F.floor((F.col("sched_arr_epoch") - F.col("generated_at")) / 1000).cast("int")
     return joined.select(
-        "prediction_id", "run_id", "stop_id", "train_number", "operator", "model_version", "generated_at", "sched_arr_epoch", "actual_arr_epoch", seconds.alias("horizon_sec"), export_horizon(seconds).alias("horizon_bucket"),
-        "our_error_sec", "operator_error_sec", F.floor((F.col("our_p90") - F.col("our_p10")) / 1000).cast("long").alias("spread_sec"), "service_date", F.col("route_id").alias("line"),
+        "service_date", "train_number", "operator", F.col("route_id").alias("line"), "run_id", "prediction_id", "stop_id", "model_version", "generated_at", seconds.alias("horizon_sec"), export_horizon(seconds).alias("horizon_bucket"),
+        "sched_arr_epoch", "operator_eta_epoch", "our_p10", "our_p50", "our_p90", "confidence", "actual_arr_epoch", F.col("operator_error_sec").cast("int"), F.col("our_error_sec").cast("int"), *features(F.col("features_json")),
     )
 
 

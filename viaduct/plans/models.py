@@ -10,6 +10,7 @@ from viaduct.operators import evaluate as ev
 from viaduct.operators import models as md
 from viaduct.operators import segments as sg
 from viaduct.plans.joins import CONNECTIONS, connection_pairs
+from viaduct.plans.schedule import EXPORTED, exported
 from viaduct.plans.segments import BUCKET, HOUR, SEG, STATS, fi, traversals
 from viaduct.sources import bindings as b
 from viaduct.sources import providers as pv
@@ -40,6 +41,16 @@ def training(s, d):
     return p.select("prediction_id", "generated_at", "sched_arr_epoch", "our_p50", "actual_arr_epoch", F.col("our_error_sec").cast("double").alias("residual"), *md.feature_row(p))
 
 
+def exported_features(s, d):
+    """All features of each exported prediction, from the columns of the export; it keeps no spread of sources, which is its default."""
+    x = exported(s, d)
+    late = lambda c: (F.col(c) - F.col("sched_arr_epoch")) / 1000
+    x = x.withColumns({"operator_delay": late("operator_eta_epoch"), "our_delay": late("our_p50"), "independent_delay": late("f_independent_p50")})
+    named = {"operator_weight": "f_operator_weight", "stats_coverage": "f_stats_coverage", "remaining_segments": "f_remaining_segments", "corridor_adjust": "f_corridor_adjust_sec", "anchor_kind": "f_anchor_kind", "origin_delay": "f_origin_dep_delay_sec", "history_delay": "f_train_history_delay_sec", "network_delay": "f_network_delay_sec", "eta_drift": "f_operator_eta_drift_sec", "alerts_run": "f_alerts_run_24h", "alerts_route": "f_alerts_route_24h", "precip_mm": "f_precip_mm", "strike_active": "f_strike_active", "event_hours": "f_event_hours_to_start", "holiday": "f_holiday", "upstream_max": "f_upstream_stop_max_delay_sec", "upstream_delayed": "f_upstream_stop_delayed_count", "route_enc": "f_route_enc_sec", "eta_accel": "f_eta_accel_sec"}
+    x = x.withColumns({name: F.col(column) for name, column in named.items()})
+    return x.select("prediction_id", *md.feature_row(x)).select("prediction_id", *[(F.round(c, 6) + 0.0).alias(c) for c in md.NAMES])
+
+
 def split(rows):
     """The earliest 80 % of predictions for learning, the rest for judging."""
     marked = ev.time_split(rows, ["generated_at", "prediction_id"])
@@ -120,6 +131,7 @@ def lookup_lines(s, d):
 QUERIES = {
     "m01_heuristic": heuristic,
     "m03_feature_row": lambda s, d: training(s, d).select("prediction_id", *[(F.round(c, 6) + 0.0).alias(c) for c in USED]),
+    "m03_exported_features": exported_features,
     "m04_ridge": ridge,
     "m05_pinball": pinball,
     "m06_boosted_gate": boosted_gate,
@@ -139,6 +151,21 @@ ft AS (SELECT *, 1.0 AS bias, ln(1 + greatest(0, (sched_arr_epoch - generated_at
   sin(2 * pi() * h / 24) AS "hourSin", cos(2 * pi() * h / 24) AS "hourCos", CASE WHEN h IN (7, 8, 16, 17, 18) THEN 1.0 ELSE 0.0 END AS peak, least(1800, run_id * 13 % 2400) / 600 AS "upstreamMaxDelay" FROM ft0)"""
 
 
+def _capped(value: str, bound: int, scale: int, missing: int = 0) -> str:
+    return f"greatest(-{bound}, least({bound}, coalesce({value}, {missing}))) / {scale}.0"
+
+
+LATE = "({} - sched_arr_epoch) / 1000.0"
+ALL_FEATURES = {
+    "bias": "1", "logHorizon": "ln(1 + greatest(0, (sched_arr_epoch - generated_at) / 1000.0)) / 8", "operatorDelay": _capped(LATE.format("operator_eta_epoch"), 1800, 600), "ourDelay": _capped(LATE.format("our_p50"), 1800, 600),
+    "independentDelay": _capped(LATE.format("f_independent_p50"), 1800, 600), "operatorWeight": "f_operator_weight", "statsCoverage": "f_stats_coverage", "logSegments": "ln(1 + f_remaining_segments) / 3", "corridorAdjust": _capped("f_corridor_adjust_sec", 600, 300),
+    "anchorActual": "CASE WHEN f_anchor_kind IN ('actual_dep', 'actual_arr') THEN 1 ELSE 0 END", "anchorNone": "CASE WHEN f_anchor_kind IS NULL THEN 1 ELSE 0 END", "hourSin": "sin(2 * pi() * h / 24)", "hourCos": "cos(2 * pi() * h / 24)", "peak": "CASE WHEN h IN (7, 8, 16, 17, 18) THEN 1 ELSE 0 END",
+    "originDepDelay": _capped("f_origin_dep_delay_sec", 1800, 600), "trainHistoryDelay": _capped("f_train_history_delay_sec", 1800, 600), "networkDelay": _capped("f_network_delay_sec", 900, 300), "etaDrift": _capped("f_operator_eta_drift_sec", 600, 300), "alertsRun": _capped("f_alerts_run_24h", 10, 5),
+    "alertsRoute": _capped("f_alerts_route_24h", 10, 5), "precip": _capped("f_precip_mm", 10, 5), "strikeActive": "coalesce(f_strike_active, 0)", "eventHours": _capped("f_event_hours_to_start", 24, 24, 24), "holiday": "coalesce(f_holiday, 0)", "upstreamMaxDelay": _capped("f_upstream_stop_max_delay_sec", 1800, 600),
+    "upstreamDelayed": _capped("f_upstream_stop_delayed_count", 10, 5), "routeEnc": _capped("f_route_enc_sec", 600, 300), "etaAccel": _capped("f_eta_accel_sec", 1200, 600), "sourceSpread": "0",
+}
+
+
 def _tree(t) -> str:
     return f"(CASE WHEN \"{t[0]}\" <= {t[1]} THEN {_tree(t[2])} ELSE {_tree(t[3])} END)" if isinstance(t, tuple) else str(float(t))
 
@@ -155,6 +182,7 @@ w AS (SELECT g.*, anchor + (dwell + secs) * 1000 AS own, p.operator_eta_epoch AS
 z AS (SELECT *, CAST(floor(coalesce(weight * op + (1 - weight) * own, own) + 0.5) AS BIGINT) AS p50, least(900, sqrt(sq) + 40) * 1000 AS band FROM w)
 SELECT run_id, segments, round(cov, 6) AS coverage, weight, CAST(floor(p50 - CAST(0.8 AS DOUBLE) * band + 0.5) AS BIGINT) AS p10, p50, CAST(floor(p50 + CAST(1.2 AS DOUBLE) * band + 0.5) AS BIGINT) AS p90 FROM z"""),
     "m03_feature_row": oracle("se ends pred scored", f"WITH {FEATS} SELECT prediction_id, " + ", ".join(f'round(CAST("{c}" AS DOUBLE), 6) + 0.0 AS "{c}"' for c in USED) + " FROM ft"),
+    "m03_exported_features": oracle("se ends runs pred scored", f"WITH {EXPORTED}, x AS (SELECT *, CASE WHEN {HOURS} = 0 THEN 12 ELSE {HOURS} END AS h FROM exported) SELECT prediction_id, " + ", ".join(f'round(CAST({value} AS DOUBLE), 6) + 0.0 AS "{c}"' for c, value in ALL_FEATURES.items()) + " FROM x"),
     "m07_forest": oracle("se ends pred scored", f"WITH {FEATS} SELECT prediction_id, round(CAST(3.0 + {' + '.join(f'0.5 * {_tree(t)}' for t in TREES)} AS DOUBLE), 6) AS predicted FROM ft"),
     "m09_residual": oracle("se ends pred scored", f"""WITH {FEATS}, c AS (SELECT prediction_id, our_p50, our_p50 + (20 + 30 * CAST("ourDelay" AS DOUBLE) - 10 * CAST("operatorDelay" AS DOUBLE)) * 1000 AS m, 1000 * CASE WHEN sched_arr_epoch - generated_at <= 300000 THEN 30 WHEN sched_arr_epoch - generated_at <= 1800000 THEN 120 ELSE 240 END AS o FROM ft)
 SELECT prediction_id, CAST(floor(m - o + 0.5) AS BIGINT) AS p10, CAST(floor(m + 0.5) AS BIGINT) AS p50, CAST(floor(m + o + 0.5) AS BIGINT) AS p90, CAST(floor((m - our_p50) / 1000 + 0.5) AS BIGINT) AS correction_sec FROM c"""),

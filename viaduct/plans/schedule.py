@@ -73,11 +73,26 @@ def features(s, d):
     return e.select("event_id", ex.feature_int(F.col("props"), "k").alias("k"), ex.feature_number(F.col("props"), "nope", 0.0).alias("nope"))
 
 
+def with_features(s, d):
+    """Scored predictions with a confidence and features; every seventh run's anchor and delay have the wrong types, every 41st's are broken."""
+    p = b.scored(s, d)
+    run = F.col("run_id")
+    number = lambda i: F.when((run + i) % 5 != 0, (run * (i + 3) % 97) / 4.0 + F.when(F.lit(ex.FEATURES[i][2] == "long"), F.col("generated_at")).otherwise(0))
+    cells = [number(i).alias(key) for i, (key, _, kind, _) in enumerate(ex.FEATURES) if kind != "string"]
+    kind = F.when(run % 3 == 0, "actual_dep").when(run % 3 == 1, "").alias("anchorKind")
+    made = F.when(run % 41 == 0, '{"anchorKind": ').when(run % 7 == 0, '{"anchorKind": 5, "originDepDelaySec": "12", "holiday": true, "networkDelaySec": -2.5}').otherwise(F.to_json(F.struct(kind, *cells)))
+    return p.withColumn("confidence", (run % 11) / 10.0).withColumn("features_json", F.when(run % 43 != 0, made))
+
+
+def exported(s, d):
+    return ex.export_rows(with_features(s, d), b.runs(s, d))
+
+
 def export_round_trip(s, d):
     """Writes the export in Hive layout, reads it back and returns what differs: no rows."""
     from viaduct.sources.landing import scratch
 
-    rows = ex.export_rows(b.scored(s, d), b.runs(s, d))
+    rows = exported(s, d)
     folder = scratch(s, "export")
     ex.write_export(rows, folder)
     return ex.differences(rows, s.read.schema(rows.schema).parquet(folder))
@@ -127,7 +142,7 @@ QUERIES = {
     "u10_fill_crowding": lambda s, d: up.fill_nulls(updates(s, d).select("run_id", "ts", "source", "id", "crowding"), updates(s, d).where("id % 2 = 0").select("run_id", "ts", "source", F.lit(9).alias("crowding")), ["run_id", "ts", "source"], "crowding").select("id", "crowding"),
     "snk02_changed_snapshots": lambda s, d: up.changed_snapshots(fetches(s, d)).select("id", "changed"),
     "snk04_backfill_types": lambda s, d: b.stop_events(s, d).select("run_id", "stop_id", F.coalesce("stop_sequence", F.lit(0)).alias("stop_sequence"), F.timestamp_millis("sched_arr_epoch").cast("timestamp_ntz").alias("sched_arr")),
-    "snk05_export": lambda s, d: ex.export_rows(b.scored(s, d), b.runs(s, d)),
+    "snk05_export": exported,
     "snk07_round_trip": export_round_trip,
     "snk08_retention": lambda s, d: up.retain(b.stop_events(s, d), "sched_arr_epoch", AS_OF, 365).groupBy("stop_id").agg(F.count("*").alias("n")),
     "p01_features": features,
@@ -158,6 +173,22 @@ SIGHT = """si AS (SELECT p_partkey AS id, ' Bivio/PC ' || (p_partkey % 300) || C
 SLUG = "CASE WHEN {s} = '' THEN 'unnamed' ELSE {s} END".format(s="regexp_replace(regexp_replace(lower(trim(name)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')")
 SECS = "(sched_arr_epoch - generated_at) // 1000"
 
+
+def _cell(i: int, column: str, kind: str, default: int | None) -> str:
+    base = "generated_at + " if kind == "long" else ""
+    value = f"CASE WHEN run_id % 41 <> 0 AND run_id % 7 <> 0 AND (run_id + {i}) % 5 <> 0 THEN {base}(run_id * {i + 3} % 97) / 4.0 END"
+    if column == "f_network_delay_sec":
+        value = f"CASE WHEN run_id % 41 <> 0 AND run_id % 7 = 0 THEN -2.5 ELSE {value} END"
+    value = value if default is None else f"coalesce({value}, {default})"
+    return f"CAST({value} AS DOUBLE) AS {column}" if kind == "double" else f"CAST(floor({value} + 0.5) AS {'BIGINT' if kind == 'long' else 'INTEGER'}) AS {column}"
+
+
+EXPORTED = f"""exported AS (SELECT service_date, train_number, operator, route_id AS line, run_id, prediction_id, s.stop_id, model_version, generated_at, CAST({SECS.replace('sched', 's.sched')} AS INTEGER) AS horizon_sec,
+  CASE WHEN {SECS.replace('sched', 's.sched')} <= 300 THEN '0-5m' WHEN {SECS.replace('sched', 's.sched')} <= 900 THEN '5-15m' WHEN {SECS.replace('sched', 's.sched')} <= 1800 THEN '15-30m' WHEN {SECS.replace('sched', 's.sched')} <= 3600 THEN '30-60m' ELSE '60m+' END AS horizon_bucket,
+  s.sched_arr_epoch, operator_eta_epoch, our_p10, our_p50, our_p90, CAST(run_id % 11 / 10.0 AS DOUBLE) AS confidence, actual_arr_epoch, CAST(operator_error_sec AS INTEGER) AS operator_error_sec, CAST(our_error_sec AS INTEGER) AS our_error_sec,
+  CASE WHEN run_id % 41 <> 0 AND run_id % 7 <> 0 AND run_id % 3 = 0 THEN 'actual_dep' END AS f_anchor_kind, {', '.join(_cell(i, column, kind, default) for i, (_, column, kind, default) in enumerate(ex.FEATURES) if kind != 'string')}
+  FROM scored s JOIN runs USING (run_id) WHERE run_id % 43 <> 0)"""
+
 ON_DAY = f"""cal AS (SELECT 'V' || k AS service_id, strftime(strptime('{DAY}', '%Y%m%d') + to_days(CAST(n AS INT)), '%Y%m%d') AS date, CASE WHEN (k + n) % 3 <> 0 THEN 1 ELSE 2 END AS exception_type FROM range(50) a(k), range(7) c(n)),
 ontrips AS (SELECT t.* FROM trips t JOIN cal c ON c.service_id = t.service_id AND c.date = '{DAY}' AND c.exception_type = 1)"""
 
@@ -201,7 +232,7 @@ ORACLE_SQL = {
     "u10_fill_crowding": oracle("obs", f"WITH {UPD} SELECT id, coalesce(crowding, CASE WHEN id % 2 = 0 THEN 9 END) AS crowding FROM upd"),
     "snk02_changed_snapshots": oracle("obs", f"WITH {FETCH} SELECT id, coalesce(lag(payload_hash) OVER (PARTITION BY source, entity_key ORDER BY ts, id) <> payload_hash, true) AS changed FROM fe"),
     "snk04_backfill_types": oracle("se", "SELECT run_id, stop_id, coalesce(stop_sequence, 0) AS stop_sequence, make_timestamp(sched_arr_epoch * 1000) AS sched_arr FROM se"),
-    "snk05_export": oracle("se ends runs pred scored", f"SELECT prediction_id, run_id, s.stop_id, train_number, operator, model_version, generated_at, s.sched_arr_epoch, actual_arr_epoch, {SECS.replace('sched', 's.sched')} AS horizon_sec, CASE WHEN {SECS.replace('sched', 's.sched')} <= 300 THEN '0-5m' WHEN {SECS.replace('sched', 's.sched')} <= 900 THEN '5-15m' WHEN {SECS.replace('sched', 's.sched')} <= 1800 THEN '15-30m' WHEN {SECS.replace('sched', 's.sched')} <= 3600 THEN '30-60m' ELSE '60m+' END AS horizon_bucket, our_error_sec, operator_error_sec, (our_p90 - our_p10) // 1000 AS spread_sec, service_date, route_id AS line FROM scored s JOIN runs USING (run_id)"),
+    "snk05_export": oracle("se ends runs pred scored", f"WITH {EXPORTED} SELECT * FROM exported"),
     "snk08_retention": oracle("se", f"SELECT stop_id, count(*) AS n FROM se WHERE sched_arr_epoch >= {AS_OF - 365 * 86400000} GROUP BY 1"),
     "p01_features": "SELECT event_id, CAST(floor(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) + 0.5) AS BIGINT) AS k, CAST(0.0 AS DOUBLE) AS nope FROM events",
     "w21_newest_n": oracle("obs", "WITH k AS (SELECT id, ts FROM obs QUALIFY row_number() OVER (PARTITION BY source, location_id ORDER BY ts DESC, id DESC) = 1) SELECT id, ts FROM k ORDER BY ts DESC, id DESC LIMIT 20"),
