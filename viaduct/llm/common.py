@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BATCH_ROWS = 1024
@@ -57,6 +57,32 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+SMALL_ROWS = 100_000
+
+
+def beside(small: DataFrame) -> DataFrame:
+    """``small``, which must be cut from its lineage, marked for broadcast if it has at most SMALL_ROWS
+    rows; beyond that the join shuffles and Spark splits hot keys."""
+    return F.broadcast(small) if small.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else small
+
+
+def running_sums(df: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
+    """``df`` and the sums of the named columns over all rows before, in the given order, as ``<name>_before``.
+
+    Rows are sorted by range into partitions of about the same size, whatever their keys, and
+    written, so that partition numbers stay; each then starts from the totals of those before it.
+    """
+    part = fresh("part", df)
+    rows = cut_lineage(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
+    totals = rows.groupBy(part).agg(*[F.sum(c).alias(f"{k}_part") for k, c in sums.items()])  # a row for each partition
+    ahead = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(part, *[F.coalesce(F.sum(f"{k}_part").over(ahead), F.lit(0)).alias(f"{k}_part") for k in sums])
+    within = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    found = rows.select("*", *[F.coalesce(F.sum(c).over(within), F.lit(0)).alias(f"{k}_before") for k, c in sums.items()])
+    found = found.join(F.broadcast(totals), part)
+    return found.select(*every_column(df), *[(F.col(f"{k}_before") + F.col(f"{k}_part")).alias(f"{k}_before") for k in sums])
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph.
 

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viaduct.llm import bpe, embed_dedup, html_extract, langid, packing, simhash, topk, toxicity, url_filter, warc
-from viaduct.llm.common import read_table
+from viaduct.llm import bpe, curriculum, divergence, embed_dedup, html_extract, langid, packing, periodic, simhash, topk, toxicity, url_filter, warc
+from viaduct.llm.common import read_table, running_sums
 
 
 def tokenizer_path() -> str:
@@ -71,6 +71,36 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(read_table(spark, sf_dir, "pages"), payloads=False).drop("intact")
 
 
+#: Weights of the sources by code point, repeating.
+MIX_WEIGHTS = (3.0, 1.0, 2.0)
+
+
+def op11_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights fall to half of their mean in every other source and rise to it in the rest."""
+    docs = read_table(spark, sf_dir, "documents")
+    ranked = running_sums(docs.select("source").distinct(), [F.asc_nulls_last("source")], k=F.lit(1))
+    weight = F.element_at(F.array(*map(F.lit, MIX_WEIGHTS)), (F.col("k_before") % len(MIX_WEIGHTS) + 1).cast("int"))
+    turn = F.when(F.col("k_before") % 2 == 0, 0.5).otherwise(-0.5)
+    knots = F.array(*[F.struct(F.lit(at).alias("at"), (weight * (1 + sign * turn)).alias("weight")) for at, sign in ((0.0, 1), (1.0, -1))])
+    mixed = curriculum.mix(docs, ranked.select("source", knots.alias("knots")), share=1.5, most=2.0)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", periodic.planted(F.col("doc_id"), F.col("text")).alias("text"))
+    found = periodic.periodic_runs(docs, ["doc_id"])
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    out = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("longest"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    start, length, period = -F.col("longest.start"), F.col("longest.length"), -F.col("longest.period")
+    milli = F.floor(1000 * length / period)
+    return out.select("doc_id", "n_runs", start.alias("start"), length.alias("length"), period.alias("period"), milli.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 OP1_SQL = """
 WITH ok AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
@@ -130,6 +160,59 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
 FROM o
 """
 
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), text, '')) AS k FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [3.0, 1.0, 2.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w FROM d GROUP BY source
+), o AS (
+  SELECT *, 2.0::DOUBLE * source_size AS cap, 1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(2.0::DOUBLE * source_size) OVER before, 0) AS left_over, sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS among
+  FROM s WINDOW before AS (ORDER BY 2.0::DOUBLE * source_size / w, source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), rate AS (
+  SELECT left_over AS l, among AS a FROM o WHERE w * left_over <= cap * among ORDER BY cap / w, source NULLS FIRST LIMIT 1
+), t AS (
+  SELECT source, source_size, coalesce(least(cap, w * (SELECT l FROM rate) / (SELECT a FROM rate)), cap) AS target FROM o
+), m AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS whole,
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+       CAST(greatest(0, least(size, whole - ahead)) + greatest(0, least(size, whole - ahead - source_size)) AS BIGINT) AS taken
+FROM m
+"""
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT r, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d
+), kept AS (
+  SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 10
+), g AS (SELECT DISTINCT lang, source FROM d
+), n AS (
+  SELECT w.lang, w.source, w.term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY ALL
+), c AS (
+  SELECT g.lang, g.source, kept.term, coalesce(n.n, 0) AS n FROM g JOIN kept USING (lang) LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = kept.term
+), p AS (
+  SELECT lang, source, term, n, 1 + 1000000000 * (n + 2)::HUGEINT // (sum(n) OVER (PARTITION BY lang, source) + 2 * count(*) OVER (PARTITION BY lang, source)) AS p FROM c
+), l AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL
+), q AS (
+  SELECT lang, term, 1 + 1000000000 * (n + 2)::HUGEINT // (sum(n) OVER (PARTITION BY lang) + 2 * count(*) OVER (PARTITION BY lang)) AS q FROM l
+), apart AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(apart.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart ON apart.lang = a.lang AND apart.source = a.source AND apart.item = b.source
+), terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS k FROM (FROM pairs UNION ALL FROM terms)
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(k AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR k <= 10
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_simhash": op2_simhash,
@@ -141,6 +224,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_langid": op9_langid,
     "op10_warc": op10_warc,
+    "op11_curriculum": op11_curriculum,
+    "op12_divergence": op12_divergence,
+    "op13_runs": op13_runs,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_topk": OP1_SQL, "op3_embed_dedup": OP3_SQL, "op5_url_filter": OP5_SQL, "op10_warc": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_topk": OP1_SQL, "op3_embed_dedup": OP3_SQL, "op5_url_filter": OP5_SQL, "op10_warc": OP10_SQL, "op11_curriculum": OP11_SQL, "op12_divergence": OP12_SQL}
