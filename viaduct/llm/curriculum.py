@@ -32,11 +32,11 @@ def pieces(knots: Column) -> Column:
 
 def instant(schedule: Column, demand: Column) -> Column:
     """When in training a source has been given ``demand`` units of weight: the inverse of its integral."""
-    piece = F.element_at(F.filter(schedule, lambda s: s["before"] <= demand), -1)
+    piece = F.try_element_at(F.filter(schedule, lambda s: s["before"] <= demand), F.lit(-1))
     rest = demand - piece["before"]
-    slope = (piece["to"] - piece["from"]) / (piece["upto"] - piece["at"])
+    slope = F.coalesce(F.try_divide(piece["to"] - piece["from"], piece["upto"] - piece["at"]), F.lit(0.0))
     root = F.sqrt(F.greatest(F.lit(0.0), piece["from"] * piece["from"] + 2 * rest * slope))
-    return F.when(rest > 0, F.least(piece["upto"], piece["at"] + 2 * rest / (piece["from"] + root))).otherwise(piece["at"])
+    return F.when(rest > 0, F.least(piece["upto"], piece["at"] + F.try_divide(2 * rest, piece["from"] + root))).otherwise(piece["at"])
 
 
 def targets(sources: DataFrame, share: float, most: float) -> DataFrame:
@@ -46,7 +46,7 @@ def targets(sources: DataFrame, share: float, most: float) -> DataFrame:
     and the excess goes to the others by weight until none is above.  In the order of size for weight,
     the first source that its part of what is left does not fill sets the rate for itself and all after it.
     """
-    capped = sources.withColumn("cap", F.lit(float(most)) * F.col("source_size")).withColumn("fills", F.when(F.col("weight") > 0, F.col("cap") / F.col("weight")).otherwise(float("inf")))
+    capped = sources.withColumn("cap", F.lit(float(most)) * F.col("source_size")).withColumn("fills", F.coalesce(F.try_divide("cap", "weight"), F.lit(float("inf"))))
     words, weights = capped.agg(F.sum("source_size"), F.sum("weight")).first()
     ordered = running_sums(capped, [F.col("fills"), F.col("source")], cap=F.col("cap"), weight=F.col("weight"))
     ordered = ordered.withColumn("left", F.lit(float(share) * (words or 0)) - F.col("cap_before")).withColumn("among", F.lit(weights or 0.0) - F.col("weight_before"))
@@ -91,7 +91,7 @@ def mix(docs: DataFrame, schedules: DataFrame, share: float = 1.5, most: float =
     def use(k: Column) -> Column:
         at = F.col("at") + k * F.col("source_size")
         words = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), whole - at))
-        return F.struct(k.cast("int").alias("pass"), instant(F.col("schedule"), at / F.col("target") * F.col("weight")).alias("position"), words.alias("words"))
+        return F.struct(k.cast("int").alias("pass"), instant(F.col("schedule"), F.try_divide(at, F.col("target")) * F.col("weight")).alias("position"), words.alias("words"))
 
     passes = F.filter(F.transform(F.sequence(F.lit(0), F.lit(-int(-most // 1) - 1)), use), lambda x: x["words"] > 0)
     out = met.withColumn("passes", passes).withColumn("taken", F.aggregate("passes", F.lit(0).cast("long"), lambda n, x: n + x["words"]))

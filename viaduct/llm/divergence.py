@@ -241,8 +241,8 @@ def compare_pairs(counts: DataFrame, groups: DataFrame) -> DataFrame:
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         sources = sorted(right["source"])
-        if not sources:
-            return pd.DataFrame({"lang": [], "source": [], "item": [], "value": []})
+        if len(sources) < 2:
+            return pd.DataFrame({c: np.array([], object) for c in ("lang", "source", "item", "value")})
         place, lacking = {s: k for k, s in enumerate(sources)}, dict(zip(right["source"], right["p"], strict=True))
         block, wide, kept = int(right["block"].iat[0]), int(right["wide"].iat[0]), int(right["kept"].iat[0])
         slots = max(0, min(wide, kept - block * wide))
@@ -255,7 +255,8 @@ def compare_pairs(counts: DataFrame, groups: DataFrame) -> DataFrame:
             value += (apart * apart // both).sum(1).tolist()
             one += [sources[k]] * (len(sources) - k - 1)
             two += sources[k + 1 :]
-        return pd.DataFrame({"lang": right["lang"].iat[0], "source": one + two, "item": two + one, "value": np.array(value + value, np.int64)})
+        text = lambda x: np.array(x, object)
+        return pd.DataFrame({"lang": text([right["lang"].iat[0]] * 2 * len(one)), "source": text(one + two), "item": text(two + one), "value": np.array(value + value, np.int64)})
 
     met = cells.groupBy("lang", "block").cogroup(blocks.groupBy("lang", "block"))
     return met.applyInPandas(compare, "lang string, source string, item string, value long").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
@@ -290,7 +291,7 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, lang_co
     sums = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     many = groups.groupBy("lang").agg(F.count("*").alias("sources"))
     groups = groups.join(sums, ["lang", "source"], "left").join(kept, "lang", "left").join(many, "lang").fillna(0, ["total", "kept"])
-    groups = cut_lineage(groups.withColumn("p", F.when(F.col("kept") > 0, share("0", "total", "kept"))))
+    groups = cut_lineage(groups.withColumn("p", F.when(F.col("kept") > 0, share("0", "total", "kept")).otherwise(0)))
     whole = cut_lineage(groups.groupBy("lang").agg(F.sum("total").alias("lang_total"), F.max("kept").alias("kept")))
 
     named = counts.groupBy("lang", "slot").agg(F.sum("n").alias("lang_n")).join(lexicon, ["lang", "slot"]).join(beside(whole), "lang")

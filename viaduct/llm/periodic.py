@@ -240,10 +240,10 @@ def planted(doc_id: Column, text: Column) -> Column:
     g = F.floor(h / 10)
     words = F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+)"))
     n = F.size(words).cast("long")
-    a = g % n
+    a = g % F.greatest(n, F.lit(1))
     p = 1 + F.floor((n - a) / (3 + g % 8))
     period = F.slice(words, (a + 1).cast("int"), p.cast("int"))
-    often = F.ceil((n - a) / p).cast("int")
+    often = F.ceil((n - a) / F.greatest(p, F.lit(1))).cast("int")
     tail = F.slice(F.flatten(F.array_repeat(period, often)), F.lit(1), (n - a).cast("int"))
     made = F.array_join(F.concat(F.slice(words, F.lit(1), a.cast("int")), tail), " ")
     return F.when((h % 10 == 0) & (n > 0), made).otherwise(text)
