@@ -19,11 +19,16 @@ BUCKET_BITS = 16
 SAMPLE_ROWS = 3000
 SLICE_BYTES = 1 << 20
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDY = re.compile(r"[^\W\d_]")  # letters, and numbers such as ½ that are no digits
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def has_letter(text: str) -> bool:
+    """Whether any sign is of Unicode's category L."""
+    return any(m.group().isalpha() for m in _WORDY.finditer(text))
+
+
 def codewords(classes: int, seed: int = 5) -> np.ndarray:
     """A row of -1 and 1 for each class: all two-way splits of up to six classes, else random ones."""
     if classes < 2:
@@ -67,7 +72,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score, ambiguous): loss-weighted decoding to the nearest codeword."""
-        if not text or not self.languages or not _LETTER.search(text):
+        if not text or not self.languages or not has_letter(text):
             return UNDETERMINED, 0.0, True
         if len(self.languages) == 1:
             return self.languages[0], 1.0, False
