@@ -219,6 +219,57 @@ def test_pages_of_many_makes(page, want):
     assert html_extract.main_text(page) == want
 
 
+PROSE = "<p>A paragraph of the article, with commas, and some words.</p>"
+TOLD = "A paragraph of the article, with commas, and some words."
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<article><h1>T</h1>{PROSE}<div class='discussion'><p>What the results mean, in short.</p></div></article>", ["T", TOLD, "What the results mean, in short."]),
+        (f"<article>{PROSE}<h2 id='discussion'>Discussion</h2>{PROSE}<section id='responses'><p>Few answered.</p></section></article>", [TOLD, "Discussion", TOLD, "Few answered."]),
+        (f"<article>{PROSE}<p class='notice'>Take note.</p><p id='search-results'>Found.</p><pre class='form'>x = 1</pre></article>", [TOLD, "Take note.", "Found.", "x = 1"]),
+        (f"<div class=hd><h1>Head</h1></div><div>{PROSE * 4}</div>", ["Head", *[TOLD] * 4]),
+        (f"<div>{PROSE * 4}</div><div><h2>Part two</h2><p>one, small.</p></div><div>{PROSE * 4}</div>", [*[TOLD] * 4, "Part two", "one, small.", *[TOLD] * 4]),
+        ("<article><p>one <label>two</label> three</p></article>", ["one two three"]),
+        (f"<article>{PROSE}<div class='discussion'><ul><li><b class=author>Bo</b> Nice, really.</li><li><b class=author>Al</b> No.</li></ul></div><div class='comments'><p>Mine, too.</p></div></article>", [TOLD]),
+        (f"<article>{PROSE}<div class='notice'><p>We use cookies.</p></div><div class='search-form'>Find</div><p class='advert'>Buy, now.</p><div class='tags'><a href=x>one</a> <a href=y>two</a></div></article>", [TOLD]),
+    ],
+)
+def test_names_weigh_inside_an_article(page, want):
+    assert html_extract.main_text(page).split("\n\n") == want
+
+
+def test_articles_of_a_grammar():
+    """Pages put together from parts of which it is known whether they belong to the article."""
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
+    sentence = lambda n: ", ".join(" ".join(word() for _ in range(4)) for _ in range(n)) + "."
+    link = lambda: f"<li><a href='/{word()}'>{word()}</a></li>"
+    beside = [
+        lambda: f"<nav><ul>{link() * 5}</ul></nav>", lambda: f"<div class='{rng.choice(['ad', 'sidebar', 'cookie-banner', 'related-posts', 'newsletter'])}'><p>{sentence(2)}</p></div>", lambda: f"<footer><p>{sentence(1)}</p></footer>",
+        lambda: f"<aside><p>{sentence(2)}</p></aside>", lambda: f"<form><label>{word()}</label><input></form>", lambda: f"<script>{sentence(1)}</script><style>p {{}}</style>", lambda: f"<section class='comments'><p>{sentence(2)}</p></section>",
+    ]
+    for _ in range(60):
+        parts, want = [], []
+        for _ in range(rng.integers(2, 9)):
+            text = sentence(int(rng.integers(1, 6)))
+            tag = rng.choice(["p", "p", "p", "h2", "blockquote", "pre"])
+            name = rng.choice(["", " class='lead'", " id='discussion'", " class='notice'"])
+            shown = text.replace(" ", " <em>", 1).replace(",", "</em>,", 1) if rng.random() < 0.5 and "," in text else text
+            parts.append(f"<{tag}{name}>{shown}</{tag}>" if rng.random() < 0.8 else f"<div id='responses'><p>{shown}</p></div>")
+            want.append(text)
+            if rng.random() < 0.3:
+                parts.append(beside[rng.integers(len(beside))]())
+        around = [beside[k]() for k in rng.integers(0, len(beside), 4)]
+        page = f"<html><head><title>{word()}</title></head><body>{''.join(around[:2])}<article><h1>{(head := word())}</h1>{''.join(parts)}</article>{''.join(around[2:])}</body></html>"
+        assert html_extract.main_text(page).split("\n\n") == [head, *want]
+
+
+def test_numbers_are_no_letters():
+    assert [langid.has_letter(t) for t in ("½ ²", "Ⅷ ① ٣", "1_2", "", "½a", "ª", "漢", "ʰ")] == [False, False, False, False, True, True, True, True]
+
+
 def test_extraction(spark):
     want = "A title\n\nFirst paragraph, with é and bold words, enough of them, to count.\n\nSecond <paragraph>, also long enough, with commas, and more."
     odd = [None, "", "   ", "<", "<p", "&", "plain text", "<div>" * 3000, "<!-- open", "<script>x"]
