@@ -5,7 +5,10 @@ import inspect
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+from viaduct.operators import boosting as bs
 from viaduct.operators import models as md
+from viaduct.operators import platforms as pf
 from viaduct.plans.models import QUERIES
 from viaduct.sources import providers as pv
 
@@ -43,10 +46,105 @@ def test_pinball_takes_the_same_steps_as_numpy(line):
     assert loss(w) < start
 
 
-def test_boosted_trees_learn(line):
-    df, _ = line
-    out = md.boosted(df, ["x"], "y", trees=10)(df).selectExpr("avg(abs(y - predicted)) AS a", "avg(abs(y - 3)) AS b").first()
-    assert out.a < 0.8 * out.b
+def plain_booster(x, y, edges, rounds, rate, depth, least):
+    """The booster row by row, by its definition; returns the predictions for ``x``."""
+
+    def tree(rows, rest, level):
+        mean = rest[rows].mean() if len(rows) else 0.0
+        best = (1e-9, None)
+        if level < depth:
+            for f in range(x.shape[1]):
+                for cut in edges[f]:
+                    left = rows[x[rows, f] <= cut]
+                    right = rows[x[rows, f] > cut]
+                    if min(len(left), len(right)) >= least:
+                        gain = rest[left].sum() ** 2 / len(left) + rest[right].sum() ** 2 / len(right) - rest[rows].sum() ** 2 / len(rows)
+                        if gain > best[0] + 1e-9:
+                            best = (gain, (left, right))
+        if best[1] is None:
+            return [(rows, mean)]
+        return tree(best[1][0], rest, level + 1) + tree(best[1][1], rest, level + 1)
+
+    out = np.full(len(y), y.mean())
+    for _ in range(rounds):
+        rest = y - out
+        for rows, mean in tree(np.arange(len(y)), rest, 0):
+            out[rows] += rate * mean
+    return out
+
+
+@pytest.fixture(scope="module")
+def bumps(spark):
+    rng = np.random.default_rng(9)
+    x = np.stack([rng.normal(size=600), rng.integers(0, 4, 600), rng.normal(size=600)], axis=1).round(2)
+    y = np.where(x[:, 0] > 0.3, 40, -10) + 7 * x[:, 1] * (x[:, 2] < 0) + rng.normal(size=600)
+    rows = [(*map(float, r), float(v)) for r, v in zip(x, y, strict=True)]
+    return spark.createDataFrame([*rows, (None, 1.0, 1.0, 5.0), (1.0, 1.0, 1.0, None)], "a double, b double, c double, y double"), x, y
+
+
+@pytest.mark.parametrize(("depth", "least"), [(1, 1), (3, 20), (4, 60), (3, 400)])
+def test_booster_equals_a_plain_one(bumps, depth, least):
+    df, x, y = bumps
+    edges = bs.edges_of(df.dropna(), ["a", "b", "c"], 16)
+    setting = bs.Setting(12, 0.3, depth, least)
+    forest = bs.fit(df, ["a", "b", "c"], [F.col("y")], [setting], bins=16)[0]
+    want = plain_booster(x, y, edges, 12, 0.3, depth, least)
+    assert forest.predict(x) == pytest.approx(want)
+    got = bs.predicted(df, ["a", "b", "c"], {"p": forest}).toPandas()
+    assert got["p"][:600].to_numpy() == pytest.approx(want) and np.isnan(got["p"][600]) and len(got) == 602
+
+
+def test_booster_joins_bins_when_there_are_too_many_cells(bumps):
+    df, x, y = bumps
+    names = ["a", "b", "c"]
+    few = bs.fit(df, names, [F.col("y")], [bs.Setting(12, 0.3, 3, 20)], bins=16, most_cells=60)[0]
+    edges = [e[1::2] for e in bs.edges_of(df.dropna(), names, 16)]
+    while bs.cells_of(df, names, [F.col("y")], edges).count() > 60:
+        edges = [e[1::2] for e in edges]
+    assert few.predict(x) == pytest.approx(plain_booster(x, y, edges, 12, 0.3, 3, 20))
+    with pytest.raises(ValueError, match="cells"):
+        bs.fit(df, names, [F.col("y")], [bs.Setting(1)], most_cells=0)
+
+
+def test_settings_share_fits_and_targets_differ(bumps):
+    df, x, y = bumps
+    names, high = ["a", "b", "c"], (F.col("y") > 20).cast("int")
+    settings = [bs.Setting(5, 0.2, 2, 10), bs.Setting(9, 0.2, 2, 10), bs.Setting(5, 0.2, 2, 10, target=1)]
+    forests = bs.fit(df, names, [F.col("y"), high], settings)
+    alone = [bs.fit(df, names, [t], [bs.Setting(n, 0.2, 2, 10)])[0].predict(x) for n, t in ((5, F.col("y")), (9, F.col("y")), (5, high))]
+    for forest, want in zip(forests, alone, strict=True):
+        assert forest.predict(x) == pytest.approx(want)
+
+
+def test_sweep_measures_each_setting(bumps):
+    df, x, y = bumps
+    settings = [bs.Setting(4, 0.3, 2, 10), bs.Setting(8, 0.3, 2, 10), bs.Setting(8, 0.1, 3, 10)]
+    got = {(r.rounds, r.rate): (r.n, r.mae) for r in bs.sweep(df, df, ["a", "b", "c"], "y", settings, limit=30.0).collect()}
+    for s, forest in zip(settings, bs.fit(df, ["a", "b", "c"], [F.col("y")], settings), strict=True):
+        n, mae = got[s.rounds, s.rate]
+        assert n == 600 and mae == pytest.approx(np.abs(y - forest.predict(x).clip(-30, 30)).mean())
+    assert len(bs.grid()) == len(set(bs.grid())) == 36
+
+
+def test_booster_of_nothing(bumps):
+    df, x, _ = bumps
+    forest = bs.fit(df.limit(0), ["a", "b", "c"], [F.col("y")], [bs.Setting(3)])[0]
+    assert (forest.predict(x) == 0).all()
+
+
+def test_platforms_against_the_usual_one(spark):
+    """Two stations whose platform follows the route at one and the platform before at the other."""
+    rows, rng = [], np.random.default_rng(2)
+    for k in range(900):
+        before = str(1 + int(rng.integers(2)))
+        rows.append((k, 1, "S1", f"R{k % 2}", str(1 + k % 2), k * 600_000, None))
+        rows.append((k, 2, "S2", "R0", "4" if before == "2" else "3", k * 600_000 + 1, before))
+    calls = spark.createDataFrame([*rows, (1, 9, "S1", "R0", "31", 5, None), (1, 10, "S1", "R0", "x", 5, None)], "run_id long, stop_sequence int, stop_id string, route_id string, platform string, leaves_at long, previous string")
+    learn, judge = calls.where("run_id < 700"), calls.where("run_id >= 700")
+    modes = {(r.stop_id, r.route_id): (r.usual, r.usual_share) for r in pf.usual(learn.where("platform < '31'")).collect()}
+    assert modes["S1", "R0"] == ("1", 1.0) and modes["S1", "R1"] == ("2", 1.0)
+    got = pf.judged(learn, judge).first()
+    assert got.n == 400 and got.top1 == 1.0 and 0.6 < got.baseline < 0.9 and got.change_n > 50 and got.change_top1 == 1.0 and got.deploy
 
 
 def test_forest_and_missing_features(spark):
@@ -78,4 +176,4 @@ def test_payload_edges(spark):
 def test_registered_fits_run_to_their_end():
     of = lambda f, name: inspect.signature(f).parameters[name].default
     assert of(QUERIES["m05_pinball"], "epochs") == of(md.pinball, "epochs") == 500
-    assert of(QUERIES["m06_boosted_gate"], "trees") == of(md.boosted, "trees") == 150
+    assert of(QUERIES["m06_boosted_gate"], "rounds") == bs.Setting().rounds == 150

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from viaduct.functions.semantics import clamp, js_round, rome_hour
+from viaduct.functions.semantics import clamp, is_peak, js_round, rome_hour
 
 DWELL_SEC = 45
 
@@ -70,6 +70,20 @@ def feature_row(rows: DataFrame) -> list[Column]:
     return [made[name].alias(name) for name in NAMES]
 
 
+#: Features of a change between trains.
+CONNECTION = ("slack", "arrivalDelay", "departureDelay", "hourSin", "hourCos", "peak")
+
+
+def connection_row(slack: Column, arrival_delay: Column, departure_delay: Column, hour: Column) -> list[Column]:
+    """The features of CONNECTION; an unknown delay of the second train counts as none, hour 0 as noon."""
+    at = F.when(hour == 0, 12).otherwise(hour)
+    made = [
+        F.greatest(F.lit(0.0), F.least(slack.cast("double"), F.lit(1800.0))) / 300, clamp(arrival_delay.cast("double"), -900.0, 900.0) / 300,
+        clamp(F.coalesce(departure_delay, F.lit(0)).cast("double"), -900.0, 900.0) / 300, F.sin(2 * math.pi * at / 24), F.cos(2 * math.pi * at / 24), is_peak(at).cast("double"),
+    ]
+    return [c.alias(name) for c, name in zip(made, CONNECTION, strict=True)]
+
+
 def ridge(rows: DataFrame, features: Sequence[str], target: str, strength: float = 1.0) -> dict[str, float]:
     """Ridge regression from one pass: every task sums its rows' products, the driver solves one small system.
 
@@ -121,16 +135,6 @@ def pinball(rows: DataFrame, features: Sequence[str], target: str, quantile: flo
     return dict(zip(features, found[0] if found else [0.0] * len(features), strict=True))
 
 
-def boosted(rows: DataFrame, features: Sequence[str], target: str, trees: int = 150):
-    """Shallow gradient-boosted trees; returns a function that adds their prediction to a frame."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    assemble = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip")
-    model = GBTRegressor(featuresCol="_x", labelCol=target, predictionCol="predicted", maxDepth=3, maxIter=trees, stepSize=0.08, minInstancesPerNode=40, maxBins=32, seed=7, checkpointInterval=-1).fit(assemble.transform(rows))
-    return lambda df: model.transform(assemble.transform(df)).drop("_x")
-
-
 def forest(trees: Sequence[tuple], rate: float, start: float = 0.0) -> Column:
     """Prediction of given trees, each a number or (feature, threshold, tree if at most, tree if above)."""
     walk = lambda t: F.when(F.col(t[0]) <= t[1], walk(t[2])).otherwise(walk(t[3])) if isinstance(t, tuple) else F.lit(float(t))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from viaduct.functions.semantics import quantiles_of, rome_hms
+from viaduct.functions.semantics import quantiles_of, rome_hms, rome_hour
+from viaduct.operators import boosting as bs
 from viaduct.operators import evaluate as ev
 from viaduct.operators import models as md
+from viaduct.operators import platforms as pf
 from viaduct.operators import segments as sg
 from viaduct.plans.joins import CONNECTIONS, connection_pairs
 from viaduct.plans.schedule import EXPORTED, exported
@@ -51,12 +53,22 @@ def exported_features(s, d):
     return x.select("prediction_id", *md.feature_row(x)).select("prediction_id", *[(F.round(c, 6) + 0.0).alias(c) for c in md.NAMES])
 
 
-def split(rows):
-    """The earliest 80 % of predictions for learning, the rest for judging."""
-    marked = ev.time_split(rows, ["generated_at", "prediction_id"])
+def split(rows, order=("generated_at", "prediction_id")):
+    """The earliest 80 % of the rows for learning, the rest for judging."""
+    marked = ev.time_split(rows, list(order))
     return marked.where("is_train"), marked.where("NOT is_train")
 
 
+def held_once(rows, order, run):
+    """What ``run(learn, judge)``, a table of a few rows, gives; the rows are kept while it runs, as fits read them
+    again and again."""
+    rows = ev.time_split(rows, list(order)).persist()
+    table = run(rows.where("is_train"), rows.where("NOT is_train"))
+    told = table.collect()
+    rows.unpersist()
+    return rows.sparkSession.createDataFrame(told, table.schema)
+
+
 def ridge(s, d):
     weights = md.ridge(training(s, d), USED, "residual")
     return s.createDataFrame([(c, round(v, 4)) for c, v in weights.items()], "feature string, weight double")
@@ -77,11 +89,52 @@ def ridge_gate(s, d):
     return md.gate(judged, "residual", "left", F.abs("left") <= F.greatest(F.col("band"), F.lit(30.0)))
 
 
-def boosted_gate(s, d, trees=150):
-    learn, judge = split(training(s, d))
-    learn = learn.persist()  # read once for each tree
-    judged = md.boosted(learn, USED[1:], "residual", trees)(judge).withColumn("left", F.col("residual") - F.col("predicted"))
-    return md.gate(judged, "residual", "left", F.abs("left") <= 300)
+def boosted_gate(s, d, rounds=150):
+    def run(learn, judge):
+        forest = bs.fit(learn, USED[1:], [F.col("residual")], [bs.Setting(rounds)])[0]
+        judged = bs.predicted(judge, USED[1:], {"predicted": forest}).withColumn("left", F.col("residual") - F.col("predicted"))
+        return md.gate(judged, "residual", "left", F.abs("left") <= 300)
+
+    return held_once(training(s, d), ("generated_at", "prediction_id"), run)
+
+
+def booster_sweep(s, d):
+    """All settings on one split by time, the smallest error first."""
+
+    def run(learn, judge):
+        table = bs.sweep(learn, judge, USED[1:], "residual", bs.grid())
+        return table.select("rounds", "rate", "depth", "least", "n", F.round("mae", 4).alias("mae")).orderBy("mae", "rounds", "rate", "depth", "least")
+
+    return held_once(training(s, d), ("generated_at", "prediction_id"), run).orderBy("mae", "rounds", "rate", "depth", "least")
+
+
+def connection_model(s, d):
+    """Whether a change is made, learned from the earlier four fifths of the changes, judged by the area under the curve."""
+    e = b.stop_events(s, d).where("stop_id IS NOT NULL")
+    late = e.select("run_id", "stop_id", F.col("sched_arr_epoch").alias("a_sched"), F.col("arr_delay_sec").alias("a_delay"))
+    next_late = e.select(F.col("run_id").alias("b_run"), "stop_id", F.col("sched_dep_epoch").alias("b_sched"), F.col("dep_delay_sec").alias("b_delay"))
+    pairs = connection_pairs(s, d).where("made IS NOT NULL").withColumn("slack_ms", F.col("slack_sec") * 1000)
+    pairs = pairs.join(late.withColumnRenamed("run_id", "a_run"), ["a_run", "stop_id"]).join(next_late, ["b_run", "stop_id"]).where("b_sched - a_sched = slack_ms AND a_delay IS NOT NULL")
+    rows = pairs.select("a_run", "b_run", "stop_id", "b_sched", F.col("made").cast("int").alias("made"), *md.connection_row(F.col("slack_sec"), F.col("a_delay"), F.col("b_delay"), rome_hour(F.col("b_sched"))))
+
+    def run(learn, judge):
+        forest = bs.fit(learn, md.CONNECTION, [F.col("made")], [bs.Setting(120, least=30)])[0]
+        judged = bs.predicted(judge, md.CONNECTION, {"p": forest})
+        found = ev.auc(judged.withColumn("score", F.round("p", 9)), "score", "made")
+        return found.select(F.round("auc", 3).alias("auc"), "positives", "negatives", F.coalesce(F.col("auc") >= 0.8, F.lit(False)).alias("deploy"))
+
+    return held_once(rows, ("b_sched", "a_run", "b_run", "stop_id"), run)
+
+
+def platform_rows(s, d):
+    """Calls with a known platform, the one before it on the run, and when they leave."""
+    e = b.stop_events(s, d).join(b.runs(s, d).select("run_id", "route_id"), "run_id").where("platform_actual IS NOT NULL")
+    before = F.lag("platform_actual").over(Window.partitionBy("run_id").orderBy("stop_sequence"))
+    return e.select("run_id", "stop_sequence", "stop_id", "route_id", F.col("platform_actual").alias("platform"), F.coalesce("sched_dep_epoch", "sched_arr_epoch").alias("leaves_at"), before.alias("previous"))
+
+
+def platform_model(s, d):
+    return held_once(platform_rows(s, d), ("leaves_at", "run_id", "stop_sequence"), pf.judged)
 
 
 def residual(s, d):
@@ -139,7 +192,10 @@ QUERIES = {
     "m08_ridge_gate": ridge_gate,
     "m09_residual": residual,
     "m10_connection_gate": connection_gate,
+    "m10_connection_model": connection_model,
     "m11_platform_gate": platform_gate,
+    "m11_platform_model": platform_model,
+    "m12_booster_sweep": booster_sweep,
     "src06_mia": lambda s, d: pv.mia_stops(mia_payloads(s, d)),
     "src07_vt": lambda s, d: pv.vt_stops(vt_payloads(s, d)),
     "src08_autocomplete": lambda s, d: pv.autocomplete(lookup_lines(s, d)),
