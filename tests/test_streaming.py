@@ -1,3 +1,5 @@
+import pytest
+
 from viaduct.operators import quality, upserts
 from viaduct.streaming import ingest, live
 
@@ -103,17 +105,34 @@ def test_outcomes_join_two_streams(spark, tmp_path):
     assert {tuple(r) for r in drained(live.outcomes(*streams), tmp_path, spark)} == batch
 
 
-def test_ingest_writes_changes_and_keeps_the_registry(spark, tmp_path):
-    rows = sorted(MANY, key=BY_TIME)
-    for n in range(3):
-        spark.createDataFrame(rows[n * 20 : n * 20 + 20], OBS).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+REPEATED = sorted([r for k, row in enumerate(MANY) for r in [row] + [(row[0], 1000 + 10 * k + j, row[2] + 9_000 * (j + 1), *row[3:]) for j in range(k % 3)]], key=BY_TIME)
+
+
+@pytest.mark.parametrize("cuts", [(1, 2, 3), (20, 40, 70), (59, 60, 61), ()])
+def test_ingest_is_the_same_for_any_cut_into_batches(spark, tmp_path, cuts):
+    ends = [0, *cuts, len(REPEATED)]
+    for low, high in zip(ends, ends[1:], strict=False):
+        spark.createDataFrame(REPEATED[low:high], OBS).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    stream = spark.readStream.schema(OBS).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    ingest.snapshots(stream, str(tmp_path / "out"), str(tmp_path / "cp"), None).awaitTermination()
+    kept = spark.read.parquet(str(tmp_path / "out/observations")).drop("batch")
+    whole = ingest.judged(spark.createDataFrame(REPEATED, OBS)).where("changed").drop("changed").select(kept.columns)
+    assert sorted(map(str, kept.collect())) == sorted(map(str, whole.collect())) and len(MANY) * 0.7 < kept.count() < len(REPEATED)
+    assert {f for r in kept.collect() for f in r.flags.split(",")} == {"", "OUT_OF_ORDER", "DELAY_JUMP", "STALE_SOURCE"}
+    places = upserts.rail_locations(spark.createDataFrame(REPEATED, OBS).where("name IS NOT NULL").selectExpr("id", "name", "ts AS seen_at", "CAST(NULL AS STRING) AS type", "CAST(NULL AS DOUBLE) AS lat", "CAST(NULL AS DOUBLE) AS lon"))
+    state = ingest.registry(spark, str(tmp_path / "out"), len(cuts))
+    assert sorted(map(str, state.select(sorted(state.columns)).collect())) == sorted(map(str, places.select(sorted(state.columns)).collect()))
+
+
+def test_three_equal_snapshots_in_three_batches_are_one_observation(spark, tmp_path):
+    for k in range(3):
+        spark.createDataFrame([(1, k, 1_700_000_000_000 + k * 30_000, "a", None, 60, "S1", "X")], OBS).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     stream = spark.readStream.schema(OBS).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
     ingest.snapshots(stream, str(tmp_path / "out"), str(tmp_path / "cp"), None).awaitTermination()
-    kept = spark.read.parquet(str(tmp_path / "out/observations"))
-    assert kept.select("id").distinct().count() == kept.count() > 30
-    whole = upserts.rail_locations(spark.createDataFrame(rows, OBS).where("name IS NOT NULL").selectExpr("id", "name", "ts AS seen_at", "CAST(NULL AS STRING) AS type", "CAST(NULL AS DOUBLE) AS lat", "CAST(NULL AS DOUBLE) AS lon"))
-    state = ingest.registry(spark, str(tmp_path / "out"), 2)
-    assert sorted(map(str, state.select(sorted(state.columns)).collect())) == sorted(map(str, whole.select(sorted(state.columns)).collect()))
+    assert [r.id for r in spark.read.parquet(str(tmp_path / "out/observations")).collect()] == [0]
+    assert ingest.registry(spark, str(tmp_path / "out"), 2).first().observation_count == 3
 
 
 def test_file_sink_lays_rows_out_by_day(spark, tmp_path):

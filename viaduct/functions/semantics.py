@@ -233,10 +233,11 @@ def fold_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str], step:
     state and what to emit, or None.
 
     Rows are sorted by key and order within partitions and stream through, so neither a key with many
-    rows nor many keys with few are held or called for one by one.  ``out`` has long and string columns.
+    rows nor many keys with few are held or called for one by one.  ``out`` has long, string and boolean
+    columns.
     """
     shape = [part.split() for part in out.split(", ")]
-    kinds = {"long": pa.int64(), "string": pa.string()}
+    kinds = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
     columns = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,6 +9,7 @@ from viaduct.operators import quality as q
 from viaduct.plans.segments import fi
 from viaduct.sources import bindings as b
 from viaduct.sources.bindings import oracle
+from viaduct.streaming import ingest
 
 SOURCES = ("gtfsrt", "mia", "viaggiatreno")
 
@@ -17,6 +18,13 @@ def obs(s, d):
     return b.observations(s, d).withColumn("seq", F.substring("location_id", 2, 5).cast("int") % 20)
 
 
+def snapshots(s, d):
+    """Observations of few runs, every third of which is fetched again unchanged 20 seconds later."""
+    o = obs(s, d).withColumn("run_id", F.col("run_id") % 40).withColumn("name", F.lit(None).cast("string"))
+    again = o.where("id % 3 = 0").withColumn("ts", F.col("ts") + 20_000).withColumn("id", F.col("id") + 1_000_000_000_000)
+    return o.unionByName(again)
+
+
 def flagged(s, d):
     known = b.table(s, d, "customer").where("c_custkey % 11 <> 0").select(F.col("c_custkey").alias("run_id"))
     return q.observation_flags(obs(s, d), known, b.stops(s, d), SOURCES)
@@ -52,6 +60,7 @@ def asof(s, d):
 
 QUERIES = {
     "w02_observation_flags": lambda s, d: flagged(s, d).select("id", F.concat_ws(",", "flags").alias("flags")),
+    "st02_ingest": lambda s, d: ingest.judged(snapshots(s, d)).where("changed").select("id", "run_id", "source", "ts", "flags"),
     "w08_ingest_flags": lambda s, d: q.ingest_flags(b.observations(s, d)),
     "a20_flag_counts": lambda s, d: q.flag_counts(flagged(s, d)),
     "w07_impossible_runtimes": lambda s, d: q.impossible_runtimes(b.stop_events(s, d), b.stops(s, d)),
@@ -91,6 +100,10 @@ def recursive(sql: str) -> str:
 
 ORACLE_SQL = {
     "w02_observation_flags": oracle("obs stops", f"WITH {FLAGGED} SELECT id, array_to_string(flags, ',') AS flags FROM f"),
+    "st02_ingest": oracle("obs", """WITH sn AS (SELECT id, run_id % 40 AS run_id, source, ts, observed_at, delay_seconds, location_id FROM obs UNION ALL SELECT id + 1000000000000, run_id % 40, source, ts + 20000, observed_at, delay_seconds, location_id FROM obs WHERE id % 3 = 0),
+      nu AS (SELECT * FROM sn WINDOW w AS (PARTITION BY run_id, source ORDER BY ts, id) QUALIFY row_number() OVER w = 1 OR (lag(observed_at) OVER w, lag(delay_seconds) OVER w, lag(location_id) OVER w) IS DISTINCT FROM (observed_at, delay_seconds, location_id))
+      SELECT id, run_id, source, ts, array_to_string(list_filter([CASE WHEN lag(observed_at) OVER w - observed_at >= 1000 THEN 'OUT_OF_ORDER' END, CASE WHEN abs(delay_seconds - lag(delay_seconds) OVER w) > 3600 THEN 'DELAY_JUMP' END, CASE WHEN ts - observed_at > 600000 THEN 'STALE_SOURCE' END], lambda x: x IS NOT NULL), ',') AS flags
+      FROM nu WINDOW w AS (PARTITION BY run_id, source ORDER BY ts, id)"""),
     "w08_ingest_flags": oracle("obs", """SELECT id, array_to_string(list_filter([CASE WHEN lag(observed_at) OVER w - observed_at >= 1000 THEN 'OUT_OF_ORDER' END,
       CASE WHEN abs(delay_seconds - lag(delay_seconds) OVER w) > 3600 THEN 'DELAY_JUMP' END, CASE WHEN ts - observed_at > 600000 THEN 'STALE_SOURCE' END], lambda x: x IS NOT NULL), ',') AS flags
       FROM obs WINDOW w AS (PARTITION BY run_id, source ORDER BY ts, id)"""),
