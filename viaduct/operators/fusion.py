@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from viaduct.operators import trust
+
 
 def latest_by_source(obs: DataFrame) -> DataFrame:
     """The newest observation of each run and source."""
@@ -62,21 +64,19 @@ def fuse_runs(runs: DataFrame, events: DataFrame, obs: DataFrame, health: DataFr
     """One nested state for each run at ``as_of``: status, delay and position with where they come from, stops.
 
     ``obs`` has run_id, source, ts, id, observed_at, delay_seconds, location_id and status; ``health``
-    has source and level (trust, larger is better).  The delay follows the trust order (level, then
-    freshness; a fresher runner-up within ``agreement_sec`` wins), the position level and freshness.
+    has source and state.  Delay and position are picked by :func:`viaduct.operators.trust.resolved`, which
+    also tells why.
     """
     newest = F.max_by(F.struct("id", "ts", "observed_at", "delay_seconds", "location_id", "status"), F.struct("ts", "id"))
-    latest = obs.where(F.col("ts") <= as_of).groupBy("run_id", "source").agg(newest.alias("o")).select("run_id", "source", "o.*").join(F.broadcast(health), "source", "left")  # a row for each source
-    latest = latest.withColumn("level", F.coalesce("level", F.lit(0))).withColumn("seen", F.coalesce("observed_at", "ts"))
+    latest = obs.where(F.col("ts") <= as_of).groupBy("run_id", "source").agg(newest.alias("o")).select("run_id", "source", "o.*").join(F.broadcast(health.select("source", "state")), "source", "left")  # a row for each source
+    latest = latest.withColumn("seen", F.coalesce("observed_at", "ts"))
     told = F.struct("source", "seen", "ts", "delay_seconds", "status", F.floor((F.lit(as_of) - F.col("seen")) / 1000 + 0.5).cast("long").alias("age_sec"))
+    said = lambda value: trust.candidate(F.col("source"), F.col(value), F.col("seen"), F.col("state"))
     g = latest.groupBy("run_id").agg(
         F.array_sort(F.collect_list(told)).alias("sources"), F.max_by(F.struct("seen", "status"), F.struct("seen", "source")).alias("fresh"), (F.max("delay_seconds") - F.min("delay_seconds")).alias("range"), F.count("delay_seconds").alias("delays"),
-        F.max_by(F.struct("source", "location_id", "seen"), F.struct("level", "seen", "source")).alias("position"),
-        F.array_sort(F.filter(F.collect_list(F.when(F.col("delay_seconds").isNotNull(), F.struct((-F.col("level")).alias("l"), (-F.col("seen")).alias("t"), "source", F.col("delay_seconds").alias("value")))), lambda x: x.isNotNull())).alias("c"),
+        F.collect_list(F.when(F.col("delay_seconds").isNotNull(), said("delay_seconds"))).alias("delay_candidates"), F.collect_list(said("location_id")).alias("position_candidates"),
     )
-    first, second = F.get("c", F.lit(0)), F.get("c", F.lit(1))
-    apart = F.abs(first["value"] - second["value"])
-    pick = F.when(F.coalesce((apart <= agreement_sec) & (second["t"] < first["t"]), F.lit(False)), second).otherwise(first)
+    g = trust.resolved(trust.resolved(g, "delay_candidates", "current_delay", "delay", agreement_sec), "position_candidates", "position", "position")
     spread = F.when(F.col("delays") >= 2, F.col("range"))
     j = runs.select("run_id", "train_number", "service_date", "sched_dep_epoch", F.col("sched_arr_epoch").alias("_arr")).join(stop_facts(events), "run_id", "left").join(g, "run_id", "left")
     age = F.floor((F.lit(as_of) - F.col("fresh.seen")) / 1000 + 0.5).cast("long")
@@ -86,6 +86,7 @@ def fuse_runs(runs: DataFrame, events: DataFrame, obs: DataFrame, health: DataFr
     return j.select(
         "run_id", F.concat("train_number", F.lit("@"), "service_date").alias("run_code"), F.coalesce("_arr", "last_sched_arr").alias("sched_arr_epoch"),
         status(F.coalesce("any_cancelled", no), F.coalesce("all_arrived", no), F.coalesce("any_passed", no), F.col("fresh.status"), F.col("sched_dep_epoch"), as_of).alias("status"),
-        pick["value"].alias("delay_sec"), pick["source"].alias("delay_source"), apart.alias("disagreement_sec"), F.col("position.location_id").alias("location_id"), F.col("position.source").alias("position_source"),
+        F.col("delay.value").alias("delay_sec"), F.col("delay.source").alias("delay_source"), F.col("delay.trust").alias("delay_trust"), F.col("delay.disagreement").alias("disagreement_sec"), F.col("delay.reason").alias("delay_reason"),
+        F.col("position.value").alias("location_id"), F.col("position.source").alias("position_source"), F.col("position.reason").alias("position_reason"),
         spread.alias("spread_sec"), sure.alias("confidence"), F.array_join(quality, ",").alias("quality"), "previous_stop", "next_stop", "destination_eta", "passed_stops", "upcoming_stops", "sources", "stops",
     )

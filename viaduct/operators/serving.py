@@ -11,21 +11,6 @@ from pyspark.sql import functions as F
 from viaduct.functions.semantics import fold_sorted, haversine_km, normal_cdf, type7
 
 
-def trusted(candidates: DataFrame, agreement_sec: int) -> DataFrame:
-    """One value for each run out of its sources' candidates (run_id, source, level, ts, value).
-
-    The higher level wins, then the fresher, then the name; if the runner-up agrees within
-    ``agreement_sec`` and is fresher, its value is taken.  Null values take no part.
-    """
-    order = F.struct((-F.col("level")).alias("l"), (-F.col("ts")).alias("t"), "source", "value")
-    ranked = candidates.where("value IS NOT NULL").groupBy("run_id").agg(F.array_sort(F.collect_list(order)).alias("c"))
-    first, second = F.get("c", F.lit(0)), F.get("c", F.lit(1))
-    apart = F.abs(first["value"] - second["value"])
-    swap = F.coalesce((apart <= agreement_sec) & (second["t"] < first["t"]), F.lit(False))
-    chosen = F.when(swap, second).otherwise(first)
-    return ranked.select("run_id", chosen["source"].alias("source"), chosen["value"].alias("value"), apart.alias("disagreement"))
-
-
 def canonical_key(places: DataFrame, stops: DataFrame) -> DataFrame:
     """Adds ``by_id`` and ``by_name``, the stop with a place's ``raw_id`` and that with its ``name_key`` (ties: smaller id)."""
     named = stops.groupBy("name_key").agg(F.min("stop_id").alias("by_name"))
@@ -55,7 +40,7 @@ def evidence(t: DataFrame, key: str) -> DataFrame:
         F.round(type7(F.col("delay_delta_sec"), 0.5), 6).alias("median_delta"), F.max("delay_delta_sec").alias("max_delta"),
     )
     each = t.where("delay_delta_sec IS NOT NULL").groupBy(key, "segment_id").agg(F.round(type7(F.col("delay_delta_sec"), 0.5), 6).alias("m"))
-    return whole.join(each.groupBy(key).agg(F.max_by("segment_id", F.struct("m", "segment_id")).alias("worst_segment")), key, "left")
+    return whole.join(each.groupBy(key).agg(F.min_by("segment_id", F.struct(-F.col("m"), "segment_id")).alias("worst_segment")), key, "left")
 
 
 def rank_journeys(options: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -103,14 +103,6 @@ def network_delay(s, d):
     return spread.withColumn("mean_delay", F.round(F.avg("delay_seconds").over(w), 4)).where(F.floor(F.col("ts") / day) == F.col("day")).select("id", "mean_delay")
 
 
-def reliability(s, d):
-    """Punctuality of each train number; shares are null below 20 runs."""
-    r = b.runs(s, d).where("dest_actual IS NOT NULL").select("train_number", F.floor((F.col("dest_actual") - F.col("sched_arr_epoch")) / 1000).alias("delay"))
-    share = lambda c: F.when(F.count("*") >= 20, F.floor(F.avg(c.cast("double")) * 1000 + 0.5) / 10)
-    delay = F.col("delay")
-    return r.groupBy("train_number").agg(F.count("*").alias("n"), share(delay < 180).alias("on_time_pct"), share(delay >= 300).alias("late5_pct"), share(delay >= 600).alias("late10_pct"), F.percentile("delay", 0.5).alias("median_delay"))
-
-
 def bunching(s, d):
     """Runs of a line that come to a stop less than 90 seconds after the one before."""
     line = b.runs(s, d).select("run_id", F.col("route_id").alias("line"))
@@ -173,7 +165,6 @@ QUERIES = {
     "j29_newest_delay": newest_connecting_delay,
     "j31_coverage": coverage_by_kind,
     "j32_resolve_run": resolved,
-    "a07_reliability": reliability,
     "a09_source_coverage": lambda s, d: live.coverage(b.observations(s, d)),
     "a12_network_delay": network_delay,
     "a22_rail_graph": lambda s, d: gr.edges(gr.transitions(b.observations(s, d))),
@@ -217,7 +208,6 @@ SELECT place_id, arg_min(stop_id, (km, stop_id)) AS stop_id, round(min(km), 4) A
     "j32_resolve_run": oracle("se ends runs", """WITH w AS (SELECT run_id AS want_id, service_date, train_number, sched_dep_epoch + (run_id % 3) * 300000 AS want_dep FROM runs),
 f AS (SELECT want_id, coalesce(min(run_id) FILTER (sched_dep_epoch = want_dep), CASE WHEN count(DISTINCT run_id) = 1 THEN min(run_id) END) AS run_id FROM w JOIN runs r ON r.service_date = w.service_date AND r.train_number = w.train_number AND abs(sched_dep_epoch - want_dep) <= 600000 GROUP BY want_id)
 SELECT w.want_id, f.run_id FROM w LEFT JOIN f ON f.want_id = w.want_id"""),
-    "a07_reliability": oracle("se ends runs", "WITH r AS (SELECT train_number, (dest_actual - sched_arr_epoch) // 1000 AS delay FROM runs WHERE dest_actual IS NOT NULL) SELECT train_number, count(*) AS n, " + ", ".join(f"CASE WHEN count(*) >= 20 THEN floor(avg(CAST(delay {c} AS INT)) * 1000 + 0.5) / 10 END AS {n}" for c, n in (("< 180", "on_time_pct"), (">= 300", "late5_pct"), (">= 600", "late10_pct"))) + ", quantile_cont(delay, 0.5) AS median_delay FROM r GROUP BY train_number"),
     "a09_source_coverage": oracle("obs", "SELECT ts // 900000 * 900000 AS bucket, source, count(*) AS n FROM obs GROUP BY ALL"),
     "a12_network_delay": oracle("obs", "SELECT id, round(avg(delay_seconds) OVER (ORDER BY ts RANGE BETWEEN 600000 PRECEDING AND CURRENT ROW), 4) AS mean_delay FROM obs"),
     "a22_rail_graph": oracle("obs", f"WITH {MOVES} SELECT from_id, to_id, n, round(n / sum(n) OVER (PARTITION BY from_id), 6) AS p FROM ed"),

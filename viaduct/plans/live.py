@@ -59,7 +59,7 @@ def told(s, d):
 
 def states(s, d):
     runs = b.runs(s, d).select("run_id", "train_number", "service_date", (F.col("sched_dep_epoch") + LATER).alias("sched_dep_epoch"), F.when(F.col("run_id") % 10 != 0, F.col("sched_arr_epoch") + LATER).alias("sched_arr_epoch"))
-    health = s.createDataFrame([("mia", 3), ("viaggiatreno", 2), ("gtfsrt", 1)], "source string, level int")
+    health = s.createDataFrame([("mia", "HEALTHY"), ("viaggiatreno", "DEGRADED")], "source string, state string")
     return fu.fuse_runs(runs, shifted(s, d), told(s, d), health, NOW)
 
 
@@ -136,7 +136,7 @@ QUERIES = {
     "p10_shown_line": lambda s, d: b.table(s, d, "part").select("p_partkey", me.shown_line(F.substring("p_name", 1, 3).cast("string")).alias("short"), me.shown_line(F.concat(F.col("p_brand"), F.when(F.col("p_partkey") % 4 == 0, "(x)").otherwise(""))).alias("line")),
     "p18_boardable": boarding,
     "t02_registry_order": lambda s, d: traversals(s, d).groupBy(F.col("from_stop_id").alias("key")).agg(F.count("*").alias("observation_count")).orderBy(F.desc("observation_count"), "key").limit(25),
-    "t03_nulls_last": lambda s, d: b.stop_events(s, d).orderBy(F.col("actual_arr_epoch").isNull().desc(), "actual_arr_epoch", "run_id", "stop_sequence").limit(40).select("run_id", "stop_sequence", "actual_arr_epoch"),
+    "t03_nulls_last": lambda s, d: b.stop_events(s, d).orderBy(F.col("actual_arr_epoch").isNull(), "actual_arr_epoch", "run_id", "stop_sequence").limit(40).select("run_id", "stop_sequence", "actual_arr_epoch"),
     "t07_top_platforms": platform_scores,
     "s02_union_runs": lambda s, d: b.observations(s, d).select("run_id").union(b.stop_events(s, d).select("run_id")).distinct(),
     "fn_text": texts,
@@ -157,15 +157,19 @@ FACTS = """sp AS (SELECT *, aa IS NOT NULL OR ade IS NOT NULL AS passed, arg_max
 sf AS (SELECT run_id, bool_or(cancelled = 1) AS gone, bool_and(aa IS NOT NULL OR cancelled IS NOT NULL) AS arrived, bool_or(passed) AS moved, arg_max(stop_id, stop_sequence) FILTER (passed) AS previous_stop,
   arg_min(stop_id, stop_sequence) FILTER (aa IS NULL AND cancelled IS NULL AND sa >= coalesce(pa, 0)) AS next_stop, count(*) FILTER (passed) AS passed_stops, count(*) FILTER (aa IS NULL AND cancelled IS NULL AND sa >= coalesce(pa, 0)) AS upcoming_stops,
   arg_max_null(op, stop_sequence) AS destination_eta, max(sa) AS last_sa, string_agg(stop_id, ' ' ORDER BY stop_sequence) AS stops FROM sp GROUP BY run_id)"""
-STATES = f"""lt0 AS (SELECT *, ['N', 'V', 'A', 'C', 'PG', 'ST'][id % 9 + 1] AS status, CASE source WHEN 'mia' THEN 3 WHEN 'viaggiatreno' THEN 2 ELSE 1 END AS level, coalesce(observed_at, ts) AS seen FROM obs WHERE ts <= {NOW} QUALIFY row_number() OVER (PARTITION BY run_id, source ORDER BY ts DESC, id DESC) = 1),
+STATES = f"""lt0 AS (SELECT *, ['N', 'V', 'A', 'C', 'PG', 'ST'][id % 9 + 1] AS status, CASE source WHEN 'mia' THEN 2 WHEN 'viaggiatreno' THEN 2 ELSE 1 END AS level, coalesce(observed_at, ts) AS seen FROM obs WHERE ts <= {NOW} QUALIFY row_number() OVER (PARTITION BY run_id, source ORDER BY ts DESC, id DESC) = 1),
 lt AS (SELECT *, CAST(floor(({NOW} - seen) / 1000.0 + 0.5) AS BIGINT) AS age_sec FROM lt0),
-dr AS (SELECT run_id, list({{'source': source, 'seen': seen, 'value': delay_seconds}} ORDER BY level DESC, seen DESC, source) AS c FROM lt WHERE delay_seconds IS NOT NULL GROUP BY run_id),
-dp AS (SELECT run_id, CASE WHEN len(c) > 1 THEN abs(c[1].value - c[2].value) END AS apart, CASE WHEN len(c) > 1 AND abs(c[1].value - c[2].value) <= 60 AND c[2].seen > c[1].seen THEN c[2] ELSE c[1] END AS pick FROM dr),
+dr AS (SELECT *, ['LOW', 'MEDIUM', 'HIGH'][level] AS lv, delay_seconds AS value, row_number() OVER (PARTITION BY run_id ORDER BY level DESC, seen DESC, source) AS k, row_number() OVER (PARTITION BY run_id ORDER BY seen DESC, source) AS kf, bool_or(source = 'viaggiatreno') OVER (PARTITION BY run_id) AS lost FROM lt WHERE delay_seconds IS NOT NULL),
+d3 AS (SELECT a.run_id, a.lost, a AS a, z AS z, f AS f, f.source <> a.source AND f.seen > a.seen AND abs(f.value - a.value) <= 60 AS swap FROM dr a LEFT JOIN dr z ON z.run_id = a.run_id AND z.k = 2 JOIN dr f ON f.run_id = a.run_id AND f.kf = 1 WHERE a.k = 1),
+d4 AS (SELECT *, CASE WHEN swap THEN f ELSE a END AS pick, abs(CASE WHEN swap THEN f.value - a.value ELSE a.value - z.value END) AS apart FROM d3),
+dp AS (SELECT run_id, pick, apart, CASE WHEN swap THEN f.source || ' fresher and agrees with ' || a.source || ' within 60s (delta ' || abs(f.value - a.value) || 's); freshness decides (current_delay)' WHEN z.source IS NULL THEN a.source || ': sole candidate (current_delay, trust ' || a.lv || ')'
+    WHEN a.level > z.level THEN a.source || ':' || a.lv || ' beats ' || z.source || ':' || z.lv || ' (current_delay trust table)' ELSE a.source || ' and ' || z.source || ' equal trust ' || a.lv || ', fresher by ' || CAST(floor((a.seen - z.seen) / 1000 + 0.5) AS BIGINT) || 's; fresher wins (current_delay)' END
+  || CASE WHEN apart IS NOT NULL THEN '; disagreement ' || apart || 's' ELSE '' END || CASE WHEN lost THEN '; degraded viaggiatreno HIGH->MEDIUM (DEGRADED)' ELSE '' END AS delay_reason FROM d4),
 lg AS (SELECT run_id, count(*) AS n, arg_max_null(status, (seen, source)) AS code, {NOW} AS now, CAST(floor(({NOW} - max(seen)) / 1000.0 + 0.5) AS BIGINT) AS age, CASE WHEN count(delay_seconds) >= 2 THEN max(delay_seconds) - min(delay_seconds) END AS spread,
-  arg_max_null(location_id, (level, seen, source)) AS location_id, arg_max(source, (level, seen, source)) AS position_source, string_agg(source || ':' || coalesce(CAST(delay_seconds AS VARCHAR), '-') || ':' || age_sec, ' ' ORDER BY source) AS sources FROM lt GROUP BY run_id),
+  list(location_id ORDER BY seen DESC, source)[1] AS location_id, list(source ORDER BY seen DESC, source)[1] AS position_source, string_agg(source || '@' || seen, ' vs ' ORDER BY seen DESC, source) AS ages, string_agg(source || ':' || coalesce(CAST(delay_seconds AS VARCHAR), '-') || ':' || age_sec, ' ' ORDER BY source) AS sources FROM lt GROUP BY run_id),
 st AS (SELECT r.run_id, train_number || '@' || service_date AS run_code, CASE WHEN r.run_id % 10 <> 0 THEN sched_arr_epoch + {LATER} ELSE last_sa END AS sched_arr_epoch,
   CASE WHEN gone OR code IN ('C', 'ST') THEN 'cancelled' WHEN arrived OR code = 'A' THEN 'arrived' WHEN moved OR code = 'V' THEN 'running' WHEN code IN ('N', 'PG') THEN 'scheduled' WHEN sched_dep_epoch + {LATER} > {NOW} THEN 'scheduled' ELSE 'running' END AS status,
-  pick.value AS delay_sec, pick.source AS delay_source, apart AS disagreement_sec, location_id, position_source, spread AS spread_sec,
+  pick.value AS delay_sec, pick.source AS delay_source, pick.lv AS delay_trust, apart AS disagreement_sec, delay_reason, location_id, position_source, position_source || ' wins: freshest infrastructure observation (' || ages || ')' AS position_reason, spread AS spread_sec,
   CASE WHEN n >= 2 AND age < 120 AND coalesce(spread, 0) <= 120 THEN 'HIGH' WHEN n >= 1 AND age < 600 AND coalesce(spread, 0) <= 600 THEN 'MEDIUM' ELSE 'LOW' END AS confidence,
   concat_ws(',', CASE WHEN spread > 300 THEN 'SOURCE_CONFLICT' END, CASE WHEN age > 600 THEN 'STALE_SOURCE' END) AS quality, previous_stop, next_stop, destination_eta, passed_stops, upcoming_stops, coalesce(sources, '') AS sources, stops
   FROM runs r LEFT JOIN sf USING (run_id) LEFT JOIN lg USING (run_id) LEFT JOIN dp USING (run_id))"""
@@ -194,7 +198,7 @@ ORACLE_SQL = {
     "p10_shown_line": "SELECT p_partkey, substr(p_name, 1, 3) AS short, CASE WHEN length(p_brand) <= 8 AND p_partkey % 4 <> 0 THEN p_brand END AS line FROM part",
     "p18_boardable": oracle("se ends runs", "SELECT run_id, run_id % 4 IN (0, 3) AND run_id % 5 <> 0 AND sched_dep_epoch + CASE WHEN run_id % 3 <> 0 THEN run_id % 7 * 60000 ELSE 0 END >= 820454370000 AS boardable FROM runs"),
     "t02_registry_order": oracle("se", f"WITH {SEG} SELECT from_stop_id AS key, count(*) AS observation_count FROM seg GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25"),
-    "t03_nulls_last": oracle("se", "SELECT run_id, stop_sequence, actual_arr_epoch FROM se ORDER BY actual_arr_epoch IS NULL DESC, actual_arr_epoch, run_id, stop_sequence LIMIT 40"),
+    "t03_nulls_last": oracle("se", "SELECT run_id, stop_sequence, actual_arr_epoch FROM se ORDER BY actual_arr_epoch IS NULL, actual_arr_epoch, run_id, stop_sequence LIMIT 40"),
     "t07_top_platforms": oracle("se", """WITH n AS (SELECT stop_id, platform_actual AS platform, exp(count(*) / CAST(4.0 AS DOUBLE)) AS e FROM se GROUP BY ALL), p AS (SELECT stop_id, platform, floor(e / sum(e) OVER (PARTITION BY stop_id) * 1000 + 0.5) / 1000 AS p FROM n)
       SELECT stop_id, CAST(row_number() OVER w - 1 AS INT) AS pos, platform, round(p, 3) AS p FROM p WHERE p >= 0.1 WINDOW w AS (PARTITION BY stop_id ORDER BY p DESC, platform) QUALIFY row_number() OVER w <= 3"""),
     "s02_union_runs": oracle("obs se", "SELECT run_id FROM obs UNION SELECT run_id FROM se"),

@@ -83,14 +83,6 @@ def departure_board(s, d, day="1995-03-15", following="1995-03-16"):
     return e.join(state, "run_id", "left").select("service_date", "run_id", "train_number", "stop_id", "stop_sequence", "sched_dep_epoch", "platform_actual", "delay_seconds")
 
 
-def stop_reliability(s, d):
-    """Punctuality of a route at a stop from 10 calls on; shares from 20 on."""
-    e = b.stop_events(s, d).where("arr_delay_sec IS NOT NULL").join(b.runs(s, d).select("run_id", "route_id"), "run_id")
-    enough = F.count("*") >= 20
-    g = e.groupBy("stop_id", "route_id").agg(F.count("*").alias("n"), F.when(enough, F.floor(F.avg((F.col("arr_delay_sec") < 180).cast("double")) * 1000 + 0.5) / 10).alias("on_time_pct"), F.when(enough, upper_median(F.col("arr_delay_sec"))).alias("median_delay"))
-    return g.where("n >= 10")
-
-
 def table_counts(s, d):
     parts = [("stop_events", b.stop_events(s, d), "run_id"), ("observations", b.observations(s, d), "source"), ("stops", b.stops(s, d), "stop_id")]
     rows = [df.agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.count_distinct(key).alias("distinct_keys")) for name, df, key in parts]
@@ -147,14 +139,6 @@ def ranked_journeys(s, d):
     return sv.rank_journeys(options, ["stop_id", "day"]).select("stop_id", "day", "run_id", "rank", "recommended")
 
 
-def trust(s, d):
-    """Delay of each run from the most trusted source; the first source counts one level less on every fifth run."""
-    latest = fu.latest_by_source(b.observations(s, d))
-    # Trust levels of the sources.
-    level = F.when(F.col("source") == "mia", 3 - F.when(F.col("run_id") % 5 == 0, 1).otherwise(0)).when(F.col("source") == "viaggiatreno", 2).otherwise(1)
-    return sv.trusted(latest.select("run_id", "source", level.alias("level"), "ts", F.col("delay_seconds").alias("value")), 60)
-
-
 def inferred_location(s, d):
     """Likely next locations of each run after the last one reported, with the point half way."""
     o = b.observations(s, d)
@@ -207,7 +191,6 @@ QUERIES = {
     "j28_event_overlap": event_overlap,
     "j30_live_board": live_board,
     "j33_departure_board": departure_board,
-    "a08_stop_reliability": stop_reliability,
     "a10_table_counts": table_counts,
     "a11_upstream_queue": upstream_queue,
     "a13_location_rebuild": rebuilt_locations,
@@ -216,7 +199,6 @@ QUERIES = {
     "a21_change_rate": change_rate,
     "a26_source_histogram": source_histogram,
     "t04_journey_ranking": ranked_journeys,
-    "f01_trust": trust,
     "f05_inferred_location": inferred_location,
     "f07_risk_notice": lambda s, d: scope_traversals(s, d).groupBy("run_id").agg(F.count_if(F.col("delay_delta_sec") > 90).alias("slow")).where("slow >= 2"),
     "f09_connection_options": connection_options,
@@ -260,20 +242,16 @@ SELECT run_id, event_id FROM r JOIN ev ON a <= t0 AND t0 < z AND (event_id % 10
 SELECT r.run_id, source, sched_dep_epoch + CAST(delay_seconds AS BIGINT) * 1000 AS eta FROM runs r LEFT JOIN g ON g.run_id = r.run_id"""),
     "j33_departure_board": oracle("se ends runs obs", """WITH st AS (SELECT run_id, arg_max_null(delay_seconds, ts * 1000000 + id) AS delay_seconds FROM obs GROUP BY run_id)
 SELECT service_date, se.run_id, train_number, stop_id, stop_sequence, se.sched_dep_epoch, platform_actual, delay_seconds FROM se JOIN runs r ON r.run_id = se.run_id LEFT JOIN st ON st.run_id = se.run_id WHERE service_date IN ('1995-03-15', '1995-03-16') AND stop_sequence < stop_count"""),
-    "a08_stop_reliability": oracle("se ends runs", f"SELECT stop_id, route_id, count(*) AS n, CASE WHEN count(*) >= 20 THEN floor(avg(CASE WHEN arr_delay_sec < 180 THEN 1 ELSE 0 END) * 1000 + 0.5) / 10 END AS on_time_pct, CASE WHEN count(*) >= 20 THEN {fi('arr_delay_sec', 0.5)} END AS median_delay FROM se JOIN runs USING (run_id) WHERE arr_delay_sec IS NOT NULL GROUP BY ALL HAVING count(*) >= 10"),
     "a10_table_counts": oracle("se obs stops", "SELECT 'stop_events' AS name, count(*) AS n, count(DISTINCT run_id) AS distinct_keys FROM se UNION ALL SELECT 'observations', count(*), count(DISTINCT source) FROM obs UNION ALL SELECT 'stops', count(*), count(DISTINCT stop_id) FROM stops"),
     "a11_upstream_queue": oracle("se", "SELECT a.run_id, a.stop_sequence, max(t.dep_delay_sec) AS worst, CASE WHEN count(t.run_id) > 0 THEN count(*) FILTER (t.dep_delay_sec >= 300) END AS late FROM se a LEFT JOIN se t ON t.stop_id = a.stop_id AND t.run_id <> a.run_id AND t.sched_dep_epoch - a.sched_arr_epoch BETWEEN -2700000 AND 0 GROUP BY ALL"),
     "a13_location_rebuild": oracle("obs stops", f"SELECT {SLUG.format('substr(stop_name, 1, length(stop_name) - 1)')} AS slug, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS n, count(DISTINCT location_id) AS ids FROM obs LEFT JOIN stops ON stop_id = location_id GROUP BY 1"),
     "a17_risk_replay": oracle("se ends pred scored", f"SELECT model_version, count(*) FILTER ({FIRED}) AS fired, count(*) FILTER ({FIRED} AND operator_eta_epoch - sched_arr_epoch >= 60000) AS corroborated, count(*) FILTER (schedule_error_sec >= 120) AS late, count(*) FILTER ({FIRED} AND schedule_error_sec >= 120) AS caught FROM scored GROUP BY 1"),
-    "a18_evidence": oracle("se", f"""WITH {SEG}, m AS (SELECT from_stop_id, segment_id, round(quantile_cont(delay_delta_sec, 0.5), 6) AS m FROM seg GROUP BY ALL), w AS (SELECT from_stop_id, segment_id AS worst_segment FROM m WHERE m IS NOT NULL QUALIFY row_number() OVER (PARTITION BY from_stop_id ORDER BY m DESC, segment_id DESC) = 1),
+    "a18_evidence": oracle("se", f"""WITH {SEG}, m AS (SELECT from_stop_id, segment_id, round(quantile_cont(delay_delta_sec, 0.5), 6) AS m FROM seg GROUP BY ALL), w AS (SELECT from_stop_id, segment_id AS worst_segment FROM m WHERE m IS NOT NULL QUALIFY row_number() OVER (PARTITION BY from_stop_id ORDER BY m DESC, segment_id) = 1),
 g AS (SELECT from_stop_id, count(DISTINCT run_id) AS trains, count(*) FILTER (delay_delta_sec >= 600) AS severe, round(quantile_cont(delay_delta_sec, 0.5), 6) AS median_delta, max(delay_delta_sec) AS max_delta FROM seg GROUP BY 1) SELECT * FROM g LEFT JOIN w USING (from_stop_id)"""),
     "a21_change_rate": oracle("obs", f"SELECT source, count(*) AS n, count(delay_seconds) AS delays FROM obs WHERE ts > {NOW - 3600000} AND ts <= {NOW} GROUP BY 1"),
     "a26_source_histogram": oracle("obs", "SELECT coalesce(source, 'total') AS source, count(*) AS n FROM obs GROUP BY ROLLUP (source)"),
     "t04_journey_ranking": oracle("se ends pred", f"""WITH o AS (SELECT stop_id, sched_arr_epoch // {DAY} AS day, run_id, generated_at, row_number() OVER (PARTITION BY stop_id, sched_arr_epoch // {DAY} ORDER BY coalesce(operator_eta_epoch, our_p50) + {RISK} * 1000, generated_at, run_id) AS rank FROM pred WHERE model_version = 'heuristic-v1')
 SELECT stop_id, day, run_id, CAST(rank AS INT) AS rank, coalesce(rank = min(rank) FILTER (run_id % 4 IN (0, 3) AND run_id % 5 <> 0 AND generated_at + (run_id % 7) * 60000 >= day * 86400000 + 43170000) OVER (PARTITION BY stop_id, day), false) AS recommended FROM o"""),
-    "f01_trust": oracle("obs", f"""WITH {LAST.format(where='')}, c AS (SELECT *, CASE source WHEN 'mia' THEN CASE WHEN run_id % 5 = 0 THEN 2 ELSE 3 END WHEN 'viaggiatreno' THEN 2 ELSE 1 END AS level FROM lat WHERE delay_seconds IS NOT NULL),
-k AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY level DESC, ts DESC, source) AS k FROM c), p AS (SELECT a.run_id, a.source AS s1, a.delay_seconds AS v1, a.ts AS t1, z.source AS s2, z.delay_seconds AS v2, z.ts AS t2 FROM k a LEFT JOIN k z ON z.run_id = a.run_id AND z.k = 2 WHERE a.k = 1)
-SELECT run_id, CASE WHEN abs(v1 - v2) <= 60 AND t2 > t1 THEN s2 ELSE s1 END AS source, CASE WHEN abs(v1 - v2) <= 60 AND t2 > t1 THEN v2 ELSE v1 END AS value, abs(v1 - v2) AS disagreement FROM p"""),
     "f05_inferred_location": oracle("obs stops", f"""WITH {MOVES}, la AS (SELECT run_id, arg_max(location_id, ts * 1000000 + id) AS from_id FROM obs WHERE location_id IS NOT NULL GROUP BY 1), top AS (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY n DESC, to_id) AS rank FROM ed QUALIFY rank <= 3)
 SELECT la.run_id, la.from_id, to_id, CAST(rank AS INT) AS rank, round(n / sum(n) OVER (PARTITION BY la.run_id), 6) AS share, round((a.stop_lat + z.stop_lat) / 2, 6) AS lat, round((a.stop_lon + z.stop_lon) / 2, 6) AS lon
 FROM la LEFT JOIN top ON top.from_id = la.from_id LEFT JOIN stops a ON a.stop_id = top.from_id LEFT JOIN stops z ON z.stop_id = to_id"""),
