@@ -202,6 +202,22 @@ def quantile_cdf(t: Column, p10: Column, p50: Column, p90: Column) -> Column:
     return F.greatest(F.lit(0.02), F.least(F.lit(0.98), F.when(t <= p50, low).otherwise(high)))
 
 
+def recovery_prediction(delay_sec: Column, sched_arr: Column, p50: Column) -> Column:
+    """By how many seconds the delay is expected to shrink until the destination."""
+    return js_round(delay_sec - (p50 - sched_arr) / 1000).cast("long")
+
+
+def recovery_forecast(delay_sec: Column, sched_arr: Column, p10: Column, p50: Column, p90: Column, recover_by_sec: int = 120) -> Column:
+    """(prob_recover, expected_delay_sec, recover_by_sec): the probability, to two decimals, that the final delay is
+    at least ``recover_by_sec`` below the present one.
+
+    Null where there is nothing to recover, something is unknown or the quantiles are over half an hour apart.
+    """
+    told = delay_sec.isNotNull() & sched_arr.isNotNull() & (delay_sec > 0) & (p90 - p10 <= 1_800_000)
+    probability = js_round(quantile_cdf(sched_arr + (delay_sec - recover_by_sec) * 1000, p10, p50, p90) * 100) / 100
+    return F.when(told, F.struct(probability.alias("prob_recover"), js_round((p50 - sched_arr) / 1000).cast("long").alias("expected_delay_sec"), F.lit(recover_by_sec).alias("recover_by_sec")))
+
+
 # ---------------------------------------------------------------- rows
 
 

@@ -33,17 +33,23 @@ def _number(value: Column, default: float | None) -> Column:
     return value if default is None else F.coalesce(value, F.lit(float(default)))
 
 
-def _text(value: Column) -> Column:
-    """The text of a JSON value; numbers, empty text and the like are null."""
-    text = F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
-    return F.when(text != "", text)
+def _text(json: Column, key: str, value: Column) -> Column:
+    """The text of a feature; numbers, empty text and the like are null.
+
+    A parser reads any scalar as text, so the sign after the key tells: quotes within texts are escaped.
+    """
+    return F.when(json.rlike(f'"{key}"\\s*:\\s*"') & (value != ""), value)
 
 
 def features(json: Column) -> list[Column]:
     """The columns of ``FEATURES``, from one parse; a missing or wrongly typed feature is its default, broken JSON lacks all."""
-    parsed = F.from_json(json, ", ".join(f"{key} {'VARIANT' if kind == 'string' else 'DOUBLE'}" for key, _, kind, _ in FEATURES), {"mode": "PERMISSIVE"})  # with an option, the fields are not parsed one by one
-    cell = {"string": lambda x, _: _text(x), "double": _number}
-    return [cell.get(kind, lambda x, y, kind=kind: js_round(_number(x, y)).cast(kind))(parsed[key], default).alias(column) for key, column, kind, default in FEATURES]
+    parsed = F.from_json(json, ", ".join(f"{key} {'STRING' if kind == 'string' else 'DOUBLE'}" for key, _, kind, _ in FEATURES), {"mode": "PERMISSIVE"})  # with an option, the fields are not parsed one by one
+    made = []
+    for key, column, kind, default in FEATURES:
+        value = parsed[key]
+        out = _text(json, key, value) if kind == "string" else _number(value, default) if kind == "double" else js_round(_number(value, default)).cast(kind)
+        made.append(out.alias(column))
+    return made
 
 
 def export_rows(scored: DataFrame, runs: DataFrame) -> DataFrame:
@@ -60,10 +66,11 @@ def export_rows(scored: DataFrame, runs: DataFrame) -> DataFrame:
 def write_export(rows: DataFrame, folder: str, per_file: int = 100_000, by_line: bool = False) -> None:
     """Hive layout by day, and by line within it on request; files of at most ``per_file`` rows.
 
-    Days are brought together in one shuffle, so a day is one file until it passes ``per_file``.
+    Days are brought together in one shuffle, which Spark rebalances: a day larger than a partition should be
+    is written by several tasks, small days share one.
     """
     layout = ["service_date", *(["line"] if by_line else [])]
-    rows.repartition("service_date").write.mode("overwrite").partitionBy(*layout).option("maxRecordsPerFile", per_file).option("compression", "gzip").parquet(folder)
+    rows.hint("rebalance", F.col("service_date")).write.mode("overwrite").partitionBy(*layout).option("maxRecordsPerFile", per_file).option("compression", "gzip").parquet(folder)
 
 
 def differences(a: DataFrame, b: DataFrame) -> DataFrame:

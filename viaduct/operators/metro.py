@@ -75,3 +75,29 @@ def study(p: DataFrame, adjacent: DataFrame) -> DataFrame:
 def shown_line(name: Column, most: int = 8) -> Column:
     """A line's name if it is short enough to show and without a bracket."""
     return F.when((F.length(name) <= most) & ~name.contains("("), name)
+
+
+def live_lines(messages: DataFrame, as_of: int, frames: int = 3) -> DataFrame:
+    """(stop_id, line, eta_sec, told_at): what the newest of a stop's last frames up to ``as_of`` that names a line
+    says of it first."""
+    past = messages.where(F.col("fetched_at") <= as_of)
+    order = Window.partitionBy("stop_id").orderBy(F.desc("fetched_at"))
+    last = past.select("stop_id", "fetched_at").distinct().withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= frames)
+    told = past.where("line IS NOT NULL").join(last, ["stop_id", "fetched_at"])
+    best = told.groupBy("stop_id", "line").agg(F.min_by(F.struct("eta_sec", F.col("fetched_at").alias("told_at")), F.struct("_k", "seq")).alias("b"))
+    return best.select("stop_id", "line", "b.eta_sec", "b.told_at")
+
+
+def board(departures: DataFrame, messages: DataFrame, as_of: int, now_sec: int, behind_sec: int = 300, ahead_sec: int = 5400, most: int = 40) -> DataFrame:
+    """Each stop's next departures (stop_id, line, trip_id, departure_sec) with ``scheduled_in_sec`` and what is told
+    of their line, null where nothing is.
+
+    Shown are the first ``most`` from ``behind_sec`` before ``now_sec``, seconds into the service day, to
+    ``ahead_sec`` after it.
+    """
+    due = departures.where(F.col("departure_sec").between(now_sec - behind_sec, now_sec + ahead_sec))
+    order = Window.partitionBy("stop_id").orderBy("departure_sec", "trip_id")
+    shown = due.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most).drop("_k")
+    live = live_lines(messages, as_of)
+    joined = shown.join(live, ["stop_id", "line"], "left")
+    return joined.select("stop_id", "line", "trip_id", (F.col("departure_sec") - now_sec).alias("scheduled_in_sec"), F.col("eta_sec").alias("live_eta_sec"), "told_at")

@@ -58,7 +58,8 @@ def boardable(status: Column, actual_dep: Column, dep: Column, delay_sec: Column
 
 def top_platforms(scores: DataFrame, keys: Sequence[str], score: str, label: str, least: float = 0.1, most: int = 3) -> DataFrame:
     """Adds ``platforms``: of each key's classes the likeliest by softmax, those of at least ``least``, to three decimals."""
-    rows = scores.groupBy(*keys).agg(F.collect_list(F.struct(F.exp(score).alias("e"), F.col(label).alias("n"))).alias("c"), F.sum(F.exp(score)).alias("total"))
+    rows = scores.groupBy(*keys).agg(F.collect_list(F.struct(F.col(score).alias("s"), F.col(label).alias("n"))).alias("c"), F.max(score).alias("most"))
+    rows = rows.withColumn("c", F.transform("c", lambda x: F.struct(F.exp(x["s"] - F.col("most")).alias("e"), x["n"].alias("n")))).withColumn("total", F.aggregate("c", F.lit(0.0), lambda t, x: t + F.coalesce(x["e"], F.lit(0.0))))
     p = F.transform("c", lambda x: F.struct((-F.floor(x["e"] / F.col("total") * 1000 + 0.5) / 1000).alias("p"), x["n"].alias("n")))
     best = F.slice(F.filter(F.array_sort(p), lambda x: -x["p"] >= least), 1, most)
     return rows.where("total > 0").select(*keys, F.transform(best, lambda x: F.struct(x["n"].alias("platform"), (-x["p"]).alias("p"))).alias("platforms"))

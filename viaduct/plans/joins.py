@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from viaduct.functions.semantics import name_key
 from viaduct.operators import fusion as fu
 from viaduct.operators import graph as gr
 from viaduct.operators import joins as jn
@@ -19,11 +20,12 @@ MINUTE = 60_000
 
 
 def connection_pairs(s, d):
-    """Changes between trains at a stop within 5 to 30 minutes, and whether two minutes were left."""
-    e = b.stop_events(s, d)
-    a = e.select("stop_id", F.col("run_id").alias("a_run"), F.col("sched_arr_epoch").alias("a_arr"), F.col("actual_arr_epoch").alias("a_actual"))
-    c = e.select("stop_id", F.col("run_id").alias("b_run"), F.col("sched_dep_epoch").alias("b_dep"), F.col("actual_dep_epoch").alias("b_actual"))
-    pairs = jn.range_join(a, c, ["stop_id"], "a_arr", "b_dep", 5 * MINUTE, 30 * MINUTE).where("a_run <> b_run")
+    """Changes between trains of one service day at a stop within 5 to 30 minutes, and whether two minutes were left."""
+    days = b.table(s, d, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").alias("service_date"))
+    e = b.stop_events(s, d).join(days, "run_id")
+    a = e.select("stop_id", "service_date", F.col("run_id").alias("a_run"), F.col("sched_arr_epoch").alias("a_arr"), F.col("actual_arr_epoch").alias("a_actual"))
+    c = e.select("stop_id", "service_date", F.col("run_id").alias("b_run"), F.col("sched_dep_epoch").alias("b_dep"), F.col("actual_dep_epoch").alias("b_actual"))
+    pairs = jn.range_join(a, c, ["stop_id", "service_date"], "a_arr", "b_dep", 5 * MINUTE, 30 * MINUTE).where("a_run <> b_run")
     return pairs.select("stop_id", "a_run", "b_run", ((F.col("b_dep") - F.col("a_arr")) / 1000).cast("long").alias("slack_sec"), (F.col("a_actual") <= F.col("b_actual") - 120_000).alias("made"))
 
 
@@ -68,9 +70,13 @@ def run_states(s, d):
 
 
 def named_nearest(s, d):
-    st = b.stops(s, d).withColumn("k", (F.substring("stop_id", 2, 5).cast("int") % 20))
-    places = b.table(s, d, "part").select(F.col("p_partkey").alias("place_id"), (F.col("p_partkey") % 20).cast("int").alias("k"), (45.0 + (F.col("p_partkey") % 97) / 100).alias("lat"), (8.5 + (F.col("p_partkey") % 193) / 100).alias("lon"))
-    return jn.nearest_by_name(places, st, "k", 30.0).select("place_id", "stop_id", F.round("km", 4).alias("km"))
+    """Places named like a stop, up to four kilometres from it; other stops of the name would be candidates too."""
+    n = F.col("p_partkey") % 120
+    name = F.concat(F.lit("SUPPLIER-"), F.lpad(n.cast("string"), 9, "0"), F.when(F.col("p_partkey") % 3 == 0, " bis").otherwise(""))
+    off = (F.col("p_partkey") % 5).cast("double") / F.lit(111.0)
+    places = b.table(s, d, "part").select(F.col("p_partkey").alias("place_id"), name_key(name).alias("name_key"), (F.lit(45.0) + (n % 97) / F.lit(100.0) + off).alias("lat"), (F.lit(8.5) + ((n * 7) % 193) / F.lit(100.0)).alias("lon"))
+    stops = b.stops(s, d).withColumn("name_key", name_key(F.col("stop_name")))
+    return jn.nearest_by_name(places, stops, "name_key", 3.0).select("place_id", "stop_id", F.round("km", 4).alias("km"))
 
 
 def resolved(s, d):
@@ -167,7 +173,6 @@ QUERIES = {
     "j32_resolve_run": resolved,
     "a09_source_coverage": lambda s, d: live.coverage(b.observations(s, d)),
     "a12_network_delay": network_delay,
-    "a22_rail_graph": lambda s, d: gr.edges(gr.transitions(b.observations(s, d))),
     "a24_platform_modes": platform_modes,
     "t05_successors": lambda s, d: gr.successors(gr.edges(gr.transitions(b.observations(s, d))), 3),
     "w09_latest_by_source": lambda s, d: fu.latest_by_source(b.observations(s, d)),
@@ -185,7 +190,7 @@ SELECT m.id, CAST(t.delay_seconds AS INT) AS other_delay, t.id AS other_id FROM
 LAST = "last AS (SELECT run_id, source, max(ts * 1000000 + id) AS k FROM obs {where} GROUP BY ALL), lat AS (SELECT o.* FROM obs o JOIN last l ON o.run_id = l.run_id AND o.source = l.source AND o.ts * 1000000 + o.id = l.k)"
 MOVES = "mv AS (SELECT lag(location_id) OVER (PARTITION BY run_id, source ORDER BY ts, id) AS from_id, location_id AS to_id FROM obs WHERE location_id IS NOT NULL), ed AS (SELECT from_id, to_id, count(*) AS n FROM mv WHERE from_id <> to_id GROUP BY ALL)"
 
-CONNECTIONS = "SELECT a.stop_id, a.run_id AS a_run, b.run_id AS b_run, CAST((b.sched_dep_epoch - a.sched_arr_epoch) // 1000 AS BIGINT) AS slack_sec, a.actual_arr_epoch <= b.actual_dep_epoch - 120000 AS made FROM se a JOIN se b ON a.stop_id = b.stop_id AND a.run_id <> b.run_id AND b.sched_dep_epoch - a.sched_arr_epoch BETWEEN 300000 AND 1800000"
+CONNECTIONS = "SELECT a.stop_id, a.run_id AS a_run, b.run_id AS b_run, CAST((b.sched_dep_epoch - a.sched_arr_epoch) // 1000 AS BIGINT) AS slack_sec, a.actual_arr_epoch <= b.actual_dep_epoch - 120000 AS made FROM (SELECT * FROM se JOIN orders ON o_orderkey = run_id) a JOIN (SELECT * FROM se JOIN orders ON o_orderkey = run_id) b ON a.stop_id = b.stop_id AND a.o_orderdate = b.o_orderdate AND a.run_id <> b.run_id AND b.sched_dep_epoch - a.sched_arr_epoch BETWEEN 300000 AND 1800000"
 
 ORACLE_SQL = {
     "j06_scored_runs": oracle("se ends runs pred scored", "SELECT route_id, model_version, count(*) AS n, round(avg(abs(our_error_sec)), 4) AS mae FROM scored JOIN runs USING (run_id) GROUP BY ALL"),
@@ -199,9 +204,10 @@ SELECT run_id, CASE WHEN len(ds) >= 3 THEN list_sort(ds)[len(ds) // 2 + 1] END A
     "j14_runs_with_actuals": oracle("se ends runs", "SELECT run_id FROM runs r WHERE EXISTS (SELECT 1 FROM se WHERE se.run_id = r.run_id AND actual_arr_epoch IS NOT NULL)"),
     "j15_unscored": oracle("se ends pred scored", "SELECT model_version, count(*) AS n FROM pred WHERE prediction_id NOT IN (SELECT prediction_id FROM scored) GROUP BY ALL"),
     "j17_run_states": oracle("se ends runs obs", "WITH st AS (SELECT run_id, max(ts) AS u FROM obs GROUP BY ALL) SELECT r.run_id, train_number, coalesce(u, 0) AS updated_at FROM runs r LEFT JOIN st ON st.run_id = r.run_id"),
-    "j22_named_nearest": oracle("stops", """WITH p AS (SELECT p_partkey AS place_id, p_partkey % 20 AS k, CAST(45.0 AS DOUBLE) + (p_partkey % 97) / CAST(100.0 AS DOUBLE) AS lat, CAST(8.5 AS DOUBLE) + (p_partkey % 193) / CAST(100.0 AS DOUBLE) AS lon FROM part),
-j AS (SELECT place_id, stop_id, 2 * 6371.0088 * asin(sqrt(pow(sin(radians(stop_lat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(stop_lat)) * pow(sin(radians(stop_lon - lon) / 2), 2))) AS km FROM p JOIN stops ON CAST(substr(stop_id, 2) AS INT) % 20 = k)
-SELECT place_id, arg_min(stop_id, (km, stop_id)) AS stop_id, round(min(km), 4) AS km FROM j WHERE km <= 30 GROUP BY place_id"""),
+    "j22_named_nearest": oracle("stops", """WITH q AS (SELECT p_partkey AS place_id, p_partkey % 120 AS n, 'supplier' || lpad(CAST(p_partkey % 120 AS VARCHAR), 9, '0') || CASE WHEN p_partkey % 3 = 0 THEN 'bis' ELSE '' END AS key, CAST(p_partkey % 5 AS DOUBLE) / CAST(111.0 AS DOUBLE) AS o FROM part),
+p AS (SELECT place_id, key, CAST(45.0 AS DOUBLE) + (n % 97) / CAST(100.0 AS DOUBLE) + o AS lat, CAST(8.5 AS DOUBLE) + ((n * 7) % 193) / CAST(100.0 AS DOUBLE) AS lon FROM q),
+j AS (SELECT place_id, stop_id, 2 * 6371.0088 * asin(sqrt(pow(sin(radians(stop_lat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(stop_lat)) * pow(sin(radians(stop_lon - lon) / 2), 2))) AS km FROM p JOIN stops ON key = regexp_replace(lower(stop_name), '[^a-z0-9]', '', 'g'))
+SELECT place_id, arg_min(stop_id, (km, stop_id)) AS stop_id, round(min(km), 4) AS km FROM j WHERE km <= 3 GROUP BY place_id"""),
     "j26_cancelled_nearby": oracle("se", "SELECT a.run_id, a.stop_sequence, count(*) AS n FROM se a JOIN se c ON c.stop_id = a.stop_id AND c.cancelled = 1 AND c.run_id <> a.run_id AND c.sched_arr_epoch - a.sched_arr_epoch BETWEEN -2700000 AND 0 GROUP BY ALL"),
     "j29_newest_delay": oracle("se ends runs obs", "WITH o AS (SELECT run_id, arg_max(delay_seconds, ts * 1000000 + id) AS delay_seconds FROM obs WHERE delay_seconds IS NOT NULL GROUP BY ALL) SELECT r.run_id, delay_seconds FROM runs r LEFT JOIN o ON o.run_id = r.run_id"),
     "j31_coverage": oracle("obs", "SELECT ts // 900000 * 900000 AS bucket, count(*) AS n_all, count(observed_at) AS n_observed, count(*) FILTER (delay_seconds >= 300) AS n_late FROM obs GROUP BY ALL"),
@@ -210,7 +216,6 @@ f AS (SELECT want_id, coalesce(min(run_id) FILTER (sched_dep_epoch = want_dep),
 SELECT w.want_id, f.run_id FROM w LEFT JOIN f ON f.want_id = w.want_id"""),
     "a09_source_coverage": oracle("obs", "SELECT ts // 900000 * 900000 AS bucket, source, count(*) AS n FROM obs GROUP BY ALL"),
     "a12_network_delay": oracle("obs", "SELECT id, round(avg(delay_seconds) OVER (ORDER BY ts RANGE BETWEEN 600000 PRECEDING AND CURRENT ROW), 4) AS mean_delay FROM obs"),
-    "a22_rail_graph": oracle("obs", f"WITH {MOVES} SELECT from_id, to_id, n, round(n / sum(n) OVER (PARTITION BY from_id), 6) AS p FROM ed"),
     "a24_platform_modes": oracle("se ends runs", "WITH n AS (SELECT stop_id, route_id, platform_actual, count(*) AS n FROM se JOIN runs USING (run_id) GROUP BY ALL) SELECT stop_id, route_id, platform_actual AS platform, round(n / sum(n) OVER (PARTITION BY stop_id, route_id), 6) AS share FROM n QUALIFY row_number() OVER (PARTITION BY stop_id, route_id ORDER BY n DESC, platform_actual) = 1"),
     "t05_successors": oracle("obs", f"WITH {MOVES}, top AS (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY n DESC, to_id) AS rank FROM ed QUALIFY rank <= 3) SELECT from_id, to_id, n, CAST(rank AS INT) AS rank, round(n / sum(n) OVER (PARTITION BY from_id), 6) AS share FROM top"),
     "w09_latest_by_source": oracle("obs", f"WITH {LAST.format(where='')} SELECT run_id, source, id, ts, delay_seconds, location_id FROM lat"),

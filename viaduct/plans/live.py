@@ -31,6 +31,13 @@ def messages(s, d):
     return o.select(F.concat(F.lit("M"), (F.col("run_id") % 20).cast("string")).alias("stop_id"), at.cast("long").alias("fetched_at"), F.when(k % 13 != 0, F.concat(F.lit("L"), (k % 4).cast("string"))).alias("line"), k.alias("seq"), F.when(k % 11 != 0, (k * 37 % 200).cast("long")).alias("eta_sec"))
 
 
+def metro_board(s, d):
+    """The boards of all metro stops at noon; some departures have no line."""
+    t, run = b.gtfs_stop_times(s, d), F.substring("trip_id", 2, 20).cast("long")
+    deps = t.select(F.concat(F.lit("M"), (F.substring("stop_id", 2, 5).cast("int") % 20).cast("string")).alias("stop_id"), F.when(run % 9 != 0, F.concat(F.lit("L"), (run % 5).cast("string"))).alias("line"), F.concat_ws("/", "trip_id", F.col("stop_sequence").cast("string")).alias("trip_id"), (F.col("departure_sec") % 86_400).alias("departure_sec"))
+    return me.board(deps, messages(s, d), DAY // 2, 43_200)
+
+
 def adjacent(s):
     return s.range(20).select(F.concat(F.lit("M"), F.col("id").cast("string")).alias("stop_id"), F.concat(F.lit("M"), ((F.col("id") + 1) % 20).cast("string")).alias("to_stop"))
 
@@ -100,7 +107,7 @@ def texts(s, d):
     k = F.col("id")
     name = F.concat(F.lit("Città  d'Àlba/"), (k * 7919).cast("string"), F.when(k % 3 == 0, " ~Bivio~ è").when(k % 3 == 1, " Giunzione S.Giovanni").otherwise(""))
     seconds = k * 997 - 50_000
-    return s.range(0, 300).select(
+    return b.table(s, d, "part").select(F.col("p_partkey").cast("long").alias("id")).select(
         "id", tx.normalized_name(name).alias("normalized"), tx.safe_name(name, 20).alias("safe"), tx.partition_value(F.when(k % 10 != 0, name)).alias("partition"), tx.fnv1a(name, 64).cast("long").alias("hash"),
         tx.seconds_to_hms(seconds).alias("hms"), tx.minutes_text(seconds).alias("minutes"), tx.delay_text(F.when(k % 7 != 0, seconds)).alias("delay"), tx.departure_text(F.lit(NOW) + k * 40_000 - 600_000, NOW).alias("departure"), tx.percent_text(k % 7, k % 5).alias("percent"),
     )
@@ -123,6 +130,7 @@ def arrays(s, d):
 
 
 QUERIES = {
+    "j30_metro_board": metro_board,
     "w15_passages": passages,
     "j27_linked_passages": lambda s, d: me.linked(passages(s, d), adjacent(s)),
     "j27_chained_passages": lambda s, d: me.chained(passages(s, d), adjacent(s)),
@@ -174,7 +182,14 @@ st AS (SELECT r.run_id, train_number || '@' || service_date AS run_code, CASE WH
   concat_ws(',', CASE WHEN spread > 300 THEN 'SOURCE_CONFLICT' END, CASE WHEN age > 600 THEN 'STALE_SOURCE' END) AS quality, previous_stop, next_stop, destination_eta, passed_stops, upcoming_stops, coalesce(sources, '') AS sources, stops
   FROM runs r LEFT JOIN sf USING (run_id) LEFT JOIN lg USING (run_id) LEFT JOIN dp USING (run_id))"""
 
+BOARD = f"""fr AS (SELECT stop_id, fetched_at, row_number() OVER (PARTITION BY stop_id ORDER BY fetched_at DESC) AS k FROM (SELECT DISTINCT stop_id, fetched_at FROM msg WHERE fetched_at <= {DAY // 2})),
+lv AS (SELECT stop_id, line, eta_sec, fetched_at AS told_at FROM msg JOIN fr USING (stop_id, fetched_at) WHERE line IS NOT NULL AND k <= 3 QUALIFY row_number() OVER (PARTITION BY stop_id, line ORDER BY k, seq) = 1),
+dp AS (SELECT 'M' || (CAST(substr(stop_id, 2) AS INT) % 20) AS stop_id, CASE WHEN CAST(substr(trip_id, 2) AS BIGINT) % 9 <> 0 THEN 'L' || (CAST(substr(trip_id, 2) AS BIGINT) % 5) END AS line, trip_id || '/' || stop_sequence AS trip_id, departure_sec % 86400 AS departure_sec FROM times),
+sh AS (SELECT * FROM dp WHERE departure_sec BETWEEN 42900 AND 48600 QUALIFY row_number() OVER (PARTITION BY stop_id ORDER BY departure_sec, trip_id) <= 40)
+SELECT stop_id, line, trip_id, departure_sec - 43200 AS scheduled_in_sec, eta_sec AS live_eta_sec, told_at FROM sh LEFT JOIN lv USING (stop_id, line)"""
+
 ORACLE_SQL = {
+    "j30_metro_board": oracle("se times obs", f"WITH {MSG}, {BOARD}"),
     "w15_passages": oracle("obs", f"WITH {MSG} SELECT * FROM ps"),
     "j27_linked_passages": oracle("obs", f"WITH {MSG} SELECT * FROM li"),
     "j27_chained_passages": oracle("obs", f"WITH {MSG} SELECT * FROM ch"),
@@ -203,7 +218,7 @@ ORACLE_SQL = {
       SELECT stop_id, CAST(row_number() OVER w - 1 AS INT) AS pos, platform, round(p, 3) AS p FROM p WHERE p >= 0.1 WINDOW w AS (PARTITION BY stop_id ORDER BY p DESC, platform) QUALIFY row_number() OVER w <= 3"""),
     "s02_union_runs": oracle("obs se", "SELECT run_id FROM obs UNION SELECT run_id FROM se"),
     "fn_dates": """WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders) SELECT o_orderkey, strftime(d + CAST(o_orderkey % 800 - 400 AS INT), '%Y-%m-%d') AS moved, strftime(d, '%Y%m%d') AS feed, strftime(d, '%Y-%m-%d') AS back, strftime(d - 1, '%Y-%m-%d') AS previous, CAST(floor(o_orderkey * 497 / 1000.0) AS BIGINT) AS into_day FROM o""",
-    "fn_text": f"""WITH RECURSIVE t AS (SELECT id, 'Città  d''Àlba/' || (id * 7919) || CASE id % 3 WHEN 0 THEN ' ~Bivio~ è' WHEN 1 THEN ' Giunzione S.Giovanni' ELSE '' END AS name, id * 997 - 50000 AS s, CAST(ceil((id * 40000 - 600000) / 60000.0) AS BIGINT) AS m FROM range(300) r(id)),
+    "fn_text": f"""WITH RECURSIVE t AS (SELECT id, 'Città  d''Àlba/' || (id * 7919) || CASE id % 3 WHEN 0 THEN ' ~Bivio~ è' WHEN 1 THEN ' Giunzione S.Giovanni' ELSE '' END AS name, id * 997 - 50000 AS s, CAST(ceil((id * 40000 - 600000) / 60000.0) AS BIGINT) AS m FROM (SELECT CAST(p_partkey AS BIGINT) AS id FROM part) r),
       h(id, k, v) AS (SELECT id, 0, CAST(2166136261 AS BIGINT) FROM t UNION ALL SELECT h.id, k + 1, (xor(v, CAST(unicode(substr(name, k + 1, 1)) AS BIGINT)) * 16777619) & 4294967295 FROM h JOIN t USING (id) WHERE k < length(name)),
       f AS (SELECT id, abs(CASE WHEN v >= 2147483648 THEN v - 4294967296 ELSE v END) % 64 AS hash FROM h JOIN t USING (id) WHERE k = length(name))
       SELECT id, trim(regexp_replace(upper(strip_accents(name)), '[^A-Z0-9]+', ' ', 'g')) AS normalized, substr(regexp_replace(name, '[^A-Za-z0-9._-]', '_', 'g'), 1, 20) AS safe, CASE WHEN id % 10 = 0 THEN '_null_' ELSE substr(regexp_replace(name, '[^A-Za-z0-9._-]', '_', 'g'), 1, 64) END AS partition, hash,

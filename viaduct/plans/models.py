@@ -11,6 +11,8 @@ from viaduct.operators import evaluate as ev
 from viaduct.operators import models as md
 from viaduct.operators import platforms as pf
 from viaduct.operators import segments as sg
+from viaduct.operators import stack as st
+from viaduct.operators import training as tr
 from viaduct.plans.joins import CONNECTIONS, connection_pairs
 from viaduct.plans.schedule import EXPORTED, exported
 from viaduct.plans.segments import BUCKET, HOUR, SEG, STATS, fi, traversals
@@ -108,6 +110,36 @@ def booster_sweep(s, d):
     return held_once(training(s, d), ("generated_at", "prediction_id"), run).orderBy("mae", "rounds", "rate", "depth", "least")
 
 
+def stacking(s, d):
+    """Feature rows with their states at the last stop, and rows of stops to learn from."""
+    p = b.scored(s, d)
+    p = p.withColumn("operator_delay", (F.col("operator_eta_epoch") - F.col("sched_arr_epoch")) / 1000).withColumn("our_delay", (F.col("our_p50") - F.col("sched_arr_epoch")) / 1000).withColumn("upstream_max", (F.col("run_id") * 13 % 2400).cast("double"))
+    kept = p.select("prediction_id", "generated_at", "sched_arr_epoch", "our_p10", "our_p50", "our_p90", "operator_error_sec", "operator_delay", "our_delay", F.col("our_error_sec").cast("double").alias("residual"), *md.feature_row(p))
+    t = tr.stop_level(b.stop_events(s, d), b.runs(s, d), "1992-01-01").withColumnsRenamed({"dest_sched": "sched_arr_epoch", "origin_dep_delay_sec": "origin_delay"})
+    t = t.withColumns({"operator_delay": F.col("delay_sec"), "our_delay": F.col("delay_sec"), "independent_delay": F.col("delay_sec"), "anchor_kind": F.lit("actual_arr"), "stats_coverage": F.lit(0.5), "operator_weight": F.lit(0.65)})
+    return st.with_stop_features(kept, USED), t.select("label_sec", *md.feature_row(t)).select("label_sec", *USED)
+
+
+def fitted_stack(s, d):
+    rows, stops = stacking(s, d)
+    rows = ev.time_split(rows, ["generated_at", "prediction_id"]).persist()
+    model = st.fit(rows.where("is_train"), rows.where("NOT is_train"), stops, USED)
+    rows.unpersist()
+    return model
+
+
+def stack_choice(s, d):
+    """Which method and weight were chosen, how far each errs, and whether the model may be deployed."""
+    told = fitted_stack(s, d).told
+    rounded = tuple(round(v, 4) if isinstance(v, float) else v for v in told.values())
+    return s.createDataFrame([rounded], "n long, method string, weight double, mae_heuristic double, mae_operator double, mae_ridge double, mae_gbm double, mae_model double, coverage_heuristic double, coverage_model double, deploy boolean")
+
+
+def stack_served(s, d):
+    """All predictions corrected by the fitted model."""
+    return st.applied(stacking(s, d)[0], fitted_stack(s, d))
+
+
 def connection_model(s, d):
     """Whether a change is made, learned from the earlier four fifths of the changes, judged by the area under the curve."""
     e = b.stop_events(s, d).where("stop_id IS NOT NULL")
@@ -190,7 +222,9 @@ QUERIES = {
     "m06_boosted_gate": boosted_gate,
     "m07_forest": lambda s, d: training(s, d).select("prediction_id", F.round(md.forest(TREES, 0.5, 3.0), 6).alias("predicted")),
     "m08_ridge_gate": ridge_gate,
+    "m08_stack_choice": stack_choice,
     "m09_residual": residual,
+    "m09_stack_served": stack_served,
     "m10_connection_gate": connection_gate,
     "m10_connection_model": connection_model,
     "m11_platform_gate": platform_gate,

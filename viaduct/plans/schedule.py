@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from viaduct.functions import semantics as sem
 from viaduct.operators import export as ex
 from viaduct.operators import schedule as sc
+from viaduct.operators import stop_events as se
 from viaduct.operators import upserts as up
 from viaduct.plans.segments import AS_OF
 from viaduct.sources import bindings as b
@@ -62,6 +63,27 @@ def fetches(s, d):
     return o.select("source", F.col("run_id").alias("entity_key"), "ts", "id", F.col("delay_seconds").isNotNull().alias("ok"), F.md5(F.coalesce((F.col("delay_seconds") % 3).cast("string"), F.lit("-"))).alias("payload_hash"))
 
 
+def told_stops(s, d):
+    """Three updates of each call from two sources, with other sequences and with what they do not know missing."""
+    j, run = F.col("j"), F.col("run_id")
+    e = b.stop_events(s, d).withColumn("j", F.explode(F.array(*map(F.lit, range(3)))))
+    at = F.col("sched_arr_epoch") - 600_000 + (run * 7 + F.col("stop_sequence") * 3 + j * 5) % 11 * 60_000
+    some = lambda c, k: F.when((run + F.col("stop_sequence") + j) % k != 0, F.col(c)).alias(c)
+    return e.select(
+        "run_id", "stop_id", F.date_format(F.timestamp_millis(F.col("sched_arr_epoch") - F.col("stop_sequence") * 600_000), "yyyy-MM-dd").alias("service_date"), at.alias("ts"), (run * 100 + F.col("stop_sequence") * 10 + j).alias("id"), F.when(run % 6 != j, F.col("stop_sequence") + j).alias("stop_sequence"),
+        (F.col("sched_arr_epoch") + j * 1000).alias("sched_arr_epoch"), some("sched_dep_epoch", 4), F.when(j > 0, F.lit("9")).alias("platform_sched"), F.when(j != 1, F.col("sched_arr_epoch") + j * 60_000).alias("op_pred_arr_epoch"), F.when(j == 1, F.col("sched_dep_epoch")).alias("op_pred_dep_epoch"),
+        some("actual_dep_epoch", 3), F.when(j == 2, 1).when(j == 1, 0).alias("platform_is_actual"), F.when(j == 1, "viaggiatreno").otherwise("mia").alias("source"), some("actual_arr_epoch", 2), some("platform_actual", 3), some("arr_delay_sec", 5), some("dep_delay_sec", 2), some("cancelled", 3),
+    )
+
+
+def recovery(s, d):
+    """Whether trains recover two minutes; every ninth has no delay, every seventh a wide forecast."""
+    run = F.col("run_id")
+    p = b.scored(s, d).withColumn("late", F.when(run % 9 != 0, run * 53 % 900 - 100)).withColumn("p90", F.col("our_p90") + F.when(run % 7 == 0, 1_500_000).otherwise(0))
+    told = p.withColumn("f", sem.recovery_forecast(F.col("late"), F.col("sched_arr_epoch"), F.col("our_p10"), F.col("our_p50"), F.col("p90")))
+    return told.select("prediction_id", sem.recovery_prediction(F.col("late"), F.col("sched_arr_epoch"), F.col("our_p50")).alias("expected_gain_sec"), "f.prob_recover", "f.expected_delay_sec")
+
+
 def sightings(s, d):
     st = b.table(s, d, "part")
     k = F.col("p_partkey")
@@ -120,7 +142,7 @@ QUERIES = {
     "p07_service_day": lambda s, d: on_calendar(s, d).where(F.col("date") == DAY).select("trip_id", "service_id"),
     "src03_validity": lambda s, d: b.gtfs_trips(s, d).select("trip_id", *[c.alias(n) for c, n in zip(sc.validity(F.col("validity")), ("valid_from", "valid_to"), strict=True)]),
     "src04_calendar": lambda s, d: sc.expand_calendar(*calendar(s, d)).select("service_id", F.date_format("date", "yyyyMMdd").alias("date")),
-    "src18_holidays": lambda s, d: sc.holidays(s.range(1990, 2060).select(F.col("id").alias("year"))).select(F.date_format("date", "yyyy-MM-dd").alias("date"), "name"),
+    "src18_holidays": lambda s, d: sc.holidays(b.table(s, d, "orders").select(F.year("o_orderdate").cast("long").alias("year")).distinct()).select(F.date_format("date", "yyyy-MM-dd").alias("date"), "name"),
     "p05_stop_search": lambda s, d: b.stops(s, d).where(F.col("stop_name").ilike("%r#0000000%1%")).orderBy("stop_name").limit(20).select("stop_id", "stop_name"),
     "p06_null_safe_match": lambda s, d: null_safe_match(s, d),
     "p06_null_safe_match_whole": lambda s, d: b.runs(s, d).alias("a").join(b.runs(s, d).select("run_id", F.when(F.col("run_id") % 4 != 0, F.col("gtfs_trip_id")).alias("gtfs_trip_id")).alias("x"), F.expr("a.gtfs_trip_id <=> x.gtfs_trip_id AND a.run_id = x.run_id")).select("a.run_id", "a.gtfs_trip_id"),
@@ -130,7 +152,8 @@ QUERIES = {
     "p17_discover": lambda s, d: sc.discover(b.runs(s, d), POLL_AT),
     "a33_feed_range": lambda s, d: b.gtfs_trips(s, d).agg(F.min("date").alias("feed_start"), F.max("date").alias("feed_end")),
     "j24_consecutive_stops": lambda s, d: (lambda t: t.alias("a").join(t.alias("x"), F.expr("a.trip_id = x.trip_id AND x.stop_sequence = a.stop_sequence + 1")).groupBy(F.col("a.stop_id").alias("from_stop_id"), F.col("x.stop_id").alias("to_stop_id")).agg(F.count("*").alias("n")))(b.gtfs_stop_times(s, d)),
-    "u01_stop_event_merge": lambda s, d: up.merge_stop_events(updates(s, d), ["run_id", "stop_id"], ["ts", "id"], ["source", "observed_at"], ["delay_seconds", "crowding"], ["ts"]),
+    "u01_stop_event_merge": lambda s, d: se.view(se.merged(se.states(told_stops(s, d)))),
+    "u01_observation_merge": lambda s, d: up.merge_stop_events(updates(s, d), ["run_id", "stop_id"], ["ts", "id"], ["source", "observed_at"], ["delay_seconds", "crowding"], ["ts"]),
     "u02_run_enrichment": lambda s, d: up.enrich_runs(updates(s, d), "run_id", ["ts", "id"], ["delay_seconds", "crowding", "observed_at"]),
     "u03_provider_health": lambda s, d: up.provider_health(fetches(s, d)),
     "u04_rail_locations": lambda s, d: up.rail_locations(sightings(s, d)),
@@ -154,13 +177,14 @@ QUERIES = {
     "s05_unmapped_stops": lambda s, d: b.stop_events(s, d).join(b.stops(s, d), "stop_id", "left_anti").select("stop_id").distinct(),
     "s06_distinct_pairs": lambda s, d: b.stop_events(s, d).select("stop_id", "platform_actual").dropDuplicates(),
     "fn_rome_time": lambda s, d: instants(s, d).select("k", sem.rome_ymd(F.col("epoch_ms")).alias("ymd"), sem.rome_hms(F.col("epoch_ms")).alias("hms"), sem.is_peak(sem.rome_hour(F.col("epoch_ms"))).alias("peak")),
-    "fn_rome_wall": lambda s, d: s.range(0, 400).select("id", sem.rome_wall_to_epoch(F.when(F.col("id") % 2 == 0, "2024-10-27").otherwise("2024-03-31"), F.col("id") * 300).alias("epoch")),
+    "fn_rome_wall": lambda s, d: b.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), sem.rome_wall_to_epoch(F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd"), F.col("o_orderkey") % 400 * 300).alias("epoch")),
     "fn_js_round": lambda s, d: numbers(s, d).groupBy(sem.js_round(F.col("x") / 2).cast("long").alias("r")).count().withColumnRenamed("count", "n"),
     "fn_slug": lambda s, d: sightings(s, d).select("id", sem.slug(F.col("name")).alias("slug"), sem.name_key(F.col("name")).alias("key")),
     "fn_run_key": lambda s, d: b.runs(s, d).select("run_id", F.concat_ws("|", "operator", "service_date", "train_number", F.coalesce("gtfs_trip_id", F.lit("?")), F.lpad(F.floor(F.col("sched_dep_epoch") / 1000 % 86400).cast("string"), 6, "0")).alias("run_key")),
     "fn_wait_message": lambda s, d: b.table(s, d, "orders").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderkey") % 4 == 0, "in arrivo").when(F.col("o_orderkey") % 4 == 1, F.concat((F.col("o_orderkey") % 30).cast("string"), F.lit(" min"))).when(F.col("o_orderkey") % 4 == 2, "ricalcolo").otherwise("no serv.").alias("m")).select("k", sem.wait_seconds(F.col("m")).alias("seconds"), sem.wait_flag(F.col("m")).alias("flag")),
     "fn_hms_seconds": lambda s, d: b.table(s, d, "orders").select(F.col("o_orderkey").alias("k"), F.concat(F.lpad((F.col("o_orderkey") % 30).cast("string"), 2, "0"), F.lit(":"), F.lpad((F.col("o_orderkey") % 60).cast("string"), 2, "0"), F.when(F.col("o_orderkey") % 3 == 0, ":05").when(F.col("o_orderkey") % 3 == 1, "").otherwise("x")).alias("t")).select("k", sem.hms_to_seconds(F.col("t")).cast("long").alias("seconds")),
     "fn_normal_cdf": lambda s, d: numbers(s, d).select((F.col("x") / 8).alias("x")).distinct().select("x", F.round(sem.normal_cdf(F.col("x")), 6).alias("p")),
+    "fn_recovery": recovery,
     "fn_quantile_cdf": lambda s, d: b.scored(s, d).select("prediction_id", F.round(sem.quantile_cdf(F.col("actual_arr_epoch"), F.col("our_p10"), F.col("our_p50"), F.col("our_p90")), 6).alias("p")),
 }
 
@@ -168,6 +192,11 @@ SUM = """summ AS (SELECT trip_id, arg_min(stop_id, stop_sequence) AS first_stop_
 NUM = "nullif(trim(string_split(trip_short_name, ' - ')[-1]), '')"
 UPD = "upd AS (SELECT *, CASE WHEN id % 3 = 0 THEN CAST(id % 5 AS INT) END AS crowding, 'S' || lpad(CAST(CAST(substr(location_id, 2) AS INT) % 7 AS VARCHAR), 5, '0') AS stop_id FROM obs)"
 FETCH = "fe AS (SELECT source, run_id AS entity_key, ts, id, delay_seconds IS NOT NULL AS ok, md5(coalesce(CAST(delay_seconds % 3 AS VARCHAR), '-')) AS payload_hash FROM obs)"
+TOLD_STOPS = """t0 AS (SELECT se.*, j, run_id + stop_sequence + j AS k FROM se, range(3) t(j)),
+td AS (SELECT run_id, stop_id, strftime(make_timestamp((sched_arr_epoch - stop_sequence * 600000) * 1000), '%Y-%m-%d') AS service_date, sched_arr_epoch - 600000 + (run_id * 7 + stop_sequence * 3 + j * 5) % 11 * 60000 AS ts, run_id * 100 + stop_sequence * 10 + j AS id, CASE WHEN run_id % 6 <> j THEN CAST(stop_sequence + j AS INT) END AS stop_sequence,
+  sched_arr_epoch + j * 1000 AS sched_arr_epoch, CASE WHEN k % 4 <> 0 THEN sched_dep_epoch END AS sched_dep_epoch, CASE WHEN j > 0 THEN '9' END AS platform_sched, CASE WHEN j <> 1 THEN sched_arr_epoch + j * 60000 END AS op_pred_arr_epoch, CASE WHEN j = 1 THEN sched_dep_epoch END AS op_pred_dep_epoch,
+  CASE WHEN k % 3 <> 0 THEN actual_dep_epoch END AS actual_dep_epoch, CASE j WHEN 2 THEN 1 WHEN 1 THEN 0 END AS platform_is_actual, CASE WHEN j = 1 THEN 'viaggiatreno' ELSE 'mia' END AS source, CASE WHEN k % 2 <> 0 THEN actual_arr_epoch END AS actual_arr_epoch, CASE WHEN k % 3 <> 0 THEN platform_actual END AS platform_actual,
+  CASE WHEN k % 5 <> 0 THEN arr_delay_sec END AS arr_delay_sec, CASE WHEN k % 2 <> 0 THEN dep_delay_sec END AS dep_delay_sec, CASE WHEN k % 3 <> 0 THEN cancelled END AS cancelled FROM t0)"""
 SIGHT = """si AS (SELECT p_partkey AS id, ' Bivio/PC ' || (p_partkey % 300) || CASE WHEN p_partkey % 4 = 0 THEN '--' ELSE '' END AS name, p_partkey * 1000 AS seen_at, CASE WHEN p_partkey % 3 = 0 THEN CAST(45.0 AS DOUBLE) + (p_partkey % 50) / 100.0 END AS lat,
   CASE WHEN p_partkey % 3 = 0 THEN CAST(9.0 AS DOUBLE) + (p_partkey % 70) / 100.0 END AS lon, CASE WHEN p_partkey % 5 = 0 THEN 'BIVIO' WHEN p_partkey % 2 = 0 THEN 'PASSENGER_STATION' ELSE 'UNKNOWN' END AS type FROM part)"""
 SLUG = "CASE WHEN {s} = '' THEN 'unnamed' ELSE {s} END".format(s="regexp_replace(regexp_replace(lower(trim(name)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')")
@@ -205,7 +234,7 @@ ORACLE_SQL = {
       SELECT service_id, k, CAST(unnest(generate_series(DATE '2024-01-01' + k, DATE '2024-02-01' + k * 2, INTERVAL 1 DAY)) AS DATE) AS d FROM cal
     ), base AS (SELECT service_id, d FROM days WHERE ((k >> ((isodow(d) - 1) % 5)) + isodow(d) - 1) % 2 = 1 AND d <> DATE '2024-01-20' + k % 5)
     SELECT service_id, strftime(d, '%Y%m%d') AS date FROM base UNION SELECT service_id, strftime(DATE '2024-03-01' + k, '%Y%m%d') FROM cal""",
-    "src18_holidays": """WITH y AS (SELECT unnest(range(1990, 2060)) AS y), e0 AS (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM y), e1 AS (SELECT *, (19 * a + b - b // 4 - (8 * b + 13) // 25 + 15) % 30 AS h FROM e0),
+    "src18_holidays": """WITH y AS (SELECT DISTINCT CAST(year(o_orderdate) AS BIGINT) AS y FROM orders), e0 AS (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM y), e1 AS (SELECT *, (19 * a + b - b // 4 - (8 * b + 13) // 25 + 15) % 30 AS h FROM e0),
       e2 AS (SELECT *, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 AS l FROM e1), e3 AS (SELECT *, (a + 11 * h + 19 * l) // 433 AS m FROM e2), e4 AS (SELECT *, (h + l - 7 * m + 90) // 25 AS mo FROM e3),
       e AS (SELECT y, make_date(y, mo, (h + l - 7 * m + 33 * mo + 19) % 32) AS d FROM e4)
       SELECT strftime(make_date(y, mm, dd), '%Y-%m-%d') AS date, name FROM y, (VALUES (1, 1, 'New Year'), (1, 6, 'Epiphany'), (4, 25, 'Liberation Day'), (5, 1, 'Labour Day'), (6, 2, 'Republic Day'), (8, 15, 'Ferragosto'), (11, 1, 'All Saints'), (12, 8, 'Immaculate Conception'), (12, 25, 'Christmas'), (12, 26, 'St Stephen')) f(mm, dd, name)
@@ -220,7 +249,8 @@ ORACLE_SQL = {
     "p17_discover": oracle("se ends runs", f"SELECT run_id, train_number, sched_dep_epoch, sched_arr_epoch FROM runs WHERE sched_dep_epoch <= {POLL_AT + 5400000} AND sched_arr_epoch + 900000 >= {POLL_AT} ORDER BY abs(sched_dep_epoch - {POLL_AT}), run_id LIMIT 200"),
     "a33_feed_range": oracle("trips", "SELECT min(date) AS feed_start, max(date) AS feed_end FROM trips"),
     "j24_consecutive_stops": oracle("se times", "SELECT a.stop_id AS from_stop_id, x.stop_id AS to_stop_id, count(*) AS n FROM times a JOIN times x ON x.trip_id = a.trip_id AND x.stop_sequence = a.stop_sequence + 1 GROUP BY 1, 2"),
-    "u01_stop_event_merge": oracle("obs", f"WITH {UPD} SELECT run_id, stop_id, arg_max_null(source, (ts, id)) AS source, arg_max_null(observed_at, (ts, id)) AS observed_at, arg_max(delay_seconds, (ts, id)) AS delay_seconds, arg_max(crowding, (ts, id)) AS crowding, min(ts) AS first_ts, count(*) AS updates FROM upd GROUP BY 1, 2"),
+    "u01_stop_event_merge": oracle("se", f"WITH {TOLD_STOPS} SELECT run_id, stop_id, service_date, arg_min_null(coalesce(stop_sequence, 0), (ts, id)) AS stop_sequence, " + ", ".join(f"arg_min_null({c}, (ts, id)) AS {c}" for c in se.FIRST[1:]) + ", " + ", ".join(f"arg_max_null({c}, (ts, id)) AS {c}" for c in se.LAST) + ", " + ", ".join(f"arg_max({c}, (ts, id)) AS {c}" for c in se.KNOWN) + ", max(ts) AS updated_at FROM td GROUP BY 1, 2, 3"),
+    "u01_observation_merge": oracle("obs", f"WITH {UPD} SELECT run_id, stop_id, arg_max_null(source, (ts, id)) AS source, arg_max_null(observed_at, (ts, id)) AS observed_at, arg_max(delay_seconds, (ts, id)) AS delay_seconds, arg_max(crowding, (ts, id)) AS crowding, min(ts) AS first_ts, count(*) AS updates FROM upd GROUP BY 1, 2"),
     "u02_run_enrichment": oracle("obs", f"WITH {UPD} SELECT run_id, arg_min(delay_seconds, (ts, id)) AS delay_seconds, arg_min(crowding, (ts, id)) AS crowding, arg_min(observed_at, (ts, id)) AS observed_at FROM upd GROUP BY 1"),
     "u03_provider_health": oracle("obs", f"WITH {FETCH}, k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY ts, id) AS k FROM fe), l AS (SELECT source, coalesce(max(k) FILTER (ok), 0) AS lk FROM k GROUP BY 1), g AS (SELECT source, count(*) AS fetches, count(*) FILTER (NOT ok) AS errors, count(*) FILTER (k > lk AND k > 1) AS consecutive_errors, max(ts) FILTER (ok) AS last_success_at FROM k JOIN l USING (source) GROUP BY 1) SELECT *, CASE WHEN fetches = 1 THEN 'UNKNOWN' WHEN consecutive_errors >= 5 THEN 'PAUSED' WHEN consecutive_errors >= 1 THEN 'DEGRADED' ELSE 'HEALTHY' END AS state FROM g"),
     "u04_rail_locations": f"WITH {SIGHT} SELECT {SLUG} AS key, min(seen_at) AS first_seen_at, max(seen_at) AS last_seen_at, count(*) AS observation_count, arg_max(lat, seen_at) AS lat, arg_max(lon, seen_at) AS lon, CASE WHEN arg_max(ty, seen_at) = 'UNKNOWN_REPORTING_POINT' AND arg_max(ty, seen_at) FILTER (ty <> 'UNKNOWN_REPORTING_POINT') = 'PASSENGER_STATION' THEN 'PASSENGER_STATION' ELSE arg_max(ty, seen_at) END AS type FROM (SELECT *, coalesce(type, CASE WHEN lower(name) LIKE '%bivio%' THEN 'BIVIO' WHEN lower(name) LIKE '%diramazione%' OR lower(name) LIKE '%giunzione%' THEN 'JUNCTION' ELSE 'UNKNOWN_REPORTING_POINT' END) AS ty FROM si) si GROUP BY 1",
@@ -244,13 +274,16 @@ ORACLE_SQL = {
     "s06_distinct_pairs": oracle("se", "SELECT DISTINCT stop_id, platform_actual FROM se"),
     "fn_rome_time": """WITH i AS (SELECT epoch_us(o_orderdate) // 1000 + (o_orderkey % 1440) * 60000 AS e, o_orderkey AS k FROM orders UNION ALL SELECT 1711843200000 + i * 900000, -i - 1 FROM range(96) t(i) UNION ALL SELECT 1729980000000 + i * 900000, -i - 1001 FROM range(96) t(i)),
       r AS (SELECT k, timezone('Europe/Rome', make_timestamptz(e * 1000)) AS t FROM i) SELECT k, strftime(t, '%Y-%m-%d') AS ymd, strftime(t, '%H:%M:%S') AS hms, hour(t) IN (7, 8, 16, 17, 18) AS peak FROM r""",
-    "fn_rome_wall": "SELECT id, CAST(epoch(timezone('Europe/Rome', CASE WHEN id % 2 = 0 THEN TIMESTAMP '2024-10-27' ELSE TIMESTAMP '2024-03-31' END + to_seconds(id * 300))) AS BIGINT) AS epoch FROM range(400) t(id)",
+    "fn_rome_wall": "SELECT o_orderkey AS id, CAST(epoch(timezone('Europe/Rome', CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + to_seconds(o_orderkey % 400 * 300))) AS BIGINT) AS epoch FROM orders",
     "fn_js_round": "SELECT CAST(floor((l_quantity - 25) / 2 + 0.5) AS BIGINT) AS r, count(*) AS n FROM lineitem GROUP BY 1",
     "fn_slug": f"WITH {SIGHT} SELECT id, {SLUG} AS slug, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS key FROM si",
     "fn_run_key": oracle("se ends runs", "SELECT run_id, concat_ws('|', operator, service_date, train_number, coalesce(gtfs_trip_id, '?'), lpad(CAST(sched_dep_epoch // 1000 % 86400 AS VARCHAR), 6, '0')) AS run_key FROM runs"),
     "fn_wait_message": "SELECT o_orderkey AS k, CAST(CASE o_orderkey % 4 WHEN 0 THEN 45 WHEN 1 THEN (o_orderkey % 30) * 60 END AS INT) AS seconds, CASE o_orderkey % 4 WHEN 2 THEN 'RECALC' WHEN 3 THEN 'NO_SERVICE' END AS flag FROM orders",
     "fn_hms_seconds": "SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN (o_orderkey % 30) * 3600 + (o_orderkey % 60) * 60 + 5 WHEN 1 THEN (o_orderkey % 30) * 3600 + (o_orderkey % 60) * 60 END AS seconds FROM orders",
     "fn_normal_cdf": "WITH x AS (SELECT DISTINCT (l_quantity - 25) / 8 AS x FROM lineitem), t AS (SELECT x, abs(x) / sqrt(2.0) AS z, 1 / (1 + 0.3275911 * abs(x) / sqrt(2.0)) AS t FROM x) SELECT x, round(0.5 * (1 + sign(x) * (1 - (0.254829592 * t - 0.284496736 * t * t + 1.421413741 * t * t * t - 1.453152027 * t * t * t * t + 1.061405429 * t * t * t * t * t) * exp(-z * z))), 6) AS p FROM t",
+    "fn_recovery": oracle("se ends pred scored", """WITH d AS (SELECT *, CASE WHEN run_id % 9 <> 0 THEN (run_id * 53) % 900 - 100 END AS late, our_p90 + CASE WHEN run_id % 7 = 0 THEN 1500000 ELSE 0 END AS p90 FROM scored), t AS (SELECT *, late > 0 AND p90 - our_p10 <= 1800000 AS told, sched_arr_epoch + (late - 120) * 1000 AS x FROM d)
+      SELECT prediction_id, CAST(floor(late - (our_p50 - sched_arr_epoch) / 1000 + 0.5) AS BIGINT) AS expected_gain_sec, CASE WHEN told THEN floor(greatest(0.02, least(0.98, CASE WHEN x <= our_p50 THEN 0.1 + 0.4 * (x - our_p10) / greatest(1, our_p50 - our_p10) ELSE 0.5 + 0.4 * (x - our_p50) / greatest(1, p90 - our_p50) END)) * 100 + 0.5) / 100 END AS prob_recover,
+      CASE WHEN told THEN CAST(floor((our_p50 - sched_arr_epoch) / 1000 + 0.5) AS BIGINT) END AS expected_delay_sec FROM t"""),
     "fn_quantile_cdf": oracle("se ends pred scored", "SELECT prediction_id, round(greatest(0.02, least(0.98, CASE WHEN actual_arr_epoch <= our_p50 THEN 0.1 + 0.4 * (actual_arr_epoch - our_p10) / greatest(1, our_p50 - our_p10) ELSE 0.5 + 0.4 * (actual_arr_epoch - our_p50) / greatest(1, our_p90 - our_p50) END)), 6) AS p FROM scored"),
 }
 ORACLE_SQL["snk07_round_trip"] = f"SELECT *, CAST(1 AS BIGINT) AS more, 'left' AS side FROM ({ORACLE_SQL['snk05_export']}) WHERE false"

@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from viaduct.functions.semantics import name_key, slug, upper_median
 from viaduct.operators import fusion as fu
-from viaduct.operators import graph as gr
 from viaduct.operators import joins as jn
 from viaduct.operators import serving as sv
-from viaduct.plans.joins import CONNECTIONS, LAST, MOVES, NOW, connection_pairs
+from viaduct.plans.joins import CONNECTIONS, NOW, connection_pairs
 from viaduct.plans.segments import SEG, fi, traversals
 from viaduct.sources import bindings as b
 from viaduct.sources.bindings import oracle
@@ -139,16 +138,6 @@ def ranked_journeys(s, d):
     return sv.rank_journeys(options, ["stop_id", "day"]).select("stop_id", "day", "run_id", "rank", "recommended")
 
 
-def inferred_location(s, d):
-    """Likely next locations of each run after the last one reported, with the point half way."""
-    o = b.observations(s, d)
-    last = o.where("location_id IS NOT NULL").groupBy("run_id").agg(F.max_by("location_id", F.struct("ts", "id")).alias("from_id"))
-    at = b.stops(s, d).select(F.col("stop_id").alias("from_id"), F.col("stop_lat").alias("a_lat"), F.col("stop_lon").alias("a_lon"))
-    to = at.withColumnsRenamed({"from_id": "to_id", "a_lat": "z_lat", "a_lon": "z_lon"})
-    nxt = gr.successors(gr.edges(gr.transitions(o)), 3).select("from_id", "to_id", "rank", "share").join(at, "from_id", "left").join(to, "to_id", "left")
-    return last.join(nxt, "from_id", "left").select("run_id", "from_id", "to_id", "rank", "share", F.round((F.col("a_lat") + F.col("z_lat")) / 2, 6).alias("lat"), F.round((F.col("a_lon") + F.col("z_lon")) / 2, 6).alias("lon"))
-
-
 def connection_options(s, d):
     """The three earliest changes from each arriving train and the probability of each."""
     w = Window.partitionBy("stop_id", "a_run").orderBy("slack_sec", "b_run")
@@ -199,7 +188,6 @@ QUERIES = {
     "a21_change_rate": change_rate,
     "a26_source_histogram": source_histogram,
     "t04_journey_ranking": ranked_journeys,
-    "f05_inferred_location": inferred_location,
     "f07_risk_notice": lambda s, d: scope_traversals(s, d).groupBy("run_id").agg(F.count_if(F.col("delay_delta_sec") > 90).alias("slow")).where("slow >= 2"),
     "f09_connection_options": connection_options,
     "f10_notices": lambda s, d: sv.notices(b.predictions(s, d), 120_000, 10 * MINUTE),
@@ -252,9 +240,6 @@ g AS (SELECT from_stop_id, count(DISTINCT run_id) AS trains, count(*) FILTER (de
     "a26_source_histogram": oracle("obs", "SELECT coalesce(source, 'total') AS source, count(*) AS n FROM obs GROUP BY ROLLUP (source)"),
     "t04_journey_ranking": oracle("se ends pred", f"""WITH o AS (SELECT stop_id, sched_arr_epoch // {DAY} AS day, run_id, generated_at, row_number() OVER (PARTITION BY stop_id, sched_arr_epoch // {DAY} ORDER BY coalesce(operator_eta_epoch, our_p50) + {RISK} * 1000, generated_at, run_id) AS rank FROM pred WHERE model_version = 'heuristic-v1')
 SELECT stop_id, day, run_id, CAST(rank AS INT) AS rank, coalesce(rank = min(rank) FILTER (run_id % 4 IN (0, 3) AND run_id % 5 <> 0 AND generated_at + (run_id % 7) * 60000 >= day * 86400000 + 43170000) OVER (PARTITION BY stop_id, day), false) AS recommended FROM o"""),
-    "f05_inferred_location": oracle("obs stops", f"""WITH {MOVES}, la AS (SELECT run_id, arg_max(location_id, ts * 1000000 + id) AS from_id FROM obs WHERE location_id IS NOT NULL GROUP BY 1), top AS (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY n DESC, to_id) AS rank FROM ed QUALIFY rank <= 3)
-SELECT la.run_id, la.from_id, to_id, CAST(rank AS INT) AS rank, round(n / sum(n) OVER (PARTITION BY la.run_id), 6) AS share, round((a.stop_lat + z.stop_lat) / 2, 6) AS lat, round((a.stop_lon + z.stop_lon) / 2, 6) AS lon
-FROM la LEFT JOIN top ON top.from_id = la.from_id LEFT JOIN stops a ON a.stop_id = top.from_id LEFT JOIN stops z ON z.stop_id = to_id"""),
     "f07_risk_notice": oracle("se ends runs", f"{SCOPE} SELECT run_id, count(*) FILTER (delay_delta_sec > 90) AS slow FROM sc GROUP BY run_id HAVING slow >= 2"),
     "f09_connection_options": oracle("se", f"""WITH c AS ({CONNECTIONS}), g0 AS (SELECT stop_id, a_run, b_run, min(slack_sec) AS slack_sec FROM c GROUP BY ALL), g AS (SELECT * FROM g0 QUALIFY row_number() OVER (PARTITION BY stop_id, a_run ORDER BY slack_sec, b_run) <= 3),
 x AS (SELECT *, (slack_sec - 120) / CAST(240 AS DOUBLE) AS x FROM g), zt AS (SELECT *, abs(x) / sqrt(2.0) AS z, 1 / (1 + 0.3275911 * abs(x) / sqrt(2.0)) AS t FROM x)
