@@ -255,3 +255,12 @@ def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(100, 180)] + [(5, k) for k in range(6, 60)] + [(7, 7), (None, 3), (300, 299)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: 100 for k in range(100, 181)} | {k: 5 for k in range(5, 60)} | {299: 299, 300: 299}
+
+
+def test_passes_that_run_out_are_an_error(monkeypatch):
+    x = np.random.default_rng(3).standard_normal((600, 16))
+    codes = embed_dedup.coded(x / np.sqrt((x * x).sum(1, keepdims=True)))
+    monkeypatch.setattr(embed_dedup, "MOST_PASSES", 2)
+    assert len(embed_dedup.plan(codes, 30_000, 64, 0.9, 0.999, 7, 2)) == 2
+    with pytest.raises(RuntimeError, match="2 passes bring"):
+        embed_dedup.plan(codes, 30_000, 64, 0.9, 0.999, 7, None)

@@ -131,8 +131,11 @@ def plan(codes: np.ndarray, n: int, block: int, least: float, recall: float, see
         out.append(order[at])
         part = Order({codes.shape[1]: out}, seed)
         found |= Order.met(part.grain(a, len(out) - 1), part.grain(b, len(out) - 1))
-        if len(out) == (passes or MOST_PASSES) or not passes and min(found[q].mean() for q in quarters if len(q)) >= recall:
+        reached = min(found[q].mean() for q in quarters if len(q))
+        if len(out) == passes or not passes and reached >= recall:
             return out
+        if not passes and len(out) == MOST_PASSES:
+            raise RuntimeError(f"{MOST_PASSES} passes bring {reached:.3f} of sampled pairs together; ask for less recall, larger blocks or a number of passes")
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, passes: int | None = None, block: int | None = None, recall: float = 0.99, seed: int = 7) -> DataFrame:
