@@ -6,6 +6,7 @@ import zipfile
 import zstandard
 
 from viaduct.sources import payloads as py
+from viaduct.sources import providers as pv
 
 
 def test_packed_feed_is_read_once(spark, tmp_path):
@@ -34,3 +35,20 @@ def test_packed_payloads_and_reports(spark, tmp_path):
     for day in ("2024-01-03", "2024-01-01", "2024-01-02", "latest"):
         (tmp_path / f"backtest-{day}.md").write_text(f"# {day}")
     assert [tuple(r) for r in py.reports(spark, str(tmp_path), "backtest", 2).collect()] == [("2024-01-03", "# 2024-01-03"), ("2024-01-02", "# 2024-01-02")]
+
+
+def test_second_feed(spark, tmp_path):
+    (tmp_path / "stops.txt").write_text('\ufeffstop_id,stop_name,stop_lat,stop_lon\n1,"Duomo, M1",45.46,9.19\n2,Cadorna,x,9.17\n', encoding="utf-8")
+    (tmp_path / "routes.txt").write_text("route_id,route_short_name,route_type\nM1,1,1\n")
+    (tmp_path / "trips.txt").write_text("route_id,service_id,trip_id\nM1,W,T1\n")
+    (tmp_path / "stop_times.txt").write_text('trip_id,arrival_time,departure_time,stop_id,stop_sequence\r\nT1,25:01:00,25:02:00,1,3\r\nT1,"8:00",x,2,4\r\nT1,1,2\r\nT1,08:00:00,,2,\r\n')
+    (tmp_path / "calendar.txt").write_text("service_id,monday,tuesday,wednesday,thursday,friday,saturday,sunday,start_date,end_date\nW,1,0,0,0,0,0,1,20240101,20240108\nN,1,1,1,1,1,1,1,,20240108\n")
+    (tmp_path / "calendar_dates.txt").write_text("service_id,date,exception_type\nW,20240107,2\nW,20240103,1\nS,20240106,\n")
+    got = pv.metro_feed(spark, str(tmp_path))
+    rows = lambda name: sorted(tuple(r) for r in got[name].collect())
+    assert rows("stops") == [("1", "Duomo, M1", 45.46, 9.19), ("2", "Cadorna", None, 9.17)] and rows("routes") == [("M1", "1", None, 1)] and rows("trips") == [("T1", "M1", "W")]
+    assert rows("stop_times") == [("T1", 0, "2", 28_800, None), ("T1", 3, "1", 90_060, 90_120)]
+    assert [(a, str(d), t) for a, d, t in rows("calendar_dates")] == [("S", "2024-01-06", 1), ("W", "2024-01-01", 1), ("W", "2024-01-03", 1), ("W", "2024-01-07", 2), ("W", "2024-01-08", 1)]
+    (tmp_path / "calendar.txt").unlink()
+    (tmp_path / "calendar_dates.txt").unlink()
+    assert pv.metro_feed(spark, str(tmp_path))["calendar_dates"].isEmpty()

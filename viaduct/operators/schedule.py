@@ -86,6 +86,21 @@ def expand_calendar(calendar: DataFrame, exceptions: DataFrame) -> DataFrame:
     return base.join(removed, ["service_id", "date"], "left_anti").unionByName(added).distinct()
 
 
+def calendar_table(calendar: DataFrame, exceptions: DataFrame) -> DataFrame:
+    """(service_id, date, exception_type) of one feed: type 1 on each active day of its weekly calendar, overwritten by
+    its exceptions, so both feeds' calendars read alike.
+
+    Of several exceptions of a day the one with the largest ``row`` counts where they are numbered, else the
+    largest type; calendars without both ends are left out.
+    """
+    day = F.explode(F.sequence("start_date", "end_date", F.expr("interval 1 day"))).alias("date")
+    known = calendar.where("start_date IS NOT NULL AND end_date IS NOT NULL AND start_date <= end_date")
+    base = known.select("service_id", F.array("mon", "tue", "wed", "thu", "fri", "sat", "sun").alias("flags"), day).where(F.get("flags", F.weekday("date")) == 1)
+    order = F.struct(F.lit(1), *(["row"] if "row" in exceptions.columns else []), "exception_type").alias("o")
+    both = base.select("service_id", "date", F.lit(1).alias("exception_type"), F.lit(0).alias("k")).unionByName(exceptions.groupBy("service_id", "date").agg(F.max_by("exception_type", order).cast("int").alias("exception_type")).withColumn("k", F.lit(1)))
+    return both.groupBy("service_id", "date").agg(F.max_by("exception_type", "k").alias("exception_type"))
+
+
 def discover(runs: DataFrame, now: int, ahead: int = 5_400_000, grace: int = 900_000, cap: int = 200) -> DataFrame:
     """Runs that have left or leave soon and have not been over for long, nearest departure first."""
     rows = runs.where((F.col("sched_dep_epoch") <= now + ahead) & (F.col("sched_arr_epoch") + grace >= now))

@@ -41,13 +41,10 @@ def look_back(t: DataFrame, as_of: int, days: int = 90, at: str = "entered_at")
 
 
 def segment_stats(t: DataFrame, least: int = 5) -> DataFrame:
-    """Exact quantiles of runtime and delay change for each segment and bucket."""
-    q = lambda c, p: F.round(type7(F.col(c), p), 6)
-    stats = bucketed(t).groupBy("segment_id", "bucket").agg(
-        F.count("*").alias("n"), q("runtime_sec", 0.1).alias("p10_runtime"), q("runtime_sec", 0.5).alias("p50_runtime"), q("runtime_sec", 0.9).alias("p90_runtime"),
-        q("delay_delta_sec", 0.5).alias("p50_delta"), q("delay_delta_sec", 0.9).alias("p90_delta"),
-    )
-    return stats.where(F.col("n") >= least)
+    """Exact quantiles of runtime and delay change for each segment and bucket, all of a column from one aggregate."""
+    stats = bucketed(t).groupBy("segment_id", "bucket").agg(F.count("*").alias("n"), F.percentile("runtime_sec", [0.1, 0.5, 0.9]).alias("r"), F.percentile("delay_delta_sec", [0.5, 0.9]).alias("d"))
+    q = lambda c, k, name: F.round(F.get(c, F.lit(k)), 6).alias(name)
+    return stats.where(F.col("n") >= least).select("segment_id", "bucket", "n", q("r", 0, "p10_runtime"), q("r", 1, "p50_runtime"), q("r", 2, "p90_runtime"), q("d", 0, "p50_delta"), q("d", 1, "p90_delta"))
 
 
 def historical_pairs(events: DataFrame, dwells: DataFrame) -> DataFrame:
@@ -98,16 +95,19 @@ def dwell(stop_times: DataFrame, cap: int = 180) -> DataFrame:
 
 
 def corridor_health(t: DataFrame, as_of: int, window_ms: int = 3_600_000) -> DataFrame:
-    """Segments with a notable median or worst delay change in the window up to ``as_of``."""
-    recent = t.where((F.col("entered_at") > as_of - window_ms) & (F.col("entered_at") <= as_of))
-    g = recent.groupBy("segment_id").agg(F.count("*").alias("n"), upper_median(F.col("delay_delta_sec")).alias("median_delta"), F.max("delay_delta_sec").alias("worst_delta"))
-    return g.where((F.abs("median_delta") >= 60) | (F.col("worst_delta") >= 180))
+    """Segments with a notable median or worst delay change in the window up to ``as_of``, the largest medians first."""
+    recent = t.where((F.col("entered_at") >= as_of - window_ms) & (F.col("entered_at") <= as_of) & F.col("delay_delta_sec").isNotNull())
+    g = recent.groupBy("segment_id").agg(F.count("*").alias("n"), F.max("delay_delta_sec").alias("worst_delta"))
+    g = g.join(floor_indices(recent, ["segment_id"], F.col("delay_delta_sec"), {"median_delta": 0.5}), "segment_id").select("segment_id", "n", "median_delta", "worst_delta")
+    return g.where((F.abs("median_delta") >= 60) | (F.col("worst_delta") >= 180)).orderBy(F.desc(F.abs("median_delta")), "segment_id")
 
 
-def corridor_delta(t: DataFrame, last: int = 3) -> DataFrame:
-    """Upper median of a segment's last few delay changes."""
+def corridor_delta(t: DataFrame, as_of: int | None = None, within_ms: int = 10_800_000, last: int = 3) -> DataFrame:
+    """Upper median of a segment's last few known delay changes, of the time up to ``as_of`` where that is given."""
+    recent = t.where("delay_delta_sec IS NOT NULL")
+    recent = recent if as_of is None else recent.where((F.col("entered_at") >= as_of - within_ms) & (F.col("entered_at") <= as_of))
     w = Window.partitionBy("segment_id").orderBy(F.desc("entered_at"), F.desc("run_id"))
-    return t.withColumn("k", F.row_number().over(w)).where(F.col("k") <= last).groupBy("segment_id").agg(upper_median(F.col("delay_delta_sec")).alias("corridor_delta"), F.count("*").alias("n"))
+    return recent.withColumn("k", F.row_number().over(w)).where(F.col("k") <= last).groupBy("segment_id").agg(upper_median(F.col("delay_delta_sec")).alias("corridor_delta"), F.count("*").alias("n"))
 
 
 def top_segments(stats: DataFrame, limit: int = 50) -> DataFrame:

@@ -110,3 +110,18 @@ def search_score(name: Column, query: str) -> Column:
         points = F.when(low.startswith(token) | low.contains(f" {token}"), 10).when(initials.startswith(token), 8).when(low.contains(token), 4)
         score = score + points + len(token)
     return score
+
+
+def expected_arrival(planned: Column, actual: Column, predicted: Column, p50: Column, run_planned: Column, departure_delay_sec: Column) -> tuple[Column, Column]:
+    """When a leg arrives and whether that is more than the timetable.
+
+    The actual time, else the operator's for the stop, else the leg's plan moved by our estimate's distance from the
+    run's own plan, else by the delay at departure, else the plan.
+    """
+    live = F.coalesce(actual, predicted, planned + (p50 - run_planned), planned + departure_delay_sec * 1000)
+    return F.coalesce(live, planned), live.isNotNull()
+
+
+def risk_penalty(p50: Column, p90: Column, most_sec: int = 300) -> Column:
+    """A fifth of the distance from median to upper quantile in whole seconds, at most ``most_sec``."""
+    return F.when(p50.isNotNull() & p90.isNotNull(), F.least(F.lit(most_sec).cast("long"), F.floor(0.2 * (p90 - p50) / 1000 + 0.5).cast("long")))

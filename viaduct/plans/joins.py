@@ -149,13 +149,6 @@ def scope(s, d):
     return j.withColumn("next", nxt).where(F.col("stop_sequence").between(F.col("next") - 1, F.col("next") + 2)).select("run_id", "stop_sequence", F.col("next").alias("next_sequence"))
 
 
-def expected_arrivals(s, d):
-    """Actual, operator's, own or scheduled arrival, and the risk that the spread stands for."""
-    p = b.predictions(s, d)
-    risk = F.least(F.lit(300), F.floor(0.2 * (F.col("our_p90") - F.col("our_p50")) / 1000 + 0.5))
-    return p.select("prediction_id", F.coalesce("dest_actual", "operator_eta_epoch", "our_p50", "sched_arr_epoch").alias("expected"), risk.cast("long").alias("risk_sec"))
-
-
 QUERIES = {
     "j06_scored_runs": lambda s, d: b.scored(s, d).join(b.runs(s, d).select("run_id", "train_number", "route_id"), "run_id").groupBy("route_id", "model_version").agg(F.count("*").alias("n"), F.round(F.avg(F.abs("our_error_sec")), 4).alias("mae")),
     "j09_connection_pairs": connection_pairs,
@@ -181,7 +174,6 @@ QUERIES = {
     "w19_previous_platform": platform_changes,
     "w20_scope": scope,
     "f02_fused_state": lambda s, d: fu.fuse(b.observations(s, d), NOW),
-    "f08_expected_arrival": expected_arrivals,
 }
 
 MINE = "mine AS (SELECT id, run_id, ts FROM obs WHERE source = 'mia'), theirs AS (SELECT id, run_id, ts, delay_seconds FROM obs WHERE source = 'viaggiatreno' AND delay_seconds IS NOT NULL)"
@@ -226,5 +218,4 @@ SELECT w.want_id, f.run_id FROM w LEFT JOIN f ON f.want_id = w.want_id"""),
     "f02_fused_state": oracle("obs", f"""WITH {LAST.format(where=f'WHERE ts <= {NOW}')}, st AS (SELECT run_id, count(*) AS sources, max(ts) AS ts, max(delay_seconds) - min(delay_seconds) AS spread_sec, arg_max_null(source, ts * 1000000 + id) AS source, arg_max_null(delay_seconds, ts * 1000000 + id) AS delay_seconds, arg_max_null(location_id, ts * 1000000 + id) AS location_id FROM lat GROUP BY run_id),
 a AS (SELECT *, ({NOW} - ts) // 1000 AS age_sec, coalesce(spread_sec, 0) AS sp FROM st)
 SELECT run_id, sources, source, delay_seconds, location_id, spread_sec, age_sec, CASE WHEN sources >= 2 AND age_sec < 120 AND sp <= 120 THEN 'HIGH' WHEN age_sec < 600 AND sp <= 600 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM a"""),
-    "f08_expected_arrival": oracle("se ends pred", "SELECT prediction_id, coalesce(dest_actual, operator_eta_epoch, our_p50, sched_arr_epoch) AS expected, CAST(least(300, floor(CAST(0.2 AS DOUBLE) * (our_p90 - our_p50) / 1000 + 0.5)) AS BIGINT) AS risk_sec FROM pred"),
 }

@@ -7,9 +7,9 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from viaduct.plans import context, joins, live, models, payloads, quality, rail, reliability, risk, schedule, segments, serving
+from viaduct.plans import context, corridor, joins, live, models, payloads, quality, rail, reliability, risk, schedule, segments, serving
 
-MODULES = (context, rail, reliability, segments, quality, schedule, joins, serving, models, risk, live, payloads)
+MODULES = (context, corridor, rail, reliability, segments, quality, schedule, joins, serving, models, risk, live, payloads)
 
 
 def _in_utc(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -141,6 +141,7 @@ QUERIES = {
     "j05_station_volume": lambda s, d: sc.station_volume(b.gtfs_stop_times(s, d), b.gtfs_trips(s, d), b.stops(s, d), DAY_FROM, DAY_TO),
     "p07_service_day": lambda s, d: on_calendar(s, d).where(F.col("date") == DAY).select("trip_id", "service_id"),
     "src03_validity": lambda s, d: b.gtfs_trips(s, d).select("trip_id", *[c.alias(n) for c, n in zip(sc.validity(F.col("validity")), ("valid_from", "valid_to"), strict=True)]),
+    "src04_feed_calendar": lambda s, d: sc.calendar_table(*calendar(s, d)).select("service_id", F.date_format("date", "yyyyMMdd").alias("date"), "exception_type"),
     "src04_calendar": lambda s, d: sc.expand_calendar(*calendar(s, d)).select("service_id", F.date_format("date", "yyyyMMdd").alias("date")),
     "src18_holidays": lambda s, d: sc.holidays(b.table(s, d, "orders").select(F.year("o_orderdate").cast("long").alias("year")).distinct()).select(F.date_format("date", "yyyy-MM-dd").alias("date"), "name"),
     "p05_stop_search": lambda s, d: b.stops(s, d).where(F.col("stop_name").ilike("%r#0000000%1%")).orderBy("stop_name").limit(20).select("stop_id", "stop_name"),
@@ -230,6 +231,10 @@ ORACLE_SQL = {
     "j04_terminus_board": oracle("se times stops", f"WITH {SUM} SELECT t.stop_id, trip_id, stop_sequence, departure_sec, stop_name AS headsign FROM times t JOIN summ USING (trip_id) LEFT JOIN stops s ON s.stop_id = last_stop_id WHERE departure_sec BETWEEN 30000 AND 33000"),
     "j05_station_volume": oracle("se trips times stops", f"SELECT stop_id, stop_name, count(DISTINCT trip_id) AS departures FROM times JOIN trips USING (trip_id) JOIN stops USING (stop_id) WHERE route_type = 2 AND date BETWEEN '{DAY_FROM}' AND '{DAY_TO}' GROUP BY 1, 2"),
     "src03_validity": oracle("trips", "SELECT trip_id, substr(validity, 3, 10) AS valid_from, substr(validity, 14, 10) AS valid_to FROM trips"),
+    "src04_feed_calendar": """WITH cal AS (SELECT 'V' || n_nationkey AS service_id, CAST(n_nationkey AS INT) AS k FROM nation), days AS (
+      SELECT service_id, k, CAST(unnest(generate_series(DATE '2024-01-01' + k, DATE '2024-02-01' + k * 2, INTERVAL 1 DAY)) AS DATE) AS d FROM cal
+    ), x AS (SELECT service_id, DATE '2024-01-20' + k % 5 AS d, 2 AS t FROM cal UNION ALL SELECT service_id, DATE '2024-03-01' + k, 1 FROM cal), base AS (SELECT service_id, d, 1 AS t FROM days WHERE ((k >> ((isodow(d) - 1) % 5)) + isodow(d) - 1) % 2 = 1)
+    SELECT service_id, strftime(d, '%Y%m%d') AS date, t AS exception_type FROM (FROM x UNION ALL FROM base WHERE (service_id, d) NOT IN (SELECT (service_id, d) FROM x))""",
     "src04_calendar": """WITH cal AS (SELECT 'V' || n_nationkey AS service_id, CAST(n_nationkey AS INT) AS k FROM nation), days AS (
       SELECT service_id, k, CAST(unnest(generate_series(DATE '2024-01-01' + k, DATE '2024-02-01' + k * 2, INTERVAL 1 DAY)) AS DATE) AS d FROM cal
     ), base AS (SELECT service_id, d FROM days WHERE ((k >> ((isodow(d) - 1) % 5)) + isodow(d) - 1) % 2 = 1 AND d <> DATE '2024-01-20' + k % 5)

@@ -116,8 +116,6 @@ QUERIES = {
     "a02_segment_stats_recent": lambda s, d: sg.segment_stats(sg.look_back(traversals(s, d), AS_OF, 1200), 2),
     "j16_prior_only": _j16,
     "a04_dwell": stop_dwells,
-    "a05_corridor_health": lambda s, d: sg.corridor_health(traversals(s, d), AS_OF, 30 * 86_400_000),
-    "a06_corridor_delta": lambda s, d: sg.corridor_delta(traversals(s, d)),
     "m02_stats_for_segment": _m02,
     "t01_top_segments": lambda s, d: sg.top_segments(sg.segment_stats(traversals(s, d))),
     "p02_export_horizon": lambda s, d: b.scored(s, d).select("prediction_id", F.floor((F.col("sched_arr_epoch") - F.col("generated_at")) / 1000).cast("long").alias("horizon_sec")).withColumn("horizon", ev.export_horizon(F.col("horizon_sec"))),
@@ -150,8 +148,6 @@ ORACLE_SQL = {
     "a02_segment_stats_recent": oracle("se", f"WITH {SEG}, {BUCKET}, {STATS.replace('FROM bk', f'FROM bk WHERE entered_at BETWEEN {AS_OF - 1200 * 86400000} AND {AS_OF}').replace('>= 5', '>= 2')} SELECT * FROM stats"),
     "j16_prior_only": oracle("se times", f"WITH {SEG}, {BUCKET}, {OLD_PRIOR}, lv AS (SELECT segment_id FROM bk WHERE entered_at >= {HISTORY_END} GROUP BY segment_id, bucket HAVING count(*) >= 5) SELECT segment_id, n, p50_runtime, p10_runtime, p90_runtime FROM prior WHERE bucket = 'all' AND segment_id NOT IN (SELECT segment_id FROM lv) ORDER BY n DESC, segment_id LIMIT 100"),
     "a04_dwell": oracle("se times", f"WITH {DWELL} SELECT * FROM dw"),
-    "a05_corridor_health": oracle("se", f"WITH {SEG}, g AS (SELECT segment_id, count(*) AS n, {fi('delay_delta_sec', 0.5)} AS median_delta, max(delay_delta_sec) AS worst_delta FROM seg WHERE entered_at > {AS_OF - 30 * 86400000} AND entered_at <= {AS_OF} GROUP BY segment_id) SELECT * FROM g WHERE abs(median_delta) >= 60 OR worst_delta >= 180"),
-    "a06_corridor_delta": oracle("se", f"WITH {SEG}, k AS (SELECT * FROM seg QUALIFY row_number() OVER (PARTITION BY segment_id ORDER BY entered_at DESC, run_id DESC) <= 3) SELECT segment_id, {fi('delay_delta_sec', 0.5)} AS corridor_delta, count(*) AS n FROM k GROUP BY segment_id"),
     "m02_stats_for_segment": oracle("se times", f"""WITH {SEG}, {BUCKET}, {OLD_PRIOR}, live AS (
   SELECT segment_id, bucket, count(*) AS n, round(quantile_cont(runtime_sec, 0.5), 6) AS p50_runtime, round(quantile_cont(runtime_sec, 0.9), 6) AS p90_runtime FROM bk WHERE entered_at >= {HISTORY_END} GROUP BY ALL HAVING count(*) >= 5
 ), c AS (

@@ -188,7 +188,6 @@ QUERIES = {
     "a21_change_rate": change_rate,
     "a26_source_histogram": source_histogram,
     "t04_journey_ranking": ranked_journeys,
-    "f07_risk_notice": lambda s, d: scope_traversals(s, d).groupBy("run_id").agg(F.count_if(F.col("delay_delta_sec") > 90).alias("slow")).where("slow >= 2"),
     "f09_connection_options": connection_options,
     "f10_notices": lambda s, d: sv.notices(b.predictions(s, d), 120_000, 10 * MINUTE),
     "f11_station_search": station_search,
@@ -240,7 +239,6 @@ g AS (SELECT from_stop_id, count(DISTINCT run_id) AS trains, count(*) FILTER (de
     "a26_source_histogram": oracle("obs", "SELECT coalesce(source, 'total') AS source, count(*) AS n FROM obs GROUP BY ROLLUP (source)"),
     "t04_journey_ranking": oracle("se ends pred", f"""WITH o AS (SELECT stop_id, sched_arr_epoch // {DAY} AS day, run_id, generated_at, row_number() OVER (PARTITION BY stop_id, sched_arr_epoch // {DAY} ORDER BY coalesce(operator_eta_epoch, our_p50) + {RISK} * 1000, generated_at, run_id) AS rank FROM pred WHERE model_version = 'heuristic-v1')
 SELECT stop_id, day, run_id, CAST(rank AS INT) AS rank, coalesce(rank = min(rank) FILTER (run_id % 4 IN (0, 3) AND run_id % 5 <> 0 AND generated_at + (run_id % 7) * 60000 >= day * 86400000 + 43170000) OVER (PARTITION BY stop_id, day), false) AS recommended FROM o"""),
-    "f07_risk_notice": oracle("se ends runs", f"{SCOPE} SELECT run_id, count(*) FILTER (delay_delta_sec > 90) AS slow FROM sc GROUP BY run_id HAVING slow >= 2"),
     "f09_connection_options": oracle("se", f"""WITH c AS ({CONNECTIONS}), g0 AS (SELECT stop_id, a_run, b_run, min(slack_sec) AS slack_sec FROM c GROUP BY ALL), g AS (SELECT * FROM g0 QUALIFY row_number() OVER (PARTITION BY stop_id, a_run ORDER BY slack_sec, b_run) <= 3),
 x AS (SELECT *, (slack_sec - 120) / CAST(240 AS DOUBLE) AS x FROM g), zt AS (SELECT *, abs(x) / sqrt(2.0) AS z, 1 / (1 + 0.3275911 * abs(x) / sqrt(2.0)) AS t FROM x)
 SELECT stop_id, a_run, b_run, slack_sec, round(greatest(0.001, least(0.999, {CDF})), 6) AS p FROM zt"""),

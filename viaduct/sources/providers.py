@@ -72,3 +72,43 @@ def feed(spark: SparkSession, folder: str, name: str) -> DataFrame:
     rows = spark.read.options(header=True, multiLine=True, escape='"', encoding="UTF-8", ignoreLeadingWhiteSpace=False).csv(f"{folder}/{name}.txt")
     named = rows.withColumnsRenamed({c: c.lstrip("﻿").strip() for c in rows.columns})
     return named.dropna("all")
+
+
+def metro_feed(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The second timetable feed: stops, routes, trips, stop_times in seconds and calendar dates.
+
+    Trips are known by their id alone.  Times may pass midnight; rows of stop_times with a quote or fewer than
+    four fields are malformed and left out.  Days come from calendar.txt where there is one, overwritten by
+    calendar_dates.txt, a missing type there being 1.
+    """
+    from pyspark.errors import AnalysisException
+
+    from viaduct.operators.schedule import calendar_table
+
+    def read(name: str, columns: dict[str, str]) -> DataFrame:
+        rows = feed(spark, folder, name)
+        return rows.select(*[(F.col(c).try_cast(kind) if c in rows.columns else F.lit(None).cast(kind)).alias(c) for c, kind in columns.items()])
+
+    def optional(name: str, columns: dict[str, str]) -> DataFrame:
+        try:
+            return read(name, columns)
+        except AnalysisException:
+            return spark.createDataFrame([], ", ".join(f"{c} {kind}" for c, kind in columns.items()))
+
+    lines = spark.read.text(f"{folder}/stop_times.txt").where(~F.col("value").contains('"'))
+    cells = F.split(F.regexp_replace("value", "\r$", ""), ",")
+    times = lines.where((F.size(cells) >= 4) & ~F.col("value").startswith("trip_id") & ~F.col("value").startswith("\ufefftrip_id"))
+    cell = lambda k: F.get(cells, F.lit(k))
+    stop_times = times.select(cell(0).alias("trip_id"), F.coalesce(cell(4).try_cast("int"), F.lit(0)).alias("stop_sequence"), cell(3).alias("stop_id"), hms_to_seconds(F.trim(cell(1))).alias("arrival_sec"), hms_to_seconds(F.trim(cell(2))).alias("departure_sec"))
+    days = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
+    weekly = optional("calendar", {"service_id": "string", "start_date": "string", "end_date": "string"} | dict.fromkeys(days, "int"))
+    as_date = lambda c: F.to_date(F.try_to_timestamp(F.col(c), F.lit("yyyyMMdd"))).alias(c)
+    weekly = weekly.select("service_id", as_date("start_date"), as_date("end_date"), *[F.col(d).alias(d[:3]) for d in days])
+    exceptions = optional("calendar_dates", {"service_id": "string", "date": "string", "exception_type": "int"}).select("service_id", as_date("date"), F.coalesce("exception_type", F.lit(1)).alias("exception_type"))
+    return {
+        "stops": read("stops", {"stop_id": "string", "stop_name": "string", "stop_lat": "double", "stop_lon": "double"}),
+        "routes": read("routes", {"route_id": "string", "route_short_name": "string", "route_long_name": "string", "route_type": "int"}),
+        "trips": read("trips", {"trip_id": "string", "route_id": "string", "service_id": "string"}),
+        "stop_times": stop_times,
+        "calendar_dates": calendar_table(weekly, exceptions),
+    }
