@@ -18,6 +18,7 @@ from viaduct.plans.schedule import EXPORTED, exported
 from viaduct.plans.segments import BUCKET, HOUR, SEG, STATS, fi, traversals
 from viaduct.sources import bindings as b
 from viaduct.sources import providers as pv
+from viaduct.sources import snapshots as sn
 from viaduct.sources.bindings import oracle
 
 #: Payloads are dated twenty years later: the reading of epochs holds from 2001 on.
@@ -207,6 +208,27 @@ def vt_payloads(s, d):
     return e.groupBy("run_id").agg(F.array_sort(F.collect_list(stop)).alias("fermate")).select(F.to_json(F.struct(F.col("run_id").cast("string").alias("numeroTreno"), "fermate")).alias("raw"))
 
 
+def mia_snapshots(s, d):
+    """The first provider's payloads of all runs, with what is not known of a call left out."""
+    e = b.stop_events(s, d).join(b.runs(s, d).select("run_id", "train_number", "service_date"), "run_id")
+    iso = lambda c: F.date_format(F.timestamp_millis(c), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    told = F.struct(rome_hms(F.col("actual_arr_epoch")).alias("arr_actual_time"), (F.col("arr_delay_sec") / 60).alias("arr_delay_actual"))
+    call = F.struct("stop_sequence", F.struct(F.col("stop_id").alias("station_id")).alias("station"), iso(F.col("sched_arr_epoch")).alias("arr_date_time"), F.when(F.col("run_id") % 3 != 0, F.col("platform_actual")).alias("platform"), (F.col("cancelled") == 1).alias("cancelled"), told.alias("actual_data"))
+    g = e.groupBy("run_id", "train_number", "service_date").agg(F.array_sort(F.collect_list(call)).alias("pass_list"), F.max("arr_delay_sec").alias("late"))
+    train = F.struct(F.concat("train_number", F.lit("/"), F.col("run_id").cast("string")).alias("train_name"), (F.col("late") / 60).alias("delay"), F.when(F.col("run_id") % 4 == 0, "V").alias("status"))
+    raw = F.to_json(F.array(F.struct(F.regexp_replace("service_date", "-", "").alias("date"), F.array(F.struct(train.alias("train"), "pass_list")).alias("journey_list"))))
+    return g.select(F.when(F.col("run_id") % 50 == 0, F.substring(raw, 1, 40)).otherwise(raw).alias("raw"))
+
+
+def vt_snapshots(s, d):
+    """The second provider's payloads of all runs, moved to years that its epochs allow."""
+    e = b.stop_events(s, d)
+    later = lambda c: F.col(c) + LATER
+    call = F.struct(F.col("stop_sequence").alias("progressivo"), F.col("stop_id").alias("id"), later("sched_arr_epoch").alias("arrivo_teorico"), F.when(F.col("run_id") % 3 == 0, later("actual_arr_epoch")).alias("arrivoReale"), later("sched_dep_epoch").alias("programmata"), F.when(F.col("run_id") % 5 == 0, F.col("platform_actual")).alias("binarioEffettivoArrivoCodice"), F.lit("7").alias("binarioProgrammatoArrivoCodice"))
+    g = e.groupBy("run_id").agg(F.array_sort(F.collect_list(call)).alias("fermate"), (F.max("arr_delay_sec") / 60).alias("ritardo"), F.min(later("sched_arr_epoch")).alias("departure"))
+    return g.select(F.col("run_id").cast("string").alias("train_number"), F.lit("S0").alias("origin"), "departure", F.to_json(F.struct("fermate", "ritardo")).alias("raw"))
+
+
 def lookup_lines(s, d):
     r = b.runs(s, d)
     tail = F.when(F.col("run_id") % 7 == 0, "x").otherwise((F.col("sched_dep_epoch") + LATER).cast("string"))
@@ -230,6 +252,10 @@ QUERIES = {
     "m11_platform_gate": platform_gate,
     "m11_platform_model": platform_model,
     "m12_booster_sweep": booster_sweep,
+    "src06_snapshots": lambda s, d: sn.mia(mia_snapshots(s, d)).select("source_key", "service_date", "delay_seconds", "status", "destination_stop_id", "cancelled"),
+    "src06_calls": lambda s, d: sn.mia_calls(mia_snapshots(s, d)).select("source_key", "stop_sequence", "stop_id", "sched_arr_epoch", "actual_arr_epoch", "arr_delay_sec", "platform", "cancelled"),
+    "src07_snapshots": lambda s, d: sn.vt(vt_snapshots(s, d)).select("train_number", "delay_seconds", "destination_stop_id", "sched_arr_sec", "has_live_info"),
+    "src07_calls": lambda s, d: sn.vt_calls(vt_snapshots(s, d)).select("train_number", "stop_sequence", "stop_id", "sched_arr_epoch", "sched_dep_epoch", "op_pred_arr_epoch", "actual_arr_epoch", "platform", "platform_is_actual"),
     "src06_mia": lambda s, d: pv.mia_stops(mia_payloads(s, d)),
     "src07_vt": lambda s, d: pv.vt_stops(vt_payloads(s, d)),
     "src08_autocomplete": lambda s, d: pv.autocomplete(lookup_lines(s, d)),
@@ -280,6 +306,14 @@ SELECT prediction_id, CAST(floor(m - o + 0.5) AS BIGINT) AS p10, CAST(floor(m +
 n AS (SELECT round((sum(rk) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0) / nullif(count(*) FILTER (y = 1) * count(*) FILTER (y = 0), 0), 6) AS auc, count(*) FILTER (y = 1) AS positives, count(*) FILTER (y = 0) AS negatives FROM k) SELECT *, coalesce(auc >= 0.8, false) AS deploy FROM n"""),
     "m11_platform_gate": oracle("se ends runs", """WITH e AS (SELECT se.run_id, stop_id, route_id, platform_actual FROM se JOIN runs USING (run_id)), n AS (SELECT stop_id, route_id, platform_actual, count(*) AS n FROM e WHERE run_id % 2 = 0 GROUP BY ALL),
 u AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY stop_id, route_id ORDER BY n DESC, platform_actual) = 1), g AS (SELECT count(*) AS n, round(avg(CASE WHEN u.platform_actual = e.platform_actual THEN 1 ELSE 0 END), 6) AS top1 FROM e JOIN u USING (stop_id, route_id) WHERE run_id % 2 = 1) SELECT *, coalesce(top1 >= 0.85, false) AS deploy FROM g"""),
+    "src06_snapshots": oracle("se ends runs", """SELECT replace(service_date, '-', '') || '|' || train_number || '/' || run_id AS source_key, service_date, CAST(max(arr_delay_sec) AS BIGINT) AS delay_seconds, CASE WHEN run_id % 4 = 0 THEN 'V' END AS status, arg_max_null(stop_id, stop_sequence) AS destination_stop_id, CASE WHEN bool_or(cancelled = 1) THEN true END AS cancelled FROM se JOIN runs USING (run_id) WHERE run_id % 50 <> 0 GROUP BY run_id, service_date, train_number"""),
+    "src06_calls": oracle("se ends runs", """WITH e AS (SELECT se.*, train_number, service_date, timezone('Europe/Rome', make_timestamptz(actual_arr_epoch * 1000)) AS l FROM se JOIN runs USING (run_id) WHERE run_id % 50 <> 0),
+t AS (SELECT *, epoch_us(timezone('Europe/Rome', CAST(service_date AS TIMESTAMP) + to_seconds(CAST(hour(l) * 3600 + minute(l) * 60 + second(l) AS BIGINT)))) // 1000 AS t FROM e)
+SELECT replace(service_date, '-', '') || '|' || train_number || '/' || run_id AS source_key, stop_sequence, stop_id, sched_arr_epoch, CASE WHEN t < sched_arr_epoch - 43200000 THEN t + 86400000 WHEN t > sched_arr_epoch + 43200000 THEN t - 86400000 ELSE t END AS actual_arr_epoch, CAST(arr_delay_sec AS BIGINT) AS arr_delay_sec, CASE WHEN run_id % 3 <> 0 THEN platform_actual END AS platform, cancelled = 1 AS cancelled FROM t"""),
+    "src07_snapshots": oracle("se", "SELECT CAST(run_id AS VARCHAR) AS train_number, CAST(max(arr_delay_sec) AS BIGINT) AS delay_seconds, arg_max_null(stop_id, stop_sequence) AS destination_stop_id, CAST((max(sched_arr_epoch) - min(sched_arr_epoch)) // 1000 AS INT) AS sched_arr_sec, false AS has_live_info FROM se GROUP BY run_id"),
+    "src07_calls": oracle("se", f"""WITH e AS (SELECT *, CAST(max(arr_delay_sec) OVER (PARTITION BY run_id) AS BIGINT) AS late FROM se)
+SELECT CAST(run_id AS VARCHAR) AS train_number, stop_sequence, stop_id, sched_arr_epoch + {LATER} AS sched_arr_epoch, sched_dep_epoch + {LATER} AS sched_dep_epoch, coalesce(CASE WHEN run_id % 3 = 0 THEN actual_arr_epoch + {LATER} END, sched_arr_epoch + {LATER} + late * 1000) AS op_pred_arr_epoch,
+  CASE WHEN run_id % 3 = 0 THEN actual_arr_epoch + {LATER} END AS actual_arr_epoch, CASE WHEN run_id % 5 = 0 THEN platform_actual ELSE '7' END AS platform, run_id % 5 = 0 AS platform_is_actual FROM e"""),
     "src06_mia": oracle("se ends runs", """WITH w AS (SELECT se.run_id, stop_sequence, stop_id, arr_delay_sec, se.sched_arr_epoch AS ref, epoch_us(timezone('Europe/Rome', CAST(service_date AS TIMESTAMP) + to_seconds(hour(timezone('Europe/Rome', make_timestamptz(se.sched_arr_epoch * 1000))) * 3600 + minute(timezone('Europe/Rome', make_timestamptz(se.sched_arr_epoch * 1000))) * 60))) // 1000 AS t FROM se JOIN runs USING (run_id))
 SELECT CAST(run_id AS VARCHAR) AS train, CAST(stop_sequence - 1 AS INT) AS pos, stop_id, CASE WHEN t < ref - 43200000 THEN t + 86400000 WHEN t > ref + 43200000 THEN t - 86400000 ELSE t END AS arr_epoch, CAST(arr_delay_sec AS BIGINT) AS delay_sec FROM w"""),
     "src07_vt": oracle("se", f"""SELECT CAST(run_id AS VARCHAR) AS train, CAST(stop_sequence - 1 AS INT) AS pos, stop_id, CASE WHEN run_id % 2 = 0 THEN sched_arr_epoch + {LATER} ELSE (sched_arr_epoch + {LATER}) // 1000 * 1000 END AS sched_epoch,
