@@ -22,7 +22,7 @@ SHARD_TERMS = 1 << 16  # of a language's terms in one perfect hash, on average
 SWEEP_BYTES = 64 << 20  # of perfect hashes that are broadcast at once
 HELD_TERMS = 1 << 18  # of different terms counted before a task hands them on
 SLOT_BYTES = 128 << 20  # of dense counters in a task
-BLOCK_CELLS = 1 << 20  # sources times terms compared at once
+BLOCK_CELLS = 1 << 17  # sources times terms compared at once
 LEVELS = 24
 SEED = 42  # of Spark's xxhash64
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 97 <= b <= 122 else 32 for b in range(256))
