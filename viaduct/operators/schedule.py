@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from viaduct.functions.semantics import bare_train_number, latest_per
+from viaduct.functions.semantics import bare_train_number, latest_per, rome_wall_to_epoch
 
 
 def trip_summaries(times: DataFrame) -> DataFrame:
@@ -107,6 +107,21 @@ def discover(runs: DataFrame, now: int, ahead: int = 5_400_000, grace: int = 900
     return rows.orderBy(F.abs(F.col("sched_dep_epoch") - now), "run_id").limit(cap).select("run_id", "train_number", "sched_dep_epoch", "sched_arr_epoch")
 
 
+def discover_trips(active: DataFrame, today: str, now: int, ahead_min: int = 90, grace_min: int = 15, cap: int = 200) -> DataFrame:
+    """Trips (service_date, train_number, trip_id, dep_sec, arr_sec) of today's and yesterday's timetable that have left
+    or leave soon and have not been over for long, at most ``cap`` of them.
+
+    Of a train's trips of a day the first that fits counts; today's nearest departures come first, then
+    yesterday's.  ``active`` has the rail trips of both days; their seconds may pass midnight.
+    """
+    since = F.floor((F.lit(now) - rome_wall_to_epoch(F.col("service_date"), F.lit(0)) * 1000) / 1000)
+    fits = active.where("dep_sec IS NOT NULL AND train_number IS NOT NULL").where((F.col("dep_sec") <= since + ahead_min * 60) & (F.col("arr_sec").isNull() | (since <= F.col("arr_sec") + grace_min * 60)))
+    first = latest_per(fits, ["service_date", "train_number"], F.col("dep_sec"), F.col("trip_id"))
+    out = first.withColumn("sched_dep_epoch", rome_wall_to_epoch(F.col("service_date"), F.col("dep_sec")) * 1000).withColumn("sched_arr_epoch", rome_wall_to_epoch(F.col("service_date"), F.col("arr_sec")) * 1000)
+    near = F.when(F.col("service_date") == today, F.abs(F.col("sched_dep_epoch") - now))
+    return out.orderBy(near.asc_nulls_last(), "service_date", "train_number").limit(cap).select("service_date", "train_number", "trip_id", "sched_dep_epoch", "sched_arr_epoch")
+
+
 def poll_interval(watched: Column, status: Column, dep: Column, arr: Column, now: Column, grace_ms: int = 900_000) -> Column:
     """Seconds between polls of a run: the nearer its departure the fewer; null once it is over."""
     over = (now > arr + grace_ms) | F.coalesce(status.isin("arrived", "cancelled"), F.lit(False))

@@ -15,6 +15,8 @@ from viaduct.sources.bindings import oracle
 
 #: An instant at which some of the bound runs are about to leave.
 POLL_AT = 837_835_440_000
+#: Four in the morning of 2 January 1996 in Rome.
+FOUR, NEXT_DAY = 820_551_600_000, "19960102"
 DAY, DAY_FROM, DAY_TO = "19960101", "19950101", "19961231"
 
 
@@ -40,6 +42,14 @@ def on_calendar(s, d):
     return sc.running(b.gtfs_trips(s, d).drop("date"), calendar_dates(s))
 
 
+def discovered(s, d):
+    """What is on the rails at four in the morning of the second day, of both days' timetables; runs count for ten hours
+    after their end, as the bound ones end in the evening."""
+    summaries, trips = sc.trip_summaries(b.gtfs_stop_times(s, d)), on_calendar(s, d)
+    days = [sc.active_trips(summaries, trips, day).withColumn("service_date", F.lit(f"{day[:4]}-{day[4:6]}-{day[6:]}")) for day in (DAY, NEXT_DAY)]
+    return sc.discover_trips(days[0].unionByName(days[1]), "1996-01-02", FOUR, grace_min=600)
+
+
 def null_safe_match(s, d):
     """Runs of one train and day that agree on a trip which either side may lack."""
     trip = F.when(F.col("run_id") % 2 == 0, F.col("gtfs_trip_id"))
@@ -150,6 +160,7 @@ QUERIES = {
     "p08_platform_sanity": lambda s, d: b.stop_events(s, d).select("run_id", "stop_sequence", F.concat("platform_actual", F.when(F.col("run_id") % 3 == 0, "bis").otherwise("")).alias("p")).select("run_id", "stop_sequence", F.when(F.col("p").try_cast("int").between(1, 30), F.col("p")).alias("platform")),
     "p09_bare_train_number": lambda s, d: b.gtfs_trips(s, d).select("trip_id", sem.bare_train_number(F.col("trip_short_name")).alias("train_number")),
     "p16_poll_interval": lambda s, d: poll_intervals(s, d),
+    "p17_discover_trips": discovered,
     "p17_discover": lambda s, d: sc.discover(b.runs(s, d), POLL_AT),
     "a33_feed_range": lambda s, d: b.gtfs_trips(s, d).agg(F.min("date").alias("feed_start"), F.max("date").alias("feed_end")),
     "j24_consecutive_stops": lambda s, d: (lambda t: t.alias("a").join(t.alias("x"), F.expr("a.trip_id = x.trip_id AND x.stop_sequence = a.stop_sequence + 1")).groupBy(F.col("a.stop_id").alias("from_stop_id"), F.col("x.stop_id").alias("to_stop_id")).agg(F.count("*").alias("n")))(b.gtfs_stop_times(s, d)),
@@ -251,6 +262,7 @@ ORACLE_SQL = {
     "p09_bare_train_number": oracle("trips", f"SELECT trip_id, {NUM} AS train_number FROM trips"),
     "p16_poll_interval": oracle("se ends runs", f"""WITH r AS (SELECT run_id, run_id % 50 = 0 AS watched, ['running', 'arrived', 'cancelled', NULL][run_id % 4 + 1] AS status, sched_dep_epoch AS dep, sched_arr_epoch AS arr, {POLL_AT} + (run_id % 7) * 600000 AS now FROM runs)
       SELECT run_id, CASE WHEN watched THEN 25 WHEN now > arr + 900000 OR coalesce(status IN ('arrived', 'cancelled'), false) THEN NULL WHEN now >= dep THEN 30 WHEN dep - now > 3600000 THEN 300 WHEN dep - now > 1800000 THEN 120 WHEN dep - now > 600000 THEN 60 ELSE 30 END AS interval_sec FROM r"""),
+    "p17_discover_trips": oracle("se trips times", f"WITH {ON_DAY.replace(f'c.date = {chr(39)}{DAY}{chr(39)}', f'c.date IN ({chr(39)}{DAY}{chr(39)}, {chr(39)}{NEXT_DAY}{chr(39)})').replace('SELECT t.* FROM trips', 'SELECT t.* EXCLUDE (date), c.date FROM trips')}, {SUM}, a AS (SELECT date, {NUM} AS train_number, trip_id, regexp_extract(validity, '(\\d{{4}}-\\d{{2}}-\\d{{2}})-(\\d{{4}}-\\d{{2}}-\\d{{2}})$', 1) AS f, regexp_extract(validity, '(\\d{{4}}-\\d{{2}}-\\d{{2}})-(\\d{{4}}-\\d{{2}}-\\d{{2}})$', 2) AS t FROM ontrips WHERE route_type = 2), v AS (SELECT date, train_number, trip_id, dep_sec, arr_sec, CASE WHEN date = '{DAY}' THEN 100800 ELSE 14400 END AS since FROM a JOIN summ USING (trip_id) QUALIFY row_number() OVER (PARTITION BY date, train_number ORDER BY (f <= strftime(strptime(date, '%Y%m%d'), '%Y-%m-%d') AND strftime(strptime(date, '%Y%m%d'), '%Y-%m-%d') <= t) DESC, f DESC, trip_id) = 1), w AS (SELECT *, {FOUR} - since * 1000 + dep_sec * 1000 AS sched_dep_epoch, {FOUR} - since * 1000 + arr_sec * 1000 AS sched_arr_epoch FROM v WHERE dep_sec <= since + 5400 AND since <= arr_sec + 36000) SELECT strftime(strptime(date, '%Y%m%d'), '%Y-%m-%d') AS service_date, train_number, trip_id, sched_dep_epoch, sched_arr_epoch FROM w ORDER BY CASE WHEN date = '{NEXT_DAY}' THEN abs(sched_dep_epoch - {FOUR}) END NULLS LAST, date, train_number LIMIT 200"),
     "p17_discover": oracle("se ends runs", f"SELECT run_id, train_number, sched_dep_epoch, sched_arr_epoch FROM runs WHERE sched_dep_epoch <= {POLL_AT + 5400000} AND sched_arr_epoch + 900000 >= {POLL_AT} ORDER BY abs(sched_dep_epoch - {POLL_AT}), run_id LIMIT 200"),
     "a33_feed_range": oracle("trips", "SELECT min(date) AS feed_start, max(date) AS feed_end FROM trips"),
     "j24_consecutive_stops": oracle("se times", "SELECT a.stop_id AS from_stop_id, x.stop_id AS to_stop_id, count(*) AS n FROM times a JOIN times x ON x.trip_id = a.trip_id AND x.stop_sequence = a.stop_sequence + 1 GROUP BY 1, 2"),
