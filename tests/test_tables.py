@@ -4,10 +4,12 @@ import itertools
 import os
 
 import pytest
-
 from pyspark.sql import functions as F
+
+from tests.oracle import SMALL
 from viaduct.functions import semantics as sem
 from viaduct.operators import stop_events as se
+from viaduct.sources import bindings as b
 from viaduct.sources import landing, tables
 
 SHAPE = "run_id long, stop_id string, service_date string, ts long, id long, stop_sequence int, sched_arr_epoch long, sched_dep_epoch long, platform_sched string, op_pred_arr_epoch long, op_pred_dep_epoch long, actual_arr_epoch long, actual_dep_epoch long, arr_delay_sec int, dep_delay_sec int, platform_actual string, platform_is_actual int, cancelled int, source string"
@@ -78,3 +80,9 @@ def test_recovery(spark):
     got = df.select(sem.recovery_forecast(*map(F.col, ("late", "sched", "p10", "p50", "p90"))).alias("f"), sem.recovery_prediction(F.col("late"), F.col("sched"), F.col("p50")).alias("g")).collect()
     assert [r.f and (r.f.prob_recover, r.f.expected_delay_sec, r.f.recover_by_sec) for r in got] == [(0.8, 300, 120), None, None, None, None, (0.55, 300, 120), (0.02, 300, 120)]
     assert [r.g for r in got] == [300, -300, None, None, 300, 300, -240]
+
+
+def test_stop_events_are_cut_into_partitions_of_bounded_size(spark):
+    lines = b.table(spark, SMALL, "lineitem")
+    assert b.parts(lines, rows=100) == -(-lines.count() // 100)
+    assert b.parts(lines) == b.stop_events(spark, SMALL).rdd.getNumPartitions()
