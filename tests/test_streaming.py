@@ -142,3 +142,9 @@ def test_file_sink_lays_rows_out_by_day(spark, tmp_path):
     ingest.append_observations(spark.createDataFrame(MANY, OBS), str(tmp_path / "twice"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(MANY) and spark.read.parquet(str(tmp_path / "twice")).count() == 2 * len(MANY)
     assert "service_date" in spark.read.parquet(str(tmp_path / "out")).columns
+
+
+def test_a_gap_of_exactly_fifteen_minutes_ends_a_session(spark):
+    rows = spark.createDataFrame([(1, 0), (1, 900_000), (2, 0), (2, 899_999), (3, 0), (3, 900_001)], "run_id long, ts long")
+    got = sorted(map(tuple, live.sessions(rows).collect()))
+    assert got == [(1, 0, 0, 1), (1, 900_000, 900_000, 1), (2, 0, 899_999, 2), (3, 0, 0, 1), (3, 900_001, 900_001, 1)]

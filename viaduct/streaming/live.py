@@ -34,9 +34,12 @@ def sliding(obs: DataFrame, late: str = "1 hour", length: str = "10 minutes", sl
 
 
 def sessions(obs: DataFrame, late: str = "1 hour", gap: str = "15 minutes") -> DataFrame:
-    """(run_id, since, until, n): visits of a run, which end once nothing was heard of it for ``gap``."""
+    """(run_id, since, until, n): visits of a run, which end once nothing was heard of it for ``gap``.
+
+    Session windows that touch are merged, so they are a millisecond, the unit of ``ts``, shorter.
+    """
     rows = _timed(obs, late)
-    out = rows.groupBy(F.session_window("at", gap), "run_id").agg(F.count("*").alias("n"), F.max("ts").alias("last_ts"))
+    out = rows.groupBy(F.session_window("at", f"{gap} -1 milliseconds"), "run_id").agg(F.count("*").alias("n"), F.max("ts").alias("last_ts"))
     return out.select("run_id", F.unix_millis("session_window.start").alias("since"), F.col("last_ts").alias("until"), "n")
 
 
