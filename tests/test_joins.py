@@ -29,3 +29,21 @@ def test_differences_count_repeats(spark):
     b = spark.createDataFrame([("x", 2), (None, 1), ("y", 3)], "b string, a int")
     assert {(r.a, r.b, r.more, r.side) for r in differences(a, b).collect()} == {(1, None, 1, "left"), (3, "y", 1, "right")}
     assert differences(a, a).isEmpty()
+
+
+def test_differences_shuffle_no_equal_rows(spark):
+    a = spark.range(20_000).selectExpr("id", "IF(id % 3 = 0, NULL, id * 31) AS x", "IF(id % 3 = 1, NULL, id * 31) AS y", "concat(sha2(CAST(id AS STRING), 512), sha2(CAST(-id AS STRING), 512)) AS text")
+    wrote = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = wrote()
+    assert differences(a, a).isEmpty()
+    assert wrote() - before < 20_000 * 256 / 2  # half of one copy of the rows
+    swapped = a.selectExpr("id", "IF(id = 9, y, x) AS x", "IF(id = 9, x, y) AS y", "text").union(a.where("id = 7"))
+    assert sorted((r.id, r.more, r.side) for r in differences(a, swapped).collect()) == [(7, 1, "right"), (9, 1, "left"), (9, 1, "right")]
+
+
+def test_scored_predictions_are_read_once(spark):
+    from tests.oracle import SMALL
+    from viaduct.sources import bindings as b
+
+    plan = b.scored(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1  # lines with orders

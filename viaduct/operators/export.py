@@ -73,11 +73,31 @@ def write_export(rows: DataFrame, folder: str, per_file: int = 100_000, by_line:
     rows.hint("rebalance", F.col("service_date")).write.mode("overwrite").partitionBy(*layout).option("maxRecordsPerFile", per_file).option("compression", "gzip").parquet(folder)
 
 
-def differences(a: DataFrame, b: DataFrame) -> DataFrame:
+def _hashed(rows: DataFrame, buckets: int) -> DataFrame:
+    """``rows`` with 128 bits of hash in parts that can be summed (_h0 to _h3) and one of ``buckets`` (_b).
+
+    Hashes pass over nulls, so they cover which columns are null as well.
+    """
+    null = [F.col(c).isNull() for c in rows.columns]
+    first, second = F.xxhash64(*rows.columns, *null), F.xxhash64(F.lit(1), *null, *rows.columns[::-1])
+    low = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
+    made = rows.withColumns({"_f": first, "_s": second})
+    return made.withColumns({"_h0": low("_f"), "_h1": F.shiftright("_f", 32), "_h2": low("_s"), "_h3": F.shiftright("_s", 32), "_b": F.pmod("_f", F.lit(buckets))}).drop("_f", "_s")
+
+
+def differences(a: DataFrame, b: DataFrame, buckets: int = 4096) -> DataFrame:
     """Rows that either side has more often than the other, and by how many: none after a true round trip.
 
-    One shuffle of both sides together, with partial counts before it.
+    Rows are dealt into ``buckets`` by hash, and the sums of each bucket's hashes are compared, so no row is shuffled
+    where both sides agree.  Buckets that differ are compared row by row, in one shuffle of both sides together.
     """
-    both = a.withColumn("more", F.lit(1)).unionByName(b.select(*a.columns).withColumn("more", F.lit(-1)))
+    b = b.select(*a.columns)
+    left, right = _hashed(a, buckets), _hashed(b, buckets)
+    parts = ["_h0", "_h1", "_h2", "_h3"]
+    told = lambda rows, sign: rows.groupBy("_b").agg(F.count("*").alias("_n"), *[F.sum(h).alias(h) for h in parts]).select("_b", *[(F.col(c) * sign).alias(c) for c in ("_n", *parts)])
+    sums = told(left, 1).unionByName(told(right, -1)).groupBy("_b").agg(*[F.sum(c).alias(c) for c in ("_n", *parts)])
+    odd = [r[0] for r in sums.where(" OR ".join(f"{c} <> 0" for c in ("_n", *parts))).select("_b").collect()]  # at most ``buckets`` numbers
+    suspect = lambda rows: rows.where(F.col("_b").isin(odd)).select(*a.columns)
+    both = suspect(left).withColumn("more", F.lit(1)).unionByName(suspect(right).withColumn("more", F.lit(-1)))
     counted = both.groupBy(*a.columns).agg(F.sum("more").alias("more")).where("more <> 0")
     return counted.withColumn("side", F.when(F.col("more") > 0, "left").otherwise("right")).withColumn("more", F.abs("more"))

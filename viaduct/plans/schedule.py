@@ -117,7 +117,7 @@ def with_features(s, d):
 
 
 def exported(s, d):
-    return ex.export_rows(with_features(s, d), b.runs(s, d))
+    return ex.export_rows(with_features(s, d), b.run_facts(s, d))
 
 
 def export_round_trip(s, d):
