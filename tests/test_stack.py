@@ -64,3 +64,10 @@ def test_stop_features_stand_for_the_operator(spark):
     got = {r.prediction_id: r.at_stop_ourDelay for r in st.with_stop_features(rows, ["ourDelay"]).collect()}
     scale = next(scale for name, _, _, scale, _ in md.BOUNDED if name == "ourDelay")
     assert got == {1: 100 / scale, 2: 50 / scale}
+
+
+def test_stop_features_need_no_join(spark):
+    rows = spark.createDataFrame([(1, 10_000, 4_000, 60.0, 600.0), (2, 10_000, 4_000, None, 600.0)], "prediction_id long, sched_arr_epoch long, generated_at long, operator_delay double, our_delay double")
+    told = st.with_stop_features(rows, ["ourDelay", "independentDelay"])
+    assert "Join" not in told._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.our_delay, r.at_stop_ourDelay, r.at_stop_independentDelay) for r in told.orderBy("prediction_id").collect()] == [(600.0, 0.1, 0.1), (600.0, 1.0, 1.0)]
