@@ -1,5 +1,7 @@
 """Passes that fits make over their rows: none sorts or joins what it can count or carry along."""
 
+import gc
+
 import numpy as np
 import pytest
 
@@ -7,6 +9,7 @@ from tests.oracle import SMALL
 from viaduct.operators import evaluate as ev
 from viaduct.operators import training as tr
 from viaduct.plans import models as plans
+from viaduct.plans.registry import QUERIES
 from viaduct.sources import bindings as b
 
 
@@ -34,3 +37,15 @@ def test_stops_meet_their_run_once(spark):
     assert stops._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 3
     t = tr.stop_level(b.stop_events(spark, SMALL), b.runs(spark, SMALL), "1992-01-01")
     assert sorted(r[0] for r in stops.select("label_sec").collect()) == sorted(r[0] for r in t.select("label_sec").collect())
+
+
+def test_context_holds_its_stops_while_its_table_is_used(spark):
+    held = spark.sparkContext._jsc.getPersistentRDDs
+    before = held().size()
+    table = QUERIES["m14_feature_context"](spark, SMALL)
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("InMemoryTableScan") >= 8 and plan.count("lineitem.parquet") <= plan.count("InMemoryRelation")
+    assert table.count() > 0 and held().size() > before
+    del table
+    gc.collect()
+    assert held().size() == before
