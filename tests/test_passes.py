@@ -49,3 +49,14 @@ def test_context_holds_its_stops_while_its_table_is_used(spark):
     del table
     gc.collect()
     assert held().size() == before
+
+
+def test_served_rows_are_those_that_were_fitted(spark, monkeypatch):
+    asked, stacking = [], plans.stacking
+    monkeypatch.setattr(plans, "stacking", lambda s, d: asked.append(d) or stacking(s, d))
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    table = QUERIES["m09_stack_served"](spark, SMALL)
+    assert len(asked) == 1 and table.count() == stacking(spark, SMALL)[0].count()
+    del table
+    gc.collect()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
